@@ -1,0 +1,5 @@
+"""Nothing is streamed: every job in this project is a batch job over tables.
+
+The package is kept so the layout is complete; there is no streaming operator
+to offer, because none of the covered work has event time, watermarks or state.
+"""
