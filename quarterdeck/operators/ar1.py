@@ -25,23 +25,35 @@ def impute_ar1(df: DataFrame, spec: PanelSpec, cols: list[str]) -> DataFrame:
     Rows arrive sorted by entity and order and are read as a stream. Only running
     sums are kept between batches, so memory does not depend on the entity's size.
     """
-    entity, types = list(spec.entity), dict(df.dtypes)
+    types = dict(df.dtypes)
     layout = df.withColumns({c: df[c].cast("double") for c in cols if types[c] != "double"})
+    parted = layout.repartition(*spec.entity).sortWithinPartitions(*spec.entity, *spec.order)
+    return parted.mapInPandas(_walker(list(spec.entity), cols), layout.schema)
+
+
+def _walker(entity: list[str], cols: list[str]):
+    # everything the tasks need is inside, so it travels with the job
+    min_pairs, limit = MIN_PAIRS, MAX_COEFFICIENT
+
+    def forecast(state, last):
+        n, sx, sy, sxx, sxy = state
+        with np.errstate(divide="ignore", invalid="ignore"):
+            spread = sxx - sx * sx / n
+            slope = np.clip((sxy - sx * sy / n) / spread, -limit, limit)
+            usable = (n >= min_pairs) & (spread > 1e-12 * sxx)
+            line = (sy - slope * sx) / n + slope * last
+        return np.where(usable, line, last)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, state, last = None, None, None
         for batch in batches:
-            if not len(batch):
-                yield batch
-                continue
             x = batch[cols].to_numpy(dtype="float64", copy=True)
-            keys = list(batch[entity].itertuples(index=False, name=None))
-            for i, key in enumerate(keys):
+            for i, key in enumerate(batch[entity].itertuples(index=False, name=None)):
                 if key != held:
                     held, state, last = key, np.zeros((5, len(cols))), np.full(len(cols), np.nan)
                 gaps = np.isnan(x[i]) & ~np.isnan(last)
                 if gaps.any():
-                    x[i] = np.where(gaps, _forecast(state, last), x[i])
+                    x[i] = np.where(gaps, forecast(state, last), x[i])
                 pair = ~np.isnan(last) & ~np.isnan(x[i])
                 a, b = np.where(pair, last, 0.0), np.where(pair, x[i], 0.0)
                 state += np.stack([pair, a, b, a * a, a * b])
@@ -49,16 +61,4 @@ def impute_ar1(df: DataFrame, spec: PanelSpec, cols: list[str]) -> DataFrame:
             batch[cols] = x
             yield batch
 
-    parted = layout.repartition(*entity).sortWithinPartitions(*entity, *spec.order)
-    return parted.mapInPandas(walk, layout.schema)
-
-
-def _forecast(state: np.ndarray, last: np.ndarray) -> np.ndarray:
-    n, sx, sy, sxx, sxy = state
-    with np.errstate(divide="ignore", invalid="ignore"):
-        spread = sxx - sx * sx / n
-        slope = (sxy - sx * sy / n) / spread
-        usable = (n >= MIN_PAIRS) & (spread > 1e-12 * np.maximum(sxx, 1e-300))
-        slope = np.clip(slope, -MAX_COEFFICIENT, MAX_COEFFICIENT)
-        line = (sy - slope * sx) / n + slope * last
-    return np.where(usable, line, last)
+    return walk

@@ -1,0 +1,108 @@
+"""Imputation and the split into training and test rows."""
+
+from pyspark.sql import functions as F
+
+from quarterdeck.operators import impute
+from quarterdeck.operators.ar1 import impute_ar1
+from quarterdeck.operators.reshape import union_rows
+from quarterdeck.panel import PanelSpec
+from registry.book import query, rounded
+
+PANEL = PanelSpec.of("entity", ("yr", "qtr"))
+
+
+def fill_sql(src: str, x: str, part: str = "entity", order: str = "yr, qtr") -> str:
+    """CTEs: ``placed`` with head-filled h, last value row l, last gap row b; ``line`` per entity."""
+    w = f"(PARTITION BY {part} ORDER BY {order})"
+    full = f"(PARTITION BY {part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"""
+rows_ AS (SELECT *, row_number() OVER {w} AS i, count({x}) OVER {w} AS seen,
+            first_value({x} IGNORE NULLS) OVER {full} AS f FROM {src}),
+head AS (SELECT *, CASE WHEN seen = 0 THEN f ELSE {x} END AS h FROM rows_),
+lasts AS (SELECT {part}, max(CASE WHEN h IS NOT NULL THEN i END) AS l FROM head GROUP BY {part}),
+gaps AS (SELECT head.{part}, max(CASE WHEN h IS NULL AND i < l THEN i ELSE 0 END) AS b
+         FROM head JOIN lasts ON head.{part} = lasts.{part} GROUP BY head.{part}),
+line AS (SELECT head.{part} AS e, any_value(l) AS l, any_value(b) AS b,
+           CASE WHEN count(h) > 1 THEN regr_slope(h, i - b - 1) ELSE 0 END AS slope,
+           CASE WHEN count(h) > 1 THEN regr_intercept(h, i - b - 1) ELSE max(h) END AS level
+         FROM head JOIN lasts ON head.{part} = lasts.{part} JOIN gaps ON head.{part} = gaps.{part}
+         WHERE i > b AND i <= l GROUP BY head.{part}),
+tail AS (SELECT head.*, CASE WHEN i > l THEN level + slope * (i - b - 1) ELSE h END AS t
+         FROM head LEFT JOIN line ON e = {part}),
+near AS (SELECT *, max(CASE WHEN t IS NOT NULL THEN i END) OVER {w} AS i0,
+           min(CASE WHEN t IS NOT NULL THEN i END) OVER (PARTITION BY {part} ORDER BY {order}
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS i1 FROM tail),
+filled AS (SELECT n.*, CASE WHEN n.t IS NOT NULL THEN n.t
+             ELSE a.t + (c.t - a.t) / (n.i1 - n.i0) * (n.i - n.i0) END AS y
+           FROM near n LEFT JOIN tail a ON a.{part} = n.{part} AND a.i = n.i0
+           LEFT JOIN tail c ON c.{part} = n.{part} AND c.i = n.i1)"""
+
+
+@query("neutralize_sparse_columns", """
+SELECT entity, yr, qtr, CASE WHEN avg(CASE WHEN gappy IS NULL THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY entity) > 0.8
+       THEN 0 ELSE gappy END AS gappy, sales FROM fx_panel""", "fx_panel")
+def _(t):
+    p = t.fx_panel.select("entity", "yr", "qtr", "gappy", "sales")
+    return impute.neutralize_sparse_columns(p, PANEL, ["gappy", "sales"])
+
+
+@query("fill_head", f"WITH {fill_sql('fx_panel', 'gappy')} SELECT entity, yr, qtr, h AS gappy FROM head", "fx_panel")
+def _(t):
+    return impute.fill_head(t.fx_panel.select("entity", "yr", "qtr", "gappy"), PANEL, ["gappy"])
+
+
+@query("fill_tail_trend", f"""
+WITH raw AS (SELECT entity, yr, qtr, gappy FROM fx_cents WHERE entity % 10 <> 1),
+{fill_sql('raw', 'gappy')}
+SELECT entity, yr, qtr, round(CASE WHEN seen = 0 THEN gappy ELSE t END, 3) AS gappy FROM tail""", "fx_cents")
+def _(t):
+    p = t.fx_cents.where("entity % 10 <> 1").select("entity", "yr", "qtr", "gappy")
+    return rounded(impute.fill_tail_trend(p, PANEL, ["gappy"]), "gappy", digits=3)
+
+
+@query("fill_interior_linear", """
+WITH r AS (SELECT entity, yr, qtr, gappy, row_number() OVER (PARTITION BY entity ORDER BY yr, qtr) AS i FROM fx_cents),
+n AS (SELECT *, max(CASE WHEN gappy IS NOT NULL THEN i END) OVER (PARTITION BY entity ORDER BY i) AS i0,
+        min(CASE WHEN gappy IS NOT NULL THEN i END) OVER (PARTITION BY entity ORDER BY i
+          ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS i1 FROM r)
+SELECT n.entity, n.yr, n.qtr, round(CASE WHEN n.gappy IS NOT NULL THEN n.gappy
+       ELSE a.gappy + (c.gappy - a.gappy) / (n.i1 - n.i0) * (n.i - n.i0) END, 3) AS gappy
+FROM n LEFT JOIN r a ON a.entity = n.entity AND a.i = n.i0 LEFT JOIN r c ON c.entity = n.entity AND c.i = n.i1""",
+       "fx_cents")
+def _(t):
+    p = t.fx_cents.select("entity", "yr", "qtr", "gappy")
+    return rounded(impute.fill_interior_linear(p, PANEL, ["gappy"]), "gappy", digits=3)
+
+
+@query("impute_panel", f"""
+WITH {fill_sql('fx_cents', 'gappy')} SELECT entity, yr, qtr, round(y, 3) AS gappy, sales FROM filled""",
+       "fx_cents")
+def _(t):
+    p = t.fx_cents.select("entity", "yr", "qtr", "gappy", "sales")
+    return rounded(impute.impute_panel(p, PANEL, ["gappy", "sales"]), "gappy", digits=3)
+
+
+@query("impute_ar1")
+def _(t):
+    p = t.fx_panel.select("entity", "yr", "qtr", "gappy", "sales")
+    return rounded(impute_ar1(p, PANEL, ["gappy", "sales"]), "gappy", "sales", digits=2)
+
+
+@query("split_panel", """
+SELECT entity, yr, qtr, sales, CASE WHEN yr < 1999 THEN 'train' ELSE 'test' END AS split
+FROM (SELECT *, count(CASE WHEN yr < 1999 THEN 1 END) OVER (PARTITION BY entity) AS n
+      FROM fx_panel WHERE entity % 10 <> 4 OR yr > 1998 OR qtr = 4) AS x WHERE n >= 5""", "fx_panel")
+def _(t):
+    p = t.fx_panel.where("entity % 10 <> 4 OR yr > 1998 OR qtr = 4").select("entity", "yr", "qtr", "sales")
+    return impute.split_panel(p, PANEL, cutoff=1999, min_train=5)
+
+
+@query("build_train_test")
+def _(t):
+    """The four frames under one roof, each row marked with the frame it is from."""
+    p = t.fx_panel.withColumn("target", F.lead("gappy").over(PANEL.window()))
+    frames = impute.build_train_test(p.select("entity", "yr", "qtr", "gappy", "qty", "target"), PANEL,
+                                     ["gappy", "qty"], ["target"], cutoff=1999)
+    parts = [f.withColumn("frame", F.lit(name)) for name, f in frames.items()]
+    return rounded(union_rows(*parts), "gappy", "qty", "target", digits=2).select(
+        "frame", "entity", "yr", "qtr", "gappy", "qty", "target")

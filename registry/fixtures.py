@@ -76,13 +76,18 @@ SELECT CAST(quarter(o_orderdate) AS INT) AS qtr,
        CASE WHEN quarter(o_orderdate) = 3 THEN '--' WHEN quarter(o_orderdate) = 4 THEN ' '
             ELSE CAST(sum(CASE WHEN year(o_orderdate) = 2000 THEN 1 ELSE 0 END) AS STRING) END AS y2000
 FROM orders GROUP BY quarter(o_orderdate)""",
+    # the panel and the daily series in cents: sums of whole numbers are exact in any order
+    "fx_cents": """
+SELECT entity, yr, qtr, seq, announce_dt, round(sales * 100) AS sales, round(gappy * 100) AS gappy, qty
+FROM fx_panel""",
+    "fx_index": "SELECT d, round(idx * 100) AS idx, n FROM fx_market",
     # predictions against truth with null truths
     "fx_pred": """
 SELECT entity, yr, qtr, gappy AS truth,
        lag(sales) OVER (PARTITION BY entity ORDER BY seq) AS pred
 FROM fx_panel""",
 }
-NEEDS = {"fx_panel": ["fx_quarters"], "fx_pred": ["fx_quarters", "fx_panel"], "fx_long": ["fx_months"]}
+NEEDS = {"fx_panel": ["fx_quarters"], "fx_cents": ["fx_quarters", "fx_panel"], "fx_index": ["fx_market"], "fx_pred": ["fx_quarters", "fx_panel"], "fx_long": ["fx_months"]}
 
 
 def with_views(select: str, *views: str, recursive: bool = False) -> str:

@@ -158,11 +158,11 @@ def _(t):
 # ---- aggregates ------------------------------------------------------------------------
 
 @query("monthly_mean", """
-SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS year_month, round(avg(o_totalprice), 4) AS o_totalprice,
-       round(avg(o_custkey), 4) AS o_custkey FROM orders GROUP BY 1""")
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS year_month, avg(round(o_totalprice * 100)) AS o_totalprice,
+       avg(o_custkey) AS o_custkey FROM orders GROUP BY 1""")
 def _(t):
-    return rounded(aggregate.monthly_mean(t.orders, "o_orderdate", ["o_totalprice", "o_custkey"]),
-                   "o_totalprice", "o_custkey", digits=4)
+    cents = t.orders.withColumn("o_totalprice", F.round(F.col("o_totalprice") * 100))
+    return aggregate.monthly_mean(cents, "o_orderdate", ["o_totalprice", "o_custkey"])
 
 
 @query("global_extrema", """
@@ -307,81 +307,79 @@ def _(t):
 
 def _ma_sql(col: str, n: int, alias: str) -> str:
     f = f"OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    return f"round(CASE WHEN count({col}) {f} = {n} THEN avg({col}) {f} END, 4) AS {alias}"
+    return f"CASE WHEN count({col}) {f} = {n} THEN avg({col}) {f} END AS {alias}"
 
 
 @query("moving_average", f"""
 SELECT entity, yr, qtr, {", ".join(_ma_sql("gappy", n, f"gappy_{n}_MA") for n in (3, 6, 12, 24))},
        {_ma_sql("sales", 3, "sales_3_MA")}, {_ma_sql("sales", 24, "sales_24_MA")}
-FROM fx_panel WINDOW w AS (PARTITION BY entity ORDER BY yr, qtr)""", "fx_panel")
+FROM fx_cents WINDOW w AS (PARTITION BY entity ORDER BY yr, qtr)""", "fx_cents")
 def _(t):
-    out = windows.moving_average(t.fx_panel, PANEL, ["gappy", "sales"], name="{col}_{n}_MA")
+    out = windows.moving_average(t.fx_cents, PANEL, ["gappy", "sales"], name="{col}_{n}_MA")
     cols = [*[f"gappy_{n}_MA" for n in (3, 6, 12, 24)], "sales_3_MA", "sales_24_MA"]
-    return rounded(out.select("entity", "yr", "qtr", *cols), *cols, digits=4)
+    return out.select("entity", "yr", "qtr", *cols)
 
 
 @query("moving_average_days", f"""
 SELECT d, {", ".join(_ma_sql("idx", n, f"idx_{n}_day_MA") for n in (60, 90, 360))}
-FROM fx_market WINDOW w AS (ORDER BY d)""", "fx_market")
+FROM fx_index WINDOW w AS (ORDER BY d)""", "fx_index")
 def _(t):
-    out = windows.moving_average(t.fx_market, MARKET, ["idx"], (60, 90, 360), "{col}_{n}_day_MA")
-    cols = [f"idx_{n}_day_MA" for n in (60, 90, 360)]
-    return rounded(out.select("d", *cols), *cols, digits=4)
+    out = windows.moving_average(t.fx_index, MARKET, ["idx"], (60, 90, 360), "{col}_{n}_day_MA")
+    return out.select("d", *[f"idx_{n}_day_MA" for n in (60, 90, 360)])
 
 
 @query("moving_average_events", f"""
 SELECT event_id, {_ma_sql("value", 6, "value_6_MA")}, {_ma_sql("value", 12, "value_12_MA")}
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+FROM (SELECT user_id, ts, event_id, round(value * 100) AS value FROM events) AS e
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def _(t):
-    e = t.events.select("user_id", "ts", "event_id", "value")
+    e = t.events.select("user_id", "ts", "event_id", F.round(F.col("value") * 100).alias("value"))
     out = windows.moving_average(e, EVENTS, ["value"], (6, 12), "{col}_{n}_MA")
-    return rounded(out.select("event_id", "value_6_MA", "value_12_MA"), "value_6_MA", "value_12_MA", digits=4)
+    return out.select("event_id", "value_6_MA", "value_12_MA")
 
 
 @query("rolling_average", """
-SELECT entity, yr, qtr, round(avg(gappy) OVER (PARTITION BY entity ORDER BY yr, qtr
-       ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS gappy_rolling_avg_3 FROM fx_panel""", "fx_panel")
+SELECT entity, yr, qtr, avg(gappy) OVER (PARTITION BY entity ORDER BY yr, qtr
+       ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gappy_rolling_avg_3 FROM fx_cents""", "fx_cents")
 def _(t):
-    out = windows.rolling_average(t.fx_panel, PANEL, ["gappy"])
-    return rounded(out.select("entity", "yr", "qtr", "gappy_rolling_avg_3"), "gappy_rolling_avg_3", digits=4)
+    out = windows.rolling_average(t.fx_cents, PANEL, ["gappy"])
+    return out.select("entity", "yr", "qtr", "gappy_rolling_avg_3")
 
 
-def _ema_sql(src: str, keys: str, part: str, order: str, x: str) -> str:
-    """One step per row: the past decays by one half, an observation is mixed in."""
+def _ema_sql(src: str, keys: str, part: str, order: str, x: str, a: str = "0.5::DOUBLE", b: str = "0.5::DOUBLE") -> str:
+    """One step per row: the past decays by ``b`` = 1 - a, an observation weighs ``a``."""
     return f"""
 n AS (SELECT {keys}, {part} AS e, {x} AS x, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS i FROM {src}),
 walk AS (SELECT {keys}, e, i, CAST(x AS DOUBLE) AS v, 1.0::DOUBLE AS w FROM n WHERE i = 1
   UNION ALL
   SELECT {", ".join("n." + k.strip() for k in keys.split(","))}, n.e, n.i,
     CASE WHEN n.x IS NULL THEN walk.v WHEN walk.v IS NULL THEN n.x
-         ELSE (0.5 * walk.w * walk.v + 0.5 * n.x) / (0.5 * walk.w + 0.5) END,
-    CASE WHEN n.x IS NULL AND walk.v IS NOT NULL THEN 0.5 * walk.w ELSE 1.0 END
+         ELSE ({b} * walk.w * walk.v + {a} * n.x) / ({b} * walk.w + {a}) END,
+    CASE WHEN n.x IS NULL AND walk.v IS NOT NULL THEN {b} * walk.w ELSE 1.0 END
   FROM walk JOIN n ON n.e = walk.e AND n.i = walk.i + 1)"""
 
 
 @query("ema", f"""
 WITH {_ema_sql("fx_panel", "entity, yr, qtr", "entity", "yr, qtr", "gappy")}
-SELECT entity, yr, qtr, round(v, 4) AS gappy_ema_3 FROM walk""", "fx_panel", recursive=True)
+SELECT entity, yr, qtr, v AS gappy_ema_3 FROM walk""", "fx_panel", recursive=True)
 def _(t):
-    out = windows.ema(t.fx_panel.select("entity", "yr", "qtr", "gappy"), PANEL, ["gappy"], 3)
-    return rounded(out.drop("gappy"), "gappy_ema_3", digits=4)
+    return windows.ema(t.fx_panel.select("entity", "yr", "qtr", "gappy"), PANEL, ["gappy"], 3).drop("gappy")
 
 
 @query("ema_days", f"""
 WITH {_ema_sql("fx_user_day", "entity, d", "entity", "d", "amount")}
-SELECT entity, d, round(v, 6) AS amount_ema_3 FROM walk""", "fx_user_day", recursive=True)
+SELECT entity, d, v AS amount_ema_3 FROM walk""", "fx_user_day", recursive=True)
 def _(t):
-    out = windows.ema(t.fx_user_day.select("entity", "d", "amount"), DAYS, ["amount"], 3)
-    return rounded(out.drop("amount"), "amount_ema_3")
+    return windows.ema(t.fx_user_day.select("entity", "d", "amount"), DAYS, ["amount"], 3).drop("amount")
 
 
 @query("ema_events", f"""
 WITH RECURSIVE {_ema_sql("(SELECT *, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS seen FROM events) AS s",
-                         "event_id", "user_id", "ts, event_id", "seen")}
-SELECT event_id, round(v, 6) AS seen_ema_3 FROM walk""")
+                         "event_id", "user_id", "ts, event_id", "seen", "(2.0::DOUBLE / 7)", "(1 - 2.0::DOUBLE / 7)")}
+SELECT event_id, round(v, 6) AS seen_ema_6 FROM walk""")
 def _(t):
     e = t.events.select("user_id", "ts", "event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("seen"))
-    return rounded(windows.ema(e, EVENTS, ["seen"], 3).select("event_id", "seen_ema_3"), "seen_ema_3")
+    return rounded(windows.ema(e, EVENTS, ["seen"], 6).select("event_id", "seen_ema_6"), "seen_ema_6")
 
 
 @query("first_difference", """
@@ -427,12 +425,11 @@ _LAGS = (1, 2, 3, 4, 5, 6, 12, 24)
 
 
 @query("add_lags", f"""
-WITH m AS (SELECT CAST(date_trunc('month', d) AS DATE) AS year_month, avg(idx) AS idx FROM fx_market GROUP BY 1)
-SELECT year_month, {", ".join(f"round(lag(idx, {k}) OVER (ORDER BY year_month), 4) AS idx_lag_{k}_month" for k in _LAGS)}
-FROM m""", "fx_market")
+WITH m AS (SELECT CAST(date_trunc('month', d) AS DATE) AS year_month, avg(idx) AS idx FROM fx_index GROUP BY 1)
+SELECT year_month, {", ".join(f"lag(idx, {k}) OVER (ORDER BY year_month) AS idx_lag_{k}_month" for k in _LAGS)}
+FROM m""", "fx_index")
 def _(t):
-    out = windows.add_lags(aggregate.monthly_mean(t.fx_market, "d", ["idx"]), MONTHS, ["idx"]).drop("idx")
-    return rounded(out, *[f"idx_lag_{k}_month" for k in _LAGS], digits=4)
+    return windows.add_lags(aggregate.monthly_mean(t.fx_index, "d", ["idx"]), MONTHS, ["idx"]).drop("idx")
 
 
 @query("period_return", """
@@ -456,7 +453,7 @@ def _stats_sql(cols, groups) -> str:
     parts, joins, out = [], [], []
     for g in groups:
         aggs = ", ".join(
-            f"round(avg({c}), 4) AS {c}_{g}_mean, median({c}) AS {c}_{g}_median, min({c}) AS {c}_{g}_min, "
+            f"avg({c}) AS {c}_{g}_mean, median({c}) AS {c}_{g}_median, min({c}) AS {c}_{g}_min, "
             f"max({c}) AS {c}_{g}_max, round(stddev_samp({c}), 4) AS {c}_{g}_std, "
             f"quantile_cont({c}, 0.25) AS {c}_{g}_q1, quantile_cont({c}, 0.75) AS {c}_{g}_q3" for c in cols)
         parts.append(f"s_{g} AS (SELECT yr, qtr, {g}, {aggs} FROM x WHERE {g} IS NOT NULL GROUP BY yr, qtr, {g})")
@@ -464,7 +461,7 @@ def _stats_sql(cols, groups) -> str:
         for c in cols:
             for s in ("mean", "median", "min", "max", "std", "q1", "q3"):
                 n = f"{c}_{g}_{s}"
-                out.append(f"round({n}, 4) AS {n}" if s in ("median", "q1", "q3") else n)
+                out.append(n)
     return (", ".join(parts) + " SELECT x.entity, x.yr, x.qtr, " + ", ".join(out) + " FROM x " + " ".join(joins))
 
 
@@ -472,20 +469,19 @@ _STAT_COLS, _LEVELS = ["sales", "gappy"], ["group_label", "sector_label"]
 
 
 def _with_labels(t):
-    return t.fx_panel.select("entity", "yr", "qtr", "sales", "gappy").join(t.fx_company, "entity", "left")
+    return t.fx_cents.select("entity", "yr", "qtr", "sales", "gappy").join(t.fx_company, "entity", "left")
 
 
 def _round_stats(out):
-    cols = [f"{c}_{g}_{s}" for c in _STAT_COLS for g in _LEVELS
-            for s in ("mean", "median", "std", "q1", "q3")]
+    cols = [f"{c}_{g}_std" for c in _STAT_COLS for g in _LEVELS]
     return rounded(out.drop(*_STAT_COLS, *_LEVELS, "group_num"), *cols, digits=4)
 
 
-_STATS = ("WITH x AS (SELECT p.entity, yr, qtr, sales, gappy, group_label, sector_label FROM fx_panel p "
+_STATS = ("WITH x AS (SELECT p.entity, yr, qtr, sales, gappy, group_label, sector_label FROM fx_cents p "
           "LEFT JOIN fx_company c ON p.entity = c.entity), " + _stats_sql(_STAT_COLS, _LEVELS))
 
 
-@query("group_statistics", _STATS, "fx_panel", "fx_company")
+@query("group_statistics", _STATS, "fx_cents", "fx_company")
 def _(t):
     return _round_stats(crosssection.group_statistics(_with_labels(t), _STAT_COLS, _LEVELS, ["yr", "qtr"]))
 
@@ -502,11 +498,8 @@ def _(t):
 
 
 @query("period_total", """
-SELECT entity, yr, qtr, sum(CAST(sales AS DECIMAL(18,2))) OVER (PARTITION BY yr, qtr)::DOUBLE AS sales_industry_sum,
-       coalesce(sum(CAST(gappy AS DECIMAL(18,2))) OVER (PARTITION BY yr, qtr), 0)::DOUBLE AS gappy_industry_sum
-FROM fx_panel""", "fx_panel")
-def _(t):
-    exact = t.fx_panel.select("entity", "yr", "qtr", *[F.col(c).cast("decimal(18,2)").alias(c) for c in ("sales", "gappy")])
-    out = crosssection.period_total(exact, ["sales", "gappy"], ["yr", "qtr"])
-    return out.select("entity", "yr", "qtr", *[F.col(f"{c}_industry_sum").cast("double").alias(f"{c}_industry_sum")
-                                               for c in ("sales", "gappy")])
+SELECT entity, yr, qtr, sum(sales) OVER (PARTITION BY yr, qtr) AS sales_industry_sum,
+       coalesce(sum(gappy) OVER (PARTITION BY yr, qtr), 0) AS gappy_industry_sum FROM fx_cents""", "fx_cents")
+def _(t):
+    out = crosssection.period_total(t.fx_cents, ["sales", "gappy"], ["yr", "qtr"])
+    return out.select("entity", "yr", "qtr", "sales_industry_sum", "gappy_industry_sum")

@@ -7,7 +7,7 @@ from quarterdeck.functions.numeric import parse_numeric_text
 from quarterdeck.operators import joins, reshape
 from quarterdeck.operators.aggregate import monthly_mean
 from quarterdeck.functions.dates import to_month
-from registry.book import query, rounded
+from registry.book import query
 
 SERIES = {"Series A": "series_a", "Series N": "series_n", "Series R": "series_r"}
 YEARS = {"y1998": 1998, "y1999": 1999, "y2000": 2000}
@@ -90,30 +90,30 @@ def _(t):
 
 
 _MONTHLY = """
-orders_m AS (SELECT CAST(date_trunc('month', d) AS DATE) AS year_month, avg(idx) AS idx FROM fx_market GROUP BY 1),
+orders_m AS (SELECT CAST(date_trunc('month', d) AS DATE) AS year_month, avg(idx) AS idx FROM fx_index GROUP BY 1),
 ships_m AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS year_month, avg(l_quantity) AS ship_qty,
-                   avg(l_discount) AS idx FROM lineitem GROUP BY 1),
-events_m AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS year_month, avg(value) AS event_value
+                   avg(l_linenumber) AS idx FROM lineitem GROUP BY 1),
+events_m AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS year_month, avg(round(value * 100)) AS event_value
              FROM events GROUP BY 1)"""
 
 
 def _monthly(t):
-    ships = t.lineitem.withColumnRenamed("l_quantity", "ship_qty").withColumnRenamed("l_discount", "idx")
-    events = t.events.withColumnRenamed("value", "event_value")
-    return (monthly_mean(t.fx_market, "d", ["idx"]), monthly_mean(ships, "l_shipdate", ["ship_qty", "idx"]),
+    ships = t.lineitem.withColumnRenamed("l_quantity", "ship_qty").withColumnRenamed("l_linenumber", "idx")
+    events = t.events.withColumn("event_value", F.round(F.col("value") * 100))
+    return (monthly_mean(t.fx_index, "d", ["idx"]), monthly_mean(ships, "l_shipdate", ["ship_qty", "idx"]),
             monthly_mean(events, "ts", ["event_value"]))
 
 
 @query("join_month_series", f"""
 WITH {_MONTHLY}
 SELECT entity, yr, qtr, CAST(date_trunc('month', announce_dt) AS DATE) AS year_month, sales,
-       round(orders_m.idx, 6) AS idx, round(ship_qty, 6) AS ship_qty, round(event_value, 6) AS event_value
+       orders_m.idx AS idx, ship_qty, event_value
 FROM fx_panel LEFT JOIN orders_m ON date_trunc('month', announce_dt) = orders_m.year_month
 LEFT JOIN ships_m ON date_trunc('month', announce_dt) = ships_m.year_month
-LEFT JOIN events_m ON date_trunc('month', announce_dt) = events_m.year_month""", "fx_market", "fx_panel")
+LEFT JOIN events_m ON date_trunc('month', announce_dt) = events_m.year_month""", "fx_index", "fx_panel")
 def _(t):
     p = t.fx_panel.select("entity", "yr", "qtr", to_month("announce_dt").alias("year_month"), "sales")
-    return rounded(joins.join_month_series(p, "year_month", *_monthly(t)), "idx", "ship_qty", "event_value")
+    return joins.join_month_series(p, "year_month", *_monthly(t))
 
 
 @query("join_exact_date", """
@@ -133,19 +133,18 @@ def _(t):
 
 @query("outer_join_series", f"""
 WITH {_MONTHLY}
-SELECT year_month, round(orders_m.idx, 6) AS idx, round(ship_qty, 6) AS ship_qty, round(event_value, 6) AS event_value
-FROM orders_m FULL JOIN ships_m USING (year_month) FULL JOIN events_m USING (year_month)""", "fx_market")
+SELECT year_month, orders_m.idx AS idx, ship_qty, event_value
+FROM orders_m FULL JOIN ships_m USING (year_month) FULL JOIN events_m USING (year_month)""", "fx_index")
 def _(t):
     a, b, c = _monthly(t)
-    return rounded(joins.outer_join_series(a, b.drop("idx"), c, key="year_month"), "idx", "ship_qty", "event_value")
+    return joins.outer_join_series(a, b.drop("idx"), c, key="year_month")
 
 
 @query("right_join_series", f"""
 WITH {_MONTHLY}
-SELECT ships_m.year_month, round(orders_m.idx, 6) AS idx, round(ship_qty, 6) AS ship_qty,
-       round(event_value, 6) AS event_value
+SELECT ships_m.year_month, orders_m.idx AS idx, ship_qty, event_value
 FROM ships_m LEFT JOIN orders_m ON ships_m.year_month = orders_m.year_month
-LEFT JOIN events_m ON ships_m.year_month = events_m.year_month""", "fx_market")
+LEFT JOIN events_m ON ships_m.year_month = events_m.year_month""", "fx_index")
 def _(t):
     a, b, c = _monthly(t)
-    return rounded(joins.right_join_series(a, b.drop("idx"), c, key="year_month"), "idx", "ship_qty", "event_value")
+    return joins.right_join_series(a, b.drop("idx"), c, key="year_month")
