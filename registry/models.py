@@ -1,0 +1,165 @@
+"""Feature ranking, forecasts, back-tests and searches with Spark ML.
+
+The learners are Spark's own, so most of these have no SQL counterpart; what is
+exact (folds, report order) has.
+"""
+
+from pyspark.sql import functions as F
+
+from quarterdeck.operators import folds, forecast, selection, sorting
+from quarterdeck.operators.aggregate import regression_metrics
+from quarterdeck.operators.joins import join_dimension
+from quarterdeck.operators.windows import add_lead_targets, add_year_ago, rolling_average
+from quarterdeck.panel import PanelSpec
+from quarterdeck.session import pin
+from registry.book import query, rounded
+
+PANEL = PanelSpec.of("entity", ("yr", "qtr"))
+KEYS = ["entity", "yr", "qtr"]
+ORDER = ["yr", "qtr", "entity"]
+FEATURES = ["qtr", "sales", "qty", "gappy", "sales_last_year_same_quarter", "qty_last_year_same_quarter",
+            "sales_rolling_avg_3", "qty_rolling_avg_3", "seq"]
+CATEGORICAL = ["sector_label"]
+SMALL = forecast.Booster(rounds=3, learning_rate=0.1, depth=3)
+
+
+def model_frame(t):
+    """Panel features with the next quarter's sales and quantity as targets."""
+    p = add_year_ago(t.fx_panel, PANEL, ["sales", "qty"])
+    p = rolling_average(p, PANEL, ["sales", "qty"])
+    p = add_lead_targets(p, PANEL, ["sales", "qty"])
+    p = join_dimension(p, t.fx_company, "entity", ["sector_label"])
+    return pin(p.select(*KEYS, *[c for c in FEATURES if c not in KEYS], *CATEGORICAL, "sales_lag1", "qty_lag1"), "model")
+
+
+def _parts(t, cutoff=2000):
+    p = model_frame(t)
+    return p.where(F.col("yr") < cutoff), p.where(F.col("yr") >= cutoff)
+
+
+def _metrics(f):
+    return rounded(f.metrics(), "rmse", "r2")
+
+
+@query("rank_features")
+def _(t):
+    train, _ = _parts(t)
+    return forecast.rank_features(train, "sales_lag1", [*FEATURES, *CATEGORICAL], CATEGORICAL,
+                                  forecast.Booster(rounds=5, loss="absolute", depth=3))
+
+
+@query("top_features", """
+SELECT feature, importance FROM
+  (SELECT p_type AS feature, CAST(sum(p_size) AS DOUBLE) AS importance FROM part GROUP BY p_type) AS x
+ORDER BY importance DESC, feature LIMIT 10""")
+def _(t):
+    gains = t.part.groupBy(F.col("p_type").alias("feature")).agg(F.sum("p_size").cast("double").alias("importance"))
+    return sorting.top_features(gains, 10)
+
+
+@query("search_feature_count")
+def _(t):
+    train, test = _parts(t)
+    ranked = ["qty", "sales_rolling_avg_3", "sales_last_year_same_quarter", "qtr", "gappy", "qty_rolling_avg_3"]
+    s = selection.search_feature_count(train, test, "sales_lag1", "sales", ranked, settings=SMALL, first=2, step=2)
+    rows = [(n, e, n == s.count) for n, e in sorted(s.scores.items())]
+    return t.spark.createDataFrame(rows, "num_features int, rmse double, chosen boolean")
+
+
+@query("forecast_targets")
+def _(t):
+    train, test = _parts(t)
+    out = selection.forecast_targets(train, test, ["sales", "qty"], [*FEATURES, *CATEGORICAL], CATEGORICAL,
+                                     chain=["sales"], ranking=forecast.Booster(rounds=2, loss="absolute", depth=3),
+                                     settings=SMALL, first=3, step=3)
+    return out["qty"].forecast.test.select(*KEYS, "qty_lag1", "pred_sales_lag1", "pred_qty_lag1")
+
+
+@query("forecast_report")
+def _(t):
+    train, test = _parts(t)
+    out = selection.forecast_targets(train, test, ["sales", "qty"], FEATURES,
+                                     ranking=forecast.Booster(rounds=2, loss="absolute", depth=3),
+                                     settings=SMALL, first=3, step=3)
+    return selection.forecast_report(out, KEYS)["summary"]
+
+
+@query("boosted_forecast")
+def _(t):
+    train, test = _parts(t)
+    return _metrics(forecast.boosted_forecast(train, test, "sales_lag1", [*FEATURES, *CATEGORICAL], CATEGORICAL))
+
+
+@query("hist_boosted_forecast")
+def _(t):
+    train, test = _parts(t)
+    settings = forecast.Booster(**{**forecast.HISTOGRAM_DEFAULTS.__dict__, "rounds": 5})
+    return _metrics(forecast.hist_boosted_forecast(train, test, "sales_lag1", FEATURES, settings))
+
+
+@query("expanding_backtest")
+def _(t):
+    rows = forecast.expanding_backtest(model_frame(t), "sales_lag1", FEATURES, "yr", 1999, 2001, settings=SMALL)
+    return rounded(regression_metrics(rows, "sales_lag1", "pred_sales_lag1", ["yr"]), "rmse", "r2")
+
+
+@query("time_series_split", """
+WITH r AS (SELECT entity, yr, qtr, row_number() OVER (ORDER BY yr, qtr, entity) - 1 AS i, count(*) OVER () AS n,
+                  count(*) OVER () // 4 AS size FROM fx_panel)
+SELECT entity, yr, qtr, CAST(CASE WHEN i < n - 3 * size THEN -1 ELSE (i - (n - 3 * size)) // size END AS INT) AS fold
+FROM r""", "fx_panel")
+def _(t):
+    return folds.time_series_split(t.fx_panel.select(*KEYS), ORDER, 3)
+
+
+@query("time_series_split_rows", """
+WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice,
+  row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice) - 1 AS i,
+  count(*) OVER () AS n, count(*) OVER () // 6 AS size FROM lineitem)
+SELECT fold, CAST(count(*) AS BIGINT) AS n_rows, min(l_orderkey) AS first_key, max(l_orderkey) AS last_key,
+       CAST(sum(l_quantity) AS DOUBLE) AS qty
+FROM (SELECT *, CAST(CASE WHEN i < n - 5 * size THEN -1 ELSE (i - (n - 5 * size)) // size END AS INT) AS fold FROM r) AS x
+GROUP BY fold""")
+def _(t):
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice"]
+    split = folds.time_series_split(t.lineitem.select(*order), order, 5)
+    return split.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.min("l_orderkey").alias("first_key"),
+                                     F.max("l_orderkey").alias("last_key"), F.sum("l_quantity").alias("qty"))
+
+
+@query("grid_search_forest")
+def _(t):
+    train, test = _parts(t)
+    best, fit, table = forecast.grid_search_forest(train, test, "sales_lag1", FEATURES, ORDER, trees=(5, 10))
+    return table.withColumn("chosen", F.col("setting") == best)
+
+
+@query("grid_search_boosted")
+def _(t):
+    train, test = _parts(t)
+    best, fit, table = forecast.grid_search_boosted(train, test, "sales_lag1", FEATURES, ORDER, (0.7, 0.9), (0.9,),
+                                                    n_splits=2, rounds=2)
+    return table.withColumn("chosen", F.col("setting") == best)
+
+
+@query("boosted_cv_rounds")
+def _(t):
+    train, test = _parts(t)
+    best, fit, table = forecast.boosted_cv_rounds(train, test, "sales_lag1", FEATURES, KEYS, n_folds=3, patience=2,
+                                                  settings=SMALL)
+    return table.withColumn("chosen", F.col("rounds") == best)
+
+
+@query("time_series_cv_score")
+def _(t):
+    train, test = _parts(t)
+    scores, _ = forecast.time_series_cv_score(train, test, "sales_lag1", FEATURES, ORDER, 2, SMALL)
+    return scores
+
+
+@query("forward_select_lasso")
+def _(t):
+    train, _ = _parts(t)
+    feats = ["qtr", "sales", "qty", "sales_rolling_avg_3", "qty_rolling_avg_3", "seq"]
+    chosen = selection.forward_select_lasso(train, "sales_lag1", feats, 3, ORDER)
+    return t.spark.createDataFrame([(c,) for c in chosen], "feature string")
