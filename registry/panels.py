@@ -37,24 +37,23 @@ def _(t):
     return resolve.latest_revision_join(base, revised, ["entity", "period"], "revision_id")
 
 
-def _resolve_sql(col: str) -> str:
+def resolve_sql(col: str, src: str = "fx_filing", key: str = "entity, period") -> str:
     """The rules one after the other, as filters on the surviving rows."""
-    key = "entity, period"
     return f"""
 {col}_0 AS (SELECT {key}, {col} AS x, update_key AS d, consolidated AS c,
     CASE filing_status WHEN 'MR' THEN 1 WHEN 'OR' THEN 2 WHEN 'PR' THEN 3 WHEN 'RS' THEN 4 WHEN 'ER' THEN 5 END AS s,
     CASE accounting_standard WHEN 'IAS/IFRS' THEN 1 WHEN 'US GAAP' THEN 2 END AS a
-  FROM fx_filing WHERE {col} IS NOT NULL),
+  FROM {src} WHERE {col} IS NOT NULL),
 {col}_1 AS (SELECT * FROM {col}_0 QUALIFY d = max(d) OVER (PARTITION BY {key})),
 {col}_2 AS (SELECT * FROM {col}_1 QUALIFY c = 'Y' OR NOT bool_or(c = 'Y') OVER (PARTITION BY {key})),
 {col}_3 AS (SELECT * FROM {col}_2 QUALIFY s = min(s) OVER (PARTITION BY {key})),
 {col}_4 AS (SELECT * FROM {col}_3 QUALIFY a = min(a) OVER (PARTITION BY {key})),
-{col}_r AS (SELECT {key}, coalesce(v0, v1, v2, v3, v4) AS {col} FROM (SELECT DISTINCT {key} FROM fx_filing) k
+{col}_r AS (SELECT {key}, coalesce(v0, v1, v2, v3, v4) AS {col} FROM (SELECT DISTINCT {key} FROM {src}) k
   {" ".join(f"LEFT JOIN (SELECT {key}, min(x) AS v{i} FROM {col}_{i} GROUP BY {key} HAVING count(DISTINCT x) = 1) t{i} USING ({key})" for i in range(5))})"""
 
 
 @query("resolve_by_priority", f"""
-WITH {_resolve_sql("val_a")}, {_resolve_sql("val_b")}
+WITH {resolve_sql("val_a")}, {resolve_sql("val_b")}
 SELECT entity, period, val_a, val_b FROM val_a_r JOIN val_b_r USING (entity, period)""", "fx_filing")
 def _(t):
     return resolve.resolve_by_priority(
