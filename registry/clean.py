@@ -228,7 +228,7 @@ y AS (SELECT x.*, (dps - d3) / NULLIF(d1, 0) AS g, rf - coalesce(beta, 1.2) * (m
              (1 - payout / 100) * roe AS goe,
              CASE which WHEN 0 THEN price_a WHEN 1 THEN price_b END AS price
       FROM x LEFT JOIN p ON x.entity = p.entity)
-SELECT entity, yr, qtr, round(req, 6) AS required_return, round(goe, 6) AS growth_of_equity,
+SELECT entity, yr, qtr, round(req, 6) AS required_return, round(goe, 10) AS growth_of_equity,
        round(g, 6) AS dividend_growth_rate, round(price * (req - g), 4) AS "D1",
        round(price * (req - g) * shares, 2) AS "total_D1",
        round(price * (req - g) * shares / NULLIF(payout / 100, 0), 2) AS "estimated_NI_wD1"
@@ -245,7 +245,7 @@ def _(t):
     out = derive.dividend_estimate(
         p, PANEL, params, risk_free="rf", market_return="mkt", payout="payout", roe_growth="roe",
         dividend="dps", shares="shares", prices=["price_a", "price_b"])
-    out = rounded(out, "required_return", "growth_of_equity", "dividend_growth_rate")
+    out = rounded(rounded(out, "required_return", "dividend_growth_rate"), "growth_of_equity", digits=10)
     out = rounded(rounded(out, "D1", digits=4), "total_D1", "estimated_NI_wD1", digits=2)
     return out.select("entity", "yr", "qtr", "required_return", "growth_of_equity", "dividend_growth_rate",
                       "D1", "total_D1", "estimated_NI_wD1")
