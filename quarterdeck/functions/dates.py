@@ -51,14 +51,21 @@ def month_of(year: str | Column, month: str | Column) -> Column:
         F.format_string("%d-%d", column(year).cast("int"), column(month).cast("int")), "yyyy-M")
 
 
-# How a label of each kind names its period.
+# What marks a label of each kind, and where its year and quarter stand.
+PERIOD_MARKS = {"annual": " A", "quarter": " Q", "estimate": "FQ"}
 PERIOD_PATTERNS = {
-    "annual": {"keep": r" A$", "year": r"(\d{4})", "quarter": None},
-    "quarter": {"keep": r" Q", "year": r"(\d{4})", "quarter": r"Q(\d)"},
-    "estimate": {"keep": r"FQ\d+ \d{4}", "year": r"FQ\d+ (\d{4})", "quarter": r"FQ(\d+) \d{4}"},
+    "annual": {"year": r"(\d{4})", "quarter": None},
+    "quarter": {"year": r"(\d{4})", "quarter": r"Q(\d)"},
+    "estimate": {"year": r"FQ\d+ (\d{4})", "quarter": r"FQ(\d+) \d{4}"},
 }
 
 
+def is_period(label: Column, kind: str) -> Column:
+    """Whether a label is of the kind: an annual one ends in its mark."""
+    mark = PERIOD_MARKS[kind]
+    return label.endswith(mark) if kind == "annual" else label.contains(mark)
+
+
 def period_part(label: Column, pattern: str) -> Column:
     """The first group of ``pattern`` as INT, null where it does not occur."""
     return F.nullif(F.regexp_extract(label, pattern, 1), F.lit("")).try_cast("int")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
-from quarterdeck.functions.dates import PERIOD_PATTERNS, period_part
+from quarterdeck.functions.dates import PERIOD_PATTERNS, is_period, period_part
 from quarterdeck.functions.numeric import finite
 from quarterdeck.panel import column, numeric_columns
 
@@ -19,14 +19,15 @@ def parse_fiscal_period(df: DataFrame, label: str, kind: str, year: str = "yr",
     """Keep the labels of one kind and add their year and quarter as INT.
 
     ``kind`` is ``annual`` (``2023 A``), ``quarter`` (``2023 Q1``) or ``estimate``
-    (``FQ1 2023 - Mar 2023``). Rows with a null label are dropped.
+    (``FQ1 2023 - Mar 2023``). Rows with a null label are dropped, and so are
+    estimates without a period in their label.
     """
     rule = PERIOD_PATTERNS[kind]
     text = column(label)
-    out = df.where(text.rlike(rule["keep"])).withColumn(year, period_part(text, rule["year"]))
+    out = df.where(is_period(text, kind)).withColumn(year, period_part(text, rule["year"]))
     if rule["quarter"]:
         out = out.withColumn(quarter, period_part(text, rule["quarter"]))
-    return out
+    return out.dropna(subset=[year, quarter]) if kind == "estimate" else out
 
 
 def sentinels_to_null(df: DataFrame, numeric=(0,), text=("NULL", "--", " "),

@@ -76,28 +76,29 @@ def _narrowed(values: DataFrame, hot: DataFrame, by: list[str], probs) -> DataFr
         F.max(F.when(F.col("p") == float(p), value)) for p in probs]).alias("quantiles"))
 
 
-def _statistics(df: DataFrame, by: list[str], cols: list[str], label: str,
-                group_limit: int) -> DataFrame:
+def _name(col: str, group: str, statistic: str) -> str:
+    return f"{col}_{group}_{statistic}"
+
+
+def _moments(cols: list[str], tag: str) -> list:
+    return [f(column(c)).alias(_name(c, tag, s)) for c in cols
+            for s, f in (("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_samp))]
+
+
+def _from_quartiles(cols: list[str], tag: str) -> list:
+    return [F.get(F.col(f"_q_{c}"), F.lit(i)).alias(_name(c, tag, s))
+            for c in cols for i, s in enumerate(("q1", "median", "q3"))]
+
+
+def _large_group_statistics(df: DataFrame, by: list[str], cols: list[str], group: str,
+                            group_limit: int) -> DataFrame:
     keyed = df.where(reduce(lambda a, b: a & b, [column(k).isNotNull() for k in by]))
-    name = lambda c, s: f"{c}_{label}_{s}"
-    moments = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[
-        f(column(c)).alias(name(c, s)) for c in cols
-        for s, f in (("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_samp))])
-    sizes = pin(moments, "moments")
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= group_limit:
-        # no group is too large for the built-in: one more pass for all columns together
-        probs = F.array(*[F.lit(p) for p in QUARTILES])
-        parts = keyed.groupBy(*by).agg(*[F.percentile(column(c), probs).alias(f"_q_{c}") for c in cols])
-        sizes = sizes.join(parts, by)
-    else:
-        for c in cols:
-            q = group_quantiles(keyed, by, c, QUARTILES, group_limit)
-            sizes = sizes.join(q.withColumnRenamed("quantiles", f"_q_{c}"), by, "left")
-    return sizes.select(*by, *[
-        (F.col(name(c, s)) if s in ("mean", "min", "max", "std")
-         else F.get(F.col(f"_q_{c}"), F.lit({"q1": 0, "median": 1, "q3": 2}[s]))).alias(name(c, s))
-        for c in cols for s in STATISTICS])
+    out = pin(keyed.groupBy(*by).agg(*_moments(cols, group)), "moments")
+    for c in cols:
+        q = group_quantiles(keyed, by, c, QUARTILES, group_limit)
+        out = out.join(q.withColumnRenamed("quantiles", f"_q_{c}"), by, "left")
+    return out.select(*by, *[column(m) for m in out.columns if m not in by and not m.startswith("_q_")],
+                      *_from_quartiles(cols, group))
 
 
 def group_statistics(df: DataFrame, cols: list[str], groups: list[str], period: list[str],
@@ -107,10 +108,40 @@ def group_statistics(df: DataFrame, cols: list[str], groups: list[str], period:
     One set of columns per grouping level, named ``<col>_<group>_<statistic>``.
     Rows whose group is null get null statistics. The statistics are aggregated
     and joined back: they are a small table, and no task holds a whole group.
+
+    The sizes of all groups are counted first. Levels whose groups all stay below
+    ``group_limit`` share one pass with the built-in percentile; a level with a
+    larger group has its quartiles narrowed down instead.
     """
+    sets = [[*period, g] for g in groups]
+    keys = [*period, *groups]
+    level = F.grouping_id()
+    sizes = df.groupingSets(sets, *keys).agg(level.alias("_level"), F.count(F.lit(1)).alias("_n"))
+    # one row per level reaches the driver
+    largest = {r["_level"]: r["_n"] for r in
+               sizes.groupBy("_level").agg(F.max("_n").alias("_n")).collect()}
+    # grouping_id has a bit per key, set where the key is not part of the level
+    bits = {g: sum(1 << (len(groups) - 1 - j) for j in range(len(groups)) if groups[j] != g) for g in groups}
+    small = [g for g in groups if largest.get(bits[g], 0) <= group_limit]
+
+    tables = {}
+    if small:
+        probs = F.array(*[F.lit(p) for p in QUARTILES])
+        tagged = df.groupingSets([[*period, g] for g in small], *period, *small).agg(
+            F.grouping_id().alias("_level"), *_moments(cols, ""),
+            *[F.percentile(column(c), probs).alias(f"_q_{c}") for c in cols])
+        tagged = pin(tagged.select("_level", *period, *small, *[
+            column(_name(c, "", s)) for c in cols for s in ("mean", "min", "max", "std")],
+            *_from_quartiles(cols, "")), "statistics")
+        for i, g in enumerate(small):
+            bit = sum(1 << (len(small) - 1 - j) for j in range(len(small)) if j != i)
+            tables[g] = tagged.where((F.col("_level") == bit) & column(g).isNotNull()).select(
+                *period, g, *[column(_name(c, "", s)).alias(_name(c, g, s)) for c in cols for s in STATISTICS])
+    for g in groups:
+        if g not in tables:
+            tables[g] = pin(_large_group_statistics(df, [*period, g], cols, g, group_limit), "statistics")
     for g in groups:
-        stats = _statistics(df, [*period, g], cols, g, group_limit)
-        df = df.join(pin(stats, "statistics"), [*period, g], "left")
+        df = df.join(tables[g], [*period, g], "left")
     return df
 
 

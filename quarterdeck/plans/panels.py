@@ -43,11 +43,10 @@ def clean_panel(filings: DataFrame, company: DataFrame, codes: DataFrame, *, lab
     led = add_lead_targets(resolved, panel, [*targets, announced, "yr", "qtr"])
     led = add_year_ago(led, panel, list(targets))
     led = sentinels_to_null(led, text=("NULL",), columns=[c for c in led.columns if c not in (entity, "yr", "qtr")])
-    kept = filter_from(led, "yr", first_year)
+    # the panel is read by the outlier's maximum and by both sides of the peer join: settle it once
+    kept = pin(filter_from(led, "yr", first_year), "panel")
     if outlier:
         kept = drop_max_outlier(kept, outlier, [f"{outlier}_lag1"])
-    # the panel is read by both sides of the peer join: settle it once
-    kept = pin(kept, "panel")
     led_targets = [f"{t}_lag1" for t in targets]
     out = peer_features(kept, peers, entity, f"{announced}_lag1", led_targets, tiebreak=f"{announced}_lag1")
     labels = map_codes(company, codes, code_maps, code_order).select(entity, *[f"{c}_mapped" for c in code_maps])

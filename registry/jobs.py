@@ -8,6 +8,7 @@ from quarterdeck.operators.reshape import union_rows
 from quarterdeck.operators.windows import add_lead_targets
 from quarterdeck.panel import PanelSpec
 from quarterdeck.plans import feeders, forecasting, panels
+from quarterdeck.session import pin
 from registry.book import query, rounded
 from registry.panels import _ma_sql, _stats_sql, resolve_sql
 
@@ -213,8 +214,8 @@ def _(t):
     p = F.col("l_partkey")
     filings = t.lineitem.select(
         F.col("l_suppkey").cast("int").alias("entity"),
-        F.when(F.col("l_linenumber") == 7, F.date_format("l_shipdate", "yyyy 'A'"))
-        .otherwise(F.date_format("l_shipdate", "yyyy 'Q'q")).alias("label"),
+        F.when(F.col("l_linenumber") == 7, F.concat(F.year("l_shipdate"), F.lit(" A")))
+        .otherwise(F.concat(F.year("l_shipdate"), F.lit(" Q"), F.quarter("l_shipdate"))).alias("label"),
         F.when(p % 11 != 0, F.col("l_shipdate").cast("date")).alias("updated"),
         F.when(F.col("l_linestatus") == "F", "Y").otherwise("N").alias("consolidated"),
         F.when(F.col("l_returnflag") == "A", "MR").when(F.col("l_returnflag") == "N", "OR").otherwise("ZZ").alias("status"),
@@ -311,7 +312,7 @@ _STAT_COLS, _LEVELS = ["sales", "gappy"], ["group_label", "sector_label"]
        + _stats_sql(_STAT_COLS, _LEVELS) + ") SELECT st.*, sales_industry_sum, gappy_industry_sum FROM st "
        "JOIN tot ON st.yr = tot.yr AND st.qtr = tot.qtr", "fx_cents", "fx_company")
 def _(t):
-    rows = t.fx_cents.select("entity", "yr", "qtr", "sales", "gappy").join(t.fx_company.drop("group_num"), "entity", "left")
+    rows = pin(t.fx_cents.select("entity", "yr", "qtr", "sales", "gappy").join(t.fx_company.drop("group_num"), "entity", "left"))
     out = panels.industry_statistics(rows, _STAT_COLS, _LEVELS, _STAT_COLS)
     out = rounded(out, *[f"{c}_{g}_std" for c in _STAT_COLS for g in _LEVELS], digits=4)
     return out.drop(*_STAT_COLS, *_LEVELS)
