@@ -62,7 +62,7 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
     subgroup. All aggregates are over plain columns, without collected lists.
     """
     rules = ["_updated", "_consolidated", "_status", "_standard"]
-    ranked = df.where(reduce(lambda a, b: a & b, [column(k).isNotNull() for k in keys])).select(
+    ranked = df.select(
         *keys, *[column(v).alias(f"_v{i}") for i, v in enumerate(values)],
         column(updated).alias("_updated"),
         F.when(column(consolidated) == "Y", 0).otherwise(1).alias("_consolidated"),
@@ -73,9 +73,13 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
              "_status": F.col("_status") != UNKNOWN, "_standard": F.col("_standard") != UNKNOWN}
     agrees = lambda i: F.col(f"_lo{i}") == F.col(f"_hi{i}")
 
+    # rows without a key are left out here and not by a filter of their own: that one would be
+    # pushed below the expressions the keys are made of and work them out a second time
+    keyed = reduce(lambda a, b: a & b, [column(k).isNotNull() for k in keys])
     groups = ranked.groupBy(*keys, *rules).agg(
+        F.bool_and(keyed).alias("_keyed"),
         *[f(F.col(f"_v{i}")).alias(f"{p}{i}") for i in n
-          for f, p in ((F.min, "_lo"), (F.max, "_hi"))])
+          for f, p in ((F.min, "_lo"), (F.max, "_hi"))]).where("_keyed").drop("_keyed")
     groups = groups.withColumns({f"_best{i}": F.when(agrees(i) & known["_standard"], F.col(f"_lo{i}"))
                                  for i in n})
     # from here on every grouping contains the keys: one exchange serves all of them
