@@ -5,46 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterdeck.panel import column
+from quarterdeck.operators.ordered import running
+from quarterdeck.panel import PanelSpec, column
 from quarterdeck.session import pin
 
 
-def _latest_at(times: DataFrame, right: DataFrame, by: list[str], strict: bool) -> DataFrame:
+def _latest_at(times: DataFrame, right: DataFrame, by: list[str], strict: bool,
+               block_rows: int) -> DataFrame:
     """For each (by, t) of ``times``, the payload of the latest row of ``right``.
 
-    Both sides hold one row per (by, t). They are cut into buckets of t; the last
-    payload of each bucket is carried into the next ones as one row per bucket,
-    so no window ever spans more than one bucket of rows.
+    Both sides hold one row per (by, t). Dates are cut into months, which hold at
+    most 31 of them, and the last payload of a month is carried into the next
+    ones as one row per month. Finer times have no such bound: there the rows are
+    put in order over all tasks and cut into blocks of equal size.
     """
-    t, b, side, p = F.col("t"), "b", "side", "p"
     # rows that must not be seen at an equal time sort behind the ones that look
     right_side, left_side = (1, 0) if strict else (0, 1)
-    empty = F.lit(None).cast(right.schema["p"].dataType)
-    seen = right.select(*by, b, "t", F.lit(right_side).alias(side), p)
-    asked = times.select(*by, b, "t", F.lit(left_side).alias(side), empty.alias(p))
-
-    ends = (seen.groupBy(*by, b).agg(F.max_by(p, "t").alias("end"))
-            .unionByName(asked.select(*by, b).distinct().withColumn("end", empty)))
-    ends = ends.groupBy(*by, b).agg(F.first("end", ignorenulls=True).alias("end"))
-    earlier = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*by, b, F.lit(None).cast(right.schema["t"].dataType).alias("t"),
-                          F.lit(-1).alias(side),
-                          F.last("end", ignorenulls=True).over(earlier).alias(p))
-
-    w = (Window.partitionBy(*by, b).orderBy(t.asc_nulls_first(), side)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = seen.unionByName(asked).unionByName(carried)
-    found = both.select(*by, "t", side, F.last(p, ignorenulls=True).over(w).alias(p))
-    return found.where((F.col(side) == left_side) & F.col("t").isNotNull()).drop(side)
-
-
-def _bucketed(df: DataFrame, bucket: str) -> DataFrame:
-    return df.withColumn("b", F.date_trunc(bucket, F.col("t")))
+    empty = F.lit(None).cast(right.schema["_p"].dataType)
+    seen = right.select(*by, "_t", F.lit(right_side).alias("_side"), "_p")
+    asked = times.select(*by, "_t", F.lit(left_side).alias("_side"), empty.alias("_p"))
+    both = seen.unionByName(asked)
+    if dict(times.dtypes)["_t"] == "date":
+        month = F.trunc("_t", "month").alias("_b")
+        ends = both.groupBy(*by, month).agg(
+            F.max_by("_p", F.when(F.col("_side") == right_side, F.col("_t"))).alias("_end"))
+        earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*by, "_b", F.lit(None).cast("date").alias("_t"), F.lit(-1).alias("_side"),
+                              F.last("_end", ignorenulls=True).over(earlier).alias("_p"))
+        w = (Window.partitionBy(*by, "_b").orderBy(F.col("_t").asc_nulls_first(), "_side")
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        found = both.select("*", month).unionByName(carried).select(
+            *by, "_t", "_side", F.last("_p", ignorenulls=True).over(w).alias("_found"))
+    else:
+        order = PanelSpec(tuple(by), ("_t", "_side"), bounded=False, block_rows=block_rows)
+        found = running(both, order, {"_found": ("last", F.col("_p"))})
+    answers = (F.col("_side") == left_side) & F.col("_t").isNotNull()
+    return found.where(answers).select(*by, "_t", F.col("_found").alias("_p"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, cols: list[str],
               by: dict[str, str] | None = None, strict: bool = True, tiebreak: str | None = None,
-              suffix: str = "", bucket: str = "month") -> DataFrame:
+              suffix: str = "", block_rows: int = 1_000_000) -> DataFrame:
     """Per left row, ``cols`` of the last right row before its time.
 
     ``strict`` asks for an earlier time, otherwise an equal one counts. ``by``
@@ -52,29 +53,28 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, co
     last by ``tiebreak`` is used. A null time finds nothing.
 
     The answer depends on (by, time) alone: it is worked out for the distinct
-    ones and joined back by equality. Dates make that a small table. For finer
-    times choose a ``bucket`` that holds a task's worth of distinct times.
+    ones and joined back by equality. Dates make that a small table.
     """
     by = by or {}
-    names = [f"by{i}" for i in range(len(by))]
+    names = [f"_by{i}" for i in range(len(by))]
     times = (left.where(column(left_on).isNotNull())
-             .select(*[column(l).alias(n) for l, n in zip(by, names)], column(left_on).alias("t"))
+             .select(*[column(l).alias(n) for l, n in zip(by, names)], column(left_on).alias("_t"))
              .distinct())
     payload = F.struct(*[column(c) for c in cols])
     kept = right.where(column(right_on).isNotNull())
     grouped = kept.groupBy(*[column(r).alias(n) for r, n in zip(by.values(), names)],
-                           column(right_on).cast(dict(left.dtypes)[left_on]).alias("t"))
-    unique = grouped.agg(F.max_by(payload, column(tiebreak or right_on)).alias("p"))
-    found = pin(_latest_at(_bucketed(times, bucket), _bucketed(unique, bucket), names, strict)
-                .select(*names, "t", *[F.col("p")[c].alias(f"{c}{suffix}") for c in cols]), "asof")
-    same = column(left_on) == F.col("t")
+                           column(right_on).cast(dict(left.dtypes)[left_on]).alias("_t"))
+    unique = grouped.agg(F.max_by(payload, column(tiebreak or right_on)).alias("_p"))
+    found = pin(_latest_at(times, unique, names, strict, block_rows)
+                .select(*names, "_t", *[F.col("_p")[c].alias(f"{c}{suffix}") for c in cols]), "asof")
+    same = column(left_on) == F.col("_t")
     for l, n in zip(by, names):
         same = same & (column(l) == F.col(n))
-    return left.join(found, same, "left").drop("t", *names)
+    return left.join(found, same, "left").drop("_t", *names)
 
 
 def peer_features(df: DataFrame, peers: dict[str, object], entity: str, on: str, cols: list[str],
-                  tiebreak: str | None = None, bucket: str = "month") -> DataFrame:
+                  tiebreak: str | None = None, block_rows: int = 1_000_000) -> DataFrame:
     """The latest result every named peer announced strictly before each row.
 
     ``peers`` maps a label to the peer's id; columns come out as ``<col>_<label>``.
@@ -82,15 +82,15 @@ def peer_features(df: DataFrame, peers: dict[str, object], entity: str, on: str,
     they meet the rows, so the rows themselves are joined once.
     """
     ids = list(peers.values())
-    times = (df.where(column(on).isNotNull()).select(column(on).alias("t")).distinct()
-             .withColumn("by0", F.explode(F.array(*[F.lit(i) for i in ids]))))
+    times = (df.where(column(on).isNotNull()).select(column(on).alias("_t")).distinct()
+             .withColumn("_by0", F.explode(F.array(*[F.lit(i) for i in ids]))))
     rows = df.where(column(entity).isin(*ids) & column(on).isNotNull())
-    unique = (rows.groupBy(column(entity).alias("by0"), column(on).alias("t"))
-              .agg(F.max_by(F.struct(*[column(c) for c in cols]), column(tiebreak or on)).alias("p")))
-    kind = dict(unique.dtypes)["by0"]
-    times = times.withColumn("by0", F.col("by0").cast(kind))
-    found = _latest_at(_bucketed(times, bucket), _bucketed(unique, bucket), ["by0"], True)
-    side = found.groupBy("t").agg(*[
-        F.first(F.when(F.col("by0") == F.lit(i), F.col("p")[c]), ignorenulls=True).alias(f"{c}_{label}")
+    unique = (rows.groupBy(column(entity).alias("_by0"), column(on).alias("_t"))
+              .agg(F.max_by(F.struct(*[column(c) for c in cols]), column(tiebreak or on)).alias("_p")))
+    kind = dict(unique.dtypes)["_by0"]
+    times = times.withColumn("_by0", F.col("_by0").cast(kind))
+    found = _latest_at(times, unique, ["_by0"], True, block_rows)
+    side = found.groupBy("_t").agg(*[
+        F.first(F.when(F.col("_by0") == F.lit(i), F.col("_p")[c]), ignorenulls=True).alias(f"{c}_{label}")
         for label, i in peers.items() for c in cols])
-    return df.join(pin(side, "peers"), column(on) == F.col("t"), "left").drop("t")
+    return df.join(pin(side, "peers"), column(on) == F.col("_t"), "left").drop("_t")

@@ -25,55 +25,55 @@ def group_quantiles(df: DataFrame, by: list[str], col: str, probs=QUARTILES,
     equal slices and keeps the one slice with the rank, until it is one value.
     Each round is one distributed count with at most ``SLICES`` rows per interval.
     """
-    values = df.select(*by, column(col).cast("double").alias("x")).where(
-        reduce(lambda a, b: a & b, [column(k).isNotNull() for k in by], F.col("x").isNotNull()))
-    sizes = pin(values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
-                                        F.max("x").alias("hi")), "sizes")
-    hot = sizes.where(F.col("n") > group_limit)
+    values = df.select(*by, column(col).cast("double").alias("_x")).where(
+        reduce(lambda a, b: a & b, [column(k).isNotNull() for k in by], F.col("_x").isNotNull()))
+    sizes = pin(values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
+                                        F.max("_x").alias("_hi")), "sizes")
+    hot = sizes.where(F.col("_n") > group_limit)
     wanted = F.array(*[F.lit(p) for p in probs])
     if hot.isEmpty():
-        return values.groupBy(*by).agg(F.percentile("x", wanted).alias("quantiles"))
+        return values.groupBy(*by).agg(F.percentile("_x", wanted).alias("quantiles"))
     cold = values.join(hot.select(*by), by, "left_anti")
-    plain = cold.groupBy(*by).agg(F.percentile("x", wanted).alias("quantiles"))
+    plain = cold.groupBy(*by).agg(F.percentile("_x", wanted).alias("quantiles"))
     return plain.unionByName(_narrowed(values, hot, by, probs))
 
 
 def _narrowed(values: DataFrame, hot: DataFrame, by: list[str], probs) -> DataFrame:
     # the two ranks around each quantile, and the interval each is known to lie in
-    place = (F.col("n") - 1) * F.col("p")
-    open_ = hot.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))) \
-        .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place))))) \
-        .select(*by, "p", "rank", "n", "lo", "hi", F.lit(0).cast("bigint").alias("below"))
+    place = (F.col("_n") - 1) * F.col("_p")
+    open_ = hot.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))) \
+        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place))))) \
+        .select(*by, "_p", "_rank", "_n", "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"))
     done = None
     open_ = pin(open_, "ranks")
     while True:
-        settled = open_.where(F.col("lo") == F.col("hi"))
+        settled = open_.where(F.col("_lo") == F.col("_hi"))
         done = settled if done is None else done.unionByName(settled)
-        open_ = open_.where(F.col("lo") < F.col("hi"))
+        open_ = open_.where(F.col("_lo") < F.col("_hi"))
         if open_.isEmpty():
             break
-        spans = open_.select(*by, "lo", "hi").distinct()
-        x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
+        spans = open_.select(*by, "_lo", "_hi").distinct()
+        x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
         share = (x / 2 - lo / 2) / (hi / 2 - lo / 2)
         slot = F.least(F.floor(share * SLICES), F.lit(SLICES - 1))
         # the top value always has a slice of its own, so every round gains ground
         slot = F.when(x == hi, F.lit(SLICES)).otherwise(slot)
         counts = (values.join(spans, by).where((x >= lo) & (x <= hi))
-                  .groupBy(*by, "lo", "hi", slot.alias("slot"))
-                  .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx")))
-        w = (Window.partitionBy(*by, "lo", "hi").orderBy("slot")
+                  .groupBy(*by, "_lo", "_hi", slot.alias("_slot"))
+                  .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx")))
+        w = (Window.partitionBy(*by, "_lo", "_hi").orderBy("_slot")
              .rowsBetween(Window.unboundedPreceding, -1))
-        counts = counts.withColumn("left", F.coalesce(F.sum("c").over(w), F.lit(0)))
-        start = F.col("below") + F.col("left")
-        open_ = pin(open_.join(counts, [*by, "lo", "hi"])
-                    .where((F.col("rank") >= start) & (F.col("rank") < start + F.col("c")))
-                    .select(*by, "p", "rank", "n", F.col("mn").alias("lo"), F.col("mx").alias("hi"),
-                            start.alias("below")), "ranks")
-    place = (F.col("n") - 1) * F.col("p")
-    at = done.groupBy(*by, "p", "n").agg(F.min_by("lo", "rank").alias("a"), F.max_by("lo", "rank").alias("b"))
-    value = F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))
+        counts = counts.withColumn("_left", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+        start = F.col("_below") + F.col("_left")
+        open_ = pin(open_.join(counts, [*by, "_lo", "_hi"])
+                    .where((F.col("_rank") >= start) & (F.col("_rank") < start + F.col("_c")))
+                    .select(*by, "_p", "_rank", "_n", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"),
+                            start.alias("_below")), "ranks")
+    place = (F.col("_n") - 1) * F.col("_p")
+    at = done.groupBy(*by, "_p", "_n").agg(F.min_by("_lo", "_rank").alias("_a"), F.max_by("_lo", "_rank").alias("_b"))
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))
     return at.groupBy(*by).agg(F.array(*[
-        F.max(F.when(F.col("p") == float(p), value)) for p in probs]).alias("quantiles"))
+        F.max(F.when(F.col("_p") == float(p), value)) for p in probs]).alias("quantiles"))
 
 
 def _name(col: str, group: str, statistic: str) -> str:

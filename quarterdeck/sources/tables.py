@@ -17,8 +17,8 @@ def read_csv_typed(spark: SparkSession, path, schema: StructType, skip: int = 0,
                    rejected: bool = False) -> DataFrame:
     """CSV files read with a declared schema, so no inference pass is made.
 
-    Rows that do not fit the schema are left out; ``rejected=True`` returns those
-    raw lines instead, to be counted or inspected. Files with ``skip`` title
+    Rows that do not fit the schema are left out, whichever columns are used later;
+    ``rejected=True`` returns those instead, with the raw line in ``_bad_row``. Files with ``skip`` title
     lines above the header are read without header handling: titles and header
     are text, so they cannot fit a schema that has a non-text column.
     """
@@ -29,13 +29,12 @@ def read_csv_typed(spark: SparkSession, path, schema: StructType, skip: int = 0,
             .option("header", skip == 0)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", BAD_ROW)
+            # a row is bad if any column is: all of them are parsed
+            .option("columnPruning", False)
             .csv(path))
-    # bad rows are told from good ones only when every column is parsed, hence the
-    # columns named outright
-    every = rows.select(*schema.fieldNames(), BAD_ROW)
     if rejected:
-        return every.where(F.col(BAD_ROW).isNotNull()).select(BAD_ROW)
-    return every.where(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
+        return rows.where(F.col(BAD_ROW).isNotNull())
+    return rows.where(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
 
 
 def read_sheet_set(spark: SparkSession, folder: str, sheets: dict[str, StructType],

@@ -11,31 +11,77 @@ from registry.book import query, rounded
 PANEL = PanelSpec.of("entity", ("yr", "qtr"))
 
 
-def fill_sql(src: str, x: str, part: str = "entity", order: str = "yr, qtr") -> str:
-    """CTEs: ``placed`` with head-filled h, last value row l, last gap row b; ``line`` per entity."""
+def fill_sql(src: str, x: str, part: str = "entity", order: str = "yr, qtr", tag: str = "") -> str:
+    """CTEs, their names led by ``tag``: ``placed`` with head-filled h, last value row l, last gap row b; ``line`` per entity."""
     w = f"(PARTITION BY {part} ORDER BY {order})"
     full = f"(PARTITION BY {part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     return f"""
-rows_ AS (SELECT *, row_number() OVER {w} AS i, count({x}) OVER {w} AS seen,
+{tag}rows_ AS (SELECT *, row_number() OVER {w} AS i, count({x}) OVER {w} AS seen,
             first_value({x} IGNORE NULLS) OVER {full} AS f FROM {src}),
-head AS (SELECT *, CASE WHEN seen = 0 THEN f ELSE {x} END AS h FROM rows_),
-lasts AS (SELECT {part}, max(CASE WHEN h IS NOT NULL THEN i END) AS l FROM head GROUP BY {part}),
-gaps AS (SELECT head.{part}, max(CASE WHEN h IS NULL AND i < l THEN i ELSE 0 END) AS b
-         FROM head JOIN lasts ON head.{part} = lasts.{part} GROUP BY head.{part}),
-line AS (SELECT head.{part} AS e, any_value(l) AS l, any_value(b) AS b,
+{tag}head AS (SELECT *, CASE WHEN seen = 0 THEN f ELSE {x} END AS h FROM {tag}rows_),
+{tag}lasts AS (SELECT {part}, max(CASE WHEN h IS NOT NULL THEN i END) AS l FROM {tag}head GROUP BY {part}),
+{tag}gaps AS (SELECT {tag}head.{part}, max(CASE WHEN h IS NULL AND i < l THEN i ELSE 0 END) AS b
+         FROM {tag}head JOIN {tag}lasts ON {tag}head.{part} = {tag}lasts.{part} GROUP BY {tag}head.{part}),
+{tag}line AS (SELECT {tag}head.{part} AS e, any_value(l) AS l, any_value(b) AS b,
            CASE WHEN count(h) > 1 THEN regr_slope(h, i - b - 1) ELSE 0 END AS slope,
            CASE WHEN count(h) > 1 THEN regr_intercept(h, i - b - 1) ELSE max(h) END AS level
-         FROM head JOIN lasts ON head.{part} = lasts.{part} JOIN gaps ON head.{part} = gaps.{part}
-         WHERE i > b AND i <= l GROUP BY head.{part}),
-tail AS (SELECT head.*, CASE WHEN i > l THEN level + slope * (i - b - 1) ELSE h END AS t
-         FROM head LEFT JOIN line ON e = {part}),
-near AS (SELECT *, max(CASE WHEN t IS NOT NULL THEN i END) OVER {w} AS i0,
+         FROM {tag}head JOIN {tag}lasts ON {tag}head.{part} = {tag}lasts.{part} JOIN {tag}gaps ON {tag}head.{part} = {tag}gaps.{part}
+         WHERE i > b AND i <= l GROUP BY {tag}head.{part}),
+{tag}tail AS (SELECT {tag}head.*, CASE WHEN i > l THEN level + slope * (i - b - 1) ELSE h END AS t
+         FROM {tag}head LEFT JOIN {tag}line ON e = {part}),
+{tag}near AS (SELECT *, max(CASE WHEN t IS NOT NULL THEN i END) OVER {w} AS i0,
            min(CASE WHEN t IS NOT NULL THEN i END) OVER (PARTITION BY {part} ORDER BY {order}
-             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS i1 FROM tail),
-filled AS (SELECT n.*, CASE WHEN n.t IS NOT NULL THEN n.t
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS i1 FROM {tag}tail),
+{tag}filled AS (SELECT n.*, CASE WHEN n.t IS NOT NULL THEN n.t
              ELSE a.t + (c.t - a.t) / (n.i1 - n.i0) * (n.i - n.i0) END AS y
-           FROM near n LEFT JOIN tail a ON a.{part} = n.{part} AND a.i = n.i0
-           LEFT JOIN tail c ON c.{part} = n.{part} AND c.i = n.i1)"""
+           FROM {tag}near n LEFT JOIN {tag}tail a ON a.{part} = n.{part} AND a.i = n.i0
+           LEFT JOIN {tag}tail c ON c.{part} = n.{part} AND c.i = n.i1)"""
+
+
+def ar1_sql(src: str, x: str, name: str) -> str:
+    """CTE ``name``: the forward walk one row at a time, with its running sums."""
+    return f"""
+{name}_n AS (SELECT entity, yr, qtr, {x} AS x, row_number() OVER (PARTITION BY entity ORDER BY yr, qtr) AS i FROM {src}),
+{name} AS (SELECT entity, yr, qtr, i, CAST(x AS DOUBLE) AS v, 0::DOUBLE AS n, 0::DOUBLE AS sx, 0::DOUBLE AS sy,
+    0::DOUBLE AS sxx, 0::DOUBLE AS sxy FROM {name}_n WHERE i = 1
+  UNION ALL
+  SELECT entity, yr, qtr, i, v, CASE WHEN p THEN n + 1 ELSE n END, CASE WHEN p THEN sx + l ELSE sx END,
+    CASE WHEN p THEN sy + v ELSE sy END, CASE WHEN p THEN sxx + l * l ELSE sxx END, CASE WHEN p THEN sxy + l * v ELSE sxy END
+  FROM (SELECT *, l IS NOT NULL AND v IS NOT NULL AS p FROM (
+    SELECT *, CASE WHEN x IS NOT NULL THEN x WHEN l IS NULL THEN NULL
+                   WHEN n >= 3 AND spread > 1e-12 * sxx THEN (sy - slope * sx) / n + slope * l ELSE l END AS v
+    FROM (SELECT *, CASE WHEN n >= 3 AND spread > 0
+                         THEN greatest(least((sxy - sx * sy / n) / spread, 0.999999), -0.999999) END AS slope
+      FROM (SELECT r.entity, r.yr, r.qtr, r.i, r.x, w.v AS l, n, sx, sy, sxx, sxy,
+                   CASE WHEN n > 0 THEN sxx - sx * sx / n END AS spread
+            FROM {name} w JOIN {name}_n r ON r.entity = w.entity AND r.i = w.i + 1) AS a) AS b) AS c) AS d)"""
+
+
+def frames_sql(src: str, features: list[str], targets: list[str], cutoff: int, negative=(), digits: int = 3) -> str:
+    """The four frames from ``src``, which has a row per entity and quarter."""
+    measures = [*features, *targets]
+    neutral = ", ".join(f"CASE WHEN avg(CASE WHEN {m} IS NULL THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY entity) > 0.8 "
+                        f"THEN 0 ELSE {m} END AS {m}" for m in measures)
+    ctes = [f"neutral AS (SELECT entity, yr, qtr, {neutral} FROM {src} WHERE yr < {cutoff})"]
+    ctes += [fill_sql("neutral", m, tag=f"{m}_") for m in measures]
+    for m in features:
+        ctes.append(f"{m}_h AS (SELECT entity, yr, qtr, y AS x FROM {m}_filled UNION ALL "
+                    f"SELECT entity, yr, qtr, {m} FROM {src} WHERE yr >= {cutoff})")
+        ctes.append(ar1_sql(f"{m}_h", "x", f"{m}_w"))
+
+    def frame(name, cols, cell, tables, where):
+        sign = lambda m: "-" if m in negative else ""
+        out = [f"{sign(m)}round({cell(m)}, {digits}) AS {m}" if m in cols else f"NULL AS {m}" for m in measures]
+        joined = f"{tables(cols[0])} {cols[0]}_t " + " ".join(
+            f"JOIN {tables(m)} {m}_t USING (entity, yr, qtr)" for m in cols[1:])
+        return f"SELECT '{name}' AS frame, entity, yr, qtr, {', '.join(out)} FROM {joined} WHERE {where}"
+
+    test = f"yr >= {cutoff}"
+    parts = [frame("train_x", features, lambda m: f"{m}_t.y", lambda m: f"{m}_filled", "true"),
+             frame("train_y", targets, lambda m: f"{m}_t.y", lambda m: f"{m}_filled", "true"),
+             frame("test_x", features, lambda m: f"{m}_t.v", lambda m: f"{m}_w", test),
+             frame("test_y", targets, lambda m: f"{m}_t.{m}", lambda m: src, test)]
+    return ", ".join(ctes) + " " + " UNION ALL ".join(parts)
 
 
 @query("neutralize_sparse_columns", """
@@ -82,10 +128,12 @@ def _(t):
     return rounded(impute.impute_panel(p, PANEL, ["gappy", "sales"]), "gappy", digits=3)
 
 
-@query("impute_ar1")
+@query("impute_ar1", f"""
+WITH {ar1_sql("fx_cents", "gappy", "walk")}
+SELECT entity, yr, qtr, round(v, 3) AS gappy FROM walk""", "fx_cents", recursive=True)
 def _(t):
-    p = t.fx_panel.select("entity", "yr", "qtr", "gappy", "sales")
-    return rounded(impute_ar1(p, PANEL, ["gappy", "sales"]), "gappy", "sales", digits=2)
+    p = t.fx_cents.select("entity", "yr", "qtr", "gappy")
+    return rounded(impute_ar1(p, PANEL, ["gappy"]), "gappy", digits=3)
 
 
 @query("split_panel", """
@@ -97,12 +145,14 @@ def _(t):
     return impute.split_panel(p, PANEL, cutoff=1999, min_train=5)
 
 
-@query("build_train_test")
+@query("build_train_test", """
+WITH src AS (SELECT entity, yr, qtr, gappy, qty, lead(gappy) OVER (PARTITION BY entity ORDER BY yr, qtr) AS target
+             FROM fx_cents), """ + frames_sql("src", ["gappy", "qty"], ["target"], 1999), "fx_cents", recursive=True)
 def _(t):
     """The four frames under one roof, each row marked with the frame it is from."""
-    p = t.fx_panel.withColumn("target", F.lead("gappy").over(PANEL.window()))
+    p = t.fx_cents.withColumn("target", F.lead("gappy").over(PANEL.window()))
     frames = impute.build_train_test(p.select("entity", "yr", "qtr", "gappy", "qty", "target"), PANEL,
                                      ["gappy", "qty"], ["target"], cutoff=1999)
     parts = [f.withColumn("frame", F.lit(name)) for name, f in frames.items()]
-    return rounded(union_rows(*parts), "gappy", "qty", "target", digits=2).select(
+    return rounded(union_rows(*parts), "gappy", "qty", "target", digits=3).select(
         "frame", "entity", "yr", "qtr", "gappy", "qty", "target")

@@ -10,6 +10,7 @@ from quarterdeck.panel import PanelSpec
 from quarterdeck.plans import feeders, forecasting, panels
 from quarterdeck.session import pin
 from registry.book import query, rounded
+from registry.fills import frames_sql
 from registry.panels import _ma_sql, _stats_sql, resolve_sql
 
 PANEL = PanelSpec.of("entity", ("yr", "qtr"))
@@ -235,17 +236,21 @@ def _(t):
 
 
 def _frames(t):
-    p = t.fx_panel.select("entity", "yr", "qtr", "gappy", "qty", "sales")
+    p = t.fx_cents.select("entity", "yr", "qtr", "gappy", "qty", "sales")
     led = add_lead_targets(p, PANEL, ["sales", "gappy"])
     return panels.impute_train_test(led, ["sales", "gappy", "qty"], ["sales_lag1", "gappy_lag1"],
                                     negative=["gappy", "gappy_lag1"], cutoff=2000)
 
 
-@query("impute_train_test")
+@query("impute_train_test", """
+WITH src AS (SELECT * FROM (SELECT entity, yr, qtr, sales, gappy, qty, lead(sales) OVER w AS sales_lag1,
+  lead(gappy) OVER w AS gappy_lag1, lead(yr) OVER w AS more FROM fx_cents
+  WINDOW w AS (PARTITION BY entity ORDER BY yr, qtr)) AS x WHERE more IS NOT NULL), """ + frames_sql(
+    "src", ["sales", "gappy", "qty"], ["sales_lag1", "gappy_lag1"], 2000, ["gappy", "gappy_lag1"]),
+       "fx_cents", recursive=True)
 def _(t):
     parts = [f.withColumn("frame", F.lit(name)) for name, f in _frames(t).items()]
-    out = union_rows(*parts)
-    return rounded(out, "sales", "gappy", "qty", "sales_lag1", "gappy_lag1", digits=2)
+    return rounded(union_rows(*parts), "sales", "gappy", "qty", "sales_lag1", "gappy_lag1", digits=3)
 
 
 @query("enrich_panel", """

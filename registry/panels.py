@@ -138,7 +138,7 @@ def _(t):
         F.col("event_id").alias("last_id"))
     return asof.asof_join(t.events.select("event_id", "user_id", "ts"), right, "ts", "r_ts",
                           ["last_value", "last_id"], by={"user_id": "r_user"}, strict=True,
-                          tiebreak="last_id", bucket="day").select("event_id", "last_value", "last_id")
+                          tiebreak="last_id").select("event_id", "last_value", "last_id")
 
 
 def _peer_sql(label: str, entity: int) -> str:
