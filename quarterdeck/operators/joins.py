@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterdeck.operators.skew import SALT, equal_keys, spread
 from quarterdeck.panel import column
 from quarterdeck.session import pin
 
@@ -19,10 +20,8 @@ def _keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
                 null_safe: bool) -> DataFrame:
     if not null_safe:
         return left.join(right, keys, how)
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b,
-                  [column(k).eqNullSafe(F.col(f"`_r_{k}`")) for k in keys])
-    return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
+    names = {k: f"_r_{k}" for k in keys}
+    return left.join(right.withColumnsRenamed(names), equal_keys(keys, names), how).drop(*names.values())
 
 
 def join_statements(base: DataFrame, *others: DataFrame, keys: list[str],
@@ -30,13 +29,16 @@ def join_statements(base: DataFrame, *others: DataFrame, keys: list[str],
     """``base`` left-joined to each statement table on the identity keys.
 
     A column present already is not repeated: the first copy wins. All joins use
-    the same keys, so each input is shuffled once.
+    the same keys, so each input is shuffled once; keys that hold a large share
+    of ``base`` are spread over several partitions for the whole chain.
     """
+    base, sides, on = spread(base, list(others), list(keys))
+
     def add(left, right):
-        fresh = [c for c in right.columns if c in keys or c not in left.columns]
-        return _keyed_join(left, right.select(*[column(c) for c in fresh]), keys, "left", null_safe)
+        fresh = [c for c in right.columns if c in on or c not in left.columns]
+        return _keyed_join(left, right.select(*[column(c) for c in fresh]), on, "left", null_safe)
 
-    return reduce(add, others, base)
+    return reduce(add, sides, base).drop(SALT)
 
 
 def join_dimension(df: DataFrame, dim: DataFrame, key: str, columns: list[str] | None = None,

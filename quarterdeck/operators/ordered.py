@@ -25,10 +25,14 @@ def global_position(df: DataFrame, order: list[str], name: str = POSITION) -> Da
     """Add the 0-based position of each row in the total order, as BIGINT.
 
     Sorted once by range, then written, so that positions are settled before
-    they are used; only the row counts of the written parts are summed up.
+    they are used; only the row counts of the written parts are summed up. Rows
+    with an equal order are told apart by their content and input partition, so
+    that many copies of a row do not have to share a task.
     """
+    tie = F.xxhash64(F.spark_partition_id(), *[column(c) for c in df.columns])
+    spread = df.withColumn("_tie", tie).orderBy(*order, "_tie").drop("_tie")
     # the generated id holds the part in its upper bits and the row in the lower 33
-    fixed = pin(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    fixed = pin(spread.withColumn("_id", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_id", 33)
     sizes = fixed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

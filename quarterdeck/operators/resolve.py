@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarterdeck.operators.skew import SALT, equal_keys, spread
 from quarterdeck.panel import column
 
 # The lower rank is preferred, a code that is not listed is unknown.
@@ -19,14 +20,14 @@ def latest_revision(df: DataFrame, keys: list[str], revision: str) -> DataFrame:
     """All rows of the highest revision of each key; equal revisions are all kept.
 
     The highest revision comes from a partial aggregate and is joined back, so a
-    key with very many rows is never ranked inside one task: the join may split
-    it. Null keys form a group of their own.
+    key with very many rows is never ranked inside one task: its rows are spread.
+    Null keys form a group of their own.
     """
-    newest = (df.groupBy(*[column(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-              .agg(F.max(column(revision)).alias("_newest")))
-    same = [column(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    same.append(column(revision).eqNullSafe(F.col("_newest")))
-    return df.join(newest, reduce(lambda a, b: a & b, same), "left_semi")
+    newest = df.groupBy(*keys).agg(F.max(column(revision)).alias("_newest"))
+    rows, (newest,), on = spread(df, [newest], keys)
+    names = {k: f"_k{i}" for i, k in enumerate(on)}
+    same = equal_keys(on, names) & column(revision).eqNullSafe(F.col("_newest"))
+    return rows.join(newest.withColumnsRenamed(names), same, "left_semi").drop(SALT)
 
 
 def latest_revision_join(base: DataFrame, revised: DataFrame, keys: list[str],
@@ -37,7 +38,8 @@ def latest_revision_join(base: DataFrame, revised: DataFrame, keys: list[str],
     """
     newest = latest_revision(revised, keys, revision)
     clash = [c for c in newest.columns if c in base.columns and c not in keys]
-    return base.join(newest.drop(*clash), keys, "inner")
+    rows, (newest,), on = spread(base, [newest.drop(*clash)], keys)
+    return rows.join(newest, on, "inner").drop(SALT)
 
 
 def _rank(code: str, ranks: dict[str, int]) -> Column:
@@ -82,8 +84,11 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
           for f, p in ((F.min, "_lo"), (F.max, "_hi"))]).where("_keyed").drop("_keyed")
     groups = groups.withColumns({f"_best{i}": F.when(agrees(i) & known["_standard"], F.col(f"_lo{i}"))
                                  for i in n})
-    # from here on every grouping contains the keys: one exchange serves all of them
-    groups = groups.repartition(*keys)
+    # from here on every grouping contains the keys: one exchange serves all of them. A key has
+    # few rows left, at most one per calendar day and code; update times are not bounded that
+    # way, so there only the last grouping, which combines on the map side, is by key alone
+    fine = dict(df.dtypes)[updated].startswith("timestamp")
+    groups = groups.repartition(*keys, *(["_updated"] if fine else []))
 
     for depth in range(len(rules) - 1, -1, -1):
         rule = rules[depth]

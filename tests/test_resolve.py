@@ -69,6 +69,17 @@ def test_random_groups_follow_the_rules_in_any_layout(rows):
     assert _resolved(df.orderBy(F.rand(3)).repartition(7)) == want
 
 
+def test_update_times_instead_of_days(rows):
+    rnd = random.Random(11)
+    data = [(f"g{rnd.randrange(50)}", rnd.choice([1.0, 2.0, 3.0]), rnd.randrange(4), rnd.choice("YN"),
+             rnd.choice(["MR", "OR"]), rnd.choice([*ACCOUNTING_STANDARD_RANK])) for _ in range(400)]
+    df = rows(SCHEMA, data)
+    timed = df.withColumn("d", F.timestamp_seconds("d"))
+    plan = resolve_by_priority(timed, ["k"], ["x"], *ARGS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert _resolved(timed) == _resolved(df)
+
+
 def test_text_and_several_columns(rows):
     df = rows("k int, v string, x double, d int, c string, s string, a string",
               [(1, "old", 1.0, 1, "Y", "MR", "x"), (1, "new", None, 2, "Y", "MR", "x")])
