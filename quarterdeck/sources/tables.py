@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,23 +19,28 @@ def read_csv_typed(spark: SparkSession, path, schema: StructType, skip: int = 0,
     """CSV files read with a declared schema, so no inference pass is made.
 
     Rows that do not fit the schema are left out, whichever columns are used later;
-    ``rejected=True`` returns those instead, with the raw line in ``_bad_row``. Files with ``skip`` title
-    lines above the header are read without header handling: titles and header
-    are text, so they cannot fit a schema that has a non-text column.
+    ``rejected=True`` returns their lines instead, to be counted or inspected. Files
+    with ``skip`` title lines above the header are read without header handling:
+    titles and header are text, so they cannot fit a schema with a non-text column.
     """
     if skip and all(isinstance(f.dataType, StringType) for f in schema.fields):
         raise ValueError("title lines can only be told apart by a typed column")
-    rows = (spark.read
-            .schema(StructType(schema.fields + [StructField(BAD_ROW, StringType())]))
+    names = schema.fieldNames()
+    text = (spark.read
+            .schema(StructType([StructField(n, StringType()) for n in [*names, BAD_ROW]]))
             .option("header", skip == 0)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", BAD_ROW)
-            # a row is bad if any column is: all of them are parsed
-            .option("columnPruning", False)
             .csv(path))
+    # the reader marks lines with too few or too many cells; cells are cast here, since the
+    # reader would only look at the columns a query asks for
+    typed = {f.name: column(f.name).try_cast(f.dataType) for f in schema.fields}
+    misfit = reduce(lambda a, b: a | b, [column(n).isNotNull() & typed[n].isNull() for n in names],
+                    column(BAD_ROW).isNotNull())
     if rejected:
-        return rows.where(F.col(BAD_ROW).isNotNull())
-    return rows.where(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
+        line = F.coalesce(column(BAD_ROW), F.concat_ws(",", *[F.coalesce(column(n), F.lit("")) for n in names]))
+        return text.where(misfit).select(line.alias(BAD_ROW))
+    return text.where(~misfit).select(*[typed[n].alias(n) for n in names])
 
 
 def read_sheet_set(spark: SparkSession, folder: str, sheets: dict[str, StructType],

@@ -16,11 +16,13 @@ def _schema(**kinds):
 
 
 def test_csv_rows_that_do_not_fit_are_set_aside(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("k,x\na,1.5\nb,oops\nc,\n")
+    (tmp_path / "a.csv").write_text("k,x\na,1.5\nb,oops\nc,\nd,1,2\n")
     schema = _schema(k=StringType(), x=DoubleType())
     assert [tuple(r) for r in read_csv_typed(spark, str(tmp_path), schema).collect()] == [("a", 1.5), ("c", None)]
     assert [r["k"] for r in read_csv_typed(spark, str(tmp_path), schema).select("k").collect()] == ["a", "c"]
-    assert [r["_bad_row"] for r in read_csv_typed(spark, str(tmp_path), schema, rejected=True).collect()] == ["b,oops"]
+    bad = read_csv_typed(spark, str(tmp_path), schema, rejected=True)
+    assert [r["_bad_row"] for r in bad.collect()] == ["b,oops", "d,1,2"] and bad.count() == 2
+    assert read_csv_typed(spark, str(tmp_path), schema).count() == 2
 
 
 def test_sheets_with_title_lines(spark, tmp_path):
