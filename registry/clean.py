@@ -145,17 +145,16 @@ def _(t):
 
 @query("map_codes", """
 WITH dim AS (SELECT n_nationkey AS code, n_name AS label, 1 AS pos FROM nation
-             UNION ALL SELECT n_nationkey, concat('new ', n_name), 2 FROM nation WHERE n_nationkey % 3 = 0),
-last_label AS (SELECT code, arg_max(label, pos) AS label FROM dim WHERE code % 7 <> 0 GROUP BY code)
-SELECT c_custkey, c_nationkey, label AS c_nationkey_mapped
-FROM customer LEFT JOIN last_label ON c_nationkey = code""")
+             UNION ALL SELECT n_nationkey, concat('new ', n_name), 2 FROM nation),
+last_label AS (SELECT code, arg_max(label, pos) AS label FROM dim GROUP BY code),
+c AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_nationkey + 100 ELSE c_nationkey END AS nation_code FROM customer)
+SELECT c_custkey, nation_code, label AS nation_code_mapped FROM c LEFT JOIN last_label ON nation_code = code""")
 def _(t):
-    n = t.nation.where(F.col("n_nationkey") % 7 != 0)
-    dim = n.select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"), F.lit(1).alias("pos"))
-    again = n.where(F.col("n_nationkey") % 3 == 0).select(
-        F.col("n_nationkey").alias("code"), F.concat(F.lit("new "), "n_name").alias("label"), F.lit(2).alias("pos"))
-    return clean.map_codes(t.customer.select("c_custkey", "c_nationkey"), dim.unionByName(again),
-                           {"c_nationkey": ("code", "label")}, "pos")
+    label = lambda text, pos: t.nation.select(F.col("n_nationkey").alias("code"), text.alias("label"), F.lit(pos).alias("pos"))
+    dim = label(F.col("n_name"), 1).unionByName(label(F.concat(F.lit("new "), "n_name"), 2))
+    code = F.when(F.col("c_acctbal") < 0, F.col("c_nationkey") + 100).otherwise(F.col("c_nationkey"))
+    return clean.map_codes(t.customer.select("c_custkey", code.alias("nation_code")), dim,
+                           {"nation_code": ("code", "label")}, "pos")
 
 
 @query("select_features", """
@@ -174,15 +173,15 @@ def _(t):
 
 
 @query("index_categories", """
-WITH seen AS (SELECT l_shipmode_ AS label, count(*) AS n FROM
-    (SELECT concat(l_returnflag, CAST(l_linenumber AS VARCHAR)) AS l_shipmode_ FROM lineitem
-     WHERE l_shipdate < TIMESTAMP '1999-01-01' AND l_linenumber < 7) AS x GROUP BY l_shipmode_),
+WITH seen AS (SELECT concat(l_returnflag, CAST(year(l_shipdate) AS VARCHAR)) AS label, count(*) AS n
+              FROM lineitem WHERE l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1),
 idx AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS DOUBLE) AS i FROM seen)
 SELECT l_orderkey, l_linenumber, coalesce(i, (SELECT CAST(count(*) AS DOUBLE) FROM seen)) AS kind_index
-FROM lineitem LEFT JOIN idx ON label = concat(l_returnflag, CAST(l_linenumber AS VARCHAR))""")
+FROM lineitem LEFT JOIN idx ON label = concat(l_returnflag, CAST(year(l_shipdate) AS VARCHAR))""")
 def _(t):
-    df = t.lineitem.withColumn("kind", F.concat("l_returnflag", F.col("l_linenumber").cast("string")))
-    train = df.where((F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")) & (F.col("l_linenumber") < 7))
+    """Fitted on the early years: the kinds of later years are unseen."""
+    df = t.lineitem.withColumn("kind", F.concat("l_returnflag", F.year("l_shipdate").cast("string")))
+    train = df.where(F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
     model = clean.index_categories(train, ["kind"])
     return model.transform(df.select("l_orderkey", "l_linenumber", "kind")).drop("kind")
 
@@ -223,7 +222,7 @@ WITH x AS (
          lag(gappy / 100000, 1) OVER w AS d1, lag(gappy / 100000, 3) OVER w AS d3
   FROM fx_panel WINDOW w AS (PARTITION BY entity ORDER BY yr, qtr)),
 p AS (SELECT CAST(s_suppkey AS INT) AS entity, s_nationkey / 20.0 AS beta, s_nationkey % 2 AS which
-      FROM supplier WHERE s_nationkey < 20),
+      FROM supplier WHERE s_acctbal > 0),
 y AS (SELECT x.*, (dps - d3) / NULLIF(d1, 0) AS g, rf - coalesce(beta, 1.2) * (mkt - rf) AS req,
              (1 - payout / 100) * roe AS goe,
              CASE which WHEN 0 THEN price_a WHEN 1 THEN price_b END AS price
@@ -239,7 +238,7 @@ def _(t):
         ((F.col("seq") % 7) * 10).cast("double").alias("payout"), (F.col("sales") / 1000000).alias("roe"),
         (F.col("gappy") / 100000).alias("dps"), F.col("qty").alias("shares"),
         (F.col("sales") / 1000).alias("price_a"), (F.col("qty") * 2).alias("price_b"))
-    params = t.supplier.where("s_nationkey < 20").select(
+    params = t.supplier.where("s_acctbal > 0").select(
         F.col("s_suppkey").cast("int").alias("entity"), (F.col("s_nationkey") / 20.0).alias("beta"),
         F.when(F.col("s_nationkey") % 2 == 0, "price_a").otherwise("price_b").alias("price_col"))
     out = derive.dividend_estimate(

@@ -11,14 +11,15 @@ from registry.book import query, rounded
 PANEL = PanelSpec.of("entity", ("yr", "qtr"))
 
 
-def fill_sql(src: str, x: str, part: str = "entity", order: str = "yr, qtr", tag: str = "") -> str:
-    """CTEs, their names led by ``tag``: ``placed`` with head-filled h, last value row l, last gap row b; ``line`` per entity."""
+def fill_sql(src: str, x: str, part: str = "entity", order: str = "yr, qtr", tag: str = "",
+             head: bool = True) -> str:
+    """CTEs, their names led by ``tag`` (``head=False`` leaves the head as it is): ``placed`` with head-filled h, last value row l, last gap row b; ``line`` per entity."""
     w = f"(PARTITION BY {part} ORDER BY {order})"
     full = f"(PARTITION BY {part} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
     return f"""
 {tag}rows_ AS (SELECT *, row_number() OVER {w} AS i, count({x}) OVER {w} AS seen,
             first_value({x} IGNORE NULLS) OVER {full} AS f FROM {src}),
-{tag}head AS (SELECT *, CASE WHEN seen = 0 THEN f ELSE {x} END AS h FROM {tag}rows_),
+{tag}head AS (SELECT *, {f"CASE WHEN seen = 0 THEN f ELSE {x} END" if head else x} AS h FROM {tag}rows_),
 {tag}lasts AS (SELECT {part}, max(CASE WHEN h IS NOT NULL THEN i END) AS l FROM {tag}head GROUP BY {part}),
 {tag}gaps AS (SELECT {tag}head.{part}, max(CASE WHEN h IS NULL AND i < l THEN i ELSE 0 END) AS b
          FROM {tag}head JOIN {tag}lasts ON {tag}head.{part} = {tag}lasts.{part} GROUP BY {tag}head.{part}),
@@ -98,11 +99,9 @@ def _(t):
 
 
 @query("fill_tail_trend", f"""
-WITH raw AS (SELECT entity, yr, qtr, gappy FROM fx_cents WHERE entity % 10 <> 1),
-{fill_sql('raw', 'gappy')}
-SELECT entity, yr, qtr, round(CASE WHEN seen = 0 THEN gappy ELSE t END, 3) AS gappy FROM tail""", "fx_cents")
+WITH {fill_sql('fx_cents', 'gappy', head=False)} SELECT entity, yr, qtr, round(t, 3) AS gappy FROM tail""", "fx_cents")
 def _(t):
-    p = t.fx_cents.where("entity % 10 <> 1").select("entity", "yr", "qtr", "gappy")
+    p = t.fx_cents.select("entity", "yr", "qtr", "gappy")
     return rounded(impute.fill_tail_trend(p, PANEL, ["gappy"]), "gappy", digits=3)
 
 
@@ -139,10 +138,10 @@ def _(t):
 @query("split_panel", """
 SELECT entity, yr, qtr, sales, CASE WHEN yr < 1999 THEN 'train' ELSE 'test' END AS split
 FROM (SELECT *, count(CASE WHEN yr < 1999 THEN 1 END) OVER (PARTITION BY entity) AS n
-      FROM fx_panel WHERE entity % 10 <> 4 OR yr > 1998 OR qtr = 4) AS x WHERE n >= 5""", "fx_panel")
+      FROM fx_panel WHERE gappy IS NOT NULL) AS x WHERE n >= 3""", "fx_panel")
 def _(t):
-    p = t.fx_panel.where("entity % 10 <> 4 OR yr > 1998 OR qtr = 4").select("entity", "yr", "qtr", "sales")
-    return impute.split_panel(p, PANEL, cutoff=1999, min_train=5)
+    p = t.fx_panel.where("gappy is not null").select("entity", "yr", "qtr", "sales")
+    return impute.split_panel(p, PANEL, cutoff=1999)
 
 
 @query("build_train_test", """

@@ -206,7 +206,8 @@ nul AS (SELECT entity, yr, qtr, NULLIF(sales, 0) AS sales, NULLIF(capex, 0) AS c
           NULLIF(capex_y, 0) AS capex_y FROM led WHERE yr_lag1 IS NOT NULL AND yr >= 1996),
 kept AS (SELECT * FROM nul WHERE (capex IS NULL OR capex <> (SELECT max(capex) FROM nul))
            AND (capex_lag1 IS NULL OR capex_lag1 <> (SELECT max(capex) FROM nul))),
-labels AS (SELECT CAST(s_suppkey AS INT) AS entity, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 9 <> 0)
+labels AS (SELECT CAST(s_suppkey AS INT) AS entity, n_name FROM supplier LEFT JOIN nation
+           ON s_nationkey = n_nationkey AND s_acctbal > 0)
 SELECT kept.entity, yr, qtr, sales, capex, announced, sales_lag1, capex_lag1, announced_lag1, yr_lag1, qtr_lag1,
   sales_y AS sales_last_year_same_quarter, capex_y AS capex_last_year_same_quarter,
   sales_lag1_p0, capex_lag1_p0, sales_lag1_p1, capex_lag1_p1, n_name AS group_num_mapped
@@ -226,10 +227,10 @@ def _(t):
         F.when(p % 5 != 0, F.floor(F.col("l_extendedprice") / 1000).cast("double")).alias("capex"),
         F.col("l_shipdate").cast("date").alias("announced"),
         F.col("l_tax").alias("sales.1"))
-    company = t.supplier.select(F.col("s_suppkey").cast("int").alias("entity"), F.col("s_nationkey").alias("group_num"))
-    codes = t.nation.where("n_nationkey % 9 <> 0")
+    company = t.supplier.select(F.col("s_suppkey").cast("int").alias("entity"),
+                                F.when(F.col("s_acctbal") > 0, F.col("s_nationkey")).alias("group_num"))
     return panels.clean_panel(
-        filings, company, codes, label="label", targets=["sales", "capex"], measures=[], announced="announced",
+        filings, company, t.nation, label="label", targets=["sales", "capex"], measures=[], announced="announced",
         code_maps={"group_num": ("n_nationkey", "n_name")}, code_order="n_nationkey", updated="updated",
         consolidated="consolidated", status="status", standard="standard", peers={"p0": 0, "p1": 1},
         first_year=1996, outlier="capex")
@@ -260,14 +261,14 @@ mkt AS (SELECT d, idx, n, n / 100 AS risk_free_rate,
           (idx - lag(idx, 252) OVER (ORDER BY d)) / NULLIF(lag(idx, 252) OVER (ORDER BY d), 0) AS index_return FROM fx_index),
 a AS (SELECT led.*, mkt.idx, mkt.n, risk_free_rate, index_return FROM led ASOF LEFT JOIN mkt ON announce_dt >= d),
 b AS (SELECT a.*, coalesce(beta, 1.2) AS bt, which, (gappy - lag(gappy, 3) OVER w) / NULLIF(lag(gappy, 1) OVER w, 0) AS g FROM a
-      LEFT JOIN (SELECT CAST(s_suppkey AS INT) AS entity, s_nationkey / 20.0 AS beta, s_nationkey % 2 AS which FROM supplier WHERE s_nationkey < 20) p
+      LEFT JOIN (SELECT CAST(s_suppkey AS INT) AS entity, s_nationkey / 20.0 AS beta, s_nationkey % 2 AS which FROM supplier WHERE s_acctbal > 0) p
         ON a.entity = p.entity WINDOW w AS (PARTITION BY a.entity ORDER BY yr, qtr)),
 c AS (SELECT *, risk_free_rate - bt * (index_return - risk_free_rate) AS req, CASE which WHEN 0 THEN idx WHEN 1 THEN n END AS price FROM b),
 ships AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS ym, avg(l_quantity) AS ship_qty FROM lineitem GROUP BY 1),
 ordr AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS ym, CAST(count(*) AS BIGINT) AS order_count FROM orders GROUP BY 1),
 daily AS (SELECT CAST(l_shipdate AS DATE) AS d, CAST(count(*) AS BIGINT) AS lines_that_day FROM lineitem GROUP BY 1),
 ops AS (SELECT entity, announce_dt, qty * 2 AS op_qty FROM fx_cents WHERE qtr <> 2),
-est AS (SELECT entity, yr, qtr, sales AS c_est FROM fx_cents WHERE seq % 3 <> 0)
+est AS (SELECT entity, yr, qtr, sales AS c_est FROM fx_cents WHERE gappy IS NOT NULL)
 SELECT c.entity, c.yr, c.qtr, c.sales, c.idx, round(risk_free_rate, 6) AS risk_free_rate, round(index_return, 6) AS index_return,
   round(req, 6) AS required_return, round(g, 6) AS dividend_growth_rate, round(price * (req - g), 3) AS "D1",
   ship_qty, order_count, lines_that_day, op_qty, -c_est AS c_est
@@ -275,7 +276,8 @@ FROM c LEFT JOIN ships ON ships.ym = date_trunc('month', c.announce_dt) LEFT JOI
 LEFT JOIN daily ON daily.d = c.announce_dt LEFT JOIN ops ON ops.entity = c.entity AND ops.announce_dt = c.announce_dt
 LEFT JOIN est ON est.entity = c.entity AND est.yr = yr_lag1 AND est.qtr = qtr_lag1""", "fx_cents", "fx_index")
 def _(t):
-    base = t.fx_cents.select("entity", "yr", "qtr", "announce_dt", "sales", "gappy", "qty")
+    # the panel is the written result of an earlier step
+    base = pin(t.fx_cents.select("entity", "yr", "qtr", "announce_dt", "sales", "gappy", "qty"))
     led = add_lead_targets(base, PANEL, ["yr", "qtr"], drop_last=False)
     ships = t.lineitem.groupBy(to_month("l_shipdate").alias("year_month")).agg(F.avg("l_quantity").alias("ship qty"))
     orders = t.orders.groupBy(to_month("o_orderdate").alias("year_month")).agg(F.count(F.lit(1)).alias("order count"))
@@ -283,9 +285,9 @@ def _(t):
     text = F.date_format("announce_dt", "dd/MM/yyyy")
     ops = base.select("entity", F.when(F.col("qtr") == 2, F.concat(text, F.lit(".1"))).otherwise(text)
                       .alias("period_ending_date"), (F.col("qty") * 2).alias("op qty"))
-    est = t.fx_cents.where("seq % 3 <> 0").select(
+    est = base.where("gappy is not null").select(
         F.col("entity").alias("e_entity"), F.col("yr").alias("e_yr"), F.col("qtr").alias("e_qtr"), F.col("sales").alias("c est"))
-    params = t.supplier.where("s_nationkey < 20").select(
+    params = t.supplier.where("s_acctbal > 0").select(
         F.col("s_suppkey").cast("int").alias("entity"), (F.col("s_nationkey") / 20.0).alias("beta"),
         F.when(F.col("s_nationkey") % 2 == 0, "idx").otherwise("n").alias("price_col"))
     out = panels.enrich_panel(

@@ -103,17 +103,17 @@ def _(t):
 # ---- as-of joins -----------------------------------------------------------------------
 
 @query("asof_join_strict", """
-WITH r AS (SELECT entity % 10 AS grp, announce_dt, arg_max(sales, seq * 1000 + entity) AS peer_sales,
-                  arg_max(qty, seq * 1000 + entity) AS peer_qty
-           FROM fx_panel WHERE entity < 50 GROUP BY entity % 10, announce_dt)
+WITH r AS (SELECT entity % 10 AS grp, announce_dt, arg_max(sales, seq * 10000000 + entity) AS peer_sales,
+                  arg_max(qty, seq * 10000000 + entity) AS peer_qty
+           FROM fx_panel GROUP BY entity % 10, announce_dt)
 SELECT l.entity, l.yr, l.qtr, l.announce_dt, r.peer_sales, r.peer_qty FROM fx_panel l
 ASOF LEFT JOIN r ON l.entity % 10 = r.grp AND l.announce_dt > r.announce_dt""", "fx_panel")
 def _(t):
     p = t.fx_panel
     left = p.select("entity", "yr", "qtr", "announce_dt", (F.col("entity") % 10).alias("grp"))
-    right = p.where("entity < 50").select(
+    right = p.select(
         (F.col("entity") % 10).alias("r_grp"), F.col("announce_dt").alias("r_dt"), F.col("sales").alias("peer_sales"),
-        F.col("qty").alias("peer_qty"), (F.col("seq") * 1000 + F.col("entity")).alias("tie"))
+        F.col("qty").alias("peer_qty"), (F.col("seq") * 10000000 + F.col("entity")).alias("tie"))
     return asof.asof_join(left, right, "announce_dt", "r_dt", ["peer_sales", "peer_qty"],
                           by={"grp": "r_grp"}, strict=True, tiebreak="tie").drop("grp")
 
@@ -290,10 +290,10 @@ def _(t):
 
 @query("add_year_ago_calendar", """
 SELECT p.entity, p.yr, p.qtr, b.sales AS sales_last_year_same_quarter FROM fx_panel p
-LEFT JOIN (SELECT * FROM fx_panel WHERE seq % 7 <> 0) b
-  ON b.entity = p.entity AND b.yr = p.yr - 1 AND b.qtr = p.qtr WHERE p.seq % 7 <> 0""", "fx_panel")
+LEFT JOIN (SELECT * FROM fx_panel WHERE gappy IS NOT NULL) b
+  ON b.entity = p.entity AND b.yr = p.yr - 1 AND b.qtr = p.qtr WHERE p.gappy IS NOT NULL""", "fx_panel")
 def _(t):
-    holes = t.fx_panel.where("seq % 7 <> 0").select("entity", "yr", "qtr", "sales")
+    holes = t.fx_panel.where("gappy is not null").select("entity", "yr", "qtr", "sales")
     return windows.add_year_ago(holes, PANEL, ["sales"], calendar=True).drop("sales")
 
 

@@ -81,11 +81,11 @@ def _(t):
 
 @query("join_on_period", """
 SELECT x.entity, x.yr, x.qtr, x.sales, y.gappy AS target FROM fx_panel x
-LEFT JOIN (SELECT * FROM fx_panel WHERE seq % 5 <> 0) y ON x.entity = y.entity AND x.yr = y.yr AND x.qtr = y.qtr""",
+LEFT JOIN (SELECT * FROM fx_panel WHERE gappy IS NOT NULL) y ON x.entity = y.entity AND x.yr = y.yr AND x.qtr = y.qtr""",
        "fx_panel")
 def _(t):
     p = t.fx_panel
-    y = p.where("seq % 5 <> 0").select("entity", "yr", "qtr", F.col("gappy").alias("target"))
+    y = p.where("gappy is not null").select("entity", "yr", "qtr", F.col("gappy").alias("target"))
     return joins.join_on_period(p.select("entity", "yr", "qtr", "sales"), y, ["entity", "yr", "qtr"])
 
 
