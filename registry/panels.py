@@ -166,10 +166,11 @@ def _(t):
 
 
 @query("global_extrema", """
-SELECT min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity, min(l_shipdate) AS min_l_shipdate,
-       max(l_shipdate) AS max_l_shipdate FROM lineitem""")
+SELECT min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity, CAST(min(l_shipdate) AS DATE) AS min_l_shipdate,
+       CAST(max(l_shipdate) AS DATE) AS max_l_shipdate FROM lineitem""")
 def _(t):
-    return aggregate.global_extrema(t.lineitem, ["l_quantity", "l_shipdate"])
+    dated = t.lineitem.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+    return aggregate.global_extrema(dated, ["l_quantity", "l_shipdate"])
 
 
 @query("missing_fraction", """
