@@ -13,10 +13,12 @@ from quarterdeck.session import pin
 STATISTICS = ("mean", "median", "min", "max", "std", "q1", "q3")
 QUARTILES = (0.25, 0.5, 0.75)
 SLICES = 4096
+# values of one group that a task may hold for the built-in percentile
+GROUP_LIMIT = 2_000_000
 
 
 def group_quantiles(df: DataFrame, by: list[str], col: str, probs=QUARTILES,
-                    group_limit: int = 5_000_000) -> DataFrame:
+                    group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Exact, linearly interpolated quantiles: one row per group, column ``quantiles``.
 
     Groups up to ``group_limit`` values use the built-in percentile, which holds
@@ -93,25 +95,27 @@ def _from_quartiles(cols: list[str], tag: str) -> list:
 def _large_group_statistics(df: DataFrame, by: list[str], cols: list[str], group: str,
                             group_limit: int) -> DataFrame:
     keyed = df.where(reduce(lambda a, b: a & b, [column(k).isNotNull() for k in by]))
-    out = pin(keyed.groupBy(*by).agg(*_moments(cols, group)), "moments")
-    for c in cols:
-        q = group_quantiles(keyed, by, c, QUARTILES, group_limit)
-        out = out.join(q.withColumnRenamed("quantiles", f"_q_{c}"), by, "left")
-    return out.select(*by, *[column(m) for m in out.columns if m not in by and not m.startswith("_q_")],
-                      *_from_quartiles(cols, group))
+    moments = keyed.groupBy(*by).agg(*_moments(cols, group))
+    # the columns are narrowed down together: each round counts all of them in one pass
+    long = keyed.select(*by, *[column(c).cast("double").alias(c) for c in cols]).unpivot(by, cols, "_column", "_value")
+    found = group_quantiles(long, [*by, "_column"], "_value", QUARTILES, group_limit)
+    wide = found.groupBy(*by).agg(*[
+        F.first(F.when(F.col("_column") == c, F.col("quantiles")), ignorenulls=True).alias(f"_q_{c}") for c in cols])
+    return moments.join(wide, by, "left").select(
+        *by, *[column(m) for m in moments.columns if m not in by], *_from_quartiles(cols, group))
 
 
 def group_statistics(df: DataFrame, cols: list[str], groups: list[str], period: list[str],
-                     group_limit: int = 5_000_000) -> DataFrame:
+                     group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Mean, median, min, max, std and quartiles per period and group, on every row.
 
     One set of columns per grouping level, named ``<col>_<group>_<statistic>``.
     Rows whose group is null get null statistics. The statistics are aggregated
     and joined back: they are a small table, and no task holds a whole group.
 
-    The sizes of all groups are counted first. Levels whose groups all stay below
-    ``group_limit`` share one pass with the built-in percentile; a level with a
-    larger group has its quartiles narrowed down instead.
+    The sizes of all groups are counted first. Levels whose groups all hold at
+    most ``group_limit`` values, over all columns, share one pass with the built-in
+    percentile; a level with a larger group has its quartiles narrowed down instead.
     """
     sets = [[*period, g] for g in groups]
     keys = [*period, *groups]
@@ -122,7 +126,7 @@ def group_statistics(df: DataFrame, cols: list[str], groups: list[str], period:
                sizes.groupBy("_level").agg(F.max("_n").alias("_n")).collect()}
     # grouping_id has a bit per key, set where the key is not part of the level
     bits = {g: sum(1 << (len(groups) - 1 - j) for j in range(len(groups)) if groups[j] != g) for g in groups}
-    small = [g for g in groups if largest.get(bits[g], 0) <= group_limit]
+    small = [g for g in groups if largest.get(bits[g], 0) * len(cols) <= group_limit]
 
     tables = {}
     if small:

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# folders of local sessions that were started without spark.checkpoint.dir
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def build_session(app: str = "quarterdeck", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators are written for.
@@ -36,16 +39,18 @@ def build_session(app: str = "quarterdeck", master: str | None = None, **conf) -
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of its own.
+    Only a local session, whose tasks all run on one machine, may fall back to a
+    temporary folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="quarterdeck-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.conf.get("spark.app.id", "")
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="quarterdeck-")
+    return _LOCAL_FOLDERS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
