@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterdeck.operators.aggregate import regression_metrics
-from quarterdeck.operators.clean import select_features
 from quarterdeck.operators.folds import shuffled_folds, time_series_split
 from quarterdeck.panel import column
 
@@ -246,8 +245,3 @@ def time_series_cv_score(train: DataFrame, test: DataFrame, label: str, features
     mean = scored.agg(F.sum("n").alias("n"), F.avg("rmse").alias("rmse"), F.avg("r2").alias("r2"),
                       F.lit("mean").alias("fold"))
     return scored.unionByName(mean), boosted_forecast(train, test, label, features, (), settings)
-
-
-def drop_from_features(df: DataFrame, exclude: Sequence[str]) -> list[str]:
-    """Feature names of a frame: everything but the excluded columns."""
-    return select_features(df, exclude).columns

@@ -2,8 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from quarterdeck.functions.dates import parse_date
-from quarterdeck.functions.numeric import parse_numeric_text
 from quarterdeck.operators import joins, reshape
 from quarterdeck.operators.aggregate import monthly_mean
 from quarterdeck.functions.dates import to_month
