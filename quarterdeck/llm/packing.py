@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarterdeck.llm.common import rows_out, texts_of
-from quarterdeck.llm.word_cache import encoded, space_dropping
+from quarterdeck.llm.word_cache import space_dropping
 from quarterdeck.session import pin
 
 #: Pieces that one task packs at a time, and the share of a sequence that may stay free in a closed one.
@@ -36,7 +36,7 @@ def _cutter(tokenizer: str, end_id: int, capacity: int):
     def rows(batches) -> Iterator[tuple]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for ident, ids in zip(batch.column("doc_id").to_pylist(), encoded(space_dropping(tokenizer), texts), strict=True):
+            for ident, ids in zip(batch.column("doc_id").to_pylist(), map(space_dropping(tokenizer).encode, texts), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), size)):
                     part = ids[at:at + size]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarterdeck.llm.common import texts_of
-from quarterdeck.llm.word_cache import byte_level, encoded
+from quarterdeck.llm.word_cache import byte_level
 
 #: Ids in a block, and ids after which a segment ends with the document it is in.
 BLOCK, SEGMENT = 1024, 1 << 18
@@ -123,7 +123,7 @@ def _writer(tokenizer: str, end_id: int, percentile: float):
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for ident, found in zip(batch.column("doc_id").to_pylist(), encoded(byte_level(tokenizer), texts), strict=True):
+            for ident, found in zip(batch.column("doc_id").to_pylist(), map(byte_level(tokenizer).encode, texts), strict=True):
                 docs.append(ident)
                 ids.append(found + end)
                 lengths.append(len(ids[-1]) // 4)
@@ -155,9 +155,9 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.schema(SEGMENT_DDL).parquet(path)
     shards = segments.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # one row per shard: as many as there were write tasks, whatever the number of ids
+    # broadcast, as it has one row per shard: as many as there were write tasks, whatever the number of ids
     bases = shards.select("shard", before.alias("base"))
-    return segments.join(bases, "shard").withColumn("start", F.col("start") + F.col("base")).drop("base")
+    return segments.join(F.broadcast(bases), "shard").withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])

@@ -1,4 +1,4 @@
-"""Whole-text encoding with the tokenizers library, one call per new word.
+"""Whole-text encoding with the tokenizers library, where a word is merged once.
 
 Both vocabularies used here cut a text at certain white space before any merge, so
 the ids of a text are the ids of its parts in a row. Texts whose white space is not
@@ -9,32 +9,46 @@ from __future__ import annotations
 
 import functools
 import os
-import re
-from collections.abc import Callable, Iterator
-from itertools import chain
+from array import array
+from collections.abc import Callable
 
-import numpy as np
-
-#: Words in each of the two generations that a worker keeps.
+#: Words that a worker keeps. A full store starts anew when ten times as many words were missing.
 KEPT = 400_000
-
-
-class _Words:
-    """word -> its ids as little-endian unsigned 32-bit integers, for the words used lately."""
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode, self.young, self.old = encode, {}, {}
-
-    def learn(self, words: set[str]) -> Callable[[str], bytes]:
-        """A lookup that knows all of ``words``."""
-        if len(self.young) > KEPT:
-            self.young, self.old = {}, self.young
-        words = words.difference(self.young)
-        known = [w for w in words if w in self.old]
-        self.young.update((w, self.old[w]) for w in known)
-        new = list(words.difference(known))
-        self.young.update(zip(new, self.encode(new), strict=True))
-        return self.young.__getitem__
+#: All white space but the space and the line end (fixed by Unicode; four more that Python alone takes for it).
+OTHER_SPACES = "\x1c\x1d\x1e\x1f\t\v\f\r\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
+MARKS = ".,;:!?"
+
+
+class _Words(dict):
+    """word -> its ids as unsigned 32-bit integers, little-endian as all machines here are.
+
+    A word of Latin letters and one mark is the letters' ids and the mark's, as both vocabularies cut
+    between the two; ``fold`` may map the letters to others with the same ids.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], marks: dict[str, bytes], fold: Callable[[str], str] | None = None):
+        super().__init__()
+        self.encode, self.marks, self.fold, self.missing = encode, marks, fold, 0
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._merge(word)
+        self.missing += 1
+        if self.missing > 10 * KEPT:
+            self.clear()
+            self.missing = 0
+        if len(self) < KEPT:
+            self[word] = ids
+        return ids
+
+    def _merge(self, word: str) -> bytes:
+        mark = self.marks.get(word[-1:])
+        letters = word if mark is None else word[:-1]
+        if letters.isalpha() and max(letters) < "Ā":
+            if mark is not None:
+                return self[letters] + mark
+            if self.fold and (folded := self.fold(word)) != word:
+                return self[folded]
+        return self.encode(word)
 
 
 class WordEncoder:
@@ -43,57 +57,52 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.marks = {m: self.whole(m) for m in MARKS}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        """The library's ids of each text."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ids, at = np.fromiter(chain.from_iterable(found), "<u4").tobytes(), 0
-        out = []
-        for x in found:
-            out.append(ids[at:at + 4 * len(x)])
-            at += 4 * len(x)
-        return out
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def whole(self, text: str) -> bytes:
+        """The library's ids of a text."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
         raise NotImplementedError
 
 
 class ByteLevelEncoder(WordEncoder):
     """Byte-level BPE: a single space between two visible characters starts a new word, a single line end is one."""
 
-    # white space that is neither one space nor one line end between visible characters
-    ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
-
     def __init__(self, path: str):
         super().__init__(path)
-        self.first = _Words(self.whole)
-        self.later = _Words(lambda words: self.whole([" " + w for w in words]))
-        self.line_end = self.whole(["\n"])[0]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [None if self.ODD.search(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
-        lines = [words for found in cut if found for words in found]
-        first = self.first.learn({words[0] for words in lines})
-        later = self.later.learn(set(chain.from_iterable(words[1:] for words in lines)))
-        for text, found in zip(texts, cut, strict=True):
-            if found is None:
-                yield self.whole([text])[0]
-            else:
-                yield self.line_end.join([first(words[0]) + b"".join(map(later, words[1:])) for words in found])
+        self.first = _Words(self.whole, self.marks)
+        self.later = _Words(lambda word: self.whole(" " + word), self.marks)
+        self.line_end = self.whole("\n")
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        """Whether all white space is one space or one line end between visible characters."""
+        return not (text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n"))
+                    or any(x in text for x in OTHER_SPACES))
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if not self.plain(text):
+            return self.whole(text)
+        lines, later = [], self.later.__getitem__
+        for line in text.split("\n"):
+            words = line.split(" ")
+            lines.append(self.first[words[0]] + b"".join(map(later, words[1:])))
+        return self.line_end.join(lines)
 
 
 class SpaceDroppingEncoder(WordEncoder):
-    """BPE with word ends, where white space only separates: spaces and line ends may be cut anywhere."""
+    """BPE with word ends on lower-cased text, where white space only separates: spaces and line ends may be cut anywhere."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words = _Words(self.whole)
+        self.words = _Words(self.whole, self.marks, str.lower)
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        ids = self.words.learn(set(chain.from_iterable(cut)))
-        for words in cut:
-            yield b"".join(map(ids, words))
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @functools.cache
@@ -104,15 +113,3 @@ def byte_level(path: str) -> ByteLevelEncoder:
 @functools.cache
 def space_dropping(path: str) -> SpaceDroppingEncoder:
     return SpaceDroppingEncoder(path)
-
-
-def encoded(encoder: WordEncoder, texts: list[str], at_once: int = 1 << 20) -> Iterator[bytes]:
-    """The ids of each text, about ``at_once`` characters at a time."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= at_once:
-            yield from encoder.encode(held)
-            held, size = [], 0
-    yield from encoder.encode(held)
