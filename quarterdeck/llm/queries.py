@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterdeck.llm import exact_dedup, line_dedup, packing, pieces, token_blocks, topk, url_filter
+from quarterdeck.llm import exact_dedup, language_id, line_dedup, packing, pieces, pii, token_blocks, topk, url_filter
 from quarterdeck.llm.common import share_code, table
 from quarterdeck.session import scratch_path
 
@@ -36,6 +36,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    return language_id.identify(language_id.records_of(docs, pages), language_id.fit_text(docs))
+
+
 @query("op3_line_dedup", r"""
 WITH lines AS (
   SELECT doc_id, position, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -57,6 +63,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.PATTERNS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 #: The rules of the URL query.
 RULES = [url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"),
          url_filter.Rule("block", "example.org", "/en/1"), url_filter.Rule("allow", "com", "/fr/"),
