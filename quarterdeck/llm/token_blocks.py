@@ -27,6 +27,8 @@ from quarterdeck.llm.word_cache import byte_level
 #: Ids in a block, and ids after which a segment ends with the document it is in.
 BLOCK, SEGMENT = 1024, 1 << 18
 INDEX = np.dtype([("start", "<u4"), ("exceptions_start", "<u4"), ("minimum", "<u4"), ("exceptions", "<u2"), ("width", "u1")])
+#: Widths at which the packed values are machine integers.
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 SEGMENTS = pa.schema([
     ("shard", pa.int32()), ("segment", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()),
     ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("block_index", pa.binary()),
@@ -42,6 +44,8 @@ def _bits(values: np.ndarray) -> np.ndarray:
 
 def _pack_rows(rows: np.ndarray, width: int) -> np.ndarray:
     """Rows of BLOCK values below 2**width, packed into rows of BLOCK * width / 64 words."""
+    if width in WHOLE:
+        return rows.astype(WHOLE[width]).view("<u8")
     groups = rows.reshape(len(rows), BLOCK // 64, 64).astype(np.uint64)
     words = np.zeros((len(rows), BLOCK // 64, width), np.uint64)
     for j in range(64):
@@ -53,6 +57,8 @@ def _pack_rows(rows: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack_rows(words: np.ndarray, width: int) -> np.ndarray:
+    if width in WHOLE:
+        return words.view(WHOLE[width]).astype(np.uint64)
     groups = words.reshape(len(words), BLOCK // 64, width)
     rows = np.empty((len(words), BLOCK // 64, 64), np.uint64)
     mask = np.uint64((1 << width) - 1)
@@ -76,13 +82,14 @@ def pack(ids: np.ndarray, percentile: float = 0.95) -> tuple[bytes, bytes, bytes
     rows = rows - index["minimum"][:, None]
     place = min(BLOCK - 1, max(0, int(np.ceil(percentile * BLOCK)) - 1))
     index["width"] = _bits(np.partition(rows, place, axis=1)[:, place])
-    high = rows.astype(np.uint64) >> index["width"][:, None].astype(np.uint64)
+    width = index["width"][:, None]
+    high = np.where(width < 32, rows >> np.minimum(width, 31), 0)
     at_block, at_place = np.nonzero(high)
     index["exceptions"] = np.bincount(at_block, minlength=count)
     index["exceptions_start"] = np.cumsum(index["exceptions"]) - index["exceptions"]
     sizes = index["width"].astype(np.int64) * (BLOCK // 8)
     index["start"] = np.cumsum(sizes) - sizes
-    packed: list[bytes] = [b""] * count
+    packed = [b""] * count
     for width in np.unique(index["width"]):
         own = np.flatnonzero(index["width"] == width)
         if width:

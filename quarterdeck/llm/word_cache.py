@@ -13,7 +13,7 @@ from array import array
 from collections.abc import Callable
 
 #: Words that a worker keeps. A full store starts anew when ten times as many words were missing.
-KEPT = 400_000
+KEPT = 800_000
 #: All white space but the space and the line end (fixed by Unicode; four more that Python alone takes for it).
 OTHER_SPACES = "\x1c\x1d\x1e\x1f\t\v\f\r\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 MARKS = ".,;:!?"
@@ -57,12 +57,21 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
+        # the vocabularies' letter for a space
+        self.spaces = {"": "", " ": "Ġ"}
         self.marks = {m: self.whole(m) for m in MARKS}
 
     def whole(self, text: str) -> bytes:
         """The library's ids of a text."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, word: str, space: str = "") -> bytes:
+        """The ids of a word, ``space`` in front. ASCII letters are one word to the vocabulary and go straight to its merges."""
+        if word.isascii() and word.isalpha():
+            return array("I", [t.id for t in self.merges(self.spaces[space] + word)]).tobytes()
+        return self.whole(space + word)
+
     def encode(self, text: str) -> bytes:
         raise NotImplementedError
 
@@ -72,9 +81,12 @@ class ByteLevelEncoder(WordEncoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.first = _Words(self.whole, self.marks)
-        self.later = _Words(lambda word: self.whole(" " + word), self.marks)
         self.line_end = self.whole("\n")
+        self.words = _Words(self._part, self.marks)
+
+    def _part(self, part: str) -> bytes:
+        """A part is what follows a space, or a line end and the word behind it."""
+        return self.line_end + self.word(part[1:]) if part[:1] == "\n" else self.word(part, " ")
 
     @staticmethod
     def plain(text: str) -> bool:
@@ -87,11 +99,9 @@ class ByteLevelEncoder(WordEncoder):
             return b""
         if not self.plain(text):
             return self.whole(text)
-        lines, later = [], self.later.__getitem__
-        for line in text.split("\n"):
-            words = line.split(" ")
-            lines.append(self.first[words[0]] + b"".join(map(later, words[1:])))
-        return self.line_end.join(lines)
+        # the first word stands as if behind a line end
+        parts = ("\n" + text.replace("\n", " \n")).split(" ")
+        return b"".join(map(self.words.__getitem__, parts))[len(self.line_end):]
 
 
 class SpaceDroppingEncoder(WordEncoder):
@@ -99,7 +109,10 @@ class SpaceDroppingEncoder(WordEncoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words = _Words(self.whole, self.marks, str.lower)
+        self.words = _Words(self.word, self.marks, str.lower)
+
+    def word(self, word: str, space: str = "") -> bytes:
+        return super().word(word) if word.islower() else self.whole(word)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
