@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarterdeck.llm.common import utf8
 from quarterdeck.llm.url_filter import host_of
@@ -113,16 +114,16 @@ def identify(records: DataFrame, model: TextModel, threshold: float = 0.5) -> Da
     """``records`` without their text, with lang, probability and accepted.
 
     ``records`` holds text, declared (language of the markup), host and suffix as strings, any of them null,
-    and key columns of other names. Missing evidence of one sort leaves the others to decide. A text without
+    and key columns; one with the name of a result gives way to it. Missing evidence of one sort leaves the others to decide. A text without
     letters has no language of its own: its lang is ``und`` and it isn't accepted. Nor is one that noise explains
     better than any language, or whose best language stays below ``threshold``. Equal probabilities go to
     the first language in the alphabet. Repeated rows are judged alike; an empty table gives an empty result.
     """
     size = len(model.langs) + 1
-    keys = [c for c in records.columns if c not in ("text", "declared", "host", "suffix")]
-    names = [*keys, "declared", "host", "suffix"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.select(*names).schema)
-    scored = records.select(*names, "text").mapInArrow(_scorer(model), f"{kinds}, likelihoods array<double>, n_trigrams long")
+    keys = [c for c in records.columns if c not in ("text", "declared", "host", "suffix", "lang", "probability", "accepted")]
+    scored = records.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("keys"), "declared", "host", "suffix", "text")
+    scored = scored.mapInArrow(_scorer(model), T.StructType([*scored.schema[:-1], T.StructField("likelihoods", T.ArrayType(T.DoubleType())),
+                                                             T.StructField("n_trigrams", T.LongType())]))
     tempered = F.transform("likelihoods", lambda x: x * TEMPER)
     scored = pin(scored.withColumns({
         "host": F.coalesce("host", F.lit("")), "suffix": F.coalesce("suffix", F.lit("")), "declared": F.lower(F.trim(F.coalesce("declared", F.lit("")))),
@@ -158,7 +159,7 @@ def identify(records: DataFrame, model: TextModel, threshold: float = 0.5) -> Da
               .withColumn("posterior", _softmax(fused)).withColumn("probability", F.array_max("posterior")))
     best = F.get(F.array(*[F.lit(x) for x in [*model.langs, UNKNOWN]]), F.array_position("posterior", F.col("probability")).cast("int") - 1)
     best = F.when(F.col("n_trigrams") > 0, best).otherwise(F.lit(UNKNOWN))
-    return judged.select(*keys, best.alias("lang"), "probability",
+    return judged.select(*[F.col(f"keys.`{c}`") for c in keys], best.alias("lang"), "probability",
                          ((best != UNKNOWN) & (F.col("probability") >= threshold)).alias("accepted"))
 
 

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarterdeck.llm.common import SPACES, rows_out, texts_of, utf8
 from quarterdeck.session import pin
@@ -121,40 +122,32 @@ def keep_bitmaps(df: DataFrame, min_chars: int = 10, key: str = "doc_id", text:
     return found.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "body", "n_dropped", "keep")
 
 
-def _apply(names: list[str]):
-    def of(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, lines, dropped = [], [], []
-            for text, keep in zip(utf8(batch, _TEXT), batch.column(_KEEP).to_pylist(), strict=True):
-                lines.append(text.count(b"\n") + 1)
-                dropped.append(0)
-                if keep is not None:
-                    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), bitorder="little")
-                    stay = np.ones(max(lines[-1], len(bits)), np.uint8)
-                    stay[:len(bits)] = bits
-                    text = b"\n".join(line for line, s in zip(text.split(b"\n"), stay.tolist(), strict=False) if s)
-                    dropped[-1] = lines[-1] - int(stay[:lines[-1]].sum())
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
-                names=[*names, _TEXT, _LINES, _DROPPED])
-
-    return of
-
-
-# inner names, so that no column of the input can be mistaken for them
-_TEXT, _KEEP, _LINES, _DROPPED = "__text", "__keep", "__n_lines", "__n_dropped"
+def _apply(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, lines, dropped = [], [], []
+        for text, keep in zip(utf8(batch, "text"), batch.column("keep").to_pylist(), strict=True):
+            lines.append(text.count(b"\n") + 1)
+            dropped.append(0)
+            if keep is not None:
+                bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), bitorder="little")
+                stay = np.ones(max(lines[-1], len(bits)), np.uint8)
+                stay[:len(bits)] = bits
+                text = b"\n".join(line for line, s in zip(text.split(b"\n"), stay.tolist(), strict=False) if s)
+                dropped[-1] = lines[-1] - int(stay[:lines[-1]].sum())
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()),
+                                          pa.array(dropped, pa.int64())], names=["rest", "text", "n_lines", "n_dropped"])
 
 
 def _applied(df: DataFrame, min_chars: int, key: str, text: str) -> DataFrame:
-    """``df`` without its text, and the inner columns."""
-    bitmaps = _keep_bitmaps(_documents(df, key, text), min_chars).select("doc", "body", "keep").toDF("__doc", "__body", _KEEP)
+    """rest (a struct of the other columns), text, n_lines, n_dropped."""
+    bitmaps = _keep_bitmaps(_documents(df, key, text), min_chars).select("doc", "body", "keep")
     own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    names = [c for c in df.columns if c != text]
-    rows = df.withColumns({_TEXT: own, "__doc": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)), "__body": F.xxhash64(own)})
-    joined = rows.join(bitmaps, ["__doc", "__body"], "left").select(*[f"`{c}`" for c in names], _TEXT, _KEEP)
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != text)
-    return joined.mapInArrow(_apply(names), f"{kinds}{_TEXT} string, {_LINES} long, {_DROPPED} long")
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text])
+    rows = df.select(rest.alias("rest"), own.alias("text"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(own).alias("body"))
+    joined = rows.join(bitmaps, ["doc", "body"], "left").select("rest", "text", "keep")
+    return joined.mapInArrow(_apply, T.StructType([joined.schema["rest"], joined.schema["text"], *(
+        T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped"))]))
 
 
 def drop_repeated_lines(df: DataFrame, min_chars: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,10 +158,10 @@ def drop_repeated_lines(df: DataFrame, min_chars: int = 10, key: str = "doc_id",
     left out. An empty table gives an empty result.
     """
     kept = _applied(df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), min_chars, "doc_id", "text")
-    return kept.toDF("doc_id", "text", "n_lines", "n_dropped")
+    return kept.select("rest.doc_id", "text", "n_lines", "n_dropped")
 
 
 def without_repeated_lines(df: DataFrame, min_chars: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with all its columns, the lines that go taken out of ``text``; a null text becomes empty."""
     kept = _applied(df, min_chars, key, text)
-    return kept.select(*[F.col(_TEXT).alias(text) if c == text else F.col(f"`{c}`") for c in df.columns])
+    return kept.select(*[F.col("text").alias(text) if c == text else F.col(f"rest.`{c}`") for c in df.columns])

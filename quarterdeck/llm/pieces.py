@@ -96,15 +96,18 @@ class Model:
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         with open(path, "rb") as f:
             fields = list(_fields(f.read()))
-        normaliser = dict(kv for n, v in fields if n == NORMALISER for kv in _fields(v))
-        self.map = CharacterMap(normaliser.get(CHARACTER_MAP, b""))
-        self.prefix, self.squeeze = normaliser.get(DUMMY_PREFIX, 1), normaliser.get(REMOVE_EXTRA_SPACES, 1)
-        self.space = SPACE if normaliser.get(ESCAPE_SPACES, 1) else b" "
+        self.read_normaliser(b"".join(v for n, v in fields if n == NORMALISER))
         pieces = [dict(_fields(v)) for n, v in fields if n == PIECES]
         self.unknown = next(i for i, p in enumerate(pieces) if p.get(KIND) == UNKNOWN)
         self.sizes = np.array([1 if p.get(KIND) == BYTE else len(p[PIECE]) for p in pieces], np.int64)
         self.end = self.library.eos_id()
 
+    def read_normaliser(self, message: bytes) -> None:
+        normaliser = dict(_fields(message))
+        self.map = CharacterMap(normaliser.get(CHARACTER_MAP, b""))
+        self.prefix, self.squeeze = normaliser.get(DUMMY_PREFIX, 1), normaliser.get(REMOVE_EXTRA_SPACES, 1)
+        self.space = SPACE if normaliser.get(ESCAPE_SPACES, 1) else b" "
+
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised text, and for each of its bytes and its end the place in the original."""
         if not self.map.first and not self.squeeze:

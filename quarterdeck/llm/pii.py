@@ -170,20 +170,17 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -
     merged = runs.groupBy("doc_id", "body", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"),
                                                        F.min_by("kind", F.struct("start", "kind_no")).alias("kind"))
     cuts = pin(merged.groupBy("doc_id", "body").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts")), "cuts")
-    own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    names = [f"{n}__cut" for n in ("id", "body", "cuts")]
-    cuts = cuts.toDF(*names)
-    joined = df.join(cuts, F.col(f"`{key}`").cast("long").eqNullSafe(F.col(names[0])) & (F.xxhash64(own) == F.col(names[1])), "left")
-    rows, last = F.col(names[2]), F.size(names[2])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("rest"), F.col(f"`{key}`").cast("long").alias("ident"),
+                     F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("own")).withColumn("hash", F.xxhash64("own"))
+    joined = rows.join(cuts, F.col("ident").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("body")), "left")
+    own, last = F.col("own"), F.size("cuts")
 
     def before(place: Column) -> Column:
-        begin = F.when(place == 0, F.lit(0)).otherwise(F.get(rows, place - 1)["end"])
-        span = F.get(rows, place)
+        begin = F.when(place == 0, F.lit(0)).otherwise(F.get("cuts", place - 1)["end"])
+        span = F.get("cuts", place)
         return F.concat(F.substring(own, (begin + 1).cast("int"), (span["start"] - begin).cast("int")), F.lit("["), F.upper(span["kind"]), F.lit("]"))
 
     parts = F.transform(F.sequence(F.lit(0), last - 1), before)
-    end = F.get(rows, last - 1)["end"]
-    rest = F.substring(own, (end + 1).cast("int"), F.length(own))
-    clean = F.when(rows.isNull(), F.col(f"`{text}`")).otherwise(F.concat(F.array_join(parts, ""), rest))
-    return joined.withColumn(text, clean).select(*[f"`{c}`" for c in df.columns])
-
+    rest = F.substring(own, (F.get("cuts", last - 1)["end"] + 1).cast("int"), F.length(own))
+    clean = F.when(F.col("cuts").isNull(), F.col(f"rest.`{text}`")).otherwise(F.concat(F.array_join(parts, ""), rest))
+    return joined.select(*[clean.alias(text) if c == text else F.col(f"rest.`{c}`") for c in df.columns])
