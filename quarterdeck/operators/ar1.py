@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-
-from quarterdeck.panel import PanelSpec
+from quarterdeck.panel import PanelSpec, column
 
 # Pairs needed for a fit, and the largest size of the coefficient.
 MIN_PAIRS, MAX_COEFFICIENT = 3, 0.999999
+#: A past whose spread is below this share of its level counts as constant.
+FLAT = 1e-12
 
 
 def impute_ar1(df: DataFrame, spec: PanelSpec, cols: list[str]) -> DataFrame:
@@ -22,43 +21,43 @@ def impute_ar1(df: DataFrame, spec: PanelSpec, cols: list[str]) -> DataFrame:
     the last value is carried. Leading nulls stay. Nothing later than a row is
     used for it.
 
-    Rows arrive sorted by entity and order and are read as a stream. Only running
-    sums are kept between batches, so memory does not depend on the entity's size.
+    An entity of a panel has one row per period, so its rows fit an array: one fold over it per
+    column keeps centred running moments, which hold at any level of the values.
     """
+    if not spec.bounded:
+        raise ValueError("a forward walk is defined by period: it needs a panel")
     types = dict(df.dtypes)
-    layout = df.withColumns({c: df[c].cast("double") for c in cols if types[c] != "double"})
-    parted = layout.repartition(*spec.entity).sortWithinPartitions(*spec.entity, *spec.order)
-    return parted.mapInPandas(_walker(list(spec.entity), cols), layout.schema)
-
-
-def _walker(entity: list[str], cols: list[str]):
-    # everything the tasks need is inside, so it travels with the job
-    min_pairs, limit = MIN_PAIRS, MAX_COEFFICIENT
-
-    def forecast(state, last):
-        n, sx, sy, sxx, sxy = state
-        with np.errstate(divide="ignore", invalid="ignore"):
-            spread = sxx - sx * sx / n
-            slope = np.clip((sxy - sx * sy / n) / spread, -limit, limit)
-            usable = (n >= min_pairs) & (spread > 1e-12 * sxx)
-            line = (sy - slope * sx) / n + slope * last
-        return np.where(usable, line, last)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, state, last = None, None, None
-        for batch in batches:
-            x = batch[cols].to_numpy(dtype="float64", copy=True)
-            for i, key in enumerate(batch[entity].itertuples(index=False, name=None)):
-                if key != held:
-                    held, state, last = key, np.zeros((5, len(cols))), np.full(len(cols), np.nan)
-                gaps = np.isnan(x[i]) & ~np.isnan(last)
-                if gaps.any():
-                    x[i] = np.where(gaps, forecast(state, last), x[i])
-                pair = ~np.isnan(last) & ~np.isnan(x[i])
-                a, b = np.where(pair, last, 0.0), np.where(pair, x[i], 0.0)
-                state += np.stack([pair, a, b, a * a, a * b])
-                last = x[i].copy()
-            batch[cols] = x
-            yield batch
-
-    return walk
+    layout = df.withColumns({c: column(c).cast("double") for c in cols if types[c] != "double"})
+    order = F.struct(*[column(c).alias(f"o{i}") for i, c in enumerate(spec.order)])
+    row = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(layout.columns)])
+    # ties of the order are settled by the row, so that a repeated run walks the same way
+    walked = layout.groupBy(*[column(e).alias(f"_e{i}") for i, e in enumerate(spec.entity)]).agg(
+        F.sort_array(F.collect_list(F.struct(order.alias("o"), row.alias("r")))).alias("_rows"))
+    places = {c: f"c{i}" for i, c in enumerate(layout.columns)}
+    for n, c in enumerate(cols):
+        walked = walked.withColumn(f"_w{n}", _walk(F.col("_rows")["r"][places[c]]))
+    filled = F.arrays_zip(F.col("_rows")["r"].alias("r"), *[F.col(f"_w{n}") for n in range(len(cols))])
+    out = walked.select(F.explode(filled).alias("x"))
+    by_name = {c: F.col("x").getField(f"_w{n}") for n, c in enumerate(cols)}
+    return out.select(*[by_name.get(c, F.col("x")["r"][places[c]]).alias(c) for c in layout.columns])
+
+
+def _walk(values: Column) -> Column:
+    """The values with their gaps filled, as an array."""
+    start = F.expr("named_struct('n', 0L, 'mx', 0D, 'my', 0D, 'xx', 0D, 'xy', 0D, 'last', CAST(NULL AS DOUBLE), "
+                   "'out', CAST(array() AS ARRAY<DOUBLE>))")
+
+    def step(s: Column, x: Column) -> Column:
+        slope = F.greatest(F.least(F.try_divide(s["xy"], s["xx"]), F.lit(MAX_COEFFICIENT)), F.lit(-MAX_COEFFICIENT))
+        usable = (s["n"] >= MIN_PAIRS) & (s["xx"] > s["n"] * F.pow(FLAT * s["mx"], F.lit(2)))
+        forecast = F.when(usable, s["my"] + slope * (s["last"] - s["mx"])).otherwise(s["last"])
+        v = F.coalesce(F.when(F.isnan(x), F.lit(None)).otherwise(x), forecast)
+        pair = s["last"].isNotNull() & v.isNotNull()
+        n = s["n"] + 1
+        dx, dy = s["last"] - s["mx"], v - s["my"]
+        mx, my = s["mx"] + dx / n, s["my"] + dy / n
+        keep = lambda new, old: F.when(pair, new).otherwise(s[old]).alias(old)
+        return F.struct(keep(n, "n"), keep(mx, "mx"), keep(my, "my"), keep(s["xx"] + dx * (s["last"] - mx), "xx"),
+                        keep(s["xy"] + dx * (v - my), "xy"), v.alias("last"), F.concat(s["out"], F.array(v)).alias("out"))
+
+    return F.aggregate(values, start, step, lambda s: s["out"])

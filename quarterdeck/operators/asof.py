@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterdeck.operators.ordered import running
@@ -19,13 +21,14 @@ def _latest_at(times: DataFrame, right: DataFrame, by: list[str], strict: bool,
     ones as one row per month. Finer times have no such bound: there the rows are
     put in order over all tasks and cut into blocks of equal size.
     """
-    # rows that must not be seen at an equal time sort behind the ones that look
+    # a date meets a timestamp as its midnight: the union widens both to the finer type.
+    # Rows that must not be seen at an equal time sort behind the ones that look
     right_side, left_side = (1, 0) if strict else (0, 1)
     empty = F.lit(None).cast(right.schema["_p"].dataType)
     seen = right.select(*by, "_t", F.lit(right_side).alias("_side"), "_p")
     asked = times.select(*by, "_t", F.lit(left_side).alias("_side"), empty.alias("_p"))
     both = seen.unionByName(asked)
-    if dict(times.dtypes)["_t"] == "date":
+    if dict(both.dtypes)["_t"] == "date":
         month = F.trunc("_t", "month").alias("_b")
         ends = both.groupBy(*by, month).agg(
             F.max_by("_p", F.when(F.col("_side") == right_side, F.col("_t"))).alias("_end"))
@@ -43,14 +46,21 @@ def _latest_at(times: DataFrame, right: DataFrame, by: list[str], strict: bool,
     return found.where(answers).select(*by, "_t", F.col("_found").alias("_p"))
 
 
+def _last(tiebreak: str | Sequence[str], payload: Column) -> Column:
+    """What the last of several rows at one time is the largest by."""
+    names = [tiebreak] if isinstance(tiebreak, str) else tiebreak
+    return F.struct(*[column(c).alias(f"_{i}") for i, c in enumerate(names)], payload.alias("_p"))
+
+
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, cols: list[str],
-              by: dict[str, str] | None = None, strict: bool = True, tiebreak: str | None = None,
+              by: dict[str, str] | None = None, strict: bool = True, tiebreak: str | Sequence[str] = (),
               suffix: str = "", block_rows: int = 1_000_000) -> DataFrame:
     """Per left row, ``cols`` of the last right row before its time.
 
     ``strict`` asks for an earlier time, otherwise an equal one counts. ``by``
     maps left to right columns that must be equal. Of right rows at one time the
-    last by ``tiebreak`` is used. A null time finds nothing.
+    last by ``tiebreak`` is used, and of equal ones the one with the largest ``cols``. A
+    null time finds nothing. A date and a timestamp are compared as timestamps.
 
     The answer depends on (by, time) alone: it is worked out for the distinct
     ones and joined back by equality. Dates make that a small table.
@@ -62,9 +72,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, co
              .distinct())
     payload = F.struct(*[column(c) for c in cols])
     kept = right.where(column(right_on).isNotNull())
-    grouped = kept.groupBy(*[column(r).alias(n) for r, n in zip(by.values(), names)],
-                           column(right_on).cast(dict(left.dtypes)[left_on]).alias("_t"))
-    unique = grouped.agg(F.max_by(payload, column(tiebreak or right_on)).alias("_p"))
+    grouped = kept.groupBy(*[column(r).alias(n) for r, n in zip(by.values(), names)], column(right_on).alias("_t"))
+    unique = grouped.agg(F.max_by(payload, _last(tiebreak, payload)).alias("_p"))
     found = pin(_latest_at(times, unique, names, strict, block_rows)
                 .select(*names, "_t", *[F.col("_p")[c].alias(f"{c}{suffix}") for c in cols]), "asof")
     same = column(left_on) == F.col("_t")
@@ -74,9 +83,12 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, co
 
 
 def peer_features(df: DataFrame, peers: dict[str, object], entity: str, on: str, cols: list[str],
-                  tiebreak: str | None = None, block_rows: int = 1_000_000) -> DataFrame:
+                  tiebreak: str | Sequence[str] = (), block_rows: int = 1_000_000) -> DataFrame:
     """The latest result every named peer announced strictly before each row.
 
+    Of a peer's results announced at one time the last by ``tiebreak`` counts, and of equal
+    ones the one with the largest ``cols``.
+
     ``peers`` maps a label to the peer's id; columns come out as ``<col>_<label>``.
     The peers are looked up for the distinct times and laid side by side before
     they meet the rows, so the rows themselves are joined once.
@@ -84,9 +96,10 @@ def peer_features(df: DataFrame, peers: dict[str, object], entity: str, on: str,
     ids = list(peers.values())
     times = (df.where(column(on).isNotNull()).select(column(on).alias("_t")).distinct()
              .withColumn("_by0", F.explode(F.array(*[F.lit(i) for i in ids]))))
+    payload = F.struct(*[column(c) for c in cols])
     rows = df.where(column(entity).isin(*ids) & column(on).isNotNull())
     unique = (rows.groupBy(column(entity).alias("_by0"), column(on).alias("_t"))
-              .agg(F.max_by(F.struct(*[column(c) for c in cols]), column(tiebreak or on)).alias("_p")))
+              .agg(F.max_by(payload, _last(tiebreak, payload)).alias("_p")))
     kind = dict(unique.dtypes)["_by0"]
     times = times.withColumn("_by0", F.col("_by0").cast(kind))
     found = _latest_at(times, unique, ["_by0"], True, block_rows)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from quarterdeck.operators.skew import SALT, equal_keys, spread
 from quarterdeck.panel import column
-from quarterdeck.session import pin
 
 
 def _keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
@@ -25,14 +24,15 @@ def _keyed_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
 
 
 def join_statements(base: DataFrame, *others: DataFrame, keys: list[str],
-                    null_safe: bool = False) -> DataFrame:
+                    null_safe: bool = False, heavy: dict[int, float] | None = None) -> DataFrame:
     """``base`` left-joined to each statement table on the identity keys.
 
     A column present already is not repeated: the first copy wins. All joins use
-    the same keys, so each input is shuffled once; keys that hold a large share
-    of ``base`` are spread over several partitions for the whole chain.
+    the same keys, so each input is shuffled once. ``heavy`` names keys that hold a large share of
+    ``base``, as ``skew.heavy_keys`` finds them: they are spread over several partitions
+    for the whole chain.
     """
-    base, sides, on = spread(base, list(others), list(keys))
+    base, sides, on = spread(base, list(others), list(keys), heavy)
 
     def add(left, right):
         fresh = [c for c in right.columns if c in on or c not in left.columns]
@@ -53,17 +53,26 @@ def join_on_period(x: DataFrame, y: DataFrame, keys: list[str], null_safe: bool
     return _keyed_join(x, y, keys, "left", null_safe)
 
 
-def outer_join_series(*series: DataFrame, key: str) -> DataFrame:
-    """Every key of any series; absent values are null."""
-    return reduce(lambda a, b: a.join(b, key, "outer"), series)
+def outer_join_series(*series: DataFrame, key: str, null_safe: bool = False) -> DataFrame:
+    """Every key of any series; absent values are null. With ``null_safe`` null keys equal each other."""
+    def both(a: DataFrame, b: DataFrame) -> DataFrame:
+        if not null_safe:
+            return a.join(b, key, "outer")
+        right = b.withColumnRenamed(key, "_key").withColumn("_there", F.lit(True))
+        joined = a.join(right, column(key).eqNullSafe(F.col("_key")), "outer")
+        return joined.withColumn(key, F.when(F.col("_there"), F.col("_key")).otherwise(column(key))).drop("_key", "_there")
 
+    return reduce(both, series)
 
-def right_join_series(left: DataFrame, right: DataFrame, *more: DataFrame, key: str) -> DataFrame:
+
+def right_join_series(left: DataFrame, right: DataFrame, *more: DataFrame, key: str, null_safe: bool = False) -> DataFrame:
     """Keys of ``right``, with ``left`` and any further series attached."""
-    return reduce(lambda a, b: a.join(b, key, "left"), more, left.join(right, key, "right"))
+    order = [key, *[c for s in (left, right, *more) for c in s.columns if c != key]]
+    sides = reduce(lambda a, b: _keyed_join(a, b, [key], "left", null_safe), (left, *more), right)
+    return sides.select(*[column(c) for c in order])
 
 
-def join_month_series(df: DataFrame, month: str, *series: DataFrame) -> DataFrame:
+def join_month_series(df: DataFrame, month: str, *series: DataFrame, null_safe: bool = False) -> DataFrame:
     """Attach monthly series by calendar month.
 
     The series hold one row per month, so they are joined with each other first
@@ -74,11 +83,12 @@ def join_month_series(df: DataFrame, month: str, *series: DataFrame) -> DataFram
     for s in series:
         parts.append(s.select(month, *[column(c) for c in s.columns if c not in taken]))
         taken.update(s.columns)
-    return df.join(pin(outer_join_series(*parts, key=month), "months"), month, "left")
+    months = outer_join_series(*parts, key=month, null_safe=null_safe)
+    return _keyed_join(df, months, [month], "left", null_safe)
 
 
 def join_exact_date(df: DataFrame, other: DataFrame, on: dict[str, str],
-                    suffix: str = "_right") -> DataFrame:
+                    suffix: str = "_right", null_safe: bool = False) -> DataFrame:
     """Left join on differing key names: ``on[left_key] = right_key``.
 
     Columns of ``other`` whose name is taken get ``suffix``; its keys are dropped.
@@ -86,5 +96,5 @@ def join_exact_date(df: DataFrame, other: DataFrame, on: dict[str, str],
     keys = {r: f"_key_{i}" for i, r in enumerate(on.values())}
     rest = {c: f"{c}{suffix}" for c in other.columns if c in df.columns and c not in keys}
     right = other.withColumnsRenamed({**keys, **rest})
-    same = reduce(lambda a, b: a & b, [column(l) == F.col(keys[r]) for l, r in on.items()])
+    same = equal_keys(list(on), {left: keys[r] for left, r in on.items()}, null_safe)
     return df.join(right, same, "left").drop(*keys.values())

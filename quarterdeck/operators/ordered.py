@@ -10,6 +10,7 @@ a running value crosses blocks as one carried row per block.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -109,3 +110,36 @@ def running(df: DataFrame, spec: PanelSpec, wanted: dict[str, tuple[str, Column]
     out = out.withColumns({n: _RUNNING[k][2](F.col(f"_c_{n}"), F.col(n))
                            for n, (k, _) in wanted.items()}).drop(*[f"_c_{n}" for n in wanted])
     return out if POSITION in df.columns else out.drop(POSITION, HOME)
+
+
+def affine_prefix(steps: DataFrame, entity: list[str], rows: int, block_rows: int = 1_000) -> DataFrame:
+    """``entity``, POSITION and ``_v``: the state after each step v -> a * v + b, from zero on.
+
+    ``steps`` holds ``entity``, POSITION, ``_a`` and ``_b``; ``rows`` is an upper bound on the positions.
+    Steps compose, so a block of positions is folded on its own and handed on as one step, and the blocks are
+    worked out in the same way, level by level. No task holds more than a block.
+    """
+    block = F.floor(F.col(POSITION) / block_rows)
+    item = F.struct(F.col(POSITION).alias("at"), F.col("_a").alias("a"), F.col("_b").alias("b"))
+    start = F.expr("named_struct('a', 1D, 'b', 0D, 'all', CAST(array() AS ARRAY<STRUCT<at: BIGINT, a: DOUBLE, b: DOUBLE>>))")
+
+    def add(done, step):
+        a, b = done["a"] * step["a"], step["a"] * done["b"] + step["b"]
+        row = F.struct(step["at"].cast("long").alias("at"), a.alias("a"), b.alias("b"))
+        return F.struct(a.alias("a"), b.alias("b"), F.concat(done["all"], F.array(row)).alias("all"))
+
+    folded = steps.groupBy(*entity, block.alias("_blk")).agg(
+        F.aggregate(F.sort_array(F.collect_list(item)), start, add).alias("_f"))
+    inside = folded.select(*entity, "_blk", F.explode("_f.all").alias("_s"))
+    if rows <= block_rows:
+        return inside.select(*entity, F.col("_s.at").alias(POSITION), F.col("_s.b").alias("_v"))
+    ends = folded.select(*entity, F.col("_blk").alias(POSITION), F.col("_f.a").alias("_a"), F.col("_f.b").alias("_b"))
+    reached = affine_prefix(ends, entity, -(-rows // block_rows), block_rows)
+    # a block starts from where the last one before it that has steps ended
+    before = Window.partitionBy(*entity).orderBy(POSITION)
+    names = {e: f"_e{i}" for i, e in enumerate(entity)}
+    starts = reached.select(*[column(e).alias(n) for e, n in names.items()], F.col(POSITION).alias("_at"),
+                            F.lag("_v").over(before).alias("_start"))
+    same = reduce(lambda x, y: x & y, [column(e).eqNullSafe(F.col(n)) for e, n in names.items()], F.col("_blk") == F.col("_at"))
+    return inside.join(starts, same, "left").select(*entity, F.col("_s.at").alias(POSITION), (
+        F.col("_s.a") * F.coalesce("_start", F.lit(0.0)) + F.col("_s.b")).alias("_v"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterdeck.operators.skew import SALT, equal_keys, spread
+from quarterdeck.operators.skew import SALT, spread
 from quarterdeck.panel import column
 
 # The lower rank is preferred, a code that is not listed is unknown.
@@ -19,26 +19,24 @@ UNKNOWN = 99
 def latest_revision(df: DataFrame, keys: list[str], revision: str) -> DataFrame:
     """All rows of the highest revision of each key; equal revisions are all kept.
 
-    The highest revision comes from a partial aggregate and is joined back, so a
-    key with very many rows is never ranked inside one task: its rows are spread.
-    Null keys form a group of their own.
+    A rank filter: Spark drops what can't have rank 1 before the shuffle, so of a key with very many rows
+    only each task's rows of its highest revision travel. Null keys form a group of
+    their own, and a null revision is below all others.
     """
-    newest = df.groupBy(*keys).agg(F.max(column(revision)).alias("_newest"))
-    rows, (newest,), on = spread(df, [newest], keys)
-    names = {k: f"_k{i}" for i, k in enumerate(on)}
-    same = equal_keys(on, names) & column(revision).eqNullSafe(F.col("_newest"))
-    return rows.join(newest.withColumnsRenamed(names), same, "left_semi").drop(SALT)
+    newest = Window.partitionBy(*[column(k) for k in keys]).orderBy(column(revision).desc_nulls_last())
+    return df.withColumn("_rank", F.rank().over(newest)).where(F.col("_rank") == 1).drop("_rank")
 
 
 def latest_revision_join(base: DataFrame, revised: DataFrame, keys: list[str],
-                         revision: str) -> DataFrame:
+                         revision: str, heavy: dict[int, float] | None = None) -> DataFrame:
     """``base`` with the newest revision of each key; keys without one drop out.
 
-    Several rows of the newest revision repeat the base row.
+    Several rows of the newest revision repeat the base row. ``heavy`` names the keys of ``base``
+    to spread, as ``skew.heavy_keys`` finds them.
     """
     newest = latest_revision(revised, keys, revision)
     clash = [c for c in newest.columns if c in base.columns and c not in keys]
-    rows, (newest,), on = spread(base, [newest.drop(*clash)], keys)
+    rows, (newest,), on = spread(base, [newest.drop(*clash)], keys, heavy)
     return rows.join(newest, on, "inner").drop(SALT)
 
 

@@ -40,25 +40,23 @@ def heavy_keys(df: DataFrame, keys: list[str], share: float = 0.01) -> dict[int,
 
 
 def spread(left: DataFrame, rights: list[DataFrame], keys: list[str],
-           share: float = 0.01) -> tuple[DataFrame, list[DataFrame], list[str]]:
-    """Salt the heavy keys of ``left`` and repeat their rows in each of ``rights``.
+           heavy: dict[int, float] | None = None) -> tuple[DataFrame, list[DataFrame], list[str]]:
+    """Salt the ``heavy`` keys of ``left`` and repeat their rows in each of ``rights``.
 
-    Returns the frames and the keys to join them on. A key is spread over as many
-    partitions as its rows would fill; without heavy keys nothing is changed. The
-    salt depends on the row and on its input partition, so copies of a row are
-    spread too, and a task that is run again draws the same salts.
+    ``heavy`` is what ``heavy_keys`` returns; a caller that knows of heavy keys passes it, and without it
+    nothing is read and nothing is changed. Returns the frames and the keys to join them on. Each key is
+    spread over as many partitions as its own rows would fill. The salt depends on the row and on its input
+    partition, so copies of a row are spread too, and a task that is run again draws the same salts.
     """
     partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = {h: math.ceil(s * partitions) for h, s in heavy_keys(left, keys, share).items()}
-    heavy = [h for h, n in salts.items() if n > 1]
-    if not heavy:
+    salts = {h: n for h, s in (heavy or {}).items() if (n := math.ceil(s * partitions)) > 1}
+    if not salts:
         return left, rights, keys
-    n = max(salts.values())
-    is_heavy = _hash(keys).isin(*heavy)
-    draw = F.pmod(F.xxhash64(F.spark_partition_id(), *[column(c) for c in left.columns]), F.lit(n)).cast("int")
-    salted = left.withColumn(SALT, F.when(is_heavy, draw).otherwise(F.lit(0)))
-    every = F.when(is_heavy, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
-    return salted, [r.withColumn(SALT, F.explode(every)) for r in rights], [*keys, SALT]
+    by_hash = F.create_map(*[F.lit(x) for pair in salts.items() for x in pair])
+    count = F.coalesce(F.try_element_at(by_hash, _hash(keys)), F.lit(1))
+    draw = F.pmod(F.xxhash64(F.spark_partition_id(), *[column(c) for c in left.columns]), count).cast("int")
+    every = F.explode(F.sequence(F.lit(0), count - 1))
+    return left.withColumn(SALT, draw), [r.withColumn(SALT, every) for r in rights], [*keys, SALT]
 
 
 def equal_keys(keys: list[str], renamed: dict[str, str], null_safe: bool = True) -> Column:

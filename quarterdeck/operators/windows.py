@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterdeck.functions.numeric import ratio
-from quarterdeck.operators.ordered import HOME, POSITION, over_rows, running, with_blocks
+from quarterdeck.operators.ordered import HOME, POSITION, affine_prefix, over_rows, running, with_blocks
 from quarterdeck.panel import PanelSpec, column
 
 
@@ -123,35 +121,37 @@ def growth_rate(df: DataFrame, spec: PanelSpec, cols: list[str]) -> DataFrame:
     return out if spec.bounded else out.drop(POSITION, HOME)
 
 
-def ema(df: DataFrame, spec: PanelSpec, cols: list[str], span: int = 3) -> DataFrame:
-    """Recursive exponential average with alpha = 2 / (span + 1).
+def ema(df: DataFrame, spec: PanelSpec, cols: list[str], span: int = 3, fold_rows: int = 1_000) -> DataFrame:
+    """Recursive exponential average with alpha = 2 / (span + 1), over the whole history.
 
-    Over a gap the weight of the past keeps decaying and the value is carried.
-    The fold runs over the last K observations, K such that what is older weighs
-    less than a double can hold, so the work per row is bounded.
+    Over a gap the weight of the past keeps decaying and the value is carried. In a
+    bounded panel each row folds the observations up to it. In an unbounded frame the
+    average is an affine step of the one before, and steps are composed by blocks
+    of ``fold_rows`` positions.
     """
     alpha = 2.0 / (span + 1)
-    reach = math.ceil(53 * math.log(2) / -math.log(1 - alpha)) if alpha < 1 else 1
+    past = lambda gap: F.pow(F.lit(1 - alpha), gap.cast("double"))
     placed = df if spec.bounded else with_blocks(df, spec)
     if spec.bounded:
         placed = placed.withColumn(POSITION, F.row_number().over(spec.window()))
+    else:
+        rows = placed.count()
 
     def fold(history):
         # history: structs (x, at), oldest first; the first one seeds the average
         seed = F.struct(history[0]["x"].alias("v"), history[0]["at"].alias("at"))
 
         def step(acc, cur):
-            past = F.pow(F.lit(1 - alpha), (cur["at"] - acc["at"]).cast("double"))
-            return F.struct(((past * acc["v"] + alpha * cur["x"]) / (past + alpha)).alias("v"),
-                            cur["at"].alias("at"))
-        return F.aggregate(F.slice(history, 2, reach + 1), seed, step, lambda acc: acc["v"])
+            weight = past(cur["at"] - acc["at"])
+            return F.struct(((weight * acc["v"] + alpha * cur["x"]) / (weight + alpha)).alias("v"), cur["at"].alias("at"))
+        return F.aggregate(F.slice(history, 2, F.size(history)), seed, step, lambda acc: acc["v"])
 
     for c in cols:
         x = column(c).cast("double")
         if spec.bounded:
-            # only observed rows share a partition, so the frame counts observations
+            # only observed rows share a partition, so the frame holds observations alone
             w = (Window.partitionBy(*spec.entity, column(c).isNull()).orderBy(POSITION)
-                 .rowsBetween(-reach, 0))
+                 .rowsBetween(Window.unboundedPreceding, 0))
             history = F.collect_list(F.struct(x.alias("x"), F.col(POSITION).alias("at"))).over(w)
             placed = placed.withColumn("_h", history).withColumn(
                 "_e", F.when(column(c).isNotNull(), fold(F.col("_h"))))
@@ -160,12 +160,12 @@ def ema(df: DataFrame, spec: PanelSpec, cols: list[str], span: int = 3) -> DataF
                 *spec.entity, F.col(POSITION).alias("_at"), x.alias("_x"))
             # blocks of observations, so that a block border copies observations too
             dense = PanelSpec(spec.entity, ("_at",), False, spec.block_rows)
-
-            def build(w):
-                item = F.struct(F.col("_x").alias("x"), F.col("_at").alias("at"))
-                return {"_h": F.collect_list(item).over(w.rowsBetween(-reach, 0))}
-            values = over_rows(seen, dense, build, before=reach).select(
-                F.col("_at").alias(POSITION), fold(F.col("_h")).alias("_e"))
+            steps = over_rows(seen, dense, lambda w: {"_gap": F.col("_at") - F.lag("_at").over(w)}, before=1)
+            weight = past(F.col("_gap"))
+            steps = steps.select(*spec.entity, F.col("_at").alias(POSITION),
+                                 F.when(F.col("_gap").isNull(), 0.0).otherwise(weight / (weight + alpha)).alias("_a"),
+                                 F.when(F.col("_gap").isNull(), F.col("_x")).otherwise(alpha * F.col("_x") / (weight + alpha)).alias("_b"))
+            values = affine_prefix(steps, list(spec.entity), rows, fold_rows).select(POSITION, F.col("_v").alias("_e"))
             placed = placed.join(values, POSITION, "left")
         placed = running(placed, spec, {f"{c}_ema_{span}": ("last", F.col("_e"))}).drop("_h", "_e")
     return placed.drop(POSITION, HOME)

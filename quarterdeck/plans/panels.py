@@ -48,7 +48,7 @@ def clean_panel(filings: DataFrame, company: DataFrame, codes: DataFrame, *, lab
     if outlier:
         kept = drop_max_outlier(kept, outlier, [f"{outlier}_lag1"])
     led_targets = [f"{t}_lag1" for t in targets]
-    out = peer_features(kept, peers, entity, f"{announced}_lag1", led_targets, tiebreak=f"{announced}_lag1")
+    out = peer_features(kept, peers, entity, f"{announced}_lag1", led_targets, tiebreak=["yr", "qtr"])
     labels = map_codes(company, codes, code_maps, code_order).select(entity, *[f"{c}_mapped" for c in code_maps])
     return join_dimension(out, labels, entity)
 

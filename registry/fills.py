@@ -40,21 +40,19 @@ def fill_sql(src: str, x: str, part: str = "entity", order: str = "yr, qtr", tag
 
 
 def ar1_sql(src: str, x: str, name: str) -> str:
-    """CTE ``name``: the forward walk one row at a time, with its running sums."""
+    """CTE ``name``: the forward walk one row at a time; each fit goes over the lists of all earlier pairs."""
     return f"""
 {name}_n AS (SELECT entity, yr, qtr, {x} AS x, row_number() OVER (PARTITION BY entity ORDER BY yr, qtr) AS i FROM {src}),
-{name} AS (SELECT entity, yr, qtr, i, CAST(x AS DOUBLE) AS v, 0::DOUBLE AS n, 0::DOUBLE AS sx, 0::DOUBLE AS sy,
-    0::DOUBLE AS sxx, 0::DOUBLE AS sxy FROM {name}_n WHERE i = 1
+{name} AS (SELECT entity, yr, qtr, i, CAST(x AS DOUBLE) AS v, []::DOUBLE[] AS xs, []::DOUBLE[] AS ys FROM {name}_n WHERE i = 1
   UNION ALL
-  SELECT entity, yr, qtr, i, v, CASE WHEN p THEN n + 1 ELSE n END, CASE WHEN p THEN sx + l ELSE sx END,
-    CASE WHEN p THEN sy + v ELSE sy END, CASE WHEN p THEN sxx + l * l ELSE sxx END, CASE WHEN p THEN sxy + l * v ELSE sxy END
+  SELECT entity, yr, qtr, i, v, CASE WHEN p THEN list_append(xs, l) ELSE xs END, CASE WHEN p THEN list_append(ys, v) ELSE ys END
   FROM (SELECT *, l IS NOT NULL AND v IS NOT NULL AS p FROM (
     SELECT *, CASE WHEN x IS NOT NULL THEN x WHEN l IS NULL THEN NULL
-                   WHEN n >= 3 AND spread > 1e-12 * sxx THEN (sy - slope * sx) / n + slope * l ELSE l END AS v
-    FROM (SELECT *, CASE WHEN n >= 3 AND spread > 0
-                         THEN greatest(least((sxy - sx * sy / n) / spread, 0.999999), -0.999999) END AS slope
-      FROM (SELECT r.entity, r.yr, r.qtr, r.i, r.x, w.v AS l, n, sx, sy, sxx, sxy,
-                   CASE WHEN n > 0 THEN sxx - sx * sx / n END AS spread
+                   WHEN len(xs) >= 3 AND sxx > len(xs) * (1e-12 * mx) ** 2
+                   THEN my + greatest(least(sxy / nullif(sxx, 0), 0.999999), -0.999999) * (l - mx) ELSE l END AS v
+    FROM (SELECT *, list_sum(list_transform(xs, lambda q: (q - mx) ** 2)) AS sxx,
+                 list_sum(list_transform(list_zip(xs, ys), lambda z: (z[1] - mx) * (z[2] - my))) AS sxy
+      FROM (SELECT r.entity, r.yr, r.qtr, r.i, r.x, w.v AS l, xs, ys, list_avg(xs) AS mx, list_avg(ys) AS my
             FROM {name} w JOIN {name}_n r ON r.entity = w.entity AND r.i = w.i + 1) AS a) AS b) AS c) AS d)"""
 
 

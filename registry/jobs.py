@@ -189,9 +189,9 @@ filing AS (SELECT CAST(l_suppkey AS INT) AS entity, CAST(year(l_shipdate) AS INT
 
 
 def _peer(label: str, entity: int) -> str:
-    return f"""ASOF LEFT JOIN (SELECT announced_lag1 AS a_{label}, any_value(sales_lag1) AS sales_lag1_{label},
-    any_value(capex_lag1) AS capex_lag1_{label} FROM kept WHERE entity = {entity} AND announced_lag1 IS NOT NULL
-    GROUP BY announced_lag1 HAVING count(*) = 1) AS {label} ON announced_lag1 > a_{label}"""
+    return f"""ASOF LEFT JOIN (SELECT announced_lag1 AS a_{label}, arg_max({{'s': sales_lag1}}, yr * 10 + qtr).s AS sales_lag1_{label},
+    arg_max({{'c': capex_lag1}}, yr * 10 + qtr).c AS capex_lag1_{label} FROM kept WHERE entity = {entity} AND announced_lag1 IS NOT NULL
+    GROUP BY announced_lag1) AS {label} ON announced_lag1 > a_{label}"""
 
 
 @query("clean_panel", f"""

@@ -66,3 +66,23 @@ def test_peers_side_by_side(rows):
     got = {(r["e"], r["t"]): (r["v_P"], r["v_Q"]) for r in peer_features(df, {"P": "p", "Q": "q"}, "e", "t", ["v"]).collect()}
     assert got == {("p", _day(1)): (None, None), ("p", _day(5)): (1, 3), ("q", _day(3)): (1, None),
                    ("r", _day(4)): (1, 3), ("r", _day(9)): (2, 3), ("r", None): (None, None)}
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_a_date_meets_a_timestamp_as_its_midnight(rows, strict):
+    day, noon = dt.date(2020, 1, 1), dt.datetime(2020, 1, 1, 15)
+    late = asof_join(rows("t date", [(day,)]), rows("u timestamp, v int", [(noon, 1)]), "t", "u", ["v"], strict=strict)
+    assert late.first()["v"] is None
+    found = asof_join(rows("t timestamp", [(noon,), (dt.datetime(2020, 1, 1),)]), rows("u date, v int", [(day, 1)]), "t", "u", ["v"], strict=strict)
+    assert {r["t"].hour: r["v"] for r in found.collect()} == {15: 1, 0: None if strict else 1}
+    twice = rows("u timestamp, v int", [(dt.datetime(2020, 1, 1, 9), 1), (dt.datetime(2020, 1, 1, 11), 2)])
+    assert asof_join(rows("t timestamp", [(dt.datetime(2020, 1, 1, 10),)]), twice, "t", "u", ["v"], strict=strict).first()["v"] == 1
+
+
+def test_ties_are_settled_by_all_tie_break_columns(rows):
+    day = dt.date(2020, 1, 1)
+    peers = rows("e string, t date, y int, q int, v int", [("p", day, 2019, 4, 1), ("p", day, 2020, 1, 2), ("p", day, 2019, 3, 9), ("x", dt.date(2020, 2, 1), 2020, 1, 0)])
+    for _ in range(3):
+        got = peer_features(peers.repartition(3), {"P": "p"}, "e", "t", ["v"], tiebreak=["y", "q"])
+        assert got.where("e = 'x'").first()["v_P"] == 2
+    assert peer_features(peers, {"P": "p"}, "e", "t", ["v"]).where("e = 'x'").first()["v_P"] == 9

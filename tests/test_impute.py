@@ -168,3 +168,12 @@ def test_four_frames(spark):
     assert all(f[k].where("entity = 3").count() == 0 for k in f)
     assert f["test_x"].where(F.col("x").isNull()).count() == 0
     assert f["test_x"].count() == f["test_y"].count() == 3 * 12
+
+
+@pytest.mark.parametrize("level", [0.0, 1e8, 1e10])
+def test_ar1_holds_at_any_level(rows, level):
+    series = [200.0, 210.0, 190.0, 205.0, 220.0, 200.0, 195.0, None]
+    got = impute_ar1(rows("e int, t int, x double", [(1, t, None if v is None else v + level) for t, v in enumerate(series)]), SPEC, ["x"])
+    known = np.array(series[:-1])
+    slope, base = np.polyfit(known[:-1] - 200, known[1:] - 200, 1)
+    assert got.where("t = 7").first()["x"] - level == pytest.approx(200 + base + slope * (known[-1] - 200), abs=1e-4)

@@ -21,7 +21,7 @@ def test_heavy_keys_are_found_exactly(spark, lopsided):
 
 
 def test_salt_spreads_a_heavy_key_and_its_copies(lopsided):
-    left, (right,), on = skew.spread(lopsided, [lopsided.groupBy("k").agg(F.max("x").alias("m"))], ["k"])
+    left, (right,), on = skew.spread(lopsided, [lopsided.groupBy("k").agg(F.max("x").alias("m"))], ["k"], skew.heavy_keys(lopsided, ["k"]))
     assert on == ["k", skew.SALT]
     per_salt = [r["count"] for r in left.where("k = 0").groupBy(skew.SALT).count().collect()]
     assert len(per_salt) > 1 and max(per_salt) < sum(per_salt)
@@ -32,7 +32,7 @@ def test_salt_spreads_a_heavy_key_and_its_copies(lopsided):
 def test_joins_keep_every_row(lopsided):
     sums = lopsided.groupBy("k").agg(F.max("x").alias("m"))
     mins = lopsided.groupBy("k").agg(F.min("x").alias("n"))
-    got = joins.join_statements(lopsided, sums, mins, keys=["k"])
+    got = joins.join_statements(lopsided, sums, mins, keys=["k"], heavy=skew.heavy_keys(lopsided, ["k"]))
     assert got.columns == ["k", "r", "x", "m", "n"]
     want = lopsided.join(sums, "k", "left").join(mins, "k", "left")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
@@ -47,5 +47,5 @@ def test_latest_revision_of_a_heavy_key(lopsided):
 
 def test_even_keys_are_left_alone(spark):
     df = spark.range(1000).withColumn("x", F.lit(1))
-    left, rights, on = skew.spread(df, [df], ["id"])
+    left, rights, on = skew.spread(df, [df], ["id"], skew.heavy_keys(df, ["id"]))
     assert left is df and on == ["id"]

@@ -40,7 +40,7 @@ OPERATORS = {
     "return": lambda d, s: windows.period_return(d, s, "y", 6),
     "scaled": lambda d, s: windows.scaled_difference(d, s, "y"),
     "growth": lambda d, s: windows.growth_rate(d, s, ["x", "y"]),
-    "ema": lambda d, s: windows.ema(d, PanelSpec.of("e", "t", bounded=s.bounded, block_rows=60), ["x", "y"], 3),
+    "ema": lambda d, s: windows.ema(d, s, ["x", "y"], 3, fold_rows=7),
 }
 
 
@@ -51,6 +51,14 @@ def test_blocks_equal_plain_windows(series, name):
     pd.testing.assert_frame_equal(plain, blocks[plain.columns], rtol=1e-12)
 
 
+@pytest.mark.parametrize("spec", [PLAIN, BLOCKS])
+def test_ema_never_forgets(rows, spec):
+    x = [1e30] + [1.0] * 79
+    got = _pandas(windows.ema(rows("e int, t int, x double", [(1, t, v) for t, v in enumerate(x)]), spec, ["x"], 3, fold_rows=9))
+    np.testing.assert_allclose(got["x_ema_3"], pd.Series(x).ewm(span=3, adjust=False).mean(), rtol=1e-12)
+    assert got["x_ema_3"].iloc[-1] == pytest.approx(1654362.2251060551, rel=1e-12)
+
+
 def test_ema_equals_pandas(series):
     got = _pandas(windows.ema(series, PLAIN, ["x"], 3))
     want = got.groupby("e")["x"].transform(lambda s: s.ewm(span=3, adjust=False).mean())
