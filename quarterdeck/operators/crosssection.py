@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterdeck.operators.ordered import POSITION, global_position
 from quarterdeck.panel import column
 from quarterdeck.session import pin
 
 STATISTICS = ("mean", "median", "min", "max", "std", "q1", "q3")
 QUARTILES = (0.25, 0.5, 0.75)
-SLICES = 4096
 # values of one group that a task may hold for the built-in percentile
 GROUP_LIMIT = 2_000_000
 
@@ -22,59 +22,37 @@ def group_quantiles(df: DataFrame, by: list[str], col: str, probs=QUARTILES,
     """Exact, linearly interpolated quantiles: one row per group, column ``quantiles``.
 
     Groups up to ``group_limit`` values use the built-in percentile, which holds
-    the distinct values of a group in one task. Larger groups are narrowed down:
-    every round counts the values of the interval that holds the wanted rank in
-    equal slices and keeps the one slice with the rank, until it is one value.
-    Each round is one distributed count with at most ``SLICES`` rows per interval.
+    the distinct values of a group in one task. The values of larger groups are put in order
+    over all tasks, and the two values around each quantile are read off by position:
+    one sort and one look-up, whatever the values are. Both take the same values,
+    infinities and subnormal numbers included.
     """
     values = df.select(*by, column(col).cast("double").alias("_x")).where(
         reduce(lambda a, b: a & b, [column(k).isNotNull() for k in by], F.col("_x").isNotNull()))
-    sizes = pin(values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"),
-                                        F.max("_x").alias("_hi")), "sizes")
+    sizes = pin(values.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), "sizes")
     hot = sizes.where(F.col("_n") > group_limit)
     wanted = F.array(*[F.lit(p) for p in probs])
     if hot.isEmpty():
         return values.groupBy(*by).agg(F.percentile("_x", wanted).alias("quantiles"))
+    values = pin(values, "values")  # it is read for the small groups and for the large ones
     cold = values.join(hot.select(*by), by, "left_anti")
     plain = cold.groupBy(*by).agg(F.percentile("_x", wanted).alias("quantiles"))
-    return plain.unionByName(_narrowed(values, hot, by, probs))
+    return plain.unionByName(_by_position(values.join(hot.select(*by), by, "left_semi"), hot, by, probs))
 
 
-def _narrowed(values: DataFrame, hot: DataFrame, by: list[str], probs) -> DataFrame:
-    # the two ranks around each quantile, and the interval each is known to lie in
+def _by_position(values: DataFrame, sizes: DataFrame, by: list[str], probs) -> DataFrame:
+    placed = global_position(values, [*by, "_x"])
+    starts = placed.groupBy(*by).agg(F.min(POSITION).alias("_start"))
     place = (F.col("_n") - 1) * F.col("_p")
-    open_ = hot.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))) \
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place))))) \
-        .select(*by, "_p", "_rank", "_n", "_lo", "_hi", F.lit(0).cast("bigint").alias("_below"))
-    done = None
-    open_ = pin(open_, "ranks")
-    while True:
-        settled = open_.where(F.col("_lo") == F.col("_hi"))
-        done = settled if done is None else done.unionByName(settled)
-        open_ = open_.where(F.col("_lo") < F.col("_hi"))
-        if open_.isEmpty():
-            break
-        spans = open_.select(*by, "_lo", "_hi").distinct()
-        x, lo, hi = F.col("_x"), F.col("_lo"), F.col("_hi")
-        share = (x / 2 - lo / 2) / (hi / 2 - lo / 2)
-        slot = F.least(F.floor(share * SLICES), F.lit(SLICES - 1))
-        # the top value always has a slice of its own, so every round gains ground
-        slot = F.when(x == hi, F.lit(SLICES)).otherwise(slot)
-        counts = (values.join(spans, by).where((x >= lo) & (x <= hi))
-                  .groupBy(*by, "_lo", "_hi", slot.alias("_slot"))
-                  .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx")))
-        w = (Window.partitionBy(*by, "_lo", "_hi").orderBy("_slot")
-             .rowsBetween(Window.unboundedPreceding, -1))
-        counts = counts.withColumn("_left", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-        start = F.col("_below") + F.col("_left")
-        open_ = pin(open_.join(counts, [*by, "_lo", "_hi"])
-                    .where((F.col("_rank") >= start) & (F.col("_rank") < start + F.col("_c")))
-                    .select(*by, "_p", "_rank", "_n", F.col("_mn").alias("_lo"), F.col("_mx").alias("_hi"),
-                            start.alias("_below")), "ranks")
-    place = (F.col("_n") - 1) * F.col("_p")
-    at = done.groupBy(*by, "_p", "_n").agg(F.min_by("_lo", "_rank").alias("_a"), F.max_by("_lo", "_rank").alias("_b"))
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (place - F.floor(place))
-    return at.groupBy(*by).agg(F.array(*[
+    wanted = sizes.join(starts, by).withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).select(
+        *by, "_p", place.alias("_place"), "_start")
+    wanted = wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))))
+    wanted = pin(wanted.withColumn(POSITION, F.col("_start") + F.col("_rank")), "ranks")
+    found = placed.join(wanted, [*by, POSITION]).groupBy(*by, "_p", "_place").agg(
+        F.min_by("_x", "_rank").alias("_a"), F.max_by("_x", "_rank").alias("_b"))
+    above = F.col("_place") - F.floor("_place")
+    value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((1 - above) * F.col("_a") + above * F.col("_b"))
+    return found.groupBy(*by).agg(F.array(*[
         F.max(F.when(F.col("_p") == float(p), value)) for p in probs]).alias("quantiles"))
 
 
@@ -96,7 +74,7 @@ def _large_group_statistics(df: DataFrame, by: list[str], cols: list[str], group
                             group_limit: int) -> DataFrame:
     keyed = df.where(reduce(lambda a, b: a & b, [column(k).isNotNull() for k in by]))
     moments = keyed.groupBy(*by).agg(*_moments(cols, group))
-    # the columns are narrowed down together: each round counts all of them in one pass
+    # all columns are put in order together, in one sort
     long = keyed.select(*by, *[column(c).cast("double").alias(c) for c in cols]).unpivot(by, cols, "_column", "_value")
     found = group_quantiles(long, [*by, "_column"], "_value", QUARTILES, group_limit)
     wide = found.groupBy(*by).agg(*[
@@ -115,7 +93,7 @@ def group_statistics(df: DataFrame, cols: list[str], groups: list[str], period:
 
     The sizes of all groups are counted first. Levels whose groups all hold at
     most ``group_limit`` values, over all columns, share one pass with the built-in
-    percentile; a level with a larger group has its quartiles narrowed down instead.
+    percentile; a level with a larger group has its quartiles read off by position instead.
     """
     sets = [[*period, g] for g in groups]
     keys = [*period, *groups]

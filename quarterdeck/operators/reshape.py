@@ -19,11 +19,16 @@ def unpivot_years(df: DataFrame, ids: list[str], year_cols: dict[str, int],
 
 
 def pivot_series(df: DataFrame, index: list[str], key: str, value: str,
-                 names: dict[str, str]) -> DataFrame:
+                 names: dict[str, str], unlisted: str = "error") -> DataFrame:
     """One column per series from a long table. ``names`` maps key to column.
 
-    A repeated (index, key) is an error, raised while the aggregate runs.
+    A repeated (index, key) is an error, raised while the aggregate runs. So is a series that
+    ``names`` doesn't list, unless ``unlisted="drop"`` asks to leave those out.
     """
+    listed = F.coalesce(column(key).isin(*names), F.lit(False))
+    if unlisted == "error":
+        name = F.concat(F.lit(f"{key} holds a series that is not listed: "), F.coalesce(column(key).cast("string"), F.lit("null")))
+        df = df.withColumn(key, F.when(listed, column(key)).otherwise(F.raise_error(name)))
     cells = (df.groupBy(*index).pivot(key, list(names))
              .agg(F.count(F.lit(1)).alias("n"), F.first(value).alias("v")))
     only = lambda k: F.when(F.coalesce(F.col(f"`{k}_n`"), F.lit(0)) <= 1, F.col(f"`{k}_v`")) \
@@ -32,10 +37,11 @@ def pivot_series(df: DataFrame, index: list[str], key: str, value: str,
 
 
 def transpose_series(df: DataFrame, item: str, periods: list[str], names: dict[str, str],
-                     period: str = "period") -> DataFrame:
-    """Rows of items and columns of periods become rows of periods and columns of items."""
-    long = df.select(item, *periods).unpivot([item], periods, period, "value")
-    return pivot_series(long, [period], item, "value", names)
+                     period: str = "period", by: list[str] | None = None, unlisted: str = "error") -> DataFrame:
+    """Rows of items and columns of periods become rows of periods and columns of items, within each value of ``by``."""
+    ids = [*(by or []), item]
+    long = df.select(*ids, *periods).unpivot(ids, periods, period, "value")
+    return pivot_series(long, [*(by or []), period], item, "value", names, unlisted)
 
 
 def union_rows(*frames: DataFrame) -> DataFrame:

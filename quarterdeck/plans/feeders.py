@@ -95,14 +95,18 @@ def analyst_estimates(sheets: dict[object, DataFrame], item: str, periods: list[
 
     One row per company and quarter; cells such as ``1,234.5 E`` become numbers.
     """
-    def one(company, sheet):
-        text = sheet.select(item, *[column(p).cast("string").alias(p) for p in periods])
-        rows = transpose_series(text, item, periods, names, "label")
-        rule = PERIOD_PATTERNS["estimate"]
-        return rows.select(
-            F.lit(company).alias(entity), period_part(F.col("label"), rule["year"]).alias("Year"),
-            period_part(F.col("label"), rule["quarter"]).alias("Quarter"),
-            *[parse_numeric_text(c).alias(c) for c in names.values()]).dropna(subset=["Year", "Quarter"])
+    # one frame with a company column: the plan does not grow with the companies
+    text = union_rows(*[sheet.select(F.lit(company).alias(entity), item, *[column(p).cast("string").alias(p) for p in periods])
+                        for company, sheet in sheets.items()])
+    return company_estimates(text, item, periods, names, entity, prefix)
 
-    return sanitize_columns(union_rows(*[one(c, s) for c, s in sheets.items()]), prefix)
 
+def company_estimates(sheets: DataFrame, item: str, periods: list[str], names: dict[str, str],
+                      entity: str = "entity", prefix: str = "s_p_estimate_") -> DataFrame:
+    """The same from one frame that holds the sheets of all companies, told apart by ``entity``."""
+    rows = transpose_series(sheets, item, periods, names, "label", [entity])
+    rule = PERIOD_PATTERNS["estimate"]
+    out = rows.select(entity, period_part(F.col("label"), rule["year"]).alias("Year"),
+                      period_part(F.col("label"), rule["quarter"]).alias("Quarter"),
+                      *[parse_numeric_text(c).alias(c) for c in names.values()])
+    return sanitize_columns(out.dropna(subset=["Year", "Quarter"]), prefix)

@@ -14,42 +14,61 @@ from quarterdeck.panel import column
 BAD_ROW = "_bad_row"
 
 
-def read_csv_typed(spark: SparkSession, path, schema: StructType, skip: int = 0,
+def _body_lines(spark: SparkSession, path, above: int) -> DataFrame:
+    """The lines of each text file from the one after the first ``above`` on, as ``value``; empty lines are left out.
+
+    A file's first lines are in the split at its begin, where generated ids ascend by one: the
+    smallest one there, one row per file, tells the place of the others.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
+                                         F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    firsts = lines.where("_at = 0").groupBy(F.col("_file").alias("_own")).agg(F.min("_id").alias("_first"))
+    body = lines.join(firsts, F.col("_file") == F.col("_own"), "left")
+    return body.where((F.col("_at") > 0) | (F.col("_id") - F.col("_first") >= above)).where("value <> ''").select("value")
+
+
+def read_csv_typed(spark: SparkSession, path, schema: StructType, skip: int = 0, misfits: str = "null",
                    rejected: bool = False) -> DataFrame:
     """CSV files read with a declared schema, so no inference pass is made.
 
-    Rows that do not fit the schema are left out, whichever columns are used later;
-    ``rejected=True`` returns their lines instead, to be counted or inspected. Files
-    with ``skip`` title lines above the header are read without header handling:
-    titles and header are text, so they cannot fit a schema with a non-text column.
+    The first line of each file is its header; ``skip`` lines above it are left out by
+    their place, whatever they hold. Every other line gives a row. A cell that does not fit its type, or is missing, is
+    null; with ``misfits="drop"`` rows with such cells, or with cells too many, are left out, with
+    ``"fail"`` they fail the job. ``rejected=True`` returns the lines of those rows, to be counted or inspected.
     """
-    if skip and all(isinstance(f.dataType, StringType) for f in schema.fields):
-        raise ValueError("title lines can only be told apart by a typed column")
+    if misfits not in ("null", "drop", "fail"):
+        raise ValueError(f"misfits must be null, drop or fail, not {misfits}")
     names = schema.fieldNames()
-    text = (spark.read
-            .schema(StructType([StructField(n, StringType()) for n in [*names, BAD_ROW]]))
-            .option("header", skip == 0)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", BAD_ROW)
-            .csv(path))
+    layout = StructType([StructField(n, StringType()) for n in [*names, BAD_ROW]])
+    if skip:
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_ROW}
+        lines = _body_lines(spark, path, skip + 1)
+        ddl = ", ".join(f"`{n}` STRING" for n in [*names, BAD_ROW])
+        text = lines.select(F.from_csv("value", ddl, options).alias("c")).select("c.*")
+    else:
+        text = (spark.read.schema(layout).option("header", True).option("mode", "PERMISSIVE")
+                .option("columnNameOfCorruptRecord", BAD_ROW).csv(path))
     # the reader marks lines with too few or too many cells; cells are cast here, since the
     # reader would only look at the columns a query asks for
     typed = {f.name: column(f.name).try_cast(f.dataType) for f in schema.fields}
     misfit = reduce(lambda a, b: a | b, [column(n).isNotNull() & typed[n].isNull() for n in names],
                     column(BAD_ROW).isNotNull())
+    line = F.coalesce(column(BAD_ROW), F.concat_ws(",", *[F.coalesce(column(n), F.lit("")) for n in names]))
     if rejected:
-        line = F.coalesce(column(BAD_ROW), F.concat_ws(",", *[F.coalesce(column(n), F.lit("")) for n in names]))
         return text.where(misfit).select(line.alias(BAD_ROW))
-    return text.where(~misfit).select(*[typed[n].alias(n) for n in names])
+    if misfits == "fail":
+        text = text.where(F.when(misfit, F.raise_error(F.concat(F.lit("line does not fit: "), line))).otherwise(F.lit(True)))
+    kept = text.where(~misfit) if misfits == "drop" else text
+    return kept.select(*[typed[n].alias(n) for n in names])
 
 
 def read_sheet_set(spark: SparkSession, folder: str, sheets: dict[str, StructType],
-                   skip: int = 0) -> dict[str, DataFrame]:
+                   skip: int = 0, misfits: str = "null") -> dict[str, DataFrame]:
     """One frame per sheet of a workbook exported as ``folder/<sheet>`` CSV files.
 
     Each frame carries the sheet it came from in the column ``sheet``.
     """
-    return {name: read_csv_typed(spark, f"{folder}/{name}", schema, skip)
+    return {name: read_csv_typed(spark, f"{folder}/{name}", schema, skip, misfits)
             .withColumn("sheet", F.lit(name))
             for name, schema in sheets.items()}
 

@@ -14,14 +14,28 @@ def _schema(**kinds):
     return StructType([StructField(k, v) for k, v in kinds.items()])
 
 
-def test_csv_rows_that_do_not_fit_are_set_aside(spark, tmp_path):
+def test_csv_cells_that_do_not_fit_are_null(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k,x\na,1.5\nb,oops\nc,\nd,1,2\n")
     schema = _schema(k=StringType(), x=DoubleType())
-    assert [tuple(r) for r in read_csv_typed(spark, str(tmp_path), schema).collect()] == [("a", 1.5), ("c", None)]
-    assert [r["k"] for r in read_csv_typed(spark, str(tmp_path), schema).select("k").collect()] == ["a", "c"]
-    bad = read_csv_typed(spark, str(tmp_path), schema, rejected=True)
+    read = lambda **how: read_csv_typed(spark, str(tmp_path), schema, **how)
+    assert [tuple(r) for r in read().collect()] == [("a", 1.5), ("b", None), ("c", None), ("d", 1.0)]
+    assert [r["k"] for r in read(misfits="drop").select("k").collect()] == ["a", "c"]
+    bad = read(rejected=True)
     assert [r["_bad_row"] for r in bad.collect()] == ["b,oops", "d,1,2"] and bad.count() == 2
-    assert read_csv_typed(spark, str(tmp_path), schema).count() == 2
+    assert (read().count(), read(misfits="drop").count()) == (4, 2)
+    with pytest.raises(Exception, match="b,oops"):
+        read(misfits="fail").collect()
+    with pytest.raises(ValueError):
+        read(misfits="ignore")
+
+
+@pytest.mark.parametrize("titles", [[], ["Rigs"], ["Back", ","], [",", "1970,1971,1972"]])
+def test_lines_are_skipped_by_their_place(spark, tmp_path, titles):
+    for n in range(3):
+        (tmp_path / f"{n}.csv").write_text("\n".join([*titles, "k,1970,1971", f"a{n},1,2", "", f"b{n},3,"]) + "\n")
+    schema = _schema(**{"k": StringType(), "1970": DoubleType(), "1971": DoubleType()})
+    got = sorted(map(tuple, read_csv_typed(spark, str(tmp_path), schema, skip=len(titles)).collect()))
+    assert got == sorted(r for n in range(3) for r in ((f"a{n}", 1.0, 2.0), (f"b{n}", 3.0, None)))
 
 
 def test_sheets_with_title_lines(spark, tmp_path):
@@ -30,8 +44,8 @@ def test_sheets_with_title_lines(spark, tmp_path):
         (tmp_path / name / "part.csv").write_text(f"Back\nKeys,x\nDate,Value\n2020-01-0{len(name) - 2},4\n")
     sheets = read_sheet_set(spark, str(tmp_path), {n: _schema(d=DateType(), v=IntegerType()) for n in ("one", "two")}, 2)
     assert [tuple(r) for r in sheets["two"].collect()] == [(dt.date(2020, 1, 1), 4, "two")]
-    with pytest.raises(ValueError):
-        read_csv_typed(spark, str(tmp_path), _schema(k=StringType()), skip=1)
+    texts = read_csv_typed(spark, f"{tmp_path}/one", _schema(k=StringType(), v=StringType()), skip=2)
+    assert [tuple(r) for r in texts.collect()] == [("2020-01-01", "4")]
 
 
 def test_written_by_year_and_read_with_pruning(spark, rows, tmp_path):

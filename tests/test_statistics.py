@@ -10,7 +10,7 @@ def _values(spark, arrays):
                                  "x string, v double").repartition(5)
 
 
-def test_narrowing_finds_exact_quantiles(spark):
+def test_positions_give_exact_quantiles(spark):
     rnd = np.random.default_rng(1)
     arrays = {"normal": rnd.normal(0, 1e6, 4001), "ties": rnd.integers(0, 3, 5000), "spread": 10.0 ** rnd.uniform(-20, 20, 997),
               "signs": np.concatenate([-(10.0 ** rnd.uniform(0, 9, 500)), 10.0 ** rnd.uniform(0, 9, 501)]),
@@ -21,6 +21,16 @@ def test_narrowing_finds_exact_quantiles(spark):
         np.testing.assert_allclose(found[g], np.quantile(a, [0, 0.25, 0.5, 0.75, 1]), rtol=1e-12, err_msg=g)
 
 
+def test_both_ways_take_the_same_values(spark):
+    inf = float("inf")
+    arrays = {"low": [-inf, *range(9)], "high": [*range(9), inf], "both": [-inf, inf, 1.0], "small": [0.0, 5e-324], "subnormal": [5e-324, 1e-323, 2e-323],
+              "all": [inf] * 5, "large": [1.7e308, -1.7e308, 1.7e308]}
+    values, probs = _values(spark, arrays), (0.0, 0.25, 0.5, 0.75, 1.0)
+    few, many = ({r["x"]: [str(q) for q in r["quantiles"]] for r in crosssection.group_quantiles(values, ["x"], "v", probs, limit).collect()}
+                 for limit in (10 ** 6, 0))
+    assert few == many
+
+
 def test_null_values_and_groups(spark):
     df = spark.createDataFrame([("a", None), ("a", 2.0), (None, 5.0), ("b", None)], "x string, v double")
     for limit in (0, 100):
