@@ -28,13 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker, so that long texts take no more memory than short ones.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, in whose session batches for Python workers are bounded by bytes as well as by rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = conf.get(name).removesuffix("b")
+    if not known.isdigit() or int(known) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns an operator on texts reads, under fixed names; a null text is empty.
 
     Selecting by position in a fresh frame keeps any further columns, whatever their
     names, out of the way.
     """
-    return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"),
+    return bounded_batches(df).select(F.col(f"`{key}`").cast("long").alias("doc_id"),
                      F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarterdeck.llm.common import utf8
+from quarterdeck.llm.common import bounded_batches, utf8
 from quarterdeck.llm.url_filter import host_of
 from quarterdeck.session import pin
 
@@ -67,7 +67,7 @@ def fit_text(labelled: DataFrame, text: str = "text", lang: str = "lang", key: s
 
     The counts that reach the driver are bounded by languages x SLOTS.
     """
-    rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
+    rows = bounded_batches(labelled).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
                            F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("draw")).where("lang IS NOT NULL AND lang <> ''")
     total = labelled.where(F.col(f"`{lang}`").isNotNull()).count()
     share = min(1.0, labelled_rows / total) if total else 1.0
@@ -121,7 +121,7 @@ def identify(records: DataFrame, model: TextModel, threshold: float = 0.5) -> Da
     """
     size = len(model.langs) + 1
     keys = [c for c in records.columns if c not in ("text", "declared", "host", "suffix", "lang", "probability", "accepted")]
-    scored = records.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("keys"), "declared", "host", "suffix", "text")
+    scored = bounded_batches(records).select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("keys"), "declared", "host", "suffix", "text")
     scored = scored.mapInArrow(_scorer(model), T.StructType([*scored.schema[:-1], T.StructField("likelihoods", T.ArrayType(T.DoubleType())),
                                                              T.StructField("n_trigrams", T.LongType())]))
     tempered = F.transform("likelihoods", lambda x: x * TEMPER)

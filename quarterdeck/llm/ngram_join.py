@@ -10,8 +10,11 @@ Entries with the same signature meet in a list. Lists aren't expanded into pairs
 
 1. Every member is compared with its pivot, the smallest member of fitting size. Links found so far
    make components, and lists within one component are done.
-2. In the lists left, members of different components are compared, unless their distances from the
+2. In the short lists left, members of different components are compared, unless their distances from the
    pivot differ by more than a link allows: Jaccard distance is a metric.
+3. A long list left is worked out in cells of bounded size, which hold the sets of their members: a member
+   outside the largest component scans the inverted lists of its shingles and so counts what it shares with
+   every other one. Only links that join two components leave the cell.
 
 Signatures that are frequent in a part of the corpus are put last in the order of a set's shingles, so
 shared passages don't make lists. If a signature is hot within one task its entries are salted; each salt has
@@ -28,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterdeck.llm.common import rows_out, texts_of, utf8
@@ -36,10 +39,14 @@ from quarterdeck.session import pin
 
 #: Largest size that may be light, signatures put last at most, members of a list in a block, words a worker keeps.
 MOST_LIGHT, MOST_FREQUENT, BLOCK, KEPT = 12, 500_000, 2_000, 300_000
+#: Members of a short list, and shingles of a block's members together.
+SHORT, BLOCK_SHINGLES = 64, 1 << 20
+#: Copies of a shingle in the corpus from which on it is put last.
+OFTEN = 8
 #: Entries of one signature in a batch from which on it is salted, and the salts.
 HOT, SALTS = 64, 64
 #: Odd multipliers that tell the places in a shingle apart.
-PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
 class _Words(dict):
@@ -75,10 +82,14 @@ def shingles(text: bytes, width: int = 5) -> np.ndarray:
     hashes = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
     size = min(width, len(words))
     many = len(words) - size + 1
-    mixed = np.full(many, size, np.uint64)
+    total = np.full(many, size, np.uint64)
     for place in range(size):
-        mixed += _mixed(hashes[place:place + many] * PLACES[place % len(PLACES)] + np.uint64(place))
-    return np.unique(_mixed(mixed))
+        total += hashes[place:place + many] * np.uint64(PLACES[place % len(PLACES)] * (2 * (place // len(PLACES)) + 1) & (1 << 64) - 1)
+    total = _mixed(total)
+    total.sort()
+    fresh = np.ones(many, bool)
+    np.not_equal(total[1:], total[:-1], out=fresh[1:])
+    return total[fresh]
 
 
 class Threshold:
@@ -166,7 +177,8 @@ class Order:
         if not len(self.values):
             return own
         at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
-        return own[np.argsort(np.where(self.values[at] == own, self.levels[at], 0), kind="stable")]
+        known = self.values[at] == own
+        return own[np.argsort(np.where(known, self.levels[at], 0), kind="stable")] if known.any() else own
 
 
 def _signatures(own: np.ndarray, order: Order, light: int, threshold: Threshold) -> np.ndarray:
@@ -261,18 +273,17 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())
 
 
 def _verdicts(width: int, threshold: Threshold):
+    """Input is sorted by a and salt; each begins with the row of a itself, whose b is null."""
     def of(batches) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        own = None
         for batch in batches:
             out = []
-            texts = zip(utf8(batch, "a_text"), utf8(batch, "b_text"), strict=True)
-            for a, b, (a_text, b_text) in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), texts, strict=True):
-                if last != a:
-                    last, own = a, shingles(a_text, width)
-                other = shingles(b_text, width)
-                both = np.concatenate([own, other])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
+            for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), utf8(batch, "text"), strict=True):
+                other = shingles(text, width)
+                if b is None:
+                    own = other
+                    continue
+                common = len(np.intersect1d(own, other, assume_unique=True))
                 union = len(own) + len(other) - common
                 out.append((a, b, threshold.linked(common, len(own), len(other)), 1 - common / union if union else 1.0))
             yield from rows_out(out, _PAIRS)
@@ -280,12 +291,19 @@ def _verdicts(width: int, threshold: Threshold):
     return of
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, width: int, threshold: Threshold) -> DataFrame:
-    """a, b, linked, distance of each pair, from the whole texts."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "a_text", "b_text")
-    return pin(both.mapInArrow(_verdicts(width, threshold), "a long, b long, linked boolean, distance double"), "compared")
+def _compare(pairs: DataFrame, texts: DataFrame, width: int, threshold: Threshold, block: int) -> DataFrame:
+    """a, b, linked, distance of each distinct pair, from the whole texts.
+
+    The text of a meets those of its partners: each is shuffled once for an a and not once for a pair. An a with very
+    many partners is spread over salts of ``block`` of them.
+    """
+    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
+    salted = pairs.join(heads, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    partners = salted.select("a", "salt", "b").join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", "b", "text")
+    own = heads.join(texts.withColumnRenamed("doc_id", "a"), "a").select(
+        "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    rows = own.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return pin(rows.mapInArrow(_verdicts(width, threshold), "a long, b long, linked boolean, distance double"), "compared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -310,77 +328,139 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _left_over(lists: DataFrame, known: DataFrame, star: DataFrame, threshold: Threshold, block: int) -> DataFrame:
-    """Pairs of different components that may still be linked.
-
-    Long lists are cut into blocks and each pair of blocks meets on its own, so no task holds a list whole.
-    """
+def _lists_left(lists: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists with their members' components, and those that hold several: signature, members, shingles."""
     named = lists.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = named.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"),
-                                           (F.max("pivot") != F.min("pivot")).alias("several"))
+                                           F.sum("n").alias("shingles"), (F.max("pivot") != F.min("pivot")).alias("several"))
     # two members with one pivot were compared: one of them is the pivot
-    mixed = mixed.where("low <> high AND (members > 2 OR several)").select("signature", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    far = F.when(F.col("pivot") == F.col("doc"), 0.0).otherwise(F.col("distance"))
-    members = named.join(mixed, "signature").join(
-        star.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "distance"), ["pivot", "doc"], "left").withColumn("distance", far)
-    members = members.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    # block i of a list meets block j >= i: the row goes to all cells of its line and column
-    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *_MEMBERS)
-    pairs = cells.repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j", "n", "doc").mapInArrow(
+    return named, pin(mixed.where("low <> high AND (members > 2 OR several)").select("signature", "members", "shingles"), "mixed")
+
+
+def _short_pairs(named: DataFrame, mixed: DataFrame, star: DataFrame, threshold: Threshold, short: int) -> DataFrame:
+    """Pairs of different components in the short lists that may still be linked."""
+    members = named.join(mixed.where(F.col("members") <= short).select("signature"), "signature").join(
+        star.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "distance"), ["pivot", "doc"], "left").withColumn(
+        "distance", F.when(F.col("pivot") == F.col("doc"), 0.0).otherwise(F.col("distance")))
+    pairs = members.select("signature", *_MEMBERS).repartition("signature").sortWithinPartitions("signature", "n", "doc").mapInArrow(
         _cross(threshold), "a long, b long").distinct()
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+    return pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
-_MEMBERS = ["n", "doc", "component", "pivot", "distance", "block"]
+_MEMBERS = ["n", "doc", "component", "pivot", "distance"]
 
 
 def _cross(threshold: Threshold):
-    """Pairs within each cell; input is sorted by cell, n, doc. A cell has two blocks at most."""
-    def pairs_of(cell: list[np.ndarray], across: bool) -> np.ndarray:
-        n, doc, component, pivot, distance, block = cell
+    """Pairs within each list; input is sorted by signature, n, doc."""
+    def pairs_of(columns: list[np.ndarray]) -> np.ndarray:
+        n, doc, component, pivot, distance = columns
         out = [np.zeros((0, 2), np.int64)]
         for i in range(len(doc) - 1):
             at = np.arange(i + 1, np.searchsorted(n, threshold.parts * n[i] // threshold.share, side="right"))
             # the triangle inequality; false where a distance is missing
             far = (pivot[at] == pivot[i]) & (np.abs(distance[at] - distance[i]) > threshold.distance + 1e-9)
-            keep = (component[at] != component[i]) & ~far & (doc[at] != pivot[i]) & (pivot[at] != doc[i])
-            if across:
-                keep &= block[at] != block[i]
-            at = at[keep]
+            at = at[(component[at] != component[i]) & ~far & (doc[at] != pivot[i]) & (pivot[at] != doc[i])]
             out.append(np.stack([np.minimum(doc[i], doc[at]), np.maximum(doc[i], doc[at])], axis=1))
         return np.concatenate(out)
 
     def of(batches) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("signature", "i", "j", *_MEMBERS)]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("signature", *_MEMBERS)]
             held = columns if held is None else [np.concatenate(c) for c in zip(held, columns, strict=True)]
-            edges = [0, *(np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]) | (held[2][1:] != held[2][:-1])) + 1).tolist()]
-            yield from _told(held, edges, pairs_of)
+            edges = [0, *(np.flatnonzero(held[0][1:] != held[0][:-1]) + 1).tolist()]
+            found = [pairs_of([c[begin:end] for c in held[1:]]) for begin, end in zip(edges[:-1], edges[1:], strict=True)]
             held = [c[edges[-1]:] for c in held]
+            yield _pairs_batch(found)
         if held is not None:
-            yield from _told(held, [0, len(held[0])], pairs_of)
+            yield _pairs_batch([pairs_of(held[1:])])
 
     return of
 
 
-def _told(held: list[np.ndarray], edges: list[int], pairs_of) -> Iterator[pa.RecordBatch]:
-    for begin, end in zip(edges[:-1], edges[1:], strict=True):
-        if end - begin > 1:
-            found = pairs_of([c[begin:end] for c in held[3:]], held[1][begin] != held[2][begin])
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _long_links(named: DataFrame, mixed: DataFrame, texts: DataFrame, width: int, threshold: Threshold, short: int, block: int) -> DataFrame:
+    """Links that join different components within the long lists.
+
+    A list is cut into blocks, and block i meets block j >= i in a cell of its own: the row goes to all cells of its line and column.
+    """
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    members = named.join(mixed.where(F.col("members") > short).select("signature", blocks.alias("blocks")), "signature")
+    members = members.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = members.select("signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "component")
+    filled = cells.join(texts.withColumnRenamed("doc_id", "doc"), "doc").repartition("signature", "i", "j").sortWithinPartitions("signature", "i", "j", "doc")
+    return filled.mapInArrow(_scanned(width, threshold), "a long, b long").distinct()
+
+
+def scan(sets: list[np.ndarray], labels: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
+    """Places of linked sets with different ``labels``, as many as join all that are linked.
+
+    A set outside the largest component scans the inverted lists of its shingles, which counts what it has in common
+    with every set. Two linked sets of different components can't both be in the largest one, so one of them scans.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    shingle, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(shingle, kind="stable")
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = shingle[order][1:] != shingle[order][:-1]
+    starts = np.flatnonzero(fresh)
+    lengths = np.diff(np.append(starts, len(order)))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    postings, ends = owner[order], np.cumsum(sizes)
+    labels, waiting, links = np.unique(labels, return_inverse=True)[1], np.ones(len(sets), bool), []
+    while True:
+        left = np.flatnonzero(waiting & (labels != np.bincount(labels).argmax()))
+        if not len(left):
+            return links
+        i = left[0]
+        waiting[i] = False
+        lists = number[ends[i] - sizes[i]:ends[i]]
+        lists = lists[lengths[lists] > 1]
+        size = lengths[lists]
+        at = np.arange(size.sum()) + np.repeat(starts[lists] - np.cumsum(size) + size, size)
+        common = np.bincount(postings[at], minlength=len(sets))
+        linked = np.flatnonzero((threshold.parts * common >= threshold.share * (sizes + sizes[i] - common)) & (labels != labels[i]))
+        for label, j in zip(*np.unique(labels[linked], return_index=True), strict=True):
+            links.append((i, int(linked[j])))
+            labels[labels == label] = labels[i]
+
+
+def _scanned(width: int, threshold: Threshold):
+    """Links within each cell; input is sorted by cell. A cell has two blocks at most."""
+    def links_of(rows: list[tuple[int, int, np.ndarray]]) -> list[np.ndarray]:
+        docs, labels, sets = zip(*rows, strict=True)
+        found = scan(list(sets), np.array(labels), threshold)
+        return [np.array([sorted((docs[i], docs[j])) for i, j in found], np.int64).reshape(-1, 2)]
+
+    def of(batches) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("signature", "i", "j", "doc", "component")]
+            for *own, doc, component, text in zip(*columns, utf8(batch, "text"), strict=True):
+                if own != cell and rows:
+                    yield _pairs_batch(links_of(rows))
+                    rows = []
+                cell = own
+                rows.append((doc, component, shingles(text, width)))
+        if rows:
+            yield _pairs_batch(links_of(rows))
+
+    return of
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, threshold: Threshold | None = None,
-                    hot: int = HOT, block: int = BLOCK) -> DataFrame:
+                    hot: int = HOT, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that a document is joined to by links.
 
     Documents without words are linked with nothing. Rows that repeat an id must repeat its text; they are
-    one document with a row each. ``hot`` entries of a signature in a batch salt it, ``block`` members of a
-    list meet in one cell; neither changes the result. A row without an id can't be linked and has no component. Further
+    one document with a row each. ``hot`` entries of a signature in a batch salt it, lists of up to
+    ``short`` members are taken pair by pair, longer ones by cells of ``block`` members; none of them changes the result. A row without an id can't be linked and has no component. Further
     columns are left out. An empty table gives an empty result.
     """
     threshold = threshold or Threshold()
@@ -389,7 +469,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     sets = described.where("signature IS NULL")
     # signatures put last: the most frequent ones, at most MOST_FREQUENT longs on the driver and in each task
     often = described.where("signature IS NOT NULL").groupBy("signature").agg(F.sum("n").alias("n"))
-    late = often.orderBy(F.desc("n"), "signature").limit(MOST_FREQUENT).toPandas()
+    late = often.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "signature").limit(MOST_FREQUENT).toPandas()
     order = Order(late["signature"].to_numpy(np.int64).view(np.uint64), late["n"].to_numpy(np.int64))
     sizes = {r["n"]: r["count"] for r in sets.where(F.col("n").between(1, 2 * MOST_LIGHT)).groupBy("n").count().collect()}
     light = _boundary(sizes, threshold)
@@ -407,15 +487,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         lists = lists.join(to_first, F.col(column) == F.col("copy"), "left").withColumn(column, F.coalesce("first", column)).drop("first", "copy")
     lists = pin(lists.select("signature", "n", "doc", "pivot").distinct(), "members")
 
-    meets = lists.where("pivot <> doc")
-    star_pairs = pin(meets.select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "star")
-    needed = pin(lists.select(F.col("doc").alias("doc_id")).unionAll(lists.select(F.col("pivot").alias("doc_id"))).distinct(), "needed")
+    star_pairs = pin(lists.where("pivot <> doc").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "star")
+    # a list may have several pivots, for its salts or for sizes too far apart; each may be linked with others' members
+    pivots = lists.where("pivot = doc").select("signature", "doc")
+    several = pin(pivots.groupBy("signature").count().where("count > 1").select("signature"), "several")
+    ends = star_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(pivots.join(several, "signature").select("doc"))
+    needed = pin(ends.distinct(), "needed")
     texts = pin(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    star = _compare(star_pairs, texts, width, threshold)
+    star = _compare(star_pairs, texts, width, threshold, block)
     links = star.where("linked").select("a", "b").unionAll(copies)
-    known = components(links)
-    rest = _compare(pin(_left_over(lists, known, star, threshold, block), "pairs"), texts, width, threshold).where("linked").select("a", "b")
-    if rest.limit(1).count():
-        known = components(links.unionAll(rest))
+    named, mixed = _lists_left(lists, components(links))
+    rest = _compare(pin(_short_pairs(named, mixed, star, threshold, short), "pairs"), texts, width, threshold, block).where("linked").select("a", "b")
+    rest = pin(rest.unionAll(_long_links(named, mixed, texts, width, threshold, short, block)), "links")
+    known = components(links.unionAll(rest))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(known.toDF("doc_id", "component_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -29,10 +29,10 @@ def _found(df):
     return {(r.doc_id, r.n_shingles, r.component_id) for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed,hot,block", [(1, 64, 2000), (2, 2, 3), (3, 3, 2), (4, 1, 1000)])
-def test_same_as_all_pairs(rows, seed, hot, block):
+@pytest.mark.parametrize("seed,hot,short,block", [(1, 64, 64, 2000), (2, 2, 2, 3), (3, 3, 4, 2), (4, 1, 64, 1000), (5, 2, 0, 7), (6, 64, 3, 50)])
+def test_same_as_all_pairs(rows, seed, hot, short, block):
     docs = _corpus(seed)
-    got = _found(near_duplicates(rows("doc_id long, text string", docs).repartition(3), hot=hot, block=block))
+    got = _found(near_duplicates(rows("doc_id long, text string", docs).repartition(3), hot=hot, short=short, block=block))
     assert got == near_components(docs)
 
 
