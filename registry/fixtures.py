@@ -10,6 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+#: The years that the tables cover; a year beyond them fails the queries that list them.
+YEARS = range(1995, 2002)
+
+
+def _cell(year: int) -> str:
+    count = f"sum(CASE WHEN year(o_orderdate) = {year} THEN 1 ELSE 0 END)"
+    if year % 3 == 0:
+        return f"concat('1,', CAST(100 + {count} % 900 AS STRING), ' E')"
+    if year % 3 == 1:
+        return f"CAST({count} AS STRING)"
+    return f"CASE WHEN quarter(o_orderdate) = 3 THEN '--' WHEN quarter(o_orderdate) = 4 THEN ' ' ELSE CAST({count} AS STRING) END"
+
+
 VIEWS = {
     # revisions of a filing line, with ties
     "fx_rev": """
@@ -52,7 +65,7 @@ FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON
     "fx_market": """
 SELECT CAST(o_orderdate AS DATE) AS d,
        CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS idx, CAST(count(*) AS BIGINT) AS n
-FROM orders WHERE dayofmonth(o_orderdate) % 7 <> 0 GROUP BY CAST(o_orderdate AS DATE)""",
+FROM orders GROUP BY CAST(o_orderdate AS DATE)""",
     # ragged panel
     "fx_user_day": """
 SELECT user_id AS entity, CAST(ts AS DATE) AS d,
@@ -68,26 +81,26 @@ SELECT * FROM fx_months
 UNION ALL
 SELECT CAST(floor(yyyymm / 100) * 100 + 13 AS INT), description, sum(val) FROM fx_months
 GROUP BY floor(yyyymm / 100), description""",
-    # quarter rows, one text column per year
-    "fx_wide": """
+    # quarter rows, one text column per year: numbers with separators and marks, plain ones, missing ones
+    "fx_wide": f"""
 SELECT CAST(quarter(o_orderdate) AS INT) AS qtr,
-       concat('1,', CAST(100 + sum(CASE WHEN year(o_orderdate) = 1998 THEN 1 ELSE 0 END) % 900 AS STRING), ' E') AS y1998,
-       CAST(sum(CASE WHEN year(o_orderdate) = 1999 THEN 1 ELSE 0 END) AS STRING) AS y1999,
-       CASE WHEN quarter(o_orderdate) = 3 THEN '--' WHEN quarter(o_orderdate) = 4 THEN ' '
-            ELSE CAST(sum(CASE WHEN year(o_orderdate) = 2000 THEN 1 ELSE 0 END) AS STRING) END AS y2000
+       {", ".join(_cell(y) + f" AS y{y}" for y in YEARS)}
 FROM orders GROUP BY quarter(o_orderdate)""",
     # the panel and the daily series in cents: sums of whole numbers are exact in any order
     "fx_cents": """
 SELECT entity, yr, qtr, seq, announce_dt, round(sales * 100) AS sales, round(gappy * 100) AS gappy, qty
 FROM fx_panel""",
     "fx_index": "SELECT d, round(idx * 100) AS idx, n FROM fx_market",
+    # the same series with days on which nothing is traded, which as-of joins look back over
+    "fx_trading": "SELECT * FROM fx_market WHERE dayofmonth(d) % 7 <> 0",
+    "fx_trading_cents": "SELECT d, round(idx * 100) AS idx, n FROM fx_trading",
     # predictions against truth with null truths
     "fx_pred": """
 SELECT entity, yr, qtr, gappy AS truth,
        lag(sales) OVER (PARTITION BY entity ORDER BY seq) AS pred
 FROM fx_panel""",
 }
-NEEDS = {"fx_panel": ["fx_quarters"], "fx_cents": ["fx_quarters", "fx_panel"], "fx_index": ["fx_market"], "fx_pred": ["fx_quarters", "fx_panel"], "fx_long": ["fx_months"]}
+NEEDS = {"fx_panel": ["fx_quarters"], "fx_cents": ["fx_quarters", "fx_panel"], "fx_index": ["fx_market"], "fx_trading": ["fx_market"], "fx_trading_cents": ["fx_market", "fx_trading"], "fx_pred": ["fx_quarters", "fx_panel"], "fx_long": ["fx_months"]}
 
 
 def with_views(select: str, *views: str, recursive: bool = False) -> str:

@@ -11,6 +11,7 @@ from quarterdeck.plans import feeders, forecasting, panels
 from quarterdeck.session import pin
 from registry.book import query, rounded
 from registry.fills import frames_sql
+from registry.shapes import years_of
 from registry.panels import _ma_sql, _stats_sql, resolve_sql
 
 PANEL = PanelSpec.of("entity", ("yr", "qtr"))
@@ -83,9 +84,6 @@ def _(t):
     return _round_averages(feeders.refinery_monthly_features(*series, capacity), _WEEKLY_DIGITS)
 
 
-_RIG_YEARS = range(1995, 2002)
-
-
 @query("rig_count_features", f"""
 WITH w AS (SELECT CAST(date_trunc('week', o_orderdate) AS DATE) AS monday, year(o_orderdate) AS y, count(*) AS v
            FROM orders GROUP BY 1, 2),
@@ -100,19 +98,18 @@ def _(t):
     monday_week = F.floor((F.dayofyear("o_orderdate") + 6 - F.weekday("o_orderdate")) / 7).cast("int")
     counts = o.groupBy(monday_week.alias("Weeks"), F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("v"))
     cells = counts.withColumn("cell", F.when(F.col("v") % 5 == 0, " ").otherwise(F.col("v").cast("string")))
-    weekly = cells.groupBy("Weeks").pivot("y", list(_RIG_YEARS)).agg(F.first("cell"))
+    years = years_of(o, "o_orderdate")
+    weekly = cells.groupBy("Weeks").pivot("y", years).agg(F.first("cell"))
     monthly = (o.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
                .groupBy(F.year("o_orderdate").alias("Year"), F.month("o_orderdate").alias("Month"))
                .agg(F.count(F.lit(1)).alias("Rigs_Count")))
-    out = feeders.rig_count_features(weekly, monthly, {str(y): y for y in _RIG_YEARS}, "1998-01-01")
+    out = feeders.rig_count_features(weekly, monthly, {str(y): y for y in years}, "1998-01-01")
     return _round_averages(out, {"Rigs_Count": 6})
 
 
 _SERIES = {"Series A": "series_a", "Series N": "series_n", "Series R": "series_r"}
 _ROLL = "{c}_{n}_month_rolling_avg"
-# labels such as Jan-97, of the seven years the tables cover
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
-_LABELS = [f"{m}-{y % 100:02d}" for y in range(1995, 2002) for m in _MONTHS]
 
 
 def _wide_sql(src: str) -> str:
@@ -129,8 +126,10 @@ def _(t):
     month = F.make_date(F.floor(F.col("yyyymm") / 100).cast("int"), F.col("yyyymm") % 100, F.lit(1))
     cell = F.when(F.col("val") % 7 == 0, "--").otherwise(F.col("val").cast("string"))
     cells = t.fx_months.select("description", F.date_format(month, "MMM-yy").alias("label"), cell.alias("cell"))
-    wide = cells.groupBy("description").pivot("label", _LABELS).agg(F.first("cell"))
-    return feeders.energy_summary_features(wide, "description", _LABELS, _SERIES)
+    # labels such as Jan-97
+    labels = [f"{m}-{y % 100:02d}" for y in years_of(t.lineitem, "l_shipdate") for m in _MONTHS]
+    wide = cells.groupBy("description").pivot("label", labels).agg(F.first("cell"))
+    return feeders.energy_summary_features(wide, "description", labels, _SERIES)
 
 
 @query("energy_long_features", f"""
@@ -148,9 +147,6 @@ def _(t):
     return feeders.prompt_month_features(daily, "d")
 
 
-_QUARTER_LABELS = [f"FQ{q} {y} - {('Mar', 'Jun', 'Sep', 'Dec')[q - 1]} {y}" for y in range(1995, 2002) for q in range(1, 5)]
-
-
 @query("analyst_estimates", """
 WITH q AS (SELECT CAST(r_regionkey AS INT) AS region, CAST(year(l_shipdate) AS INT) AS y, CAST(quarter(l_shipdate) AS INT) AS q,
              sum(l_quantity) AS units, count(*) AS deals
@@ -171,9 +167,11 @@ def _(t):
     text = lambda c, d: F.concat(F.format_number(c, d), F.lit(" E"))
     long = li.select("region", label.alias("label"), F.explode(F.create_map(
         F.lit("Units"), text("Units", 1), F.lit("Deals"), text("Deals", 0))).alias("item", "cell"))
-    wide = long.groupBy("region", "item").pivot("label", _QUARTER_LABELS).agg(F.first("cell"))
-    sheets = {k: wide.where(F.col("region") == k).drop("region") for k in range(5)}
-    return feeders.analyst_estimates(sheets, "item", _QUARTER_LABELS, {"Units": "units", "Deals": "deals"})
+    labels = [f"FQ{q} {y} - {('Mar', 'Jun', 'Sep', 'Dec')[q - 1]} {y}" for y in years_of(t.lineitem, "l_shipdate") for q in range(1, 5)]
+    wide = long.groupBy("region", "item").pivot("label", labels).agg(F.first("cell"))
+    return feeders.company_estimates(wide.withColumn("region", F.col("region").cast("int")), "item", labels,
+                                     {"Units": "units", "Deals": "deals"}, "region", "s_p_estimate_").withColumnRenamed(
+        "s_p_estimate_region", "s_p_estimate_entity")
 
 
 _FILING = """
@@ -258,7 +256,7 @@ def _(t):
 WITH led AS (SELECT entity, yr, qtr, announce_dt, sales, gappy, qty, CAST(lead(yr) OVER w AS INT) AS yr_lag1, CAST(lead(qtr) OVER w AS INT) AS qtr_lag1
              FROM fx_cents WINDOW w AS (PARTITION BY entity ORDER BY yr, qtr)),
 mkt AS (SELECT d, idx, n, n / 100 AS risk_free_rate,
-          (idx - lag(idx, 252) OVER (ORDER BY d)) / NULLIF(lag(idx, 252) OVER (ORDER BY d), 0) AS index_return FROM fx_index),
+          (idx - lag(idx, 252) OVER (ORDER BY d)) / NULLIF(lag(idx, 252) OVER (ORDER BY d), 0) AS index_return FROM fx_trading_cents),
 a AS (SELECT led.*, mkt.idx, mkt.n, risk_free_rate, index_return FROM led ASOF LEFT JOIN mkt ON announce_dt >= d),
 b AS (SELECT a.*, coalesce(beta, 1.2) AS bt, which, (gappy - lag(gappy, 3) OVER w) / NULLIF(lag(gappy, 1) OVER w, 0) AS g FROM a
       LEFT JOIN (SELECT CAST(s_suppkey AS INT) AS entity, s_nationkey / 20.0 AS beta, s_nationkey % 2 AS which FROM supplier WHERE s_acctbal > 0) p
@@ -274,7 +272,7 @@ SELECT c.entity, c.yr, c.qtr, c.sales, c.idx, round(risk_free_rate, 6) AS risk_f
   ship_qty, order_count, lines_that_day, op_qty, -c_est AS c_est
 FROM c LEFT JOIN ships ON ships.ym = date_trunc('month', c.announce_dt) LEFT JOIN ordr ON ordr.ym = date_trunc('month', c.announce_dt)
 LEFT JOIN daily ON daily.d = c.announce_dt LEFT JOIN ops ON ops.entity = c.entity AND ops.announce_dt = c.announce_dt
-LEFT JOIN est ON est.entity = c.entity AND est.yr = yr_lag1 AND est.qtr = qtr_lag1""", "fx_cents", "fx_index")
+LEFT JOIN est ON est.entity = c.entity AND est.yr = yr_lag1 AND est.qtr = qtr_lag1""", "fx_cents", "fx_index", "fx_trading_cents")
 def _(t):
     # the panel is the written result of an earlier step
     base = pin(t.fx_cents.select("entity", "yr", "qtr", "announce_dt", "sales", "gappy", "qty"))
@@ -291,7 +289,7 @@ def _(t):
         F.col("s_suppkey").cast("int").alias("entity"), (F.col("s_nationkey") / 20.0).alias("beta"),
         F.when(F.col("s_nationkey") % 2 == 0, "idx").otherwise("n").alias("price_col"))
     out = panels.enrich_panel(
-        led, period_end="announce_dt", market=t.fx_index, market_date="d", index="idx", yield_percent="n",
+        led, period_end="announce_dt", market=t.fx_trading_cents, market_date="d", index="idx", yield_percent="n",
         monthly=[ships, orders], daily=daily, daily_date="Date", operations=ops, operations_date="period_ending_date",
         estimates=est, estimate_keys={"yr_lag1": "e_yr", "qtr_lag1": "e_qtr", "entity": "e_entity"},
         dividend={"payout": "qty", "roe_growth": "qty", "dividend": "gappy", "shares": "qty", "prices": ["idx", "n"]},

@@ -120,10 +120,10 @@ def _(t):
 
 @query("asof_join_inclusive", """
 SELECT l.l_orderkey, l.l_linenumber, CAST(l.l_shipdate AS DATE) AS ship_date, m.idx, m.n
-FROM lineitem l ASOF LEFT JOIN fx_market m ON CAST(l.l_shipdate AS DATE) >= m.d""", "fx_market")
+FROM lineitem l ASOF LEFT JOIN fx_trading m ON CAST(l.l_shipdate AS DATE) >= m.d""", "fx_trading")
 def _(t):
     left = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("ship_date"))
-    return asof.asof_join(left, t.fx_market, "ship_date", "d", ["idx", "n"], strict=False)
+    return asof.asof_join(left, t.fx_trading, "ship_date", "d", ["idx", "n"], strict=False)
 
 
 @query("asof_join_events", """

@@ -6,16 +6,19 @@ from quarterdeck.operators import joins, reshape
 from quarterdeck.operators.aggregate import monthly_mean
 from quarterdeck.functions.dates import to_month
 from registry.book import query
+from registry.fixtures import YEARS
 
 SERIES = {"Series A": "series_a", "Series N": "series_n", "Series R": "series_r"}
-YEARS = {"y1998": 1998, "y1999": 1999, "y2000": 2000}
 
 
-@query("unpivot_years", """
-SELECT qtr, 1998 AS yr, y1998 AS value FROM fx_wide UNION ALL
-SELECT qtr, 1999, y1999 FROM fx_wide UNION ALL SELECT qtr, 2000, y2000 FROM fx_wide""", "fx_wide")
+def years_of(df, date: str) -> list[int]:
+    """The years in a table: one row per year."""
+    return sorted(r[0] for r in df.select(F.year(date)).distinct().collect())
+
+
+@query("unpivot_years", " UNION ALL ".join(f"SELECT qtr, {y} AS yr, y{y} AS value FROM fx_wide" for y in YEARS), "fx_wide")
 def _(t):
-    return reshape.unpivot_years(t.fx_wide, ["qtr"], YEARS)
+    return reshape.unpivot_years(t.fx_wide, ["qtr"], {f"y{y}": y for y in years_of(t.orders, "o_orderdate")})
 
 
 @query("pivot_series", """
@@ -32,12 +35,10 @@ SELECT concat('y', CAST(y AS VARCHAR)) AS period, max(CASE WHEN description = 'S
        max(CASE WHEN description = 'Series N' THEN v END) AS series_n,
        max(CASE WHEN description = 'Series R' THEN v END) AS series_r
 FROM (SELECT description, CAST(floor(yyyymm / 100) AS INT) AS y, sum(val) AS v FROM fx_months
-      WHERE yyyymm < 200300 GROUP BY description, floor(yyyymm / 100)) AS s
-WHERE y BETWEEN 1996 AND 2001 GROUP BY y""", "fx_months")
+      GROUP BY description, floor(yyyymm / 100)) AS s GROUP BY y""", "fx_months")
 def _(t):
-    years = [f"y{y}" for y in range(1996, 2002)]
-    yearly = t.fx_months.where("yyyymm < 200300").withColumn(
-        "y", F.concat(F.lit("y"), F.floor(F.col("yyyymm") / 100)))
+    years = [f"y{y}" for y in years_of(t.lineitem, "l_shipdate")]
+    yearly = t.fx_months.withColumn("y", F.concat(F.lit("y"), F.floor(F.col("yyyymm") / 100)))
     wide = yearly.groupBy("description").pivot("y", years).agg(F.sum("val"))
     return reshape.transpose_series(wide, "description", years, SERIES)
 

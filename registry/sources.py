@@ -37,9 +37,11 @@ def _(t):
     daily = {"shipped": t.lineitem.select(F.col("l_shipdate").cast("date").alias("d")),
              "ordered": t.orders.select(F.col("o_orderdate").cast("date").alias("d"))}
     for sheet, rows in daily.items():
-        body = rows.groupBy("d").count().select(F.concat_ws(",", "d", "count").alias("value"))
-        titles = t.spark.createDataFrame([("Back to contents",), ("Source key",), ("Date,Rows",)], ["value"])
-        titles.unionByName(body).write.text(f"{folder}/{sheet}")
+        body = rows.groupBy("d").count().select(F.lit(3).alias("place"), F.concat_ws(",", "d", "count").alias("value"))
+        titles = t.spark.createDataFrame([(0, "Back to contents"), (1, "Source,key"), (2, "Date,Rows")], "place int, value string")
+        # a sheet is one file, its titles first; it has a row per day
+        sheet_rows = titles.unionByName(body).repartition(1).sortWithinPartitions("place")
+        sheet_rows.select("value").write.text(f"{folder}/{sheet}")
     sheets = read_sheet_set(t.spark, folder, {s: _schema(d=DateType(), n=IntegerType()) for s in daily}, skip=2)
     return union_rows(*sheets.values()).select("sheet", "d", "n")
 
