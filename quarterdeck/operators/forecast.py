@@ -49,7 +49,11 @@ class Booster:
 
 
 # What the histogram learner of the same family starts from when nothing is set.
-HISTOGRAM_DEFAULTS = Booster(rounds=20, learning_rate=0.1, feature_fraction=1.0, bagging_fraction=1.0, bins=255)
+HISTOGRAM_DEFAULTS = Booster(rounds=100, learning_rate=0.1, feature_fraction=1.0, bagging_fraction=1.0, bins=255)
+
+# What the fold scores and the back-test start from.
+CV_DEFAULTS = Booster(rounds=100, learning_rate=0.01, feature_fraction=0.8, bagging_fraction=0.8)
+BACKTEST_DEFAULTS = Booster(rounds=100, learning_rate=0.1, feature_fraction=1.0, bagging_fraction=1.0)
 
 
 def _stages(features: Sequence[str], categorical: Sequence[str]) -> list:
@@ -83,6 +87,11 @@ class Forecast:
     features: list[str]
     train: DataFrame
     test: DataFrame
+    categorical: tuple[str, ...] = ()
+
+    def score(self, part: DataFrame) -> DataFrame:
+        """``part`` with the predictions of the model."""
+        return _cleared(self.model.transform(_ready(part, self.features, self.categorical)))
 
     def metrics(self) -> DataFrame:
         """Rows, RMSE and R2 of the training and the test rows."""
@@ -105,8 +114,9 @@ def _fit(learner, train: DataFrame, test: DataFrame, label: str, features: Seque
         most = max(len(labels) for labels in front.stages[0].labelsArray) + 1
         learner = learner.copy({learner.maxBins: max(learner.getMaxBins(), most)})
     model = PipelineModel(stages=[*front.stages, learner.fit(front.transform(known))])
-    score = lambda part: _cleared(model.transform(_ready(part, features, cats)))
-    return Forecast(model, label, list(features), score(train), score(test))
+    fit = Forecast(model, label, list(features), train, test, tuple(cats))
+    fit.train, fit.test = fit.score(train), fit.score(test)
+    return fit
 
 
 def boosted_forecast(train: DataFrame, test: DataFrame, label: str, features: Sequence[str],
@@ -140,7 +150,7 @@ def rank_features(train: DataFrame, label: str, features: Sequence[str], categor
 
 def expanding_backtest(df: DataFrame, label: str, features: Sequence[str], year: str, first: int,
                        last: int, include_last: bool = True, categorical: Sequence[str] = (),
-                       settings: Booster = Booster()) -> DataFrame:
+                       settings: Booster = BACKTEST_DEFAULTS) -> DataFrame:
     """Predict each year from a model of all earlier years; the rows with truth.
 
     ``include_last=False`` stops before the last year.
@@ -178,6 +188,7 @@ def grid_search(train: DataFrame, test: DataFrame, label: str, features: Sequenc
 # The settings tried by default.
 FOREST_TREES = (50, 100, 200, 300, 500)
 FRACTIONS = (0.7, 0.8, 0.9)
+SEARCH_ROUNDS = 1500
 
 
 def grid_search_forest(train: DataFrame, test: DataFrame, label: str, features: Sequence[str],
@@ -193,7 +204,7 @@ def grid_search_forest(train: DataFrame, test: DataFrame, label: str, features:
 def grid_search_boosted(train: DataFrame, test: DataFrame, label: str, features: Sequence[str],
                         order: list[str], feature_fractions: Sequence[float] = FRACTIONS,
                         bagging_fractions: Sequence[float] = FRACTIONS, n_splits: int = 3,
-                        rounds: int = FORECAST_ROUNDS):
+                        rounds: int = SEARCH_ROUNDS):
     """Boosted trees over the shares of features and rows used."""
     def booster(f, b):
         settings = Booster(rounds=rounds, feature_fraction=f, bagging_fraction=b)
@@ -204,7 +215,7 @@ def grid_search_boosted(train: DataFrame, test: DataFrame, label: str, features:
 
 def boosted_cv_rounds(train: DataFrame, test: DataFrame, label: str, features: Sequence[str], keys: list[str],
                       n_folds: int = 5, patience: int = 50,
-                      settings: Booster = Booster(rounds=1500)) -> tuple[int, Forecast, DataFrame]:
+                      settings: Booster = Booster(rounds=SEARCH_ROUNDS)) -> tuple[int, Forecast, DataFrame]:
     """Choose the number of rounds by cross-validation over shuffled folds, then refit.
 
     One model per fold is scored after each of its rounds. The rounds kept are
@@ -231,7 +242,7 @@ def boosted_cv_rounds(train: DataFrame, test: DataFrame, label: str, features: S
 
 def time_series_cv_score(train: DataFrame, test: DataFrame, label: str, features: Sequence[str],
                          order: list[str], n_splits: int = 3,
-                         settings: Booster = Booster()) -> tuple[DataFrame, Forecast]:
+                         settings: Booster = CV_DEFAULTS) -> tuple[DataFrame, Forecast]:
     """RMSE and R2 of each expanding fold and their mean, then a fit to all training rows."""
     folds = time_series_split(train.where(column(label).isNotNull()), order, n_splits)
     parts = []

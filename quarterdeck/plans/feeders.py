@@ -83,10 +83,13 @@ def energy_long_features(long: DataFrame, names: dict[str, str], yyyymm: str = "
 
 
 def prompt_month_features(daily: DataFrame, date: str = "Date") -> DataFrame:
-    """Daily prices with their 60, 90 and 360 row averages."""
+    """Daily prices with their 60, 90 and 360 row averages.
+
+    The input is not aggregated, so its rows are put in order over all tasks and averaged in blocks.
+    """
     named = sanitize_columns(daily)
     cols = [c for c in named.columns if c != date]
-    return moving_average(named, PanelSpec.of((), (date,)), cols, (60, 90, 360), "{col}_{n}_Day_MA")
+    return moving_average(named, PanelSpec.of((), (date,), bounded=False), cols, (60, 90, 360), "{col}_{n}_Day_MA")
 
 
 def analyst_estimates(sheets: dict[object, DataFrame], item: str, periods: list[str], names: dict[str, str],

@@ -75,7 +75,7 @@ def enrich_panel(rows: DataFrame, *, period_end: str, market: DataFrame, market_
     quarter. Column names come out plain, and ``--`` as null.
     """
     (entity,) = panel.entity
-    prices = period_return(market, PanelSpec.of((), (market_date,)), index, trading_days, "index_return")
+    prices = period_return(market, PanelSpec.of((), (market_date,), bounded=False), index, trading_days, "index_return")
     prices = sentinels_to_null(scale_percent(prices, {yield_percent: "risk_free_rate"}), numeric=(), text=())
     out = asof_join(rows, prices, period_end, market_date,
                     [c for c in prices.columns if c != market_date], strict=False)
