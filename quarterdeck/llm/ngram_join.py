@@ -10,12 +10,14 @@ Entries with the same signature meet in a list. Lists aren't expanded into pairs
 
 1. Every member is compared with its pivot, the smallest member of fitting size. Links found so far
    make components, and lists within one component are done.
-2. In the short lists left, members of different components are compared, unless their distances from the
-   pivot differ by more than a link allows: Jaccard distance is a metric.
+2. In the short lists left, members of different components are compared.
 3. A long list left is worked out in cells of bounded size, which hold the sets of their members: a member
    outside the largest component scans the inverted lists of its shingles and so counts what it shares with
    every other one. Only links that join two components leave the cell.
 
+Before two texts meet, the parity bitmaps of their sets do: bits that differ are shingles that differ, so
+too many of them rule out a link.
+
 Signatures that are frequent in a part of the corpus are put last in the order of a set's shingles, so
 shared passages don't make lists. If a signature is hot within one task its entries are salted; each salt has
 its pivot, and the second step sees the whole list.
@@ -41,8 +43,8 @@ from quarterdeck.session import pin
 MOST_LIGHT, MOST_FREQUENT, BLOCK, KEPT = 12, 500_000, 2_000, 300_000
 #: Members of a short list, and shingles of a block's members together.
 SHORT, BLOCK_SHINGLES = 64, 1 << 20
-#: Copies of a shingle in the corpus from which on it is put last.
-OFTEN = 8
+#: Documents that hold a shingle from which on it is put last, and shingles that a task counts at a time.
+OFTEN, COUNTED = 8, 1 << 22
 #: Entries of one signature in a batch from which on it is salted, and the salts.
 HOT, SALTS = 64, 64
 #: Odd multipliers that tell the places in a shingle apart.
@@ -109,12 +111,9 @@ class Threshold:
         """So many of its first shingles can't all be missing from a linked set."""
         return size - self.least_common(size) + 1 if size else 0
 
-    def fits(self, small: Column, large: Column) -> Column:
-        return small * self.parts >= large * self.share
-
-    @property
-    def distance(self) -> float:
-        return 1 - self.share / self.parts
+    def most_apart(self, a: int, b: int) -> int:
+        """Shingles in one but not both of two linked sets of these sizes."""
+        return (a + b) * (self.parts - self.share) // (self.parts + self.share)
 
     def subsets(self, size: int) -> int:
         return sum(math.comb(size, k) for k in range(self.least_common(size), size + 1))
@@ -124,31 +123,45 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return texts_of(df, key, text).where("doc_id IS NOT NULL")
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("signature", pa.int64())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("bits", pa.binary()), ("signature", pa.int64())])
 
 
 def _sets(width: int):
-    """A row per document with its set's size and key, and rows of frequent shingles: n is their count, doc_id null."""
+    """A row per document with its set's size, key and bitmap, and rows of frequent shingles: n is their count, doc_id null."""
     def of(batches) -> Iterator[pa.RecordBatch]:
         counts: dict[int, int] = {}
+        held: list[np.ndarray] = []
+        seen: set[tuple[int, int]] = set()
+
+        def count() -> None:
+            nonlocal counts
+            values, found = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            often = found >= 3
+            for value, times in zip(values[often].view(np.int64).tolist(), found[often].tolist(), strict=True):
+                counts[value] = counts.get(value, 0) + times
+            if len(counts) > MOST_FREQUENT:  # lossy counting: the rare half goes
+                middle = sorted(counts.values())[len(counts) // 2]
+                counts = {v: c for v, c in counts.items() if c > middle}
+            held.clear()
+            seen.clear()
+
+        waiting = 0
         for batch in batches:
-            rows, seen, held = [], set(), []
+            rows = []
             for ident, text in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), strict=True):
                 own = shingles(text, width)
                 high, low = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), "<i8").tolist()
-                rows.append((ident, len(own), high, low, None))
+                rows.append((ident, len(own), high, low, parity_bits(own), None))
                 if (high, low) not in seen:  # copies don't make a shingle frequent
                     seen.add((high, low))
                     held.append(own)
+                    waiting += len(own)
+                    if waiting >= COUNTED:
+                        count()
+                        waiting = 0
             yield from rows_out(rows, _SETS)
-            values, found = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            often = found >= 3
-            for value, count in zip(values[often].view(np.int64).tolist(), found[often].tolist(), strict=True):
-                counts[value] = counts.get(value, 0) + count
-            if len(counts) > MOST_FREQUENT:  # lossy counting: the rare half goes
-                middle = sorted(counts.values())[len(counts) // 2]
-                counts = {v: c for v, c in counts.items() if c > middle}
-        yield from rows_out(((None, c, None, None, v) for v, c in counts.items()), _SETS)
+        count()
+        yield from rows_out(((None, c, None, None, None, v) for v, c in counts.items()), _SETS)
 
     return of
 
@@ -225,25 +238,32 @@ def _entries(width: int, order: Order, light: int, threshold: Threshold, hot_fro
 
 
 _LISTS = pa.schema([*_ENTRIES, ("pivot", pa.int64())])
+LIST_DDL = "signature long, salt int, n int, doc long, pivot long"
 
 
 def _lists(threshold: Threshold):
-    """Members of lists of two or more, with their pivots; input is sorted by signature, salt, n, doc."""
+    """Members of lists of two or more, with their pivots; input is sorted by signature, salt, n, doc.
+
+    A member that comes several times is told once. Salted members stay, as their list goes on elsewhere, and so do marks that
+    tell of it, with doc -1.
+    """
     def of(batches) -> Iterator[pa.RecordBatch]:
         previous = None  # the last row, not yet told
         alone, pivot, pivot_n = True, -1, 0
         for batch in batches:
             columns = [batch.column(n).to_numpy() for n in _ENTRIES.names]
-            if not len(columns[0]):
-                continue
             if previous is not None:
                 columns = [np.concatenate([[p], c]).astype(c.dtype) for p, c in zip(previous, columns, strict=True)]
             signature, salt, n, doc = columns
+            fresh = np.ones(len(signature), bool)
+            fresh[1:] = (signature[1:] != signature[:-1]) | (salt[1:] != salt[:-1]) | (doc[1:] != doc[:-1])
+            signature, salt, n, doc = columns = [c[fresh] for c in columns]
             size = len(signature)
+            if not size:
+                continue
             same = (signature[1:] == signature[:-1]) & (salt[1:] == salt[:-1])
             before = np.concatenate([[previous is not None and not alone], same])
-            kept = (before[:-1] | same | (salt[:-1] > 0)) if size > 1 else np.zeros(0, bool)
-            rows = np.flatnonzero(kept)
+            rows = np.flatnonzero(before[:-1] | same | (salt[:-1] > 0))
             pivots = np.full(size, -1, np.int64)
             for i in rows.tolist():
                 if i == 0 and previous is not None and not alone:
@@ -253,27 +273,65 @@ def _lists(threshold: Threshold):
                 if doc[i] >= 0 and (pivot < 0 or threshold.parts * pivot_n < threshold.share * n[i]):
                     pivot, pivot_n = doc[i], n[i]
                 pivots[i] = pivot
-            rows = rows[doc[rows] >= 0]
             if len(rows):
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in columns), pa.array(pivots[rows])], schema=_LISTS)
             alone = not before[-1]
             if size > 1 and alone:
                 pivot, pivot_n = -1, 0
             previous = [c[-1] for c in columns]
-        if previous is not None and previous[3] >= 0 and (not alone or previous[1] > 0):
+        if previous is not None and (not alone or previous[1] > 0):
             signature, salt, n, doc = (int(x) for x in previous)
-            if pivot < 0 or threshold.parts * pivot_n < threshold.share * n:
+            if doc >= 0 and (pivot < 0 or threshold.parts * pivot_n < threshold.share * n):
                 pivot = doc
             yield from rows_out([(signature, salt, n, doc, int(pivot))], _LISTS)
 
     return of
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("distance", pa.float64())])
+def _met(entries: DataFrame, threshold: Threshold) -> DataFrame:
+    return entries.repartition("signature", "salt").sortWithinPartitions("signature", "salt", "n", "doc").mapInArrow(_lists(threshold), LIST_DDL)
+
 
+def parity_bits(own: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of shingles falls on it; about two bits a shingle."""
+    size = 1 << max(6, min(16, (2 * max(1, len(own)) - 1).bit_length()))
+    odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """So many shingles at least are in one but not both of the sets."""
+    x, y = (a, b) if len(a) >= len(b) else (b, a)
+    large, size = int.from_bytes(x, "little"), 8 * len(x)
+    while size > 8 * len(y):  # halves laid over each other are the bitmap of half the size
+        size //= 2
+        large = large >> size ^ large & (1 << size) - 1
+    return (large ^ int.from_bytes(y, "little")).bit_count()
+
+
+def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The texts of the documents in ``needed``, whose files tell Spark how few they are."""
+    return pin(docs.join(pin(needed.toDF("doc_id").distinct(), "needed"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+
+def _plausible(pairs: DataFrame, bitmaps: DataFrame, threshold: Threshold) -> DataFrame:
+    """The pairs that their bitmaps (doc_id, n, bits) don't rule out."""
+    both = pairs.join(bitmaps.toDF("a", "a_n", "a_bits"), "a").join(bitmaps.toDF("b", "b_n", "b_bits"), "b")
 
-def _verdicts(width: int, threshold: Threshold):
-    """Input is sorted by a and salt; each begins with the row of a itself, whose b is null."""
+    def of(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("a_n", "b_n", "a_bits", "b_bits")]
+            keep = pa.array([least_apart(x, y) <= threshold.most_apart(m, n) for m, n, x, y in zip(*columns, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return pin(both.mapInArrow(of, "a long, b long"), "plausible")
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _linked(width: int, threshold: Threshold):
+    """The linked pairs. Input is sorted by a and salt; each begins with the row of a itself, whose b is null."""
     def of(batches) -> Iterator[pa.RecordBatch]:
         own = None
         for batch in batches:
@@ -283,16 +341,15 @@ def _verdicts(width: int, threshold: Threshold):
                 if b is None:
                     own = other
                     continue
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                union = len(own) + len(other) - common
-                out.append((a, b, threshold.linked(common, len(own), len(other)), 1 - common / union if union else 1.0))
+                if threshold.linked(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)):
+                    out.append((a, b))
             yield from rows_out(out, _PAIRS)
 
     return of
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, width: int, threshold: Threshold, block: int) -> DataFrame:
-    """a, b, linked, distance of each distinct pair, from the whole texts.
+    """The pairs that are linked, by their whole texts; ``pairs`` are distinct.
 
     The text of a meets those of its partners: each is shuffled once for an a and not once for a pair. An a with very
     many partners is spread over salts of ``block`` of them.
@@ -303,7 +360,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, width: int, threshold: Threshol
     own = heads.join(texts.withColumnRenamed("doc_id", "a"), "a").select(
         "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
     rows = own.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return pin(rows.mapInArrow(_verdicts(width, threshold), "a long, b long, linked boolean, distance double"), "compared")
+    return pin(rows.mapInArrow(_linked(width, threshold), "a long, b long"), "compared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -337,31 +394,30 @@ def _lists_left(lists: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFram
     return named, pin(mixed.where("low <> high AND (members > 2 OR several)").select("signature", "members", "shingles"), "mixed")
 
 
-def _short_pairs(named: DataFrame, mixed: DataFrame, star: DataFrame, threshold: Threshold, short: int) -> DataFrame:
-    """Pairs of different components in the short lists that may still be linked."""
+def _short_pairs(named: DataFrame, mixed: DataFrame, bitmaps: DataFrame, star: DataFrame, threshold: Threshold, short: int) -> DataFrame:
+    """Pairs of different components in the short lists that their bitmaps don't rule out; ``star`` are compared already."""
     members = named.join(mixed.where(F.col("members") <= short).select("signature"), "signature").join(
-        star.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "distance"), ["pivot", "doc"], "left").withColumn(
-        "distance", F.when(F.col("pivot") == F.col("doc"), 0.0).otherwise(F.col("distance")))
+        bitmaps.select(F.col("doc_id").alias("doc"), "bits"), "doc")
     pairs = members.select("signature", *_MEMBERS).repartition("signature").sortWithinPartitions("signature", "n", "doc").mapInArrow(
         _cross(threshold), "a long, b long").distinct()
     return pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
-_MEMBERS = ["n", "doc", "component", "pivot", "distance"]
+_MEMBERS = ["n", "doc", "component", "pivot", "bits"]
 
 
 def _cross(threshold: Threshold):
     """Pairs within each list; input is sorted by signature, n, doc."""
     def pairs_of(columns: list[np.ndarray]) -> np.ndarray:
-        n, doc, component, pivot, distance = columns
-        out = [np.zeros((0, 2), np.int64)]
+        n, doc, component, pivot, bits = columns
+        out = []
         for i in range(len(doc) - 1):
             at = np.arange(i + 1, np.searchsorted(n, threshold.parts * n[i] // threshold.share, side="right"))
-            # the triangle inequality; false where a distance is missing
-            far = (pivot[at] == pivot[i]) & (np.abs(distance[at] - distance[i]) > threshold.distance + 1e-9)
-            at = at[(component[at] != component[i]) & ~far & (doc[at] != pivot[i]) & (pivot[at] != doc[i])]
-            out.append(np.stack([np.minimum(doc[i], doc[at]), np.maximum(doc[i], doc[at])], axis=1))
-        return np.concatenate(out)
+            at = at[(component[at] != component[i]) & (doc[at] != pivot[i]) & (pivot[at] != doc[i])]
+            for j in at.tolist():
+                if least_apart(bits[i], bits[j]) <= threshold.most_apart(int(n[i]), int(n[j])):
+                    out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
+        return np.array(out, np.int64).reshape(-1, 2)
 
     def of(batches) -> Iterator[pa.RecordBatch]:
         held = None
@@ -383,13 +439,17 @@ def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _long_links(named: DataFrame, mixed: DataFrame, texts: DataFrame, width: int, threshold: Threshold, short: int, block: int) -> DataFrame:
+def _long_members(named: DataFrame, mixed: DataFrame, short: int, block: int) -> DataFrame:
+    """The members of the long lists, with the number of blocks that their list is cut into."""
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return pin(named.join(mixed.where(F.col("members") > short).select("signature", blocks.alias("blocks")), "signature"), "long")
+
+
+def _long_links(members: DataFrame, texts: DataFrame, width: int, threshold: Threshold) -> DataFrame:
     """Links that join different components within the long lists.
 
-    A list is cut into blocks, and block i meets block j >= i in a cell of its own: the row goes to all cells of its line and column.
+    Block i of a list meets block j >= i in a cell of its own: a row goes to all cells of its line and column.
     """
-    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    members = named.join(mixed.where(F.col("members") > short).select("signature", blocks.alias("blocks")), "signature")
     members = members.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = members.select("signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc", "component")
@@ -465,7 +525,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     """
     threshold = threshold or Threshold()
     docs = _keyed(df, key, text)
-    described = pin(texts_of(df, key, text).mapInArrow(_sets(width), "doc_id long, n long, high long, low long, signature long"), "sets")
+    described = pin(texts_of(df, key, text).mapInArrow(_sets(width), "doc_id long, n long, high long, low long, bits binary, signature long"), "sets")
     sets = described.where("signature IS NULL")
     # signatures put last: the most frequent ones, at most MOST_FREQUENT longs on the driver and in each task
     often = described.where("signature IS NOT NULL").groupBy("signature").agg(F.sum("n").alias("n"))
@@ -475,30 +535,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     light = _boundary(sizes, threshold)
 
     entries = docs.mapInArrow(_entries(width, order, light, threshold, hot), "signature long, salt int, n int, doc long")
-    lists = pin(entries.repartition("signature", "salt").sortWithinPartitions("signature", "salt", "n", "doc").mapInArrow(
-        _lists(threshold), "signature long, salt int, n int, doc long, pivot long"), "lists")
+    shared = pin(_met(entries, threshold).drop("pivot"), "shared")
 
     # copies are linked as they are, by their sets' keys; only the first of them is compared
     named = sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "high", "low").distinct()
     first = named.groupBy("high", "low").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     copies = pin(named.join(first, ["high", "low"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "copies")
     to_first = copies.select(F.col("a").alias("first"), F.col("b").alias("copy"))
-    for column in ("doc", "pivot"):
-        lists = lists.join(to_first, F.col(column) == F.col("copy"), "left").withColumn(column, F.coalesce("first", column)).drop("first", "copy")
-    lists = pin(lists.select("signature", "n", "doc", "pivot").distinct(), "members")
-
+    firsts = shared.join(to_first, F.col("doc") == F.col("copy"), "left").withColumn("doc", F.coalesce("first", "doc")).select(*_ENTRIES.names)
+    lists = pin(_met(firsts, threshold).where("doc >= 0"), "lists")
     star_pairs = pin(lists.where("pivot <> doc").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "star")
-    # a list may have several pivots, for its salts or for sizes too far apart; each may be linked with others' members
-    pivots = lists.where("pivot = doc").select("signature", "doc")
-    several = pin(pivots.groupBy("signature").count().where("count > 1").select("signature"), "several")
-    ends = star_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionAll(pivots.join(several, "signature").select("doc"))
-    needed = pin(ends.distinct(), "needed")
-    texts = pin(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    star = _compare(star_pairs, texts, width, threshold, block)
-    links = star.where("linked").select("a", "b").unionAll(copies)
+    bitmaps = pin(sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "bits").dropDuplicates(["doc_id"]), "bitmaps")
+    plausible = _plausible(star_pairs, bitmaps, threshold)
+    star = _compare(plausible, _texts(docs, plausible.select(F.explode(F.array("a", "b")))), width, threshold, block)
+    links = star.unionAll(copies)
+
     named, mixed = _lists_left(lists, components(links))
-    rest = _compare(pin(_short_pairs(named, mixed, star, threshold, short), "pairs"), texts, width, threshold, block).where("linked").select("a", "b")
-    rest = pin(rest.unionAll(_long_links(named, mixed, texts, width, threshold, short, block)), "links")
+    pairs = pin(_short_pairs(named, mixed, bitmaps, star_pairs, threshold, short), "pairs")
+    members = _long_members(named, mixed, short, block)
+    texts = _texts(docs, pairs.select(F.explode(F.array("a", "b"))).unionAll(members.select("doc")))
+    rest = _compare(pairs, texts, width, threshold, block)
+    rest = pin(rest.unionAll(_long_links(members, texts, width, threshold)), "links")
     known = components(links.unionAll(rest))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(known.toDF("doc_id", "component_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

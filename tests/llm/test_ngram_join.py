@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from quarterdeck.llm.ngram_join import Threshold, components, near_duplicates
+from quarterdeck.llm.ngram_join import Threshold, components, least_apart, near_duplicates, parity_bits
 from tests.llm.brute import near_components
 
 
@@ -58,3 +59,16 @@ def test_threshold_counts_in_whole_numbers():
     t = Threshold()
     assert t.linked(4, 5, 4) and not t.linked(3, 4, 4) and not t.linked(0, 0, 0)
     assert [t.least_common(n) for n in (1, 4, 5, 9, 10)] == [1, 4, 4, 8, 8]
+
+
+def test_bitmaps_never_rule_out_too_much():
+    rnd = np.random.default_rng(1)
+    for size in (1, 5, 40, 300, 40_000):
+        own = rnd.integers(0, 1 << 63, size).astype(np.uint64)
+        for other_size in (size, max(1, size // 2), size * 2):
+            keep = own[rnd.random(size) < 0.7]
+            other = np.concatenate([keep, rnd.integers(0, 1 << 63, max(0, other_size - len(keep))).astype(np.uint64)])
+            assert least_apart(parity_bits(own), parity_bits(other)) <= len(np.setxor1d(own, other))
+    assert least_apart(parity_bits(own), parity_bits(own)) == 0
+    t = Threshold()
+    assert all(t.linked((a + b - d) // 2, a, b) == (d <= t.most_apart(a, b)) for a in range(1, 40) for b in range(1, 40) for d in range(abs(a - b), a + b + 1, 2))
