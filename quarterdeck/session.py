@@ -53,9 +53,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[app]
 
 
+def _run_folder(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application alone."""
+    return f"{shared_folder(spark)}/quarterdeck/{spark.conf.get('spark.app.id', 'run')}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_folder(spark)}/quarterdeck/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's part of the shared folder."""
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder, once its results have been written elsewhere.
+
+    Frames that read pinned tables can't be used afterwards. Other applications' files are not touched.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pin(df: DataFrame, name: str = "pinned") -> DataFrame:

@@ -29,3 +29,7 @@ def test_pinned_rows_come_back_with_a_known_size(spark):
     df = pin(spark.range(10).selectExpr("id", "id * 2 as x"))
     assert sorted(map(tuple, df.collect())) == [(i, 2 * i) for i in range(10)]
     assert "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_belong_to_the_application(spark):
+    assert f"/quarterdeck/{spark.conf.get('spark.app.id')}/" in scratch_path(spark, "x")
