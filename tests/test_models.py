@@ -115,10 +115,9 @@ def test_greedy_lasso_equals_refitting_on_the_rows(spark):
     assert selection.forward_select_lasso(df, "y", names, 3, ["i"]) == [names[j] for j in sorted(chosen)]
 
 
-RUN = ["search_feature_count", "grid_search_forest", "boosted_cv_rounds", "time_series_cv_score", "select_and_forecast"]
-MODEL_QUERIES = ["rank_features", "search_feature_count", "forecast_targets", "boosted_forecast", "hist_boosted_forecast",
-                 "expanding_backtest", "grid_search_forest", "boosted_cv_rounds", "time_series_cv_score",
-                 "forward_select_lasso", "select_and_forecast"]
+RUN = ["search_feature_count", "grid_search_forest", "boosted_cv_rounds", "select_and_forecast"]
+MODEL_QUERIES = ["rank_features", "search_feature_count", "forecast_targets", "boosted_forecast", "grid_search_forest",
+                 "boosted_cv_rounds", "forward_select_lasso", "select_and_forecast"]
 
 
 @pytest.mark.parametrize("name", RUN)
@@ -132,3 +131,14 @@ def test_every_query_is_named_once_and_has_a_text_or_a_test():
     assert without <= set(MODEL_QUERIES) | {"forecast_report", "grid_search_boosted"}
     assert not set(ORACLES) - set(QUERIES)
     assert len(list(itertools.chain(QUERIES))) > 100
+
+
+def test_feature_counts_are_chosen_on_validation_rows(frame):
+    train, held, test = frame.where("yr < 2016"), frame.where("yr IN (2016, 2017)"), frame.where("yr >= 2018")
+    renamed = [p.withColumn("y", F.col("a") * 0) for p in (train, held, test)]
+    out = selection.forecast_targets(renamed[0], renamed[2], ["y"], ["a", "b"], chain=["y"], ranking=forecast.Booster(rounds=2, depth=2, loss="absolute"),
+                                     settings=SMALL, first=2, step=1, validation=renamed[1])
+    fit = out["y"].forecast
+    scored = regression_metrics(fit.score(renamed[1]), "y_lag1", "pred_y_lag1").first()["rmse"]
+    assert out["y"].scores[out["y"].count] == pytest.approx(scored, rel=1e-9)
+    assert fit.test.count() == test.count()
