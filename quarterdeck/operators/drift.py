@@ -2,57 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterdeck.panel import column
-from quarterdeck.session import pin
 
 # Bins by default, and the range shares are clipped to.
 BINS, SMALLEST_SHARE, LARGEST_SHARE = 10, 1e-10, 1.0
 
 
-def _long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row per column and value. The rows are counted in place, not shuffled."""
-    wide = df.select(*[column(c).cast("double").alias(c) for c in cols])
-    return wide.unpivot([], cols, "column", "value").where(F.col("value").isNotNull())
+def _edges(df: DataFrame, cols: list[str], bins: int) -> Column:
+    """Per column the lowest and highest edge and the bin width, as one value of a struct per column.
 
-
-def _edges(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
-    """Per column the lowest edge and the bin width; a single value is widened by 0.5.
-
-    One row per column, pinned so that Spark sees how small it is and does not
-    shuffle the counted rows to meet it.
+    One row of minima and maxima, read as a scalar: nothing is joined to meet it. A single value is widened by 0.5.
     """
-    ends = _long(df, cols).groupBy("column").agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
-    flat = F.col("mn") == F.col("mx")
-    return pin(ends.select("column", F.when(flat, F.col("mn") - 0.5).otherwise(F.col("mn")).alias("lo"),
-                       F.when(flat, F.col("mx") + 0.5).otherwise(F.col("mx")).alias("hi")) \
-        .withColumn("step", (F.col("hi") - F.col("lo")) / bins), "edges")
+    def ends(c):
+        low, high = F.min(column(c).cast("double")), F.max(column(c).cast("double"))
+        wide = F.when(low == high, 0.5).otherwise(0.0)
+        return F.struct((low - wide).alias("lo"), (high + wide).alias("hi"), ((high + wide - (low - wide)) / bins).alias("step"))
+
+    return df.agg(F.struct(*[ends(c).alias(f"c{i}") for i, c in enumerate(cols)]).alias("edges")).scalar()
 
 
-def _edge(i: Column, bins: int) -> Column:
-    return F.when(i == bins, F.col("hi")).otherwise(i * F.col("step") + F.col("lo"))
+def _edge(own: Column, i: Column, bins: int) -> Column:
+    return F.when(i == bins, own["hi"]).otherwise(i * own["step"] + own["lo"])
 
 
-def _counts(df: DataFrame, edges: DataFrame, cols: list[str], bins: int) -> DataFrame:
-    """Rows per column and bin, bins without rows included."""
-    x = F.col("value")
-    guess = F.least(F.greatest(F.floor((x - F.col("lo")) / F.col("step")), F.lit(0)), F.lit(bins - 1))
+def _bin(x: Column, own: Column, bins: int) -> Column:
+    """The bin of ``x``; null outside the edges."""
+    guess = F.least(F.greatest(F.floor((x - own["lo"]) / own["step"]), F.lit(0)), F.lit(bins - 1))
     # the division may miss by one at an edge: settle it against the edges themselves
-    settled = (F.when(x < _edge(F.col("g"), bins), F.col("g") - 1)
-               .when((x >= _edge(F.col("g") + 1, bins)) & (F.col("g") < bins - 1), F.col("g") + 1)
-               .otherwise(F.col("g")))
-    found = (_long(df, cols).join(edges, "column")
-             .where((x >= F.col("lo")) & (x <= F.col("hi")))
-             .withColumn("g", guess)
-             .groupBy("column", settled.cast("int").alias("bin"))
-             .agg(F.count(F.lit(1)).alias("n")))
-    every = edges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return (every.join(found, ["column", "bin"], "left")
-            .select("column", "bin", _edge(F.col("bin"), bins).alias("lower"),
-                    _edge(F.col("bin") + 1, bins).alias("upper"),
-                    F.coalesce("n", F.lit(0)).alias("n")))
+    settled = (F.when(x < _edge(own, guess, bins), guess - 1)
+               .when((x >= _edge(own, guess + 1, bins)) & (guess < bins - 1), guess + 1).otherwise(guess))
+    return F.when((x >= own["lo"]) & (x <= own["hi"]), settled.cast("int"))
+
+
+def _counts(frames: list[DataFrame], edges: Column, cols: list[str], bins: int) -> DataFrame:
+    """Rows of each frame per column and bin as n0, n1 ..., bins without rows included. One pass over each frame."""
+    found = None
+    for tag, df in enumerate(frames):
+        cells = F.array(*[F.struct(F.lit(i).alias("at"), _bin(column(c).cast("double"), edges[f"c{i}"], bins).alias("bin")) for i, c in enumerate(cols)])
+        part = df.select(F.lit(tag).alias("tag"), F.explode(cells).alias("cell")).where("cell.bin IS NOT NULL")
+        found = part if found is None else found.unionAll(part)
+    counted = found.groupBy(F.col("cell.at").alias("at"), F.col("cell.bin").alias("bin")).agg(
+        *[F.count_if(F.col("tag") == tag).alias(f"n{tag}") for tag in range(len(frames))])
+    every = frames[0].sparkSession.range(len(cols)).select(
+        F.col("id").cast("int").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    own = F.get(F.array(*[edges[f"c{i}"] for i in range(len(cols))]), F.col("at"))
+    names = F.get(F.array(*[F.lit(c) for c in cols]), F.col("at"))
+    return (every.join(counted, ["at", "bin"], "left").withColumn("own", own).where("own.lo IS NOT NULL")
+            .select(names.alias("column"), "bin", _edge(F.col("own"), F.col("bin"), bins).alias("lower"),
+                    _edge(F.col("own"), F.col("bin") + 1, bins).alias("upper"),
+                    *[F.coalesce(f"n{tag}", F.lit(0)).alias(f"n{tag}") for tag in range(len(frames))]))
 
 
 def equal_width_histogram(df: DataFrame, cols: list[str], bins: int = BINS,
@@ -62,22 +63,22 @@ def equal_width_histogram(df: DataFrame, cols: list[str], bins: int = BINS,
     Edges come from ``edges_from`` (default: the counted frame); values outside
     them are not counted.
     """
-    return _counts(df, _edges(edges_from if edges_from is not None else df, cols, bins), cols, bins)
+    edges = _edges(edges_from if edges_from is not None else df, cols, bins)
+    return _counts([df], edges, cols, bins).withColumnRenamed("n0", "n")
 
 
 def population_stability_index(expected: DataFrame, actual: DataFrame, cols: list[str],
                                bins: int = BINS) -> DataFrame:
-    """PSI of every column, over bins of the expected sample."""
-    edges = _edges(expected, cols, bins)
-
-    def shares(df, name):
-        counts = _counts(df, edges, cols, bins)
-        total = counts.groupBy("column").agg(F.sum("n").alias("total"))
-        share = F.try_divide(F.col("n").cast("double"), F.col("total").cast("double"))
-        clipped = F.least(F.greatest(share, F.lit(SMALLEST_SHARE)), F.lit(LARGEST_SHARE))
-        return counts.join(total, "column").select(
-            "column", "bin", F.when(share.isNotNull(), clipped).alias(name))
-
-    both = shares(expected, "e").join(shares(actual, "a"), ["column", "bin"])
+    """PSI of every column, over bins of the expected sample. Both samples are counted in one pass."""
+    counts = _counts([expected, actual], _edges(expected, cols, bins), cols, bins)
+    # one row per bin: the totals of a column come from its own few rows
+    whole = Window.partitionBy("column")
+
+    def share(n):
+        part = F.try_divide(F.col(n).cast("double"), F.sum(n).over(whole).cast("double"))
+        clipped = F.least(F.greatest(part, F.lit(SMALLEST_SHARE)), F.lit(LARGEST_SHARE))
+        return F.when(part.isNotNull(), clipped)
+
+    both = counts.select("column", share("n0").alias("e"), share("n1").alias("a"))
     return both.groupBy("column").agg(
         F.sum((F.col("e") - F.col("a")) * F.ln(F.col("e") / F.col("a"))).alias("psi"))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterdeck.operators.ar1 import impute_ar1
-from quarterdeck.panel import PanelSpec, column
+from quarterdeck.panel import PanelSpec, column, ensure_panel
+from quarterdeck.session import pin
 
 
 def _panel(spec: PanelSpec) -> PanelSpec:
@@ -121,13 +122,14 @@ def build_train_test(df: DataFrame, spec: PanelSpec, features: list[str], target
 
     Training rows are neutralised and imputed, targets included. Test features
     are filled forward only, from the imputed training history on; test targets
-    stay as they are.
+    stay as they are. A key that occurs twice fails the job. The imputed training rows go
+    into three of the frames and are written once.
     """
     keys = [*spec.entity, *spec.order]
-    rows = split_panel(df, spec, year, cutoff, min_train)
+    rows = split_panel(ensure_panel(df, spec), spec, year, cutoff, min_train)
     train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
     measures = [*features, *targets]
-    train = impute_panel(neutralize_sparse_columns(train, spec, measures, threshold), spec, measures)
+    train = pin(impute_panel(neutralize_sparse_columns(train, spec, measures, threshold), spec, measures), "imputed")
     x = lambda part: part.drop(*targets)
     history = x(train).unionByName(x(test))
     walked = impute_ar1(history, spec, features).where(F.col("split") == "test")

@@ -45,6 +45,20 @@ def duplicate_keys(df: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.groupBy(*spec.entity, *spec.order).count().where(F.col("count") > 1)
 
 
+def ensure_panel(df: DataFrame, spec: PanelSpec) -> DataFrame:
+    """``df``, failing while it runs where a key of a bounded panel occurs more than once.
+
+    The rows of a key are counted in the partitions that the panel's windows use anyway.
+    """
+    if not spec.bounded:
+        return df
+    key = [*spec.entity, *spec.order]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    told = F.concat_ws(", ", *[F.coalesce(column(k).cast("string"), F.lit("null")) for k in key])
+    single = F.when(place == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("the panel holds a key twice: "), told)))
+    return df.withColumn("_single", single).where("_single").drop("_single")
+
+
 def column(c: str | Column) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 

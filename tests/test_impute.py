@@ -177,3 +177,9 @@ def test_ar1_holds_at_any_level(rows, level):
     known = np.array(series[:-1])
     slope, base = np.polyfit(known[:-1] - 200, known[1:] - 200, 1)
     assert got.where("t = 7").first()["x"] - level == pytest.approx(200 + base + slope * (known[-1] - 200), abs=1e-4)
+
+
+def test_a_key_that_occurs_twice_fails(rows):
+    twice = rows("e int, yr int, x double, y double", [(1, 2016, 1.0, 1.0), (1, 2017, 2.0, 2.0), (1, 2017, 3.0, 3.0), (1, 2019, 4.0, 4.0)])
+    with pytest.raises(Exception, match="holds a key twice: 1, 2017"):
+        impute.build_train_test(twice, PanelSpec.of("e", "yr"), ["x"], ["y"])["train_x"].collect()
