@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarterdeck.operators import aggregate, asof, crosssection, drift, resolve, windows
+from quarterdeck.operators.clean import parse_fiscal_period
 from quarterdeck.panel import PanelSpec
 from quarterdeck.session import pin
 from registry.book import query, rounded
@@ -62,6 +63,28 @@ def _(t):
         "filing_status", "accounting_standard")
 
 
+@query("resolve_annual", f"""
+WITH f AS (SELECT CAST(l_suppkey AS INT) AS entity, CAST(year(l_shipdate) AS INT) AS yr,
+    CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS update_key,
+    CASE WHEN l_linestatus = 'F' THEN 'Y' ELSE 'N' END AS consolidated,
+    CASE l_returnflag WHEN 'A' THEN 'MR' WHEN 'N' THEN 'OR' ELSE 'ZZ' END AS filing_status,
+    CASE l_suppkey % 3 WHEN 0 THEN 'IAS/IFRS' WHEN 1 THEN 'US GAAP' ELSE 'OTHER' END AS accounting_standard,
+    l_quantity AS sales FROM lineitem WHERE l_linenumber % 2 = 1),
+{resolve_sql("sales", "f", "entity, yr")}
+SELECT entity, yr, sales FROM sales_r""")
+def _(t):
+    """The annual labels of a mixed table, resolved by company and year."""
+    label = F.concat(F.year("l_shipdate"), F.when(F.col("l_linenumber") % 2 == 1, " A").otherwise(F.concat(F.lit(" Q"), F.quarter("l_shipdate"))))
+    filings = t.lineitem.select(
+        F.col("l_suppkey").cast("int").alias("entity"), label.alias("label"), F.col("l_quantity").alias("sales"),
+        F.when(F.col("l_partkey") % 11 != 0, F.col("l_shipdate").cast("date")).alias("updated"),
+        F.when(F.col("l_linestatus") == "F", "Y").otherwise("N").alias("consolidated"),
+        F.when(F.col("l_returnflag") == "A", "MR").when(F.col("l_returnflag") == "N", "OR").otherwise("ZZ").alias("status"),
+        F.when(F.col("l_suppkey") % 3 == 0, "IAS/IFRS").when(F.col("l_suppkey") % 3 == 1, "US GAAP").otherwise("OTHER").alias("standard"))
+    return resolve.resolve_by_priority(parse_fiscal_period(filings, "label", "annual"), ["entity", "yr"], ["sales"], "updated",
+                                       "consolidated", "status", "standard")
+
+
 @query("revised_filing_forecast", """
 WITH newest AS (SELECT * FROM (SELECT l_orderkey % 500 AS entity, l_linenumber AS period, l_suppkey % 4 AS revision_id,
     rank() OVER (PARTITION BY l_orderkey % 500, l_linenumber ORDER BY l_suppkey % 4 DESC) AS r,
