@@ -126,7 +126,8 @@ def pack(found: DataFrame, capacity: int, at_once: int = AT_ONCE) -> DataFrame:
         # every round has at most a quarter of the partitions before it, and its last has one
         wanted = -(-rows // at_once)
         parts = max(1, wanted if parts is None else min(wanted, -(-parts // 4)))
-        seed = F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(number))
+        # by the place in the written files, so that copies of a row are spread too
+        seed = F.xxhash64(F.monotonically_increasing_id(), F.lit(number))
         packed = pin(pool.withColumn("part", F.pmod(seed, F.lit(parts)).cast("long")).groupBy("part")
                      .applyInPandas(_packer(capacity, number), PACKED), "packed")
         last = parts == 1

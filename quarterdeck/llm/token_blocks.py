@@ -148,12 +148,12 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int, percenti
                  key: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text, end each with ``end_id`` and write the files at ``path`` in ascending id order.
 
-    A null or empty text is the end id alone. Rows without an id come first, rows that share
-    an id follow each other by text. Further columns are left out. An empty table gives
-    files without segments.
+    A null or empty text is the end id alone. Rows without an id come first; rows that share an id, or have
+    none, follow each other by the xxhash64 of their text, and so fill many tasks. Further columns are left out. An
+    empty table gives files without segments.
     """
-    docs = texts_of(df, key, text)
-    (docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    docs = texts_of(df, key, text).withColumn("tie", F.xxhash64("text"))
+    (docs.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
      .mapInArrow(_writer(tokenizer, end_id, percentile), SEGMENT_DDL).write.parquet(path))
 
 

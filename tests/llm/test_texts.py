@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from quarterdeck.llm import exact_dedup, line_dedup, token_blocks
@@ -51,7 +52,8 @@ def test_blocks_return_what_was_packed(top, percentile):
 def test_token_files(rows, spark, tmp_path):
     token_blocks.write_tokens(_odd(rows).repartition(3), str(tmp_path / "t"), BYTE, end_id=2)
     library = Tokenizer.from_file(BYTE)
-    ordered = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    tie = lambda text: int.from_bytes(xxhash.xxh64(text.encode(), seed=42).digest(), "big", signed=True)
+    ordered = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1] or "")))
     ids = [library.encode(t or "", add_special_tokens=False).ids + [2] for _, t in ordered]
     starts = np.cumsum([0, *map(len, ids)])
     want = sorted(((i, int(s), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), s, x in zip(ordered, starts, ids, strict=False)), key=str)
