@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 # folders of local sessions that were started without spark.checkpoint.dir
 _LOCAL_FOLDERS: dict[str, str] = {}
+# where the files of a pinned table are, by the identity of its frame
+_PINNED: dict[int, str] = {}
 
 
 def build_session(app: str = "quarterdeck", master: str | None = None, **conf) -> SparkSession:
@@ -68,8 +71,7 @@ def clear_scratch(spark: SparkSession) -> None:
 
     Frames that read pinned tables can't be used afterwards. Other applications' files are not touched.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _run_folder(spark))
 
 
 def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
@@ -83,4 +85,19 @@ def pin(df: DataFrame, name: str = "pinned") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    pinned = spark.read.schema(df.schema).parquet(path)
+    _PINNED[id(pinned)] = path
+    weakref.finalize(pinned, _PINNED.pop, id(pinned), None)
+    return pinned
+
+
+def unpin(*frames: DataFrame) -> None:
+    """Delete the files of pinned tables that nothing reads any more. Other frames are left alone."""
+    for df in frames:
+        if path := _PINNED.pop(id(df), None):
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from quarterdeck.session import pin, scratch_path, shared_folder
+from quarterdeck.session import pin, scratch_path, shared_folder, unpin
 
 
 class _Session:
@@ -33,3 +33,10 @@ def test_pinned_rows_come_back_with_a_known_size(spark):
 
 def test_files_belong_to_the_application(spark):
     assert f"/quarterdeck/{spark.conf.get('spark.app.id')}/" in scratch_path(spark, "x")
+
+
+def test_unpinned_files_are_gone(spark):
+    kept, gone = pin(spark.range(3)), pin(spark.range(3))
+    path = gone.inputFiles()[0].removeprefix("file://")
+    unpin(gone, spark.range(1))
+    assert not os.path.exists(path) and kept.count() == 3
