@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarterdeck.llm.common import rows_out, texts_of, utf8
-from quarterdeck.session import pin
+from quarterdeck.session import pin, unpin
 
 #: Largest size that may be light, signatures put last at most, members of a list in a block, words a worker keeps.
 MOST_LIGHT, MOST_FREQUENT, BLOCK, KEPT = 12, 500_000, 2_000, 300_000
@@ -293,8 +293,8 @@ def _met(entries: DataFrame, threshold: Threshold) -> DataFrame:
 
 
 def parity_bits(own: np.ndarray) -> bytes:
-    """Bit i tells whether an odd number of shingles falls on it; about two bits a shingle."""
-    size = 1 << max(6, min(16, (2 * max(1, len(own)) - 1).bit_length()))
+    """Bit i tells whether an odd number of shingles falls on it. A bit or two a shingle, and 512 bytes at most."""
+    size = 1 << max(6, min(12, (max(1, len(own)) - 1).bit_length()))
     odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -385,20 +385,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _lists_left(lists: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lists with their members' components, and those that hold several: signature, members, shingles."""
+def _left_over(lists: DataFrame, known: DataFrame, block: int) -> DataFrame:
+    """The members of lists that hold several components, with the number of members and of blocks of their list."""
     named = lists.join(known, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = named.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"),
                                            F.sum("n").alias("shingles"), (F.max("pivot") != F.min("pivot")).alias("several"))
     # two members with one pivot were compared: one of them is the pivot
-    return named, pin(mixed.where("low <> high AND (members > 2 OR several)").select("signature", "members", "shingles"), "mixed")
+    mixed = mixed.where("low <> high AND (members > 2 OR several)")
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return pin(named.drop("salt").join(mixed.select("signature", "members", blocks.alias("blocks")), "signature"), "left_over")
 
 
-def _short_pairs(named: DataFrame, mixed: DataFrame, bitmaps: DataFrame, star: DataFrame, threshold: Threshold, short: int) -> DataFrame:
+def _short_pairs(members: DataFrame, bitmaps: DataFrame, star: DataFrame, threshold: Threshold) -> DataFrame:
     """Pairs of different components in the short lists that their bitmaps don't rule out; ``star`` are compared already."""
-    members = named.join(mixed.where(F.col("members") <= short).select("signature"), "signature").join(
-        bitmaps.select(F.col("doc_id").alias("doc"), "bits"), "doc")
-    pairs = members.select("signature", *_MEMBERS).repartition("signature").sortWithinPartitions("signature", "n", "doc").mapInArrow(
+    told = members.join(bitmaps.select(F.col("doc_id").alias("doc"), "bits"), "doc")
+    pairs = told.select("signature", *_MEMBERS).repartition("signature").sortWithinPartitions("signature", "n", "doc").mapInArrow(
         _cross(threshold), "a long, b long").distinct()
     return pairs.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
@@ -439,12 +440,6 @@ def _pairs_batch(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _long_members(named: DataFrame, mixed: DataFrame, short: int, block: int) -> DataFrame:
-    """The members of the long lists, with the number of blocks that their list is cut into."""
-    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    return pin(named.join(mixed.where(F.col("members") > short).select("signature", blocks.alias("blocks")), "signature"), "long")
-
-
 def _long_links(members: DataFrame, texts: DataFrame, width: int, threshold: Threshold) -> DataFrame:
     """Links that join different components within the long lists.
 
@@ -544,18 +539,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     to_first = copies.select(F.col("a").alias("first"), F.col("b").alias("copy"))
     firsts = shared.join(to_first, F.col("doc") == F.col("copy"), "left").withColumn("doc", F.coalesce("first", "doc")).select(*_ENTRIES.names)
     lists = pin(_met(firsts, threshold).where("doc >= 0"), "lists")
+    unpin(shared)
     star_pairs = pin(lists.where("pivot <> doc").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "star")
     bitmaps = pin(sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "bits").dropDuplicates(["doc_id"]), "bitmaps")
     plausible = _plausible(star_pairs, bitmaps, threshold)
     star = _compare(plausible, _texts(docs, plausible.select(F.explode(F.array("a", "b")))), width, threshold, block)
     links = star.unionAll(copies)
 
-    named, mixed = _lists_left(lists, components(links))
-    pairs = pin(_short_pairs(named, mixed, bitmaps, star_pairs, threshold, short), "pairs")
-    members = _long_members(named, mixed, short, block)
+    left = _left_over(lists, components(links), block)
+    pairs = pin(_short_pairs(left.where(F.col("members") <= short), bitmaps, star_pairs, threshold), "pairs")
+    members = left.where(F.col("members") > short)
     texts = _texts(docs, pairs.select(F.explode(F.array("a", "b"))).unionAll(members.select("doc")))
     rest = _compare(pairs, texts, width, threshold, block)
     rest = pin(rest.unionAll(_long_links(members, texts, width, threshold)), "links")
+    unpin(lists, star_pairs, bitmaps, left, pairs, texts)
     known = components(links.unionAll(rest))
     out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(known.toDF("doc_id", "component_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
