@@ -103,6 +103,31 @@ def _scores(df):
     return df.withColumns({"rmse": F.round("rmse", 4), "r2": F.round("r2", 6)})
 
 
+@query("boosted_forecast_by_label", f"""
+WITH {_LED}, l AS (SELECT m.*, coalesce(sector_label, '') AS label FROM m LEFT JOIN fx_company c ON m.entity = c.entity),
+means AS (SELECT label, avg(y) AS p FROM l WHERE yr < 2000 GROUP BY label)
+SELECT CASE WHEN yr < 2000 THEN 'train' ELSE 'test' END AS part, {_SCORES}
+FROM l JOIN means USING (label) WHERE y IS NOT NULL GROUP BY 1""", "fx_panel", "fx_company")
+def _(t):
+    """A category alone: the forecast is the mean of each label."""
+    train, test = _parts(t)
+    return _scores(forecast.boosted_forecast(train, test, "sales_lag1", CATEGORICAL, CATEGORICAL, forecast.BACKTEST_DEFAULTS).metrics())
+
+
+@query("forecast_report_predictions", f"""
+WITH {_LED}, q AS (SELECT entity, yr, qtr, lead(qty) OVER w AS y, lead(yr) OVER w AS more FROM fx_panel
+                   WINDOW w AS (PARTITION BY entity ORDER BY yr, qtr))
+SELECT 'sales' AS target, entity, yr, qtr, y AS truth, true AS predicted FROM m WHERE yr >= 2000
+UNION ALL SELECT 'qty', entity, yr, qtr, y, true FROM q WHERE more IS NOT NULL AND yr >= 2000""", "fx_panel")
+def _(t):
+    """The rows of the report: each target, key and truth, and that there is a prediction; counts chosen on held-back rows."""
+    train, test = _parts(t)
+    out = selection.forecast_targets(train.where("yr < 1999"), test, ["sales", "qty"], FEATURES, chain=["sales"],
+                                     ranking=forecast.Booster(rounds=2, loss="absolute", depth=3), settings=SMALL, first=3, step=3,
+                                     validation=train.where("yr >= 1999"))
+    return selection.forecast_report(out, KEYS)["predictions"].withColumn("predicted", F.col("prediction").isNotNull()).drop("prediction")
+
+
 @query("hist_boosted_forecast", f"""
 WITH {_LED}, means AS (SELECT qtr, avg(y) AS p FROM m WHERE yr < 2000 GROUP BY qtr)
 SELECT CASE WHEN yr < 2000 THEN 'train' ELSE 'test' END AS part, {_SCORES}
