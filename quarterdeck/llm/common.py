@@ -51,6 +51,17 @@ def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                      F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 
 
+_STORE: dict = {}
+
+
+def worker_store(name, make):
+    """What a Python worker keeps from task to task under ``name``; a store of another operator gives way to it."""
+    if name not in _STORE:
+        _STORE.clear()
+        _STORE[name] = make()
+    return _STORE[name]
+
+
 def utf8(batch: pa.RecordBatch, column: str) -> Iterator[bytes]:
     """The UTF-8 bytes of a string column, one value at a time and without decoding."""
     for value in batch.column(column).cast(pa.binary()):

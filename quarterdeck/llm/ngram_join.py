@@ -25,7 +25,6 @@ its pivot, and the second step sees the whole list.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -36,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarterdeck.llm.common import rows_out, texts_of, utf8
+from quarterdeck.llm.common import rows_out, texts_of, utf8, worker_store
 from quarterdeck.session import pin, unpin
 
 #: Largest size that may be light, signatures put last at most, members of a list in a block, words a worker keeps.
-MOST_LIGHT, MOST_FREQUENT, BLOCK, KEPT = 12, 500_000, 2_000, 300_000
+MOST_LIGHT, MOST_FREQUENT, BLOCK, KEPT = 12, 500_000, 2_000, 150_000
 #: Members of a short list, and shingles of a block's members together.
 SHORT, BLOCK_SHINGLES = 64, 1 << 20
 #: Documents that hold a shingle from which on it is put last, and shingles that a task counts at a time.
@@ -61,9 +60,8 @@ class _Words(dict):
         return value
 
 
-@functools.cache
 def _words() -> _Words:
-    return _Words()
+    return worker_store("words of shingles", _Words)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -9,7 +9,6 @@ that alignment to byte spans of the original.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from itertools import chain
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarterdeck.llm.common import texts_of
+from quarterdeck.llm.common import texts_of, worker_store
 
 SPACE = "▁".encode()
 #: Numbers of the fields of a model file that are read here, and the kinds of pieces (fixed values of the format).
@@ -165,9 +164,8 @@ class Model:
         return place[ends - sizes], place[ends]
 
 
-@functools.cache
 def model(path: str) -> Model:
-    return Model(path)
+    return worker_store(("pieces", path), lambda: Model(path))
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])

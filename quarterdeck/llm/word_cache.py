@@ -7,13 +7,15 @@ that simple go to the library whole.
 
 from __future__ import annotations
 
-import functools
 import os
 from array import array
 from collections.abc import Callable
 
-#: Words that a worker keeps. A full store starts anew when ten times as many words were missing.
-KEPT = 800_000
+from quarterdeck.llm.common import worker_store
+
+#: Words that a worker keeps, with and without the space before them. A full store starts anew when ten times as
+#: many words were missing.
+KEPT_SPACED, KEPT = 800_000, 500_000
 #: All white space but the space and the line end (fixed by Unicode; four more that Python alone takes for it).
 OTHER_SPACES = "\x1c\x1d\x1e\x1f\t\v\f\r\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 MARKS = ".,;:!?"
@@ -26,17 +28,17 @@ class _Words(dict):
     between the two; ``fold`` may map the letters to others with the same ids.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], marks: dict[str, bytes], fold: Callable[[str], str] | None = None):
+    def __init__(self, encode: Callable[[str], bytes], marks: dict[str, bytes], kept: int, fold: Callable[[str], str] | None = None):
         super().__init__()
-        self.encode, self.marks, self.fold, self.missing = encode, marks, fold, 0
+        self.encode, self.marks, self.kept, self.fold, self.missing = encode, marks, kept, fold, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self._merge(word)
         self.missing += 1
-        if self.missing > 10 * KEPT:
+        if self.missing > 10 * self.kept:
             self.clear()
             self.missing = 0
-        if len(self) < KEPT:
+        if len(self) < self.kept:
             self[word] = ids
         return ids
 
@@ -82,7 +84,7 @@ class ByteLevelEncoder(WordEncoder):
     def __init__(self, path: str):
         super().__init__(path)
         self.line_end = self.whole("\n")
-        self.words = _Words(self._part, self.marks)
+        self.words = _Words(self._part, self.marks, KEPT_SPACED)
 
     def _part(self, part: str) -> bytes:
         """A part is what follows a space, or a line end and the word behind it."""
@@ -109,7 +111,7 @@ class SpaceDroppingEncoder(WordEncoder):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.words = _Words(self.word, self.marks, str.lower)
+        self.words = _Words(self.word, self.marks, KEPT, str.lower)
 
     def word(self, word: str, space: str = "") -> bytes:
         return super().word(word) if word.islower() else self.whole(word)
@@ -118,11 +120,9 @@ class SpaceDroppingEncoder(WordEncoder):
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@functools.cache
 def byte_level(path: str) -> ByteLevelEncoder:
-    return ByteLevelEncoder(path)
+    return worker_store(("byte level", path), lambda: ByteLevelEncoder(path))
 
 
-@functools.cache
 def space_dropping(path: str) -> SpaceDroppingEncoder:
-    return SpaceDroppingEncoder(path)
+    return worker_store(("space dropping", path), lambda: SpaceDroppingEncoder(path))
