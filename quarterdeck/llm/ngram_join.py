@@ -133,14 +133,16 @@ def _sets(width: int):
 
         def count() -> None:
             nonlocal counts
-            values, found = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            often = found >= 3
-            for value, times in zip(values[often].view(np.int64).tolist(), found[often].tolist(), strict=True):
+            every = np.concatenate([np.zeros(0, np.uint64), *held])
+            held.clear()
+            every.sort()
+            values = np.unique(every[2:][every[2:] == every[:-2]])  # three times or more
+            found = np.searchsorted(every, values, "right") - np.searchsorted(every, values)
+            for value, times in zip(values.view(np.int64).tolist(), found.tolist(), strict=True):
                 counts[value] = counts.get(value, 0) + times
             if len(counts) > MOST_FREQUENT:  # lossy counting: the rare half goes
                 middle = sorted(counts.values())[len(counts) // 2]
                 counts = {v: c for v, c in counts.items() if c > middle}
-            held.clear()
             seen.clear()
 
         waiting = 0
