@@ -61,6 +61,11 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return texts_of(df, key, text).select("doc_id", F.xxhash64("text").alias("body"), "text")
 
 
+def _may_hold(text: Column) -> Column:
+    """Whether a text holds a character that every span needs one of."""
+    return F.contains(text, F.lit("@")) | text.rlike("[0-9]")
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, body, kind, start, end, value, cue of every valid match, in code points."""
     text = F.col("text")
@@ -77,7 +82,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     digit = text.rlike("[0-9]")
     possible = {"email": F.contains(text, F.lit("@")), "ip": digit & F.contains(text, F.lit(".")), "card": digit,
                 "phone": digit & F.contains(text, F.lit("+")), "found": digit}
-    wide = docs.where(F.contains(text, F.lit("@")) | digit).select("doc_id", "body", F.explode(F.array(*[
+    wide = docs.where(_may_hold(text)).select("doc_id", "body", F.explode(F.array(*[
         F.struct(F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), found(kind, possible[kind]).alias("rows"))
         for number, kind in enumerate(PATTERNS)])).alias("k"))
     each = wide.where("k.rows IS NOT NULL").select("doc_id", "body", "k.kind_no", "k.kind", F.posexplode("k.rows").alias("place", "row"))
@@ -170,8 +175,11 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -
     merged = runs.groupBy("doc_id", "body", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"),
                                                        F.min_by("kind", F.struct("start", "kind_no")).alias("kind"))
     cuts = pin(merged.groupBy("doc_id", "body").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts")), "cuts")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("rest"), F.col(f"`{key}`").cast("long").alias("ident"),
-                     F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("own")).withColumn("hash", F.xxhash64("own"))
+    own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    # texts that can't hold a span stay where they are: only the others meet their cuts
+    rest = df.where(~_may_hold(own))
+    rows = df.where(_may_hold(own)).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("rest"), F.col(f"`{key}`").cast("long").alias("ident"),
+                     own.alias("own")).withColumn("hash", F.xxhash64("own"))
     joined = rows.join(cuts, F.col("ident").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("body")), "left")
     own, last = F.col("own"), F.size("cuts")
 
@@ -181,6 +189,7 @@ def redact(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -
         return F.concat(F.substring(own, (begin + 1).cast("int"), (span["start"] - begin).cast("int")), F.lit("["), F.upper(span["kind"]), F.lit("]"))
 
     parts = F.transform(F.sequence(F.lit(0), last - 1), before)
-    rest = F.substring(own, (F.get("cuts", last - 1)["end"] + 1).cast("int"), F.length(own))
-    clean = F.when(F.col("cuts").isNull(), F.col(f"rest.`{text}`")).otherwise(F.concat(F.array_join(parts, ""), rest))
-    return joined.select(*[clean.alias(text) if c == text else F.col(f"rest.`{c}`") for c in df.columns])
+    behind = F.substring(own, (F.get("cuts", last - 1)["end"] + 1).cast("int"), F.length(own))
+    clean = F.when(F.col("cuts").isNull(), F.col(f"rest.`{text}`")).otherwise(F.concat(F.array_join(parts, ""), behind))
+    cut = joined.select(*[clean.alias(text) if c == text else F.col(f"rest.`{c}`") for c in df.columns])
+    return cut.unionAll(rest.select(*[F.col(f"`{c}`") for c in df.columns]))
