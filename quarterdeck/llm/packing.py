@@ -2,9 +2,10 @@
 
 Pieces are dealt out at random, each partition packs its own by best-fit decreasing, and
 lower bounds from dual-feasible functions tell whether it needs fewer sequences at all.
-Partitions with a gap, and everywhere the sequences that stayed open, give their pieces to
-the next round, where fewer partitions pack them again. The rounds end when one
-partition held all that was left, or when its bound is met.
+Partitions with a gap, and everywhere the sequences that an open piece may still improve, give
+their pieces to the next round, which deals them out anew. No round gives a partition more
+pieces than the first did. The rounds end when one partition held all that was left, or
+when a round saved no sequence; what it packed again then stays as it was.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from quarterdeck.session import pin
 #: Pieces that one task packs at a time, and the share of a sequence that may stay free in a closed one.
 AT_ONCE, FREE = 1 << 16, 1 / 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long, certified boolean, open boolean"
+PACKED = PIECES + ", sequence_id long, offset long, certified boolean, open boolean, free long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids_crc32", pa.int64())])
 
@@ -108,8 +109,9 @@ def _packer(capacity: int, number: int):
         filled = np.bincount(sequence, weights=lengths, minlength=count)
         gap = count > lower_bound(lengths, capacity)
         loose = filled < capacity if gap else filled < capacity * (1 - FREE)
-        base = (number << 56) + (int(group["part"].iloc[0]) << 32)
-        return group.drop(columns="part").assign(sequence_id=base + sequence, offset=offset, certified=not gap, open=loose[sequence])
+        base = (number << 52) + (int(group["part"].iloc[0]) << 24)
+        return group.drop(columns="part").assign(sequence_id=base + sequence, offset=offset, certified=not gap, open=loose[sequence],
+                                                  free=(capacity - filled[sequence]).astype(np.int64))
 
     return pack
 
@@ -117,29 +119,34 @@ def _packer(capacity: int, number: int):
 def pack(found: DataFrame, capacity: int, at_once: int = AT_ONCE) -> DataFrame:
     """Place each piece: the columns of PIECES with sequence_id, offset and certified.
 
-    ``certified``: the partition that packed it last met its lower bound. An empty table gives
-    an empty result.
+    ``certified``: the partition that packed it last met its lower bound. A partition packs about
+    ``at_once`` pieces at most, in every round. An empty table gives an empty result.
     """
-    pool, closed, number, parts = pin(found, "pieces"), [], 0, None
+    pool, closed, number, before, held = pin(found, "pieces"), [], 0, None, 0
     while True:
-        rows = pool.count()
-        # every round has at most a quarter of the partitions before it, and its last has one
-        wanted = -(-rows // at_once)
-        parts = max(1, wanted if parts is None else min(wanted, -(-parts // 4)))
+        parts = max(1, -(-pool.count() // at_once))
         # by the place in the written files, so that copies of a row are spread too
         seed = F.xxhash64(F.monotonically_increasing_id(), F.lit(number))
         packed = pin(pool.withColumn("part", F.pmod(seed, F.lit(parts)).cast("long")).groupBy("part")
                      .applyInPandas(_packer(capacity, number), PACKED), "packed")
-        last = parts == 1
-        closed.append(packed if last else packed.where("not open"))
-        if last:
+        # each sequence has one piece at its begin
+        count, smallest = packed.agg(F.count_if(F.col("offset") == 0), F.min(F.when(F.col("open"), F.col("length")))).first()
+        if before is not None and count >= held:
+            closed.append(before)
             break
-        pool = packed.where("open").select("doc_id", "piece", "start", "length", "ids_crc32")
-        number += 1
+        if parts == 1 or smallest is None:
+            closed.append(packed)
+            break
+        # where the bound is met, exchanging pieces saves nothing, and room below the smallest of them takes none
+        stays = F.col("open") & (~F.col("certified") | (F.col("free") >= smallest))
+        closed.append(packed.where(~stays))
+        before, number = packed.where(stays), number + 1
+        held = before.where("offset = 0").count()
+        pool = before.select("doc_id", "piece", "start", "length", "ids_crc32")
     out = closed[0]
     for part in closed[1:]:
         out = out.unionAll(part)
-    return out.drop("open")
+    return out.drop("open", "free")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, key: str = "doc_id",

@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -70,6 +71,18 @@ def test_rounds_exchange_pieces(rows):
     assert bound <= _check(found, 64) <= bound * 1.02
 
 
+@pytest.mark.parametrize("ones", [0, 40])
+def test_no_round_packs_all_that_fits_nowhere(rows, ones):
+    """No two pieces fit together, so all stay open; one-token pieces keep sequences improvable."""
+    rnd = random.Random(3)
+    data = [(i, 0, 0, 1 if i < ones else rnd.randint(33, 62), i) for i in range(2000)]
+    found = pack(rows(PIECES, data), 64, at_once=100).collect()
+    assert sorted((r.doc_id, r.length) for r in found) == sorted((d[0], d[3]) for d in data)
+    assert _check(found, 64) == 2000 - ones
+    packed_together = Counter(r.sequence_id >> 24 for r in found)
+    assert max(packed_together.values()) <= 200
+
+
 def test_documents_are_cut_and_packed(rows):
     long = " ".join(f"word{i}" for i in range(9000))
     docs = [(1, None), (2, ""), (3, "a few words"), (3, "a few words"), (None, "É Other \n words"), (4, long)]
