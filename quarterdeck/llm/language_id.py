@@ -23,6 +23,8 @@ from quarterdeck.session import pin
 
 #: Rows that the trigram model is fitted on at most; slots that trigrams are hashed to.
 LABELLED_ROWS, SLOTS = 20_000, 1 << 16
+#: Values of the hash that rows are drawn by.
+DRAWS = 1 << 30
 #: Neighbouring trigrams share letters, so their log likelihoods count for less than independent ones would.
 TEMPER = 0.1
 #: Rows' worth of belief that a host takes from its suffix, a suffix from the corpus, and a declaration from chance.
@@ -62,16 +64,28 @@ class TextModel:
         self.langs, self.table = langs, table
 
 
+def equal_part(counts: list[int], total: int) -> float:
+    """The part of each label that adds up to ``total`` rows, where labels with fewer rows give all they have."""
+    left = total
+    for i, n in enumerate(sorted(counts)):
+        if n * (len(counts) - i) >= left:
+            return left / (len(counts) - i)
+        left -= n
+    return float(max(counts, default=0))
+
+
 def fit_text(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", labelled_rows: int = LABELLED_ROWS) -> TextModel:
     """Fit on at most about ``labelled_rows`` rows, picked by a hash of their key and text; rows without a label are left out.
 
-    The counts that reach the driver are bounded by languages x SLOTS.
+    Each label gets an equal part of them, and what labels with fewer rows leave of theirs; the row with the least hash
+    is always drawn, so every label is in the model. The counts that reach the driver are bounded by languages x SLOTS.
     """
     rows = bounded_batches(labelled).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
-                           F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("draw")).where("lang IS NOT NULL AND lang <> ''")
-    total = labelled.where(F.col(f"`{lang}`").isNotNull()).count()
-    share = min(1.0, labelled_rows / total) if total else 1.0
-    drawn = rows.where(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30))).select("lang", "text")
+                           F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(DRAWS)).alias("draw")).where("lang IS NOT NULL AND lang <> ''")
+    labels = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()
+    part = equal_part([r["n"] for r in labels], labelled_rows)
+    most = [(r["lang"], max(r["least"], int(min(1.0, part / r["n"]) * DRAWS) - 1)) for r in labels]
+    drawn = rows.join(pin(labelled.sparkSession.createDataFrame(most, "lang string, most long"), "most"), "lang").where("draw <= most").select("lang", "text")
     counts = drawn.mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.zeros((len(langs) + 1, SLOTS))

@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy, and what each sort of evidence does."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +62,19 @@ def test_fit_is_bounded_and_ignores_unlabelled_rows(rows):
     small = L.fit_text(docs, labelled_rows=40)
     assert small.langs and small.table.shape[1] == L.SLOTS
     assert L.fit_text(docs.limit(0)).langs == []
+
+
+def test_every_label_is_in_the_model(rows):
+    """A rare language stays as the others grow, with all its rows as long as they are fewer than its part."""
+    common = [(i, f"text number {i}", "en" if i % 3 else "de") for i in range(6000)]
+    rare = [(10_000 + i, "xyz", "is") for i in range(5)] + [(20_000, "uvw", "fo")]
+    model = L.fit_text(rows("doc_id long, text string, lang string", common + rare), labelled_rows=60)
+    assert model.langs == ["de", "en", "fo", "is"]
+    # three trigrams a row: one row of fo has raised three slots, five rows of is have raised theirs five times
+    raised = [sorted(set((np.exp(row - row.min()) * 0.5).round(1).tolist())) for row in model.table[2:4].astype(float)]
+    assert raised == [[0.5, 1.5], [0.5, 5.5]]
+
+
+def test_parts_add_up():
+    assert L.equal_part([4, 100, 100], 24) == 10 and L.equal_part([4, 5], 24) >= 5 and L.equal_part([], 24) == 0
+    assert L.equal_part([100] * 4, 10) == 2.5
