@@ -228,11 +228,11 @@ def _entries(width: int, order: Order, light: int, threshold: Threshold, hot_fro
             values, at, count = np.unique(signature, return_inverse=True, return_counts=True)
             hot = count[at] >= hot_from
             salt = np.where(hot, 1 + doc % SALTS, 0).astype(np.int32)
-            # the list without a salt must know that the signature has other members
+            # the list without a salt must know that the signature has other members: marks, of size 0 unlike any member
             known = values[count >= hot_from]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate([signature, known]).view(np.int64)), pa.array(np.concatenate([salt, np.zeros(len(known), np.int32)])),
-                pa.array(np.concatenate([n, np.zeros(len(known), np.int32)])), pa.array(np.concatenate([doc, np.full(len(known), -1)]))], schema=_ENTRIES)
+                pa.array(np.concatenate([n, np.zeros(len(known), np.int32)])), pa.array(np.concatenate([doc, np.zeros(len(known), np.int64)]))], schema=_ENTRIES)
 
     return of
 
@@ -245,18 +245,18 @@ def _lists(threshold: Threshold):
     """Members of lists of two or more, with their pivots; input is sorted by signature, salt, n, doc.
 
     A member that comes several times is told once. Salted members stay, as their list goes on elsewhere, and so do marks that
-    tell of it, with doc -1.
+    tell of it, whose n is 0. Any long may be an id.
     """
     def of(batches) -> Iterator[pa.RecordBatch]:
         previous = None  # the last row, not yet told
-        alone, pivot, pivot_n = True, -1, 0
+        alone, pivot, pivot_n = True, 0, 0  # a pivot of size 0 is none
         for batch in batches:
             columns = [batch.column(n).to_numpy() for n in _ENTRIES.names]
             if previous is not None:
                 columns = [np.concatenate([[p], c]).astype(c.dtype) for p, c in zip(previous, columns, strict=True)]
             signature, salt, n, doc = columns
             fresh = np.ones(len(signature), bool)
-            fresh[1:] = (signature[1:] != signature[:-1]) | (salt[1:] != salt[:-1]) | (doc[1:] != doc[:-1])
+            fresh[1:] = (signature[1:] != signature[:-1]) | (salt[1:] != salt[:-1]) | (n[1:] != n[:-1]) | (doc[1:] != doc[:-1])
             signature, salt, n, doc = columns = [c[fresh] for c in columns]
             size = len(signature)
             if not size:
@@ -264,24 +264,24 @@ def _lists(threshold: Threshold):
             same = (signature[1:] == signature[:-1]) & (salt[1:] == salt[:-1])
             before = np.concatenate([[previous is not None and not alone], same])
             rows = np.flatnonzero(before[:-1] | same | (salt[:-1] > 0))
-            pivots = np.full(size, -1, np.int64)
+            pivots = np.zeros(size, np.int64)
             for i in rows.tolist():
                 if i == 0 and previous is not None and not alone:
                     pass  # the list goes on with its pivot
                 elif i == 0 or not same[i - 1]:
-                    pivot, pivot_n = -1, 0
-                if doc[i] >= 0 and (pivot < 0 or threshold.parts * pivot_n < threshold.share * n[i]):
+                    pivot, pivot_n = 0, 0
+                if n[i] > 0 and (not pivot_n or threshold.parts * pivot_n < threshold.share * n[i]):
                     pivot, pivot_n = doc[i], n[i]
                 pivots[i] = pivot
             if len(rows):
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[rows]) for c in columns), pa.array(pivots[rows])], schema=_LISTS)
             alone = not before[-1]
             if size > 1 and alone:
-                pivot, pivot_n = -1, 0
+                pivot, pivot_n = 0, 0
             previous = [c[-1] for c in columns]
         if previous is not None and (not alone or previous[1] > 0):
             signature, salt, n, doc = (int(x) for x in previous)
-            if doc >= 0 and (pivot < 0 or threshold.parts * pivot_n < threshold.share * n):
+            if n > 0 and (not pivot_n or threshold.parts * pivot_n < threshold.share * n):
                 pivot = doc
             yield from rows_out([(signature, salt, n, doc, int(pivot))], _LISTS)
 
@@ -538,7 +538,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     copies = pin(named.join(first, ["high", "low"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "copies")
     to_first = copies.select(F.col("a").alias("first"), F.col("b").alias("copy"))
     firsts = shared.join(to_first, F.col("doc") == F.col("copy"), "left").withColumn("doc", F.coalesce("first", "doc")).select(*_ENTRIES.names)
-    lists = pin(_met(firsts, threshold).where("doc >= 0"), "lists")
+    lists = pin(_met(firsts, threshold).where("n > 0"), "lists")
     unpin(shared)
     star_pairs = pin(lists.where("pivot <> doc").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct(), "star")
     bitmaps = pin(sets.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "bits").dropDuplicates(["doc_id"]), "bitmaps")

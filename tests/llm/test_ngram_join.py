@@ -37,6 +37,14 @@ def test_same_as_all_pairs(rows, seed, hot, short, block):
     assert got == near_components(docs)
 
 
+@pytest.mark.parametrize("hot", [2, 64])
+def test_any_long_is_an_id(rows, hot):
+    texts = [t for _, t in _corpus(7)]
+    ids = [-1, 0, -(1 << 63), (1 << 63) - 1, *random.Random(8).sample(range(-5000, 5000), 4 * len(texts))]
+    docs = list(zip([i for i in dict.fromkeys(ids)][:len(texts)], texts, strict=True))
+    assert _found(near_duplicates(rows("doc_id long, text string", docs).repartition(3), hot=hot)) == near_components(docs)
+
+
 def test_odd_rows(rows):
     long = " ".join(f"x{i % 997}y{i % 31}" for i in range(60_000))
     docs = [(1, None), (2, ""), (3, " \n\t"), (4, "Same Words here"), (5, "same\twords HERE"), (5, "same\twords HERE"), (None, "same words here"),
