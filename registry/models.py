@@ -128,16 +128,29 @@ def _(t):
     return selection.forecast_report(out, KEYS)["predictions"].withColumn("predicted", F.col("prediction").isNotNull()).drop("prediction")
 
 
-@query("hist_boosted_forecast", f"""
+@query("hist_boosted_forecast")
+def _(t):
+    train, test = _parts(t)
+    return _metrics(forecast.hist_boosted_forecast(train, test, "sales_lag1", FEATURES))
+
+
+@query("hist_boosted_forecast_by_quarter", f"""
 WITH {_LED}, means AS (SELECT qtr, avg(y) AS p FROM m WHERE yr < 2000 GROUP BY qtr)
 SELECT CASE WHEN yr < 2000 THEN 'train' ELSE 'test' END AS part, {_SCORES}
 FROM m JOIN means USING (qtr) WHERE y IS NOT NULL GROUP BY 1""", "fx_panel")
 def _(t):
+    """The quarter alone: the forecast is the mean of each."""
     train, test = _parts(t)
     return _scores(forecast.hist_boosted_forecast(train, test, "sales_lag1", ["qtr"]).metrics())
 
 
-@query("expanding_backtest", f"""
+@query("expanding_backtest")
+def _(t):
+    rows = forecast.expanding_backtest(model_frame(t), "sales_lag1", FEATURES, "yr", 1999, 2001)
+    return rounded(regression_metrics(rows, "sales_lag1", "pred_sales_lag1", ["yr"]), "rmse", "r2")
+
+
+@query("expanding_backtest_by_quarter", f"""
 WITH {_LED}, years AS (SELECT 1999 + i AS yr FROM range(0, 3) AS r(i)),
 means AS (SELECT CAST(years.yr AS INT) AS yr, qtr, avg(y) AS p FROM m JOIN years ON m.yr < years.yr GROUP BY 1, 2)
 SELECT yr, {_SCORES} FROM m JOIN means USING (yr, qtr) WHERE y IS NOT NULL GROUP BY yr""", "fx_panel")
@@ -193,7 +206,14 @@ def _(t):
     return table.withColumn("chosen", F.col("rounds") == best)
 
 
-@query("time_series_cv_score", f"""
+@query("time_series_cv_score")
+def _(t):
+    train, test = _parts(t)
+    scores, _ = forecast.time_series_cv_score(train, test, "sales_lag1", FEATURES, ORDER)
+    return rounded(scores, "rmse", "r2")
+
+
+@query("time_series_cv_score_by_quarter", f"""
 WITH {_LED},
 placed AS (SELECT *, row_number() OVER (ORDER BY yr, qtr, entity) - 1 AS i, count(*) OVER () AS n, count(*) OVER () // 4 AS size
            FROM m WHERE yr < 2000 AND y IS NOT NULL),
