@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from quarterdeck.functions.dates import to_month
-from quarterdeck.operators.forecast import Booster
 from quarterdeck.operators.reshape import union_rows
 from quarterdeck.operators.windows import add_lead_targets
 from quarterdeck.panel import PanelSpec
@@ -303,8 +302,7 @@ def _(t):
 def _(t):
     report = forecasting.select_and_forecast(
         _frames(t), ["entity", "yr", "qtr"], ["sales", "gappy"], ["qtr", "qty", "sales", "gappy"], chain=["sales"],
-        outlier="gappy", ranking=Booster(rounds=2, loss="absolute", depth=3),
-        settings=Booster(rounds=2, learning_rate=0.1, depth=3), first=2, step=2)
+        outlier="gappy")
     return report["summary"]
 
 

@@ -44,8 +44,7 @@ def _metrics(f):
 @query("rank_features")
 def _(t):
     train, _ = _parts(t)
-    return forecast.rank_features(train, "sales_lag1", [*FEATURES, *CATEGORICAL], CATEGORICAL,
-                                  forecast.Booster(rounds=5, loss="absolute", depth=3))
+    return forecast.rank_features(train, "sales_lag1", [*FEATURES, *CATEGORICAL], CATEGORICAL)
 
 
 @query("top_features", """
@@ -61,7 +60,7 @@ def _(t):
 def _(t):
     train, test = _parts(t)
     ranked = ["qty", "sales_rolling_avg_3", "sales_last_year_same_quarter", "qtr", "gappy", "qty_rolling_avg_3"]
-    s = selection.search_feature_count(train, test, "sales_lag1", "sales", ranked, settings=SMALL, first=2, step=2)
+    s = selection.search_feature_count(train, test, "sales_lag1", "sales", ranked)
     rows = [(n, e, n == s.count) for n, e in sorted(s.scores.items())]
     return t.spark.createDataFrame(rows, "num_features int, rmse double, chosen boolean")
 
@@ -69,18 +68,14 @@ def _(t):
 @query("forecast_targets")
 def _(t):
     train, test = _parts(t)
-    out = selection.forecast_targets(train, test, ["sales", "qty"], [*FEATURES, *CATEGORICAL], CATEGORICAL,
-                                     chain=["sales"], ranking=forecast.Booster(rounds=2, loss="absolute", depth=3),
-                                     settings=SMALL, first=3, step=3)
+    out = selection.forecast_targets(train, test, ["sales", "qty"], [*FEATURES, *CATEGORICAL], CATEGORICAL, chain=["sales"])
     return out["qty"].forecast.test.select(*KEYS, "qty_lag1", "pred_sales_lag1", "pred_qty_lag1")
 
 
 @query("forecast_report")
 def _(t):
     train, test = _parts(t)
-    out = selection.forecast_targets(train, test, ["sales", "qty"], FEATURES,
-                                     ranking=forecast.Booster(rounds=2, loss="absolute", depth=3),
-                                     settings=SMALL, first=3, step=3)
+    out = selection.forecast_targets(train, test, ["sales", "qty"], FEATURES)
     return selection.forecast_report(out, KEYS)["summary"]
 
 
@@ -186,7 +181,7 @@ def _(t):
 @query("grid_search_forest")
 def _(t):
     train, test = _parts(t)
-    best, fit, table = forecast.grid_search_forest(train, test, "sales_lag1", FEATURES, ORDER, trees=(5, 10))
+    best, fit, table = forecast.grid_search_forest(train, test, "sales_lag1", FEATURES, ORDER)
     return table.withColumn("chosen", F.col("setting") == best)
 
 

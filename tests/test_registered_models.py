@@ -4,7 +4,8 @@ import inspect
 
 import pytest
 
-from quarterdeck.operators import forecast
+from quarterdeck.operators import forecast, selection
+from quarterdeck.plans import forecasting
 from registry.book import ORACLES, QUERIES
 from registry.models import FEATURES
 from tests.conftest import DATA
@@ -34,3 +35,14 @@ def test_all_features_and_default_settings(name, spark, monkeypatch):
     given = _arguments(name, forecast, name, spark, monkeypatch)
     assert given["features"] == FEATURES and not {"settings", "n_splits"} & set(given)
     assert f"{name}_by_quarter" in ORACLES
+
+
+DEFAULTS = {"rank_features": (forecast, "rank_features"), "search_feature_count": (selection, "search_feature_count"),
+            "forecast_targets": (selection, "forecast_targets"), "forecast_report": (selection, "forecast_targets"),
+            "select_and_forecast": (forecasting, "select_and_forecast"), "grid_search_forest": (forecast, "grid_search_forest")}
+
+
+@pytest.mark.parametrize("name", DEFAULTS)
+def test_default_rounds_and_counts(name, spark, monkeypatch):
+    given = _arguments(name, *DEFAULTS[name], spark, monkeypatch)
+    assert not {"settings", "ranking", "first", "step", "trees", "n_splits"} & set(given)
