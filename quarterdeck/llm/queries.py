@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterdeck.llm import exact_dedup, language_id, line_dedup, ngram_join, packing, pieces, pii, token_blocks, topk, url_filter
+from quarterdeck.llm import (centroids, decontamination, exact_dedup, language_id, line_dedup, ngram_join, packing, pieces, pii,
+                             token_blocks, topk, url_filter)
 from quarterdeck.llm.common import share_code, table
 from quarterdeck.session import scratch_path
 
@@ -61,7 +62,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ngram_join", r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^ 	-]+') AS w FROM documents),
+                                    '[^ 	-
+]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
       ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
@@ -144,3 +146,63 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
     vectors = rows.select(F.col("vec_id").alias("id"), topk.whole_numbers(F.col("embedding")).alias("vector"))
     return topk.top_k(vectors.where("id % 100 = 0"), vectors)
+
+
+@query("op11_decontamination", r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0) AS s),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM texts, (SELECT DISTINCT n FROM windows) AS k WHERE len(w) >= n) AS s),
+hits AS (SELECT doc_id, i, places.n, item_id FROM places JOIN windows ON places.g = windows.g AND places.n = windows.n),
+hit_words AS (SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS word FROM hits) AS s GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS found
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) AS s GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(found, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _clustering_sql(rounds: int = 10) -> str:
+    """A pair of tables for each round: where the vectors are, and where that moves the centroids."""
+    parts = ["""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(n - 1 AS INT) AS cluster, v FROM (SELECT v, row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) AS n FROM kept) AS s
+  WHERE n <= 8)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT place, any_value(vec_id) AS vec_id, any_value(v) AS v, min(near) AS near
+  FROM (SELECT place, vec_id, kept.v, struct_pack(distance := CAST(list_sum(list_transform(list_zip(kept.v, c{i}.v),
+               lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), cluster := cluster) AS near FROM kept, c{i}) AS s GROUP BY place)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.cluster, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+    FROM (SELECT cluster, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n
+          FROM (SELECT near.cluster AS cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) AS u GROUP BY cluster, i) AS t
+    GROUP BY cluster) AS m ON m.cluster = c{i}.cluster)""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, near.cluster AS cluster, near.distance AS distance,
+       CAST(sum(near.distance) OVER (PARTITION BY near.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(near.distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.cluster = near.cluster"""
+
+
+@query("op12_centroid_clustering", _clustering_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), size=64)

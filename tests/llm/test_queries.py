@@ -31,7 +31,7 @@ def _rows(name, spark, *columns):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_duckdb(name, spark):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     found = QUERIES[name](spark, DATA)
     columns = sorted(found.columns)
@@ -40,7 +40,7 @@ def test_same_as_duckdb(name, spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 13))
 
 
 def test_token_blocks(spark, documents):
