@@ -11,7 +11,6 @@ import hashlib
 import math
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +27,8 @@ class Centroids:
     def nearest(self, vector: Column) -> Column:
         """struct(distance, cluster): the squared distance to the nearest centroid and its number, ties to the smaller one."""
         def to(number: int, centroid: tuple[int, ...]) -> Column:
-            squares = F.zip_with(vector, F.lit(np.array(centroid, np.int64)), lambda x, c: (x - c) * (x - c))
+            literal = F.expr(f"array({', '.join(f'{c}L' for c in centroid)})")
+            squares = F.zip_with(vector, literal, lambda x, c: (x - c) * (x - c))
             distance = F.aggregate(squares, F.lit(0).cast("long"), lambda total, square: total + square)
             return F.struct(distance.alias("distance"), F.lit(number).alias("cluster"))
 
@@ -60,7 +60,7 @@ def first_centroids(vectors: DataFrame, k: int, prefix: str) -> Centroids:
 def moved(vectors: DataFrame, centroids: Centroids, size: int) -> Centroids:
     """Each centroid becomes the componentwise floor of its vectors' mean; one without vectors stays."""
     parts = vectors.select("vector", centroids.nearest(F.col("vector"))["cluster"].alias("cluster")).groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.get("vector", F.lit(i))).alias(f"s{i}") for i in range(size)])
+        F.count(F.lit(1)).alias("n"), *[F.expr(f"sum(vector[{i}]) AS s{i}") for i in range(size)])
     rows = list(centroids.rows)
     for r in parts.collect():  # one row a cluster
         rows[r["cluster"]] = tuple(r[f"s{i}"] // r["n"] for i in range(size))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterdeck.llm import (centroids, decontamination, exact_dedup, language_id, line_dedup, ngram_join, packing, pieces, pii,
-                             token_blocks, topk, url_filter)
+from quarterdeck.llm import (alignment, centroids, decontamination, exact_dedup, language_id, line_dedup, ngram_join, packing, pieces,
+                             pii, token_blocks, topk, url_filter)
 from quarterdeck.llm.common import share_code, table
 from quarterdeck.session import scratch_path
 
@@ -206,3 +206,10 @@ FROM a{rounds} JOIN c{rounds} ON c{rounds}.cluster = near.cluster"""
 @query("op12_centroid_clustering", _clustering_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), size=64)
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                   public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return documents.withColumnRenamed("groups", "groups_sha256")
