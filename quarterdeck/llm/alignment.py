@@ -12,6 +12,7 @@ Only the distinct pairs of blocks are summed up over the corpus and sent back to
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -39,11 +40,16 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(others)}
 
 
+#: How byte-level BPE parts a text before it merges (fixed value).
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteLevel:
     """Tokenizer A: byte-level merges; words behind a space are encoded many at a time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -53,17 +59,25 @@ class ByteLevel:
         for token, ident in vocabulary.items():
             self.bytes[ident] = bytes(map(alphabet.__getitem__, token)) if set(token) <= alphabet.keys() else token.encode()
         self.opens = np.array([b[:1] == b" " for b in self.bytes])
+        # a vocabulary in the order of its merges is its own list of ranks; without the offsets of the other library it is much faster
+        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        merges = json.loads(self.library.to_str())["model"]["merges"]
+        made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+        ranks = {self.bytes[i]: i for t, i in vocabulary.items() if t not in special}
+        ordered = sorted(made, key=vocabulary.__getitem__) == made and len(ranks) == len(made) + 256
+        self.ranked = tiktoken.Encoding("a", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ordered else None
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(" " + text, add_special_tokens=False).ids
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word with the space before it: a token that begins with the space begins a word."""
-        ids = np.array(self.whole(" ".join(words)), np.int64)
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, each with the space before it, and their counts: a token that begins with the space begins a word."""
+        text = " ".join(words)
+        ids = np.array(self.ranked(" " + text) if self.ranked else self.whole(text), np.int64)
         starts = np.flatnonzero(self.opens[ids])
         if len(starts) != len(words):
-            return [self.whole(w) for w in words]
-        return [part.tolist() for part in np.split(ids, starts[1:])]
+            return flat([self.whole(w) for w in words])
+        return ids, np.diff(starts, append=len(ids))
 
 
 class Pieces:
@@ -81,8 +95,13 @@ class Pieces:
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, num_threads=1)
 
-    def words(self, words: list[str]) -> list[list[int]]:
-        return self.library.encode(words, num_threads=1)
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flat(self.library.encode(words, num_threads=1))
+
+
+def flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum())), sizes
 
 
 class _Numbers(dict):
@@ -113,11 +132,6 @@ def coalesce(a_start, a_end, b_start, b_end) -> tuple[np.ndarray, np.ndarray, np
     return group[:len(a_start)], group[len(a_start):], link_a, link_b
 
 
-def _flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum())), sizes
-
-
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The sums of consecutive runs of the given sizes."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
@@ -133,20 +147,27 @@ class Aligner:
         texts = [f"{i}{mark}" for t, last in ((self.a, "|"), (self.b, ";")) for mark in (",", last) for i in range(len(t.bytes))]
         self.texts = np.array(texts, object)
 
-    def _encode(self, tokenizer, words: list[str], wholes: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """The ids of all units, and whether their bytes are those of the unit behind a space."""
-        ids = list(chain.from_iterable(tokenizer.words(words[i:i + AT_ONCE]) for i in range(0, len(words), AT_ONCE)))
-        ids += map(tokenizer.whole, wholes)
-        known = tokenizer.bytes
-        return ids, [b"".join([known[i] for i in own]) == b" " + unit.encode() for own, unit in zip(ids, chain(words, wholes), strict=True)]
+    def _encode(self, which: int, words: list[str], wholes: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all units, their counts, and whether their bytes are those of the unit behind a space."""
+        tokenizer, lengths = (self.a, self.b)[which], self.sizes[which]
+        parts = [words[i:i + AT_ONCE] for i in range(0, len(words), AT_ONCE)] + [[t] for t in wholes]
+        found = [tokenizer.words(p) for p in parts[:len(parts) - len(wholes)]] + [flat([tokenizer.whole(t)]) for t in wholes]
+        fine = []
+        for part, (ids, counts) in zip(parts, found, strict=True):
+            want = [b" " + unit.encode() for unit in part]
+            given, sizes = b"".join(map(tokenizer.bytes.__getitem__, ids.tolist())), _sums(lengths[ids], counts)
+            fine.append(sizes == np.fromiter(map(len, want), np.int64, len(want)))
+            if given != b"".join(want):
+                ends = np.cumsum(sizes).tolist()
+                fine[-1] &= [given[s:e] == w for s, e, w in zip([0, *ends], ends, want, strict=False)]
+        none = [np.array([], np.int64)]
+        return tuple(np.concatenate([*none, *x]) for x in ([f[0] for f in found], [f[1] for f in found])) + (np.concatenate([np.array([], bool), *fine]),)
 
     def units(self, words: list[str], wholes: list[str]) -> dict:
         """Counts, groups and linked pairs of each unit; a unit that either tokenizer doesn't give back has none and isn't ``fine``."""
-        (a, fine_a), (b, fine_b) = (self._encode(t, words, wholes) for t in (self.a, self.b))
-        fine = np.array(fine_a, bool) & np.array(fine_b, bool)
-        for lost in np.flatnonzero(~fine).tolist():
-            a[lost], b[lost] = [], []
-        (a, n_a), (b, n_b) = _flat(a), _flat(b)
+        (a, n_a, fine), (b, n_b, fine_b) = (self._encode(which, words, wholes) for which in (0, 1))
+        fine &= fine_b
+        a, b, n_a, n_b = a[np.repeat(fine, n_a)], b[np.repeat(fine, n_b)], n_a * fine, n_b * fine
         a_end, b_end = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         group_a, group_b, link_a, link_b = coalesce(a_end - self.sizes[0][a], a_end, b_end - self.sizes[1][b], b_end)
         unit_a = np.repeat(np.arange(len(fine)), n_a)
@@ -186,7 +207,7 @@ class Aligner:
         found = self.units([w for w, p in zip(words, parted, strict=True) if p], odd)
         fine = found["fine"].tolist()
         coded = [row if all(map(fine.__getitem__, row)) else [] for row in coded]
-        units, sizes = _flat(coded)
+        units, sizes = flat(coded)
         times = np.bincount(units, minlength=len(fine))
         heard = np.bincount(found["links"], np.repeat(times, found["n_links"]), len(found["pairs"])).astype(np.int64)
         groups = ["".join(map(found["texts"].__getitem__, row))[:-1] for row in coded]
