@@ -12,8 +12,6 @@ Only the distinct pairs of blocks are summed up over the corpus and sent back to
 from __future__ import annotations
 
 import hashlib
-import json
-import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -23,63 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarterdeck.llm.byte_words import AT_ONCE, ByteLevel, Numbers, flat, plain_word
 from quarterdeck.llm.common import texts_of, worker_store
 from quarterdeck.session import pin
 
-#: Words of one call of a tokenizer.
-AT_ONCE = 4096
 #: A pair of ids is one number, the second id in its lower bits.
 SHIFT = 32
 MARK = "▁"
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The letter by which a byte-level vocabulary writes each byte: visible ones as they are, the others from 256 on."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(visible)]
-    return {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(others)}
-
-
-#: How byte-level BPE parts a text before it merges (fixed value).
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-class ByteLevel:
-    """Tokenizer A: byte-level merges; words behind a space are encoded many at a time."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        alphabet, vocabulary = _byte_alphabet(), self.library.get_vocab()
-        self.bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, ident in vocabulary.items():
-            self.bytes[ident] = bytes(map(alphabet.__getitem__, token)) if set(token) <= alphabet.keys() else token.encode()
-        self.opens = np.array([b[:1] == b" " for b in self.bytes])
-        # a vocabulary in the order of its merges is its own list of ranks; without the offsets of the other library it is much faster
-        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
-        merges = json.loads(self.library.to_str())["model"]["merges"]
-        made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
-        ranks = {self.bytes[i]: i for t, i in vocabulary.items() if t not in special}
-        ordered = sorted(made, key=vocabulary.__getitem__) == made and len(ranks) == len(made) + 256
-        self.ranked = tiktoken.Encoding("a", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ordered else None
-
-    def whole(self, text: str) -> list[int]:
-        return self.library.encode(" " + text, add_special_tokens=False).ids
-
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words, each with the space before it, and their counts: a token that begins with the space begins a word."""
-        text = " ".join(words)
-        ids = np.array(self.ranked(" " + text) if self.ranked else self.whole(text), np.int64)
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(words):
-            return flat([self.whole(w) for w in words])
-        return ids, np.diff(starts, append=len(ids))
-
-
 class Pieces:
     """Tokenizer B: a sentencepiece model that puts a space before a text."""
 
@@ -99,22 +49,6 @@ class Pieces:
         return flat(self.library.encode(words, num_threads=1))
 
 
-def flat(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum())), sizes
-
-
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = len(self)
-        return self[word]
-
-
-def _plain(word: str) -> bool:
-    """Whether the spaces around a word touch no other white space."""
-    return bool(word) and not word[0].isspace() and not word[-1].isspace()
-
-
 def coalesce(a_start, a_end, b_start, b_end) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(group of each A, group of each B, A of each link, B of each link) of two ascending lists of intervals.
 
@@ -141,7 +75,7 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 class Aligner:
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = ByteLevel(a_path), Pieces(b_path)
+        self.a, self.b = ByteLevel(a_path, specials=False), Pieces(b_path)
         self.sizes = [np.array(list(map(len, t.bytes)), np.int64) for t in (self.a, self.b)]
         # how an id is written inside a group, and as the last of its kind there; A's ids, then B's
         texts = [f"{i}{mark}" for t, last in ((self.a, "|"), (self.b, ";")) for mark in (",", last) for i in range(len(t.bytes))]
@@ -151,7 +85,7 @@ class Aligner:
         """The ids of all units, their counts, and whether their bytes are those of the unit behind a space."""
         tokenizer, lengths = (self.a, self.b)[which], self.sizes[which]
         parts = [words[i:i + AT_ONCE] for i in range(0, len(words), AT_ONCE)] + [[t] for t in wholes]
-        found = [tokenizer.words(p) for p in parts[:len(parts) - len(wholes)]] + [flat([tokenizer.whole(t)]) for t in wholes]
+        found = [tokenizer.words(p) for p in parts[:len(parts) - len(wholes)]] + [flat([tokenizer.whole(" " * (which == 0) + t)]) for t in wholes]
         fine = []
         for part, (ids, counts) in zip(parts, found, strict=True):
             want = [b" " + unit.encode() for unit in part]
@@ -188,13 +122,13 @@ class Aligner:
 
     def block(self, idents: list, texts: list[str], digest: bool) -> dict:
         """One row for a block of documents."""
-        numbers = _Numbers()
+        numbers = Numbers()
         if self.b.parts_words:
             coded = [list(map(numbers.__getitem__, t.split(" "))) if t else [] for t in texts]
         else:
             coded = [[] for _ in texts]
         words = list(numbers)
-        plain = np.fromiter(map(_plain, words), bool, len(words))
+        plain = np.fromiter(map(plain_word, words), bool, len(words))
         parted, odd = plain.tolist(), []
         place = (np.cumsum(plain) - 1).tolist()
         kept = int(plain.sum())

@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarterdeck.llm.byte_words import byte_level
 from quarterdeck.llm.common import texts_of
-from quarterdeck.llm.word_cache import byte_level
 
 #: Ids in a block, and ids after which a segment ends with the document it is in.
 BLOCK, SEGMENT = 1024, 1 << 18
@@ -130,7 +130,7 @@ def _writer(tokenizer: str, end_id: int, percentile: float):
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for ident, found in zip(batch.column("doc_id").to_pylist(), map(byte_level(tokenizer).encode, texts), strict=True):
+            for ident, found in zip(batch.column("doc_id").to_pylist(), byte_level(tokenizer).encode_all(texts), strict=True):
                 docs.append(ident)
                 ids.append(found + end)
                 lengths.append(len(ids[-1]) // 4)

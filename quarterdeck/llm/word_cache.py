@@ -77,34 +77,6 @@ class WordEncoder:
         raise NotImplementedError
 
 
-class ByteLevelEncoder(WordEncoder):
-    """Byte-level BPE: a single space between two visible characters starts a new word, a single line end is one."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.line_end = self.whole("\n")
-        self.words = _Words(self._part, self.marks)
-
-    def _part(self, part: str) -> bytes:
-        """A part is what follows a space, or a line end and the word behind it."""
-        return self.line_end + self.word(part[1:]) if part[:1] == "\n" else self.word(part, " ")
-
-    @staticmethod
-    def plain(text: str) -> bool:
-        """Whether all white space is one space or one line end between visible characters."""
-        return not (text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", " \n", "\n ", "\n\n"))
-                    or any(x in text for x in OTHER_SPACES))
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.plain(text):
-            return self.whole(text)
-        # the first word stands as if behind a line end
-        parts = ("\n" + text.replace("\n", " \n")).split(" ")
-        return b"".join(map(self.words.__getitem__, parts))[len(self.line_end):]
-
-
 class SpaceDroppingEncoder(WordEncoder):
     """BPE with word ends on lower-cased text, where white space only separates: spaces and line ends may be cut anywhere."""
 
@@ -119,9 +91,5 @@ class SpaceDroppingEncoder(WordEncoder):
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-def byte_level(path: str) -> ByteLevelEncoder:
-    return worker_store(("byte level", path), lambda: ByteLevelEncoder(path))
-
-
 def space_dropping(path: str) -> SpaceDroppingEncoder:
     return worker_store(("space dropping", path), lambda: SpaceDroppingEncoder(path))
