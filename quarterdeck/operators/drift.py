@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,49 +13,60 @@ from quarterdeck.panel import column
 BINS, SMALLEST_SHARE, LARGEST_SHARE = 10, 1e-10, 1.0
 
 
-def _edges(df: DataFrame, cols: list[str], bins: int) -> Column:
-    """Per column the lowest and highest edge and the bin width, as one value of a struct per column.
+def _cells(df: DataFrame, cols: list[str]) -> DataFrame:
+    """at and x: a row for each value, told by the number of its column. The code for it is the same for any number of columns."""
+    return df.select(F.posexplode(F.array(*[column(c).cast("double") for c in cols])).alias("at", "x"))
+
 
-    One row of minima and maxima, read as a scalar: nothing is joined to meet it. A single value is widened by 0.5.
+class _Edges:
+    """Per column the lowest and highest edge and the bin width, as literals: three numbers a column, read from one row each.
+
+    A single value is widened by 0.5. A column without values has none.
     """
-    def ends(c):
-        low, high = F.min(column(c).cast("double")), F.max(column(c).cast("double"))
+
+    def __init__(self, df: DataFrame, cols: list[str], bins: int):
+        low, high = F.min("x"), F.max("x")
         wide = F.when(low == high, 0.5).otherwise(0.0)
-        return F.struct((low - wide).alias("lo"), (high + wide).alias("hi"), ((high + wide - (low - wide)) / bins).alias("step"))
+        ends = _cells(df, cols).groupBy("at").agg((low - wide).alias("lo"), (high + wide).alias("hi"), ((high + wide - (low - wide)) / bins).alias("step"))
+        known = {r["at"]: r for r in ends.collect()}  # one row a column
+        self.bins = bins
+        self.values = {name: F.array(*[F.lit(known[i][name] if i in known else None).cast("double") for i in range(len(cols))])
+                       for name in ("lo", "hi", "step")}
 
-    return df.agg(F.struct(*[ends(c).alias(f"c{i}") for i, c in enumerate(cols)]).alias("edges")).scalar()
+    def of(self, name: str) -> Column:
+        return F.get(self.values[name], F.col("at"))
 
+    def edge(self, i: Column) -> Column:
+        return F.when(i == self.bins, F.col("hi")).otherwise(i * F.col("step") + F.col("lo"))
 
-def _edge(own: Column, i: Column, bins: int) -> Column:
-    return F.when(i == bins, own["hi"]).otherwise(i * own["step"] + own["lo"])
+    def with_edges(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({name: self.of(name) for name in self.values}).where("lo IS NOT NULL")
 
+    def bin(self) -> Column:
+        """The bin of x; null outside the edges."""
+        x, last = F.col("x"), self.bins - 1
+        guess = F.col("guess")
+        # the division may miss by one at an edge: settle it against the edges themselves
+        settled = (F.when(x < self.edge(guess), guess - 1)
+                   .when((x >= self.edge(guess + 1)) & (guess < last), guess + 1).otherwise(guess))
+        return F.when((x >= F.col("lo")) & (x <= F.col("hi")), settled.cast("int"))
 
-def _bin(x: Column, own: Column, bins: int) -> Column:
-    """The bin of ``x``; null outside the edges."""
-    guess = F.least(F.greatest(F.floor((x - own["lo"]) / own["step"]), F.lit(0)), F.lit(bins - 1))
-    # the division may miss by one at an edge: settle it against the edges themselves
-    settled = (F.when(x < _edge(own, guess, bins), guess - 1)
-               .when((x >= _edge(own, guess + 1, bins)) & (guess < bins - 1), guess + 1).otherwise(guess))
-    return F.when((x >= own["lo"]) & (x <= own["hi"]), settled.cast("int"))
+    def guess(self) -> Column:
+        return F.least(F.greatest(F.floor((F.col("x") - F.col("lo")) / F.col("step")), F.lit(0)), F.lit(self.bins - 1))
 
 
-def _counts(frames: list[DataFrame], edges: Column, cols: list[str], bins: int) -> DataFrame:
+def _counts(frames: list[DataFrame], edges: _Edges, cols: list[str]) -> DataFrame:
     """Rows of each frame per column and bin as n0, n1 ..., bins without rows included. One pass over each frame."""
-    found = None
-    for tag, df in enumerate(frames):
-        cells = F.array(*[F.struct(F.lit(i).alias("at"), _bin(column(c).cast("double"), edges[f"c{i}"], bins).alias("bin")) for i, c in enumerate(cols)])
-        part = df.select(F.lit(tag).alias("tag"), F.explode(cells).alias("cell")).where("cell.bin IS NOT NULL")
-        found = part if found is None else found.unionAll(part)
-    counted = found.groupBy(F.col("cell.at").alias("at"), F.col("cell.bin").alias("bin")).agg(
+    parts = [_cells(df, cols).withColumn("tag", F.lit(tag)) for tag, df in enumerate(frames)]
+    found = edges.with_edges(reduce(DataFrame.unionAll, parts)).where("x IS NOT NULL").withColumn("guess", edges.guess())
+    counted = found.select("at", "tag", edges.bin().alias("bin")).where("bin IS NOT NULL").groupBy("at", "bin").agg(
         *[F.count_if(F.col("tag") == tag).alias(f"n{tag}") for tag in range(len(frames))])
     every = frames[0].sparkSession.range(len(cols)).select(
-        F.col("id").cast("int").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    own = F.get(F.array(*[edges[f"c{i}"] for i in range(len(cols))]), F.col("at"))
+        F.col("id").cast("int").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(edges.bins - 1))).alias("bin"))
     names = F.get(F.array(*[F.lit(c) for c in cols]), F.col("at"))
-    return (every.join(counted, ["at", "bin"], "left").withColumn("own", own).where("own.lo IS NOT NULL")
-            .select(names.alias("column"), "bin", _edge(F.col("own"), F.col("bin"), bins).alias("lower"),
-                    _edge(F.col("own"), F.col("bin") + 1, bins).alias("upper"),
-                    *[F.coalesce(f"n{tag}", F.lit(0)).alias(f"n{tag}") for tag in range(len(frames))]))
+    return edges.with_edges(every.join(counted, ["at", "bin"], "left")).select(
+        names.alias("column"), "bin", edges.edge(F.col("bin")).alias("lower"), edges.edge(F.col("bin") + 1).alias("upper"),
+        *[F.coalesce(f"n{tag}", F.lit(0)).alias(f"n{tag}") for tag in range(len(frames))])
 
 
 def equal_width_histogram(df: DataFrame, cols: list[str], bins: int = BINS,
@@ -63,14 +76,14 @@ def equal_width_histogram(df: DataFrame, cols: list[str], bins: int = BINS,
     Edges come from ``edges_from`` (default: the counted frame); values outside
     them are not counted.
     """
-    edges = _edges(edges_from if edges_from is not None else df, cols, bins)
-    return _counts([df], edges, cols, bins).withColumnRenamed("n0", "n")
+    edges = _Edges(edges_from if edges_from is not None else df, cols, bins)
+    return _counts([df], edges, cols).withColumnRenamed("n0", "n")
 
 
 def population_stability_index(expected: DataFrame, actual: DataFrame, cols: list[str],
                                bins: int = BINS) -> DataFrame:
     """PSI of every column, over bins of the expected sample. Both samples are counted in one pass."""
-    counts = _counts([expected, actual], _edges(expected, cols, bins), cols, bins)
+    counts = _counts([expected, actual], _Edges(expected, cols, bins), cols)
     # one row per bin: the totals of a column come from its own few rows
     whole = Window.partitionBy("column")
 

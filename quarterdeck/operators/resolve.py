@@ -45,8 +45,8 @@ def _rank(code: str, ranks: dict[str, int]) -> Column:
     return F.coalesce(*cases, F.lit(UNKNOWN))
 
 
-def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updated: str,
-                        consolidated: str, status: str, standard: str) -> DataFrame:
+def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updated: str, consolidated: str,
+                        status: str, standard: str, together: list[str] | None = None) -> DataFrame:
     """One value per key and column, by priority rules over conflicting rows.
 
     Per column, over the rows where it is not null: if they agree, that value.
@@ -59,7 +59,8 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
     column's smallest and largest value; the map side combines, so a key with
     very many rows arrives as few. The rules are then folded from last to first:
     at every step a group either agrees or passes on the result of its best
-    subgroup. All aggregates are over plain columns, without collected lists.
+    subgroup. All aggregates are over plain columns, without collected lists. What has equal values in
+    ``together`` (some of the keys, by default all) is in one task at the end, for a grouping by them that follows.
     """
     rules = ["_updated", "_consolidated", "_status", "_standard"]
     ranked = df.select(
@@ -86,7 +87,7 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
     # few rows left, at most one per calendar day and code; update times are not bounded that
     # way, so there only the last grouping, which combines on the map side, is by key alone
     fine = dict(df.dtypes)[updated].startswith("timestamp")
-    groups = groups.repartition(*keys, *(["_updated"] if fine else []))
+    groups = groups.repartition(*(together or keys), *(["_updated"] if fine and not together else []))
 
     for depth in range(len(rules) - 1, -1, -1):
         rule = rules[depth]
@@ -102,3 +103,30 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
             f"_best{i}": F.when(usable, F.when(agrees(i), F.col(f"_lo{i}"))
                                 .otherwise(F.col(f"_best{i}"))) for i in n})
     return groups.select(*keys, *[F.col(f"_best{i}").alias(v) for i, v in enumerate(values)])
+
+
+def resolve_wide(df: DataFrame, keys: list[str], values: list[str], updated: str, consolidated: str,
+                 status: str, standard: str) -> DataFrame:
+    """``resolve_by_priority`` for hundreds of columns: the same rules and the same result.
+
+    The measures of a type are taken in long form, one row a value, so that the aggregates, and the code that Spark
+    compiles for them, don't grow with the number of measures. A value crosses two exchanges: that of the first
+    aggregate, which combines on the map side, and one by the keys, which serves all further groupings and the
+    return to columns. Types apart, as only values of fixed size are aggregated by hash. Null measures don't travel. A key
+    whose measures are all null keeps its row.
+    """
+    types = dict(df.dtypes)
+    rules = [updated, consolidated, status, standard]
+    carried = [column(c) for c in dict.fromkeys([*keys, *rules])]
+    out = None
+    for kind in sorted({types[v] for v in values}):
+        own = [i for i, v in enumerate(values) if types[v] == kind]
+        cells = df.select(*carried, F.posexplode(F.array(*[column(values[i]) for i in own])).alias("_at", "_x")).where("_x IS NOT NULL")
+        # the row that keeps a key without values
+        long = cells.unionAll(df.select(*carried, F.lit(-1).alias("_at"), F.lit(None).cast(kind).alias("_x")))
+        settled = resolve_by_priority(long, [*keys, "_at"], ["_x"], *rules, together=keys)
+        # at most one value for each measure
+        found = settled.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_at", "_x")))).alias("_m"))
+        part = found.select(*keys, *[F.try_element_at("_m", F.lit(n)).alias(f"_v{i}") for n, i in enumerate(own)])
+        out = part if out is None else out.join(part, keys)
+    return out.select(*keys, *[F.col(f"_v{i}").alias(v) for i, v in enumerate(values)])

@@ -63,6 +63,32 @@ def _(t):
         "filing_status", "accounting_standard")
 
 
+#: Measures of the wide query, whose nulls follow ten patterns.
+WIDE = 500
+
+
+@query("resolve_wide", f"""
+WITH f AS (SELECT *, CASE WHEN (val_a + p) % 10 <> 0 THEN val_a END AS v FROM fx_filing, (SELECT unnest(range(10)) AS p) AS r),
+{resolve_sql("v", "f", "entity, period, p")}
+SELECT entity, period, count(v) * {WIDE // 10} AS n, sum({WIDE // 10} * v + {WIDE // 10} * p + {sum(range(0, WIDE, 10))}) AS total,
+       max(CASE WHEN p = 3 THEN v + 13 END) AS m13, max(CASE WHEN p = 9 THEN CAST(v + {WIDE - 1} AS VARCHAR) END) AS last
+FROM v_r GROUP BY entity, period""", "fx_filing")
+def _(t):
+    """Hundreds of measures of all filings, of two types, resolved at once and summed up by key."""
+    def measure(i):
+        value = F.when((F.col("val_a") + i % 10) % 10 != 0, F.col("val_a") + i)
+        return (value.cast("string") if i == WIDE - 1 else value).alias(f"m{i}")
+
+    keys, rules = ["entity", "period"], ["update_key", "consolidated", "filing_status", "accounting_standard"]
+    # a small file is one task's input, but its many cells shouldn't be one task's work
+    filings = t.fx_filing.repartition(t.spark.sparkContext.defaultParallelism)
+    wide = resolve.resolve_wide(filings.select(*keys, *rules, *map(measure, range(WIDE))), keys, [f"m{i}" for i in range(WIDE)], *rules)
+    values = F.array_compact(F.array(*[F.col(f"m{i}").cast("double") for i in range(WIDE)]))
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    return wide.select(*keys, F.size(values).cast("long").alias("n"), F.when(F.size(values) > 0, total).alias("total"),
+                       "m13", F.col(f"m{WIDE - 1}").alias("last"))
+
+
 @query("resolve_annual", f"""
 WITH f AS (SELECT CAST(l_suppkey AS INT) AS entity, CAST(year(l_shipdate) AS INT) AS yr,
     CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS update_key,
@@ -266,6 +292,22 @@ def _halves(t):
     return t.lineitem.where(F.col("l_shipdate") < cut), t.lineitem.where(F.col("l_shipdate") >= cut)
 
 
+@query("population_stability_index_wide", f"""
+WITH {_BINS},
+c AS (SELECT b.col, b.bin, max(CASE WHEN early THEN n END) AS ne, max(CASE WHEN NOT early THEN n END) AS na
+      FROM b LEFT JOIN h ON h.col = b.col AND h.bin = b.bin GROUP BY b.col, b.bin),
+q AS (SELECT col, greatest(least(coalesce(ne, 0) / sum(ne) OVER (PARTITION BY col), 1), 1e-10) AS pe,
+             greatest(least(coalesce(na, 0) / sum(na) OVER (PARTITION BY col), 1), 1e-10) AS pa FROM c),
+s AS (SELECT col, round(sum((pe - pa) * ln(pe / pa)), 8) AS psi FROM q GROUP BY col)
+SELECT 'f' || i AS "column", psi FROM s, (SELECT unnest(range(300)) AS i) AS r
+WHERE col = CASE WHEN i % 2 = 0 THEN 'l_quantity' ELSE 'l_extendedprice' END""")
+def _(t):
+    """300 columns: each half of them is one column scaled by a power of two, which moves no row to another bin."""
+    scaled = [(F.col("l_quantity" if i % 2 == 0 else "l_extendedprice") * 2.0 ** (i // 2 % 60 - 30)).alias(f"f{i}") for i in range(300)]
+    early, late = (half.select(*scaled) for half in _halves(t))
+    return rounded(drift.population_stability_index(early, late, [f"f{i}" for i in range(300)]), "psi", digits=8)
+
+
 @query("population_stability_index", f"""
 WITH {_BINS},
 s AS (SELECT b.col, b.bin, CAST(coalesce(he.n, 0) AS DOUBLE) AS ne, CAST(coalesce(ha.n, 0) AS DOUBLE) AS na

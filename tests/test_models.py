@@ -116,8 +116,9 @@ def test_greedy_lasso_equals_refitting_on_the_rows(spark):
 
 
 RUN = ["search_feature_count", "grid_search_forest", "boosted_cv_rounds", "select_and_forecast"]
+FULL = ["hist_boosted_forecast", "expanding_backtest", "time_series_cv_score"]
 MODEL_QUERIES = ["rank_features", "search_feature_count", "forecast_targets", "boosted_forecast", "grid_search_forest",
-                 "boosted_cv_rounds", "forward_select_lasso", "select_and_forecast"]
+                 "boosted_cv_rounds", "forward_select_lasso", "select_and_forecast", *FULL]
 
 
 @pytest.mark.parametrize("name", RUN)

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from quarterdeck.operators.resolve import (ACCOUNTING_STANDARD_RANK, FILING_STATUS_RANK, latest_revision,
-                                           latest_revision_join, resolve_by_priority)
+                                           latest_revision_join, resolve_by_priority, resolve_wide)
 
 SCHEMA = "k string, x double, d int, c string, s string, a string"
 ARGS = ("d", "c", "s", "a")
@@ -105,3 +105,26 @@ def test_latest_revision_join_is_inner_and_repeats_ties(rows):
     rev = rows("k string, r int, v int", [("a", 1, 1), ("a", 2, 2), ("a", 2, 3)])
     got = latest_revision_join(base, rev, ["k"], "r").collect()
     assert sorted((r["k"], r["w"], r["v"]) for r in got) == [("a", 1, 2), ("a", 1, 3)]
+
+
+def test_wide_measures_are_resolved_as_narrow_ones(rows):
+    rnd = random.Random(8)
+    pick = lambda *of: rnd.choice([*of, None])
+    schema = "k string, j int, x double, y string, z double, u date, d int, c string, s string, a string"
+    data = [(rnd.choice("abcdef"), rnd.choice([1, 2, None]), pick(1.0, 2.0, 0.0), pick("p", "q"), pick(5.0, float("nan")), None,
+             pick(1, 2), pick("Y", "N"), pick("MR", "OR", "zz"), pick("IAS/IFRS", "US GAAP", "zz")) for _ in range(400)]
+    data += [("empty", 1, None, None, None, None, 1, "Y", "MR", "US GAAP"), (None, 1, 1.0, "p", 1.0, None, 1, "Y", "MR", "US GAAP")]
+    df = rows(schema, data)
+    args = (df, ["k", "j"], ["x", "y", "z", "u"], *ARGS)
+    wide, narrow = resolve_wide(*args), resolve_by_priority(*args)
+    assert wide.dtypes == narrow.dtypes
+    assert sorted(map(repr, wide.collect())) == sorted(map(repr, narrow.collect())) and wide.count() == 13
+
+
+def test_wide_measures_take_two_exchanges(rows):
+    df = rows("k string, " + ", ".join(f"m{i} double" for i in range(300)) + ", d int, c string, s string, a string",
+              [("a", *map(float, range(300)), 1, "Y", "MR", "US GAAP")])
+    found = resolve_wide(df, ["k"], [f"m{i}" for i in range(300)], *ARGS)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert list(found.first()[1:]) == list(map(float, range(300)))
