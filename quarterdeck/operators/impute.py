@@ -2,15 +2,19 @@
 
 A panel has one row per entity and calendar period, so the windows here are
 bounded by the calendar; an unbounded spec is refused. All windows share one
-partitioning and order: one exchange and one sort serve every column.
+partitioning and order: one exchange and one sort serve every column. Only
+``impute_events`` fills series without that bound, block by block.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterdeck.operators.ar1 import impute_ar1
+from quarterdeck.operators.ordered import POSITION, running, with_blocks
 from quarterdeck.panel import PanelSpec, column, ensure_panel
 from quarterdeck.session import pin
 
@@ -104,6 +108,54 @@ def impute_panel(df: DataFrame, spec: PanelSpec, cols: list[str]) -> DataFrame:
     return _interior(_tail(out, spec, cols), spec, cols).drop("_row")
 
 
+def impute_events(df: DataFrame, spec: PanelSpec, cols: list[str]) -> DataFrame:
+    """``impute_panel`` for series of any length: the same head, tail and interior, by rows of the entity.
+
+    Rows are worked on in blocks, and a block hands on its last and first known cells, so one entity may hold any
+    share of the rows. The line of the tail goes through the last unbroken run of values, head-filled rows included:
+    each run is summed up by an ordinary aggregate, and an entity keeps its last one. A series without any value
+    stays null.
+    """
+    if spec.bounded:
+        return impute_panel(df, spec, cols)
+    entity, at = list(spec.entity), F.col(POSITION)
+    known = lambda c: column(c).isNotNull()
+    wanted = {"_start": ("first", at)}
+    for i, c in enumerate(cols):
+        seen = F.when(known(c), F.struct(at.alias("at"), column(c).cast("double").alias("v")))
+        wanted |= {f"_a{i}": ("last", seen), f"_b{i}": ("next", seen), f"_g{i}": ("last", F.when(~known(c), at))}
+    out = pin(running(pin(with_blocks(df, spec), "placed"), spec, wanted), "runs")
+    for i, c in enumerate(cols):
+        base = F.coalesce(F.col(f"_g{i}") + 1, F.col("_start"))
+        z, x = (at - base).cast("double"), column(c).cast("double")
+        runs = out.where(known(c)).groupBy(*entity, base.alias("base")).agg(
+            F.min("_start").alias("start"), F.min_by(x, at).alias("first"), F.count(F.lit(1)).cast("double").alias("m"), F.sum(z).alias("x"),
+            F.sum(x).alias("y"), F.sum(z * x).alias("xy"), F.sum(z * z).alias("xx"))
+        last = F.max_by(F.struct("base", "start", "first", "m", "x", "y", "xy", "xx"), "base")
+        lines = pin(_lines(runs.groupBy(*entity).agg(F.min("base").alias("_f"), last.alias("_r")), entity, i), "lines")
+        same = reduce(lambda p, q: p & q, [column(e).eqNullSafe(F.col(f"_e{n}")) for n, e in enumerate(entity)], F.lit(True))
+        # one row an entity: Spark broadcasts it if it is small, else it splits the entities that hold much
+        out = out.join(lines, same, "left").drop(*[f"_e{n}" for n in range(len(entity))])
+        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        inside = a["v"] + (b["v"] - a["v"]) / F.nullif(b["at"] - a["at"], F.lit(0)) * (at - a["at"])
+        out = out.withColumn(c, F.when(known(c), x).when(a.isNull(), b["v"]).when(b.isNotNull(), inside)
+                             .otherwise(F.col(f"_level{i}") + F.col(f"_slope{i}") * (at - F.col(f"_from{i}"))))
+    return out.select(*[column(c) for c in df.columns])
+
+
+def _lines(last: DataFrame, entity: list[str], i: int) -> DataFrame:
+    """Slope, level and first row of the line through each entity's last run; a run that begins the series takes in the filled head."""
+    r = F.col("_r")
+    h = F.when(F.col("_f") == r["base"], r["base"] - r["start"]).otherwise(F.lit(0)).cast("double")
+    heads, squares = h * (h - 1) / 2, (h - 1) * h * (2 * h - 1) / 6
+    m, x, y = r["m"] + h, r["x"] + r["m"] * h + heads, r["y"] + h * r["first"]
+    xx = r["xx"] + 2 * h * r["x"] + r["m"] * h * h + squares
+    xy = r["xy"] + h * r["y"] + r["first"] * heads
+    slope = F.when(m > 1, F.try_divide(m * xy - x * y, m * xx - x * x)).otherwise(F.lit(0.0))
+    return last.select(*[column(e).alias(f"_e{n}") for n, e in enumerate(entity)], slope.alias(f"_slope{i}"),
+                       ((y - slope * x) / m).alias(f"_level{i}"), (r["base"] - h).alias(f"_from{i}"))
+
+
 def split_panel(df: DataFrame, spec: PanelSpec, year: str = "yr", cutoff: int = 2018,
                 min_train: int = 3) -> DataFrame:
     """Column ``split``: train before ``cutoff``, test from it on. An entity with

@@ -83,6 +83,10 @@ _RUNNING = {
               lambda c: F.min_by(c, F.when(c.isNotNull(), F.col(POSITION))),
               lambda carried, inside: F.coalesce(carried, inside)),
     "max": (F.max, F.max, lambda carried, inside: F.greatest(carried, inside)),
+    # looks ahead: the first non-null value from the row on
+    "next": (lambda c: F.first(c, ignorenulls=True),
+             lambda c: F.min_by(c, F.when(c.isNotNull(), F.col(POSITION))),
+             lambda carried, inside: F.coalesce(inside, carried)),
 }
 
 
@@ -90,23 +94,25 @@ def running(df: DataFrame, spec: PanelSpec, wanted: dict[str, tuple[str, Column]
     """Add running values from the entity's first row up to each row.
 
     ``wanted[name] = (kind, column)`` with kind ``last`` or ``first`` (non-null
-    value so far) or ``max``.
+    value so far), ``max``, or ``next`` (the first non-null value from the row on).
     """
-    frame = (Window.unboundedPreceding, Window.currentRow)
+    ends = lambda kind, near: (near, Window.unboundedFollowing) if kind == "next" else (Window.unboundedPreceding, -near)
     if spec.bounded:
-        w = spec.window().rowsBetween(*frame)
-        return df.withColumns({n: _RUNNING[k][0](c).over(w) for n, (k, c) in wanted.items()})
+        return df.withColumns({n: _RUNNING[k][0](c).over(spec.window().rowsBetween(*ends(k, 0))) for n, (k, c) in wanted.items()})
     placed = df if POSITION in df.columns else with_blocks(df, spec)
-    across = (Window.partitionBy(*spec.entity).orderBy(HOME)
-              .rowsBetween(Window.unboundedPreceding, -1))
+    across = lambda kind: Window.partitionBy(*spec.entity).orderBy(HOME).rowsBetween(*ends(kind, 1))
     carried = (placed.groupBy(*spec.entity, HOME)
                .agg(*[_RUNNING[k][1](c).alias(f"_c_{n}") for n, (k, c) in wanted.items()])
                .select(*spec.entity, HOME,
-                       *[_RUNNING[k][0](F.col(f"_c_{n}")).over(across).alias(f"_c_{n}")
+                       *[_RUNNING[k][0](F.col(f"_c_{n}")).over(across(k)).alias(f"_c_{n}")
                          for n, (k, _) in wanted.items()]))
-    w = Window.partitionBy(*spec.entity, HOME).orderBy(POSITION).rowsBetween(*frame)
-    inside = placed.withColumns({n: _RUNNING[k][0](c).over(w) for n, (k, c) in wanted.items()})
-    out = inside.join(carried, [*spec.entity, HOME], "left")
+    w = lambda kind: Window.partitionBy(*spec.entity, HOME).orderBy(POSITION).rowsBetween(*ends(kind, 0))
+    inside = placed.withColumns({n: _RUNNING[k][0](c).over(w(k)) for n, (k, c) in wanted.items()})
+    # an entity without a key is an entity too
+    keys = [*spec.entity, HOME]
+    carried = carried.select(*[column(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[f"_c_{n}" for n in wanted])
+    same = reduce(lambda x, y: x & y, [column(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    out = inside.join(carried, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
     out = out.withColumns({n: _RUNNING[k][2](F.col(f"_c_{n}"), F.col(n))
                            for n, (k, _) in wanted.items()}).drop(*[f"_c_{n}" for n in wanted])
     return out if POSITION in df.columns else out.drop(POSITION, HOME)

@@ -125,6 +125,17 @@ def _(t):
     return rounded(impute.impute_panel(p, PANEL, ["gappy", "sales"]), "gappy", digits=3)
 
 
+@query("impute_events", f"""
+WITH gapped AS (SELECT event_id, user_id, ts, CASE WHEN event_id * 7919 % 11 >= 4 AND event_id % 400 > 30 THEN value END AS x FROM events),
+{fill_sql("gapped", "x", "user_id", "ts, event_id")} SELECT event_id, round(y, 6) AS x FROM filled""")
+def _(t):
+    """Raw events, of which one user may hold any share, filled in blocks."""
+    shown = (F.col("event_id") * 7919 % 11 >= 4) & (F.col("event_id") % 400 > 30)
+    gapped = t.events.select("event_id", "user_id", "ts", F.when(shown, F.col("value")).alias("x"))
+    spec = PanelSpec.of("user_id", ("ts", "event_id"), bounded=False)
+    return rounded(impute.impute_events(gapped, spec, ["x"]), "x").select("event_id", "x")
+
+
 @query("impute_ar1", f"""
 WITH {ar1_sql("fx_cents", "gappy", "walk")}
 SELECT entity, yr, qtr, round(v, 3) AS gappy FROM walk""", "fx_cents", recursive=True)

@@ -183,3 +183,19 @@ def test_a_key_that_occurs_twice_fails(rows):
     twice = rows("e int, yr int, x double, y double", [(1, 2016, 1.0, 1.0), (1, 2017, 2.0, 2.0), (1, 2017, 3.0, 3.0), (1, 2019, 4.0, 4.0)])
     with pytest.raises(Exception, match="holds a key twice: 1, 2017"):
         impute.build_train_test(twice, PanelSpec.of("e", "yr"), ["x"], ["y"])["train_x"].collect()
+
+
+def test_series_of_any_length_are_filled_as_panels(rows):
+    rnd = np.random.default_rng(4)
+    data = [(e, i, None if rnd.random() < share or i < head else float(rnd.integers(0, 50)), None if i % 3 else float(i))
+            for e, n, share, head in ((1, 90, 0.4, 0), (2, 40, 0.0, 7), (3, 25, 0.9, 3), (4, 6, 1.0, 0), (None, 12, 0.3, 2), (5, 1, 0.0, 0))
+            for i in range(n)]
+    df = rows("e int, i int, x double, y double", data).repartition(5)
+    want = impute.impute_panel(df, PanelSpec.of("e", "i"), ["x", "y"]).collect()
+    # blocks far smaller than the series
+    found = impute.impute_events(df, PanelSpec.of("e", "i", bounded=False, block_rows=7), ["x", "y"])
+    assert found.columns == df.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for one, two in zip(sorted(want, key=key), sorted(found.collect(), key=key), strict=True):
+        assert one[:2] == two[:2]
+        assert all(x is y if x is None else x == pytest.approx(y, rel=1e-9, abs=1e-9) for x, y in zip(one[2:], two[2:], strict=True))
