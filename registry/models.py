@@ -41,6 +41,13 @@ def _metrics(f):
     return rounded(f.metrics(), "rmse", "r2")
 
 
+def _with_refit(table, chosen, fit):
+    """What a search tried, and at what it chose the scores of the refit on the test rows."""
+    score = rounded(regression_metrics(fit.test, "sales_lag1", "pred_sales_lag1"), "rmse", "r2")
+    table = table.withColumn("chosen", chosen)
+    return table.withColumns({f"test_{c}": F.when(F.col("chosen"), score.select(c).scalar()) for c in ("rmse", "r2")})
+
+
 @query("rank_features")
 def _(t):
     train, _ = _parts(t)
@@ -182,7 +189,7 @@ def _(t):
 def _(t):
     train, test = _parts(t)
     best, fit, table = forecast.grid_search_forest(train, test, "sales_lag1", FEATURES, ORDER)
-    return table.withColumn("chosen", F.col("setting") == best)
+    return _with_refit(table, F.col("setting") == best, fit)
 
 
 @query("grid_search_boosted")
@@ -190,7 +197,7 @@ def _(t):
     train, test = _parts(t)
     best, fit, table = forecast.grid_search_boosted(train, test, "sales_lag1", FEATURES, ORDER, (0.7, 0.9), (0.9,),
                                                     n_splits=2, rounds=2)
-    return table.withColumn("chosen", F.col("setting") == best)
+    return _with_refit(table, F.col("setting") == best, fit)
 
 
 @query("boosted_cv_rounds")
@@ -198,7 +205,7 @@ def _(t):
     train, test = _parts(t)
     best, fit, table = forecast.boosted_cv_rounds(train, test, "sales_lag1", FEATURES, KEYS, n_folds=3, patience=2,
                                                   settings=SMALL)
-    return table.withColumn("chosen", F.col("rounds") == best)
+    return _with_refit(table, F.col("rounds") == best, fit)
 
 
 @query("time_series_cv_score")

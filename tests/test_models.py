@@ -126,6 +126,20 @@ def test_registered_models_give_rows(name, spark):
     assert QUERIES[name](spark, DATA).count() > 0
 
 
+def test_searches_score_their_refit(spark):
+    rows = QUERIES["boosted_cv_rounds"](spark, DATA).collect()
+    chosen = [r for r in rows if r["chosen"]]
+    assert len(chosen) == 1 and chosen[0]["mse"] == min(r["mse"] for r in rows)
+    assert chosen[0]["test_rmse"] > 0 and chosen[0]["test_r2"] < 1
+    assert all(r["test_rmse"] is None and r["test_r2"] is None for r in rows if not r["chosen"])
+
+
+def test_the_full_histogram_forecast_beats_the_mean_in_training(spark):
+    parts = {r["part"]: r for r in QUERIES["hist_boosted_forecast"](spark, DATA).collect()}
+    assert set(parts) == {"train", "test"} and all(r["n"] > 0 and r["rmse"] > 0 for r in parts.values())
+    assert 0 < parts["train"]["r2"] <= 1
+
+
 def test_every_query_is_named_once_and_has_a_text_or_a_test():
     from registry.book import ORACLES
     without = set(QUERIES) - set(ORACLES)
