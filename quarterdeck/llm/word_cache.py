@@ -1,8 +1,7 @@
 """Whole-text encoding with the tokenizers library, where a word is merged once.
 
-Both vocabularies used here cut a text at certain white space before any merge, so
-the ids of a text are the ids of its parts in a row. Texts whose white space is not
-that simple go to the library whole.
+The vocabulary used here cuts a text at white space before any merge, so
+the ids of a text are the ids of its words in a row.
 """
 
 from __future__ import annotations
@@ -15,8 +14,6 @@ from quarterdeck.llm.common import worker_store
 
 #: Words that a worker keeps. A full store starts anew when ten times as many words were missing.
 KEPT = 500_000
-#: All white space but the space and the line end (fixed by Unicode; four more that Python alone takes for it).
-OTHER_SPACES = "\x1c\x1d\x1e\x1f\t\v\f\r\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
 MARKS = ".,;:!?"
 
 
