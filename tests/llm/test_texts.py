@@ -80,22 +80,44 @@ def test_exact_groups(rows):
         text = re.sub(r"[\x20\x09-\x0D]+", " ", text or "")
         keep = min((i for i in groups[text] if i is not None), default=None)
         want.append((ident, keep, len(groups[text]), ident == keep, hashlib.sha256(text.encode()).hexdigest()))
-    for spill in (1, 1 << 20):
-        found = exact_dedup.exact_groups(_odd(rows).repartition(4), spill_bytes=spill).collect()
+    # with 0 to 4 bits of hash, texts of one length share a trie, and the trie alone tells them apart
+    for spill, bits in ((1, 20), (1 << 20, 20), (1, 4), (1 << 20, 4), (300, 0)):
+        found = exact_dedup.exact_groups(_odd(rows).repartition(4), spill_bytes=spill, hash_bits=bits).collect()
         assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
     assert exact_dedup.exact_groups(rows("doc_id long, text string", [])).collect() == []
 
 
-def test_radix_trie_keeps_the_smallest_owner():
+def test_tries_decide_among_texts_that_share_length_and_hash(rows):
+    """2,000 texts of one length in 16 hash values: equal ones meet, others don't, whatever is spilled."""
+    rnd = random.Random(5)
+    docs = [(i, "common start " + "".join(rnd.choice("ab") for _ in range(9))) for i in rnd.sample(range(10**6), 2000)]
+    groups = {}
+    for i, t in docs:
+        groups.setdefault(t, []).append(i)
+    assert len(groups) < 520 and max(map(len, groups.values())) > 3
+    want = sorted((i, min(groups[t]), len(groups[t]), i == min(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in docs)
+    frame = rows("doc_id long, text string", docs).repartition(6)  # members of a group come from several batches
+    for spill in (1, 400, 1 << 20):
+        assert sorted(map(tuple, exact_dedup.exact_groups(frame, spill_bytes=spill, hash_bits=4).collect())) == want
+
+
+@pytest.mark.parametrize("spill", [1, 40, 1 << 20])
+def test_radix_trie_splits_and_drops_complete_subtrees(spill):
     rnd = random.Random(3)
-    keys = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 7))) for _ in range(600)]
-    trie, want = exact_dedup.RadixTrie(), {}
-    for ident, key in enumerate(keys):
-        ident = rnd.choice([ident, -ident, None])
-        trie.insert(key, ident, 1)
-        old = want.get(key, (None, 0))
-        want[key] = (min((i for i in (old[0], ident) if i is not None), default=None), old[1] + 1)
-    assert sorted(trie.owners(), key=str) == sorted(want.values(), key=str)
+    keys = sorted(bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 7))) for _ in range(600))
+    trie, found, most = exact_dedup.RadixTrie(), {}, 0
+    for key in keys:
+        end = trie.insert(key)
+        end.rows += 1
+        found.setdefault(key, set()).add(end.owner)
+        if trie.size >= spill:
+            list(trie.complete())
+            assert trie.size <= len(key)  # only the path to the last text is left
+        most = max(most, trie.size)
+    assert len(found) == len(set(keys)) and all(len(f) == 1 for f in found.values())
+    assert len(set.union(*found.values())) == len(found) and trie.splits > 0 and most <= spill + 7
+    list(trie.rest())
+    assert trie.size == 0
 
 
 @pytest.mark.parametrize("text,out", [(b"", b""), (b" \t", b" "), (b" a\n\nb ", b" a b "), ("  x".encode(), "  x".encode())])
