@@ -9,6 +9,7 @@ that alignment to byte spans of the original.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -168,7 +169,8 @@ def model(path: str) -> Model:
     return worker_store(("pieces", path), lambda: Model(path))
 
 
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())),
+                     ("spans_crc32", pa.int64())])
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -187,11 +189,13 @@ def _encoder(path: str, at_once: int):
                 found = own.library.encode(some, num_threads=1)
                 spans = [own.spans(t, ids) for t, ids in zip(some, found, strict=True)]
                 sizes = [len(t.encode()) for t in some]
+                starts = [np.append(s, n).astype("<u4") for (s, _), n in zip(spans, sizes, strict=True)]
+                ends = [np.append(e, n).astype("<u4") for (_, e), n in zip(spans, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([idents[i] for i in part], pa.int64()),
                     _lists([np.array([*ids, own.end], np.int32) for ids in found]),
-                    _lists([np.append(s, n) for (s, _), n in zip(spans, sizes, strict=True)]),
-                    _lists([np.append(e, n) for (_, e), n in zip(spans, sizes, strict=True)])], schema=_ENCODED)
+                    _lists(starts), _lists(ends),
+                    pa.array([zlib.crc32(e, zlib.crc32(s)) for s, e in zip(starts, ends, strict=True)], pa.int64())], schema=_ENCODED)
 
     return encode
 
@@ -199,11 +203,12 @@ def _encoder(path: str, at_once: int):
 def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", at_once: int = 1 << 19) -> DataFrame:
     """Per row doc_id, ids with the end id, and the byte spans (starts, ends) of each piece in the text.
 
+    ``spans_crc32`` is the crc32 of all starts, then all ends, as little-endian unsigned 32-bit integers.
     The end id covers the empty span at the end. A null or empty text is the end id alone. Rows that
     repeat an id stay rows of their own; further columns are left out.
     """
     return texts_of(df, key, text).mapInArrow(
-        _encoder(path, at_once), "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+        _encoder(path, at_once), "doc_id long, ids array<int>, starts array<int>, ends array<int>, spans_crc32 long")
 
 
 def decode(path: str, ids) -> F.Column:

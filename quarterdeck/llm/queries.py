@@ -122,7 +122,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encode(table(spark, sf_dir, "documents"), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
-                        F.sha2(pieces.decode(path, F.col("ids")), 256).alias("decoded_sha256"))
+                        F.sha2(pieces.decode(path, F.col("ids")), 256).alias("decoded_sha256"), "spans_crc32")
 
 
 @query("op9_exact_dedup", r"""
