@@ -1,6 +1,7 @@
 """Personal data: base spans by plain regular expressions, discovery on a fixture, redaction."""
 
 import random
+import re
 
 from quarterdeck.llm import pii
 from tests.llm.brute import personal
@@ -41,10 +42,37 @@ def test_cues_of_seeds_discover_other_identifiers(rows):
     assert found[0] == _base(docs[0][1]) == "card:28:44"
 
 
+def test_unseen_values_do_not_count_against_a_cue(rows):
+    """As many unseen as seeded values behind one cue; words and short numbers behind another count against that."""
+    docs = [(i, f"the account holder {s} ok") for i, s in enumerate(SEEDS)] + [(100 + i, f"the account holder MX-{70000 + i}-Q ok") for i in range(8)]
+    docs += [(200 + i, f"then sent to {s} now") for i, s in enumerate(SEEDS)] + [(300 + i, f"then sent to {w} now") for i, w in enumerate(["him", "her", "us", "12"])]
+    docs += [(400, "then sent to ORD-123456 now"), (401, None), (402, "")]
+    found = {r.doc_id: r.n_found for r in pii.find_personal_data(_frame(rows, docs)).collect()}
+    assert [found[100 + i] for i in range(8)] == [1] * 8 and sum(found.values()) == 8
+
+
+def test_keys_teach_the_label_before_them(rows):
+    docs = [(i, f'uxre token = "{i:x}{"4d44c79e8bf7c55759c4958dd60ed83d"}" re') for i in range(4)] + [(10, 'the TOKEN = "ghp_A1b2C3d4E5f6" x'), (11, 'a plain word 1234567')]
+    docs += [(12, "4d44c79e8bf7c55759c4958dd60ed83d without a label")]
+    found = {r.doc_id: (r.n_found, r.spans) for r in pii.find_personal_data(_frame(rows, docs)).collect()}
+    assert [found[i][0] for i in (0, 1, 2, 3, 10, 11, 12)] == [1, 1, 1, 1, 1, 0, 0]
+    assert found[0][1].startswith("found:14:")
+
+
+def test_planted_secrets_are_found_and_clean_documents_left(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = {(i, m.start(1), m.end(1)) for i, t in text.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    spans = pii.personal_spans(docs).where("kind = 'found'").collect()
+    found = {(r.doc_id, r.start, r.end) for r in spans}
+    assert len(want) >= 5 and len(found & want) >= 0.9 * len(want)
+    assert {i for i, _, _ in found} <= {i for i, _, _ in want}
+
+
 def test_a_second_round_learns_from_what_the_first_found(rows):
     new = [f"QX-{10000 + i}-{i}" for i in range(12)]
     docs = [(i, f"account holder {s} ok") for i, s in enumerate(SEEDS * 2)] + [(100 + i, f"account holder {x} ok") for i, x in enumerate(new[:2])]
-    docs += [(200 + i, f"member code {x} ok") for i, x in enumerate(new[:2] + SEEDS[:6])] + [(300, "member code ZZ-77777-Z ok")]
+    docs += [(200 + i, f"member code {x} ok") for i, x in enumerate(new[:2] + SEEDS[:1])] + [(300, "member code ZZ-77777-Z ok")]
     one = {r.doc_id: r.n_found for r in pii.find_personal_data(_frame(rows, docs), rounds=1, confidence=0.7).collect()}
     two = {r.doc_id: r.n_found for r in pii.find_personal_data(_frame(rows, docs), rounds=3, confidence=0.7).collect()}
     assert one[100] == two[100] == 1 and (one[300], two[300]) == (0, 1)
