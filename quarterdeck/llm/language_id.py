@@ -131,7 +131,7 @@ def identify(records: DataFrame, model: TextModel, threshold: float = 0.5) -> Da
     and key columns; one with the name of a result gives way to it. Missing evidence of one sort leaves the others to decide. A text without
     letters has no language of its own: its lang is ``und`` and it isn't accepted. Nor is one that noise explains
     better than any language, or whose best language stays below ``threshold``. Equal probabilities go to
-    the first language in the alphabet. Repeated rows are judged alike; an empty table gives an empty result.
+    the first language in the alphabet. A model without languages accepts nothing. Repeated rows are judged alike; an empty table gives an empty result.
     """
     size = len(model.langs) + 1
     keys = [c for c in records.columns if c not in ("text", "declared", "host", "suffix", "lang", "probability", "accepted")]
@@ -195,11 +195,11 @@ def page_language(html: Column) -> Column:
 def records_of(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """Documents and pages as records: doc_id or page_id (the other is null), text, declared, host and suffix.
 
-    A document declares its ``lang`` and its source is its host; a page declares what its markup does.
+    A document has no markup and declares nothing; its source is its host. A page declares what its markup does.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     none = F.lit(None).cast("long")
-    records = docs.select(F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id"), F.col("lang").cast("string").alias("declared"),
+    records = docs.select(F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id"), F.lit(None).cast("string").alias("declared"),
                           F.col("source").cast("string").alias("host"), F.lit(None).cast("string").alias("suffix"), text)
     if pages is None:
         return records

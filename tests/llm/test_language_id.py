@@ -45,6 +45,48 @@ def test_declaration_and_host_decide_where_the_text_cannot(rows, model):
     assert [found[60 + i].lang for i in range(5)] == ["en", "de", "de", "en", "de"]
 
 
+def _plain(records, model):
+    """(probabilities) by plain arithmetic over all rows."""
+    def softmax(logs):
+        raw = np.exp(logs - logs.max())
+        return raw / raw.sum()
+
+    size = len(model.langs) + 1
+    logs = [model.table[:, L.trigrams((t or "").encode())].astype(float).sum(axis=1) * L.TEMPER for t, *_ in records]
+    votes = [softmax(x) if len(L.trigrams((r[0] or "").encode())) else np.zeros(size) for x, r in zip(logs, records, strict=True)]
+    where = [((r[3] or ""), (r[2] or "")) for r in records]
+    told = [(r[1] or "").strip().lower() for r in records]
+    whole = sum(votes)
+    share = (whole + 1) / (whole.sum() + size)
+    out = []
+    for i, (suffix, host) in enumerate(where):
+        of_suffix = sum(v for v, w in zip(votes, where, strict=True) if w[0] == suffix)
+        prior = (of_suffix + L.SUFFIX_STRENGTH * share) / (of_suffix.sum() + L.SUFFIX_STRENGTH)
+        others = np.maximum(sum(v for v, w in zip(votes, where, strict=True) if w == (suffix, host)) - votes[i], 0)
+        fused = logs[i] + np.log((others + L.HOST_STRENGTH * prior) / (others.sum() + L.HOST_STRENGTH))
+        if told[i]:
+            same = sum(v for v, d in zip(votes, told, strict=True) if d == told[i])
+            fused = fused + np.log((same + L.DECLARED_STRENGTH) / (whole + L.DECLARED_STRENGTH * len(set(told))))
+        out.append(softmax(fused).max())
+    return out
+
+
+def test_fusion_against_plain_arithmetic(rows, model):
+    words = ["the", "of", "and", "der", "und", "ver", "que", "les", "xi", "tion", "12"]
+    rnd = np.random.default_rng(4)
+    data = [(" ".join(rnd.choice(words, rnd.integers(0, 6))), [None, "en", "DE ", "fr"][rnd.integers(4)],
+             *[(None, None), ("a.x.com", "com"), ("b.x.com", "com"), ("c.y.de", "de")][rnd.integers(4)]) for _ in range(120)]
+    found = L.identify(_records(rows, *data), model).orderBy("id").collect()
+    assert np.allclose([r.probability for r in found], _plain(data, model), rtol=1e-6)
+
+
+def test_documents_declare_nothing(rows, model):
+    """A wrong label changes no verdict."""
+    docs = rows("doc_id long, text string, lang string, source string", [(i, "the tion and of the that er in the on", x, "s") for i, x in enumerate(["en", "de", None])])
+    found = L.identify(L.records_of(docs), model).collect()
+    assert {r.lang for r in found} == {"en"} and len({r.probability for r in found}) == 1
+
+
 def test_odd_rows(rows, model):
     noise = "zq9xkv" * 3 + "Qx Zk Wv Jq Xz Kq Vx Zj Qk Wx" * 40
     long = "the tion and of the that er in the on " * 20_000
