@@ -124,10 +124,11 @@ def keep_bitmaps(df: DataFrame, min_chars: int = 10, key: str = "doc_id", text:
 
 def _apply(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, lines, dropped = [], [], []
+        texts, lines, dropped, sizes = [], [], [], []
         for text, keep in zip(utf8(batch, "text"), batch.column("keep").to_pylist(), strict=True):
             lines.append(text.count(b"\n") + 1)
             dropped.append(0)
+            sizes.append(len(text))
             if keep is not None:
                 bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), bitorder="little")
                 stay = np.ones(max(lines[-1], len(bits)), np.uint8)
@@ -136,18 +137,18 @@ def _apply(batches) -> Iterator[pa.RecordBatch]:
                 dropped[-1] = lines[-1] - int(stay[:lines[-1]].sum())
             texts.append(text)
         yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()),
-                                          pa.array(dropped, pa.int64())], names=["rest", "text", "n_lines", "n_dropped"])
+                                          pa.array(dropped, pa.int64()), pa.array(sizes, pa.int64())], names=["rest", "text", "n_lines", "n_dropped", "size"])
 
 
 def _applied(df: DataFrame, min_chars: int, key: str, text: str) -> DataFrame:
-    """rest (a struct of the other columns), text, n_lines, n_dropped."""
+    """rest (a struct of the other columns), text, n_lines, n_dropped, size (bytes before)."""
     bitmaps = _keep_bitmaps(_documents(df, key, text), min_chars).select("doc", "body", "keep")
     own = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text])
     rows = df.select(rest.alias("rest"), own.alias("text"), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(own).alias("body"))
     joined = rows.join(bitmaps, ["doc", "body"], "left").select("rest", "text", "keep")
     return joined.mapInArrow(_apply, T.StructType([joined.schema["rest"], joined.schema["text"], *(
-        T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped"))]))
+        T.StructField(c, T.LongType()) for c in ("n_lines", "n_dropped", "size"))]))
 
 
 def drop_repeated_lines(df: DataFrame, min_chars: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,7 +162,10 @@ def drop_repeated_lines(df: DataFrame, min_chars: int = 10, key: str = "doc_id",
     return kept.select("rest.doc_id", "text", "n_lines", "n_dropped")
 
 
-def without_repeated_lines(df: DataFrame, min_chars: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with all its columns, the lines that go taken out of ``text``; a null text becomes empty."""
-    kept = _applied(df, min_chars, key, text)
+def without_repeated_lines(df: DataFrame, min_chars: int = 10, key: str = "doc_id", text: str = "text", least_left: float = 0.0) -> DataFrame:
+    """``df`` with all its columns, the lines that go taken out of ``text``; a null text becomes empty.
+
+    Rows that lose lines and keep less than ``least_left`` of their bytes go as well; 0 keeps all rows.
+    """
+    kept = _applied(df, min_chars, key, text).where((F.col("n_dropped") == 0) | (F.octet_length("text") >= F.col("size") * least_left))
     return kept.select(*[F.col("text").alias(text) if c == text else F.col(f"rest.`{c}`") for c in df.columns])
