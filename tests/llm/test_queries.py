@@ -102,7 +102,8 @@ def test_pipeline(spark, tmp_path):
     frame.unionAll(more).write.parquet(str(tmp_path / "documents.parquet"))
     # plain versions, one stage after the other; two documents have no letters
     kept = [d for d in docs + extra if d[0] not in (10_000, 10_001)]
-    lines = {i: text for i, (_, _, text) in kept_lines(kept).items()}
+    before = {i: len((t or "").encode()) for i, t in kept}
+    lines = {i: text for i, (_, gone, text) in kept_lines(kept).items() if not gone or len(text.encode()) >= corpus_pipeline.LEAST_LEFT * before[i]}
     near = {i: c for i, _, c in near_components(list(lines.items()))}
     texts = {i: lines[i] for i, c in near.items() if i == c}
     for ident, text in texts.items():
@@ -117,6 +118,22 @@ def test_pipeline(spark, tmp_path):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in found) == sorted(want)
 
 
+def test_documents_without_labels_are_not_deleted(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.keep_languages(spark, docs, DATA).count() == docs.count()
+
+
+def test_near_duplicates_of_the_raw_table_leave(spark):
+    """Nine tenths of the documents that resemble a smaller id in the raw table go in one of the stages."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    gone = {r.doc_id for r in QUERIES["op4_ngram_join"](spark, folder).where("component_id <> doc_id").collect()}
+    left = corpus_pipeline.drop_near_duplicates(spark, corpus_pipeline.drop_lines(spark, docs, folder), folder)
+    stay = {r.doc_id for r in left.select("doc_id").collect()}
+    print("raw near duplicates", len(gone), "that stay", len(gone & stay), "others that go", docs.count() - len(stay | gone))
+    assert len(gone & stay) <= 0.1 * len(gone)
+
+
 def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
