@@ -7,9 +7,11 @@ scored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -19,6 +21,10 @@ from pyspark.sql import functions as F
 from quarterdeck.operators.aggregate import regression_metrics
 from quarterdeck.operators.folds import shuffled_folds, time_series_split
 from quarterdeck.panel import column
+from quarterdeck.session import pin
+
+#: Fits of a search that run at a time: one alone leaves most of a cluster idle between its small jobs.
+FITS_AT_ONCE = 4
 
 # What a null feature becomes, and the default learner settings.
 MISSING = -1e18
@@ -163,23 +169,36 @@ def expanding_backtest(df: DataFrame, label: str, features: Sequence[str], year:
     return out
 
 
-def _mean_error(folds: DataFrame, n: int, label: str, make, features: Sequence[str]) -> float:
-    """Mean squared test error over expanding folds."""
-    total = 0.0
-    for f in range(n):
-        fit = _fit(make(), folds.where(F.col("fold") < f), folds.where(F.col("fold") == f), label, features)
-        total += fit.rmse() ** 2
-    return total / n
+def at_once(jobs: Sequence[Callable], limit: int = FITS_AT_ONCE) -> list:
+    """The results of the jobs in their order; up to ``limit`` of them wait for Spark at a time."""
+    with ThreadPoolExecutor(limit) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
+def _assembled(folds: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+    """fold, label and the features as one vector, written once and read by every fit."""
+    ready = _ready(folds.where(column(label).isNotNull()), features, ())
+    wide = _stages(features, ())[0].transform(ready)
+    return pin(wide.select("fold", column(label).cast("double").alias(label), "_features"), "folds")
 
 
 def grid_search(train: DataFrame, test: DataFrame, label: str, features: Sequence[str], order: list[str],
                 grid: dict[str, object], n_splits: int) -> tuple[str, Forecast, DataFrame]:
     """Try every learner of ``grid`` on expanding folds and refit the best.
 
-    Returns its name, its forecast, and the scores as rows (setting, mse).
+    Returns its name, its forecast, and the scores as rows (setting, mse). The features are assembled once, and
+    fits of different folds and settings run side by side.
     """
-    folds = time_series_split(train.where(column(label).isNotNull()), order, n_splits)
-    scores = {name: _mean_error(folds, n_splits, label, make, features) for name, make in grid.items()}
+    folds = _assembled(time_series_split(train.where(column(label).isNotNull()), order, n_splits), label, features)
+    error = F.pow(column(label) - column(f"pred_{label}"), F.lit(2.0))
+
+    def squared_error(make, fold):
+        model = make().fit(folds.where(F.col("fold") < fold))
+        return model.transform(folds.where(F.col("fold") == fold)).agg(F.avg(error)).first()[0]
+
+    tried = [(name, fold) for name in grid for fold in range(n_splits)]
+    errors = at_once([lambda name=name, fold=fold: squared_error(grid[name], fold) for name, fold in tried])
+    scores = {name: sum(e for (n, _), e in zip(tried, errors, strict=True) if n == name) / n_splits for name in grid}
     best = min(scores, key=scores.get)
     table = train.sparkSession.createDataFrame(list(scores.items()), "setting string, mse double")
     return best, _fit(grid[best](), train, test, label, features), table
@@ -213,31 +232,46 @@ def grid_search_boosted(train: DataFrame, test: DataFrame, label: str, features:
     return grid_search(train, test, label, features, order, grid, n_splits)
 
 
+def _stop(curve: Sequence[float], patience: int) -> tuple[int, bool]:
+    """The place of the least error before it fails to improve ``patience`` times, and whether it came to that."""
+    best = 0
+    for i, error in enumerate(curve):
+        if error < curve[best]:
+            best = i
+        elif i - best >= patience:
+            return best, True
+    return best, False
+
+
 def boosted_cv_rounds(train: DataFrame, test: DataFrame, label: str, features: Sequence[str], keys: list[str],
                       n_folds: int = 5, patience: int = 50,
                       settings: Booster = Booster(rounds=SEARCH_ROUNDS)) -> tuple[int, Forecast, DataFrame]:
     """Choose the number of rounds by cross-validation over shuffled folds, then refit.
 
     One model per fold is scored after each of its rounds. The rounds kept are
-    those with the least mean error before it fails to improve ``patience`` times.
+    those with the least mean error before it fails to improve ``patience`` times. Fitting stops early: models of
+    2 * ``patience`` rounds are fitted first, side by side, and twice as many as long as the error hasn't stopped
+    improving. A model's first rounds are the same however many follow, so the choice is that of the full
+    ``settings.rounds``, for at most four times the rounds needed. The table holds (rounds, mse, fitted): the curve up to where
+    it stopped, and how many rounds the last models had.
     """
-    folds = shuffled_folds(train.where(column(label).isNotNull()), keys, n_folds)
-    curves = []
-    for f in range(n_folds):
-        fit = _fit(settings.learner(label), folds.where(F.col("fold") != f), folds.limit(0), label, features)
-        held = _ready(folds.where(F.col("fold") == f), features, [])
-        held = PipelineModel(fit.model.stages[:-1]).transform(held).withColumn(label, column(label).cast("double"))
-        curves.append(fit.model.stages[-1].evaluateEachIteration(held, "squared"))
-    mean = [sum(c[i] for c in curves) / n_folds for i in range(min(map(len, curves)))]
-    best = 0
-    for i, error in enumerate(mean):
-        if error < mean[best]:
-            best = i
-        elif i - best >= patience:
+    folds = _assembled(shuffled_folds(train.where(column(label).isNotNull()), keys, n_folds), label, features)
+
+    def curve(fold: int, rounds: int) -> list[float]:
+        model = replace(settings, rounds=rounds).learner(label).fit(folds.where(F.col("fold") != fold))
+        return model.evaluateEachIteration(folds.where(F.col("fold") == fold), "squared")
+
+    fitted = min(settings.rounds, 2 * patience)
+    while True:
+        curves = at_once([lambda fold=fold: curve(fold, fitted) for fold in range(n_folds)])
+        mean = [sum(errors) / n_folds for errors in zip(*curves, strict=True)]
+        best, stopped = _stop(mean, patience)
+        if stopped or fitted == settings.rounds:
             break
-    chosen = Booster(**{**settings.__dict__, "rounds": best + 1})
-    table = train.sparkSession.createDataFrame([(i + 1, e) for i, e in enumerate(mean)], "rounds int, mse double")
-    return best + 1, boosted_forecast(train, test, label, features, (), chosen), table
+        fitted = min(settings.rounds, 2 * fitted)
+    read = mean[:best + patience + 1] if stopped else mean
+    table = train.sparkSession.createDataFrame([(i + 1, e, fitted) for i, e in enumerate(read)], "rounds int, mse double, fitted int")
+    return best + 1, boosted_forecast(train, test, label, features, (), replace(settings, rounds=best + 1)), table
 
 
 def time_series_cv_score(train: DataFrame, test: DataFrame, label: str, features: Sequence[str],

@@ -195,16 +195,15 @@ def _(t):
 @query("grid_search_boosted")
 def _(t):
     train, test = _parts(t)
-    best, fit, table = forecast.grid_search_boosted(train, test, "sales_lag1", FEATURES, ORDER, (0.7, 0.9), (0.9,),
-                                                    n_splits=2, rounds=2)
+    best, fit, table = forecast.grid_search_boosted(train, test, "sales_lag1", FEATURES, ORDER, rounds=10)
     return _with_refit(table, F.col("setting") == best, fit)
 
 
 @query("boosted_cv_rounds")
 def _(t):
     train, test = _parts(t)
-    best, fit, table = forecast.boosted_cv_rounds(train, test, "sales_lag1", FEATURES, KEYS, n_folds=3, patience=2,
-                                                  settings=SMALL)
+    best, fit, table = forecast.boosted_cv_rounds(train, test, "sales_lag1", FEATURES, KEYS,
+                                                  settings=forecast.Booster(rounds=forecast.SEARCH_ROUNDS, learning_rate=0.1))
     return _with_refit(table, F.col("rounds") == best, fit)
 
 

@@ -115,7 +115,7 @@ def test_greedy_lasso_equals_refitting_on_the_rows(spark):
     assert selection.forward_select_lasso(df, "y", names, 3, ["i"]) == [names[j] for j in sorted(chosen)]
 
 
-RUN = ["search_feature_count", "grid_search_forest", "boosted_cv_rounds", "select_and_forecast"]
+RUN = ["search_feature_count", "grid_search_forest", "select_and_forecast"]
 FULL = ["hist_boosted_forecast", "expanding_backtest", "time_series_cv_score"]
 MODEL_QUERIES = ["rank_features", "search_feature_count", "forecast_targets", "boosted_forecast", "grid_search_forest",
                  "boosted_cv_rounds", "forward_select_lasso", "select_and_forecast", *FULL]
@@ -134,6 +134,27 @@ def test_searches_score_their_refit(spark):
     assert all(r["test_rmse"] is None and r["test_r2"] is None for r in rows if not r["chosen"])
 
 
+def test_fitting_stops_early_where_the_whole_curve_would(frame):
+    train, test = frame.where("yr < 2017").withColumn("y", F.col("a")), frame.where("yr >= 2017").withColumn("y", F.col("a"))
+    settings = forecast.Booster(rounds=24, depth=2, learning_rate=0.5)
+    args = (train, test, "y_lag1", ["a", "b"], ["entity", "yr", "qtr"])
+    _, _, whole = forecast.boosted_cv_rounds(*args, n_folds=2, patience=100, settings=settings)
+    curve = [r["mse"] for r in whole.orderBy("rounds").collect()]
+    assert len(curve) == 24
+    best, stopped = forecast._stop(curve, 2)
+    rounds, fit, early = forecast.boosted_cv_rounds(*args, n_folds=2, patience=2, settings=settings)
+    found = early.orderBy("rounds").collect()
+    assert rounds == best + 1 == fit.model.stages[-1].getNumTrees
+    assert [r["mse"] for r in found] == pytest.approx(curve[:best + 3] if stopped else curve, rel=1e-9)
+    assert len(found) <= found[0]["fitted"] <= 24
+
+
+def test_fits_side_by_side_keep_their_order_and_errors():
+    assert forecast.at_once([lambda i=i: i * i for i in range(20)]) == [i * i for i in range(20)]
+    with pytest.raises(ZeroDivisionError):
+        forecast.at_once([lambda: 1, lambda: 1 / 0])
+
+
 def test_the_full_histogram_forecast_beats_the_mean_in_training(spark):
     parts = {r["part"]: r for r in QUERIES["hist_boosted_forecast"](spark, DATA).collect()}
     assert set(parts) == {"train", "test"} and all(r["n"] > 0 and r["rmse"] > 0 for r in parts.values())

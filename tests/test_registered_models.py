@@ -46,3 +46,8 @@ DEFAULTS = {"rank_features": (forecast, "rank_features"), "search_feature_count"
 def test_default_rounds_and_counts(name, spark, monkeypatch):
     given = _arguments(name, *DEFAULTS[name], spark, monkeypatch)
     assert not {"settings", "ranking", "first", "step", "trees", "n_splits"} & set(given)
+
+
+def test_rounds_are_searched_with_default_folds_and_patience(spark, monkeypatch):
+    given = _arguments("boosted_cv_rounds", forecast, "boosted_cv_rounds", spark, monkeypatch)
+    assert not {"n_folds", "patience"} & set(given) and given["settings"].rounds == forecast.SEARCH_ROUNDS
