@@ -62,6 +62,45 @@ def read_csv_typed(spark: SparkSession, path, schema: StructType, skip: int = 0,
     return kept.select(*[typed[n].alias(n) for n in names])
 
 
+#: Forms of numbers and dates as text (18 digits fit 64 bits).
+WHOLE = r"^[+-]?[0-9]{1,18}$"
+DECIMAL = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]{1,3})?$"
+DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def infer_types(df: DataFrame, cols: list[str] | None = None, misfits: float = 0.0) -> DataFrame:
+    """name, n, n_null, n_whole, n_decimal, n_date, type: what the text columns hold, one row a column.
+
+    All cells are judged, in one pass of an aggregate that combines on the map side; its plan doesn't grow with the
+    columns. Empty and blank cells count as null, spaces around a cell don't matter, every whole number is a decimal as
+    well. ``type`` is the narrowest of bigint, double and date that all cells but a share of ``misfits`` have the form of,
+    and string for others and for columns without a value.
+    """
+    cols = list(cols or df.columns)
+    cells = df.select(F.posexplode(F.array(*[F.trim(column(c).cast("string")) for c in cols])).alias("_at", "_x"))
+    x = F.nullif("_x", F.lit(""))
+    count = lambda form: F.coalesce(F.count_if(form), F.lit(0))
+    found = cells.groupBy("_at").agg(
+        F.count(F.lit(1)).alias("n"), count(x.isNull()).alias("n_null"), count(x.rlike(WHOLE)).alias("n_whole"), count(x.rlike(DECIMAL)).alias("n_decimal"),
+        count(x.rlike(DAY) & x.try_cast("date").isNotNull()).alias("n_date"))
+    held = F.col("n") - F.col("n_null")
+    fits = lambda kind: (held > 0) & (held - F.col(kind) <= held * F.lit(float(misfits)))
+    kind = F.when(fits("n_whole"), "bigint").when(fits("n_decimal"), "double").when(fits("n_date"), "date").otherwise("string")
+    names = F.array(*[F.lit(c) for c in cols])
+    return found.select(F.get(names, F.col("_at")).alias("name"), "n", "n_null", "n_whole", "n_decimal", "n_date", kind.alias("type"))
+
+
+def read_csv_inferred(spark: SparkSession, path, misfits: float = 0.0) -> DataFrame:
+    """CSV files whose types are found from all their cells; cells that don't fit their column's type are null.
+
+    Files must share their header. Without rows, all columns are text.
+    """
+    text = spark.read.option("header", True).csv(path)
+    # one row per column: bounded by the width of the file
+    types = {r["name"]: r["type"] for r in infer_types(text, misfits=misfits).collect()}
+    return text.select(*[column(c) if types.get(c, "string") == "string" else F.trim(column(c)).try_cast(types[c]).alias(c) for c in text.columns])
+
+
 def read_sheet_set(spark: SparkSession, folder: str, sheets: dict[str, StructType],
                    skip: int = 0, misfits: str = "null") -> dict[str, DataFrame]:
     """One frame per sheet of a workbook exported as ``folder/<sheet>`` CSV files.
@@ -99,6 +138,22 @@ def write_dataset(df: DataFrame, path: str, partition_by: list[str] | None = Non
     return path
 
 
+def write_bucketed(df: DataFrame, table: str, entity: list[str], order: list[str], buckets: int, path: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in ``buckets`` by entity, sorted by the order columns within one, and read it back.
+
+    Windows, groupings and joins by the entity then need no exchange, whatever reads the table, and with
+    ``spark.sql.requireAllClusterKeysForCoPartition`` off joins by entity and period don't either. Each bucket is written
+    by one task as one file, so choose as many as the panel's size asks for: an entity of a panel is bounded by the calendar, but
+    a key that holds a large share of unbounded rows would make one bucket large. ``path`` places the files outside the warehouse.
+    """
+    rows = df.repartition(buckets, *[column(e) for e in entity])
+    out = rows.write.format("parquet").bucketBy(buckets, *entity).sortBy(*entity, *order)
+    if path:
+        out = out.option("path", path)
+    out.saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def drop_suffixed_columns(df: DataFrame, regex: str = r"\.\d+$") -> DataFrame:
     """Drop columns whose name matches, such as repeats of a header: ``a.1``."""
     return df.select(*[column(c) for c in df.columns if not re.search(regex, c)])

@@ -1,11 +1,15 @@
 """Imputation and the split into training and test rows."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarterdeck.operators import impute
 from quarterdeck.operators.ar1 import impute_ar1
 from quarterdeck.operators.reshape import union_rows
 from quarterdeck.panel import PanelSpec
+from quarterdeck.session import scratch_path
+from quarterdeck.sources.tables import write_bucketed
 from registry.book import query, rounded
 
 PANEL = PanelSpec.of("entity", ("yr", "qtr"))
@@ -125,6 +129,47 @@ def _(t):
     return rounded(impute.impute_panel(p, PANEL, ["gappy", "sales"]), "gappy", digits=3)
 
 
+WIDE = 200
+#: Keeps sums of cells away from the halves that rounding could take either way.
+SCALE = 0.6180339887
+
+
+@query("impute_wide", f"""
+WITH spread AS (SELECT entity * 10 + p AS ep, entity, p, yr, qtr, sales,
+                       CASE WHEN (yr * 4 + qtr + p) % 10 < p THEN NULL ELSE CAST(gappy AS DOUBLE) END AS x
+                FROM fx_cents, (SELECT unnest(range(10)) AS p) AS r),
+{fill_sql("spread", "x", "ep")}
+SELECT entity, yr, qtr, any_value(sales) AS sales, CAST(count(y) * {WIDE // 10} AS BIGINT) AS n,
+       round({SCALE} * sum({WIDE // 10} * y + {WIDE // 10} * p + {sum(range(0, WIDE, 10))}), 3) AS total,
+       round({SCALE} * max(CASE WHEN p = 3 THEN y + 13 END), 3) AS m13
+FROM filled GROUP BY entity, yr, qtr""", "fx_cents")
+def _(t):
+    """Hundreds of measures of a panel filled at once, with gaps of different kinds, and summed up by key."""
+    def measure(i):
+        gap = (F.col("yr") * 4 + F.col("qtr") + i % 10) % 10 < i % 10
+        return F.when(~gap, F.col("gappy") + i).alias(f"m{i}")
+
+    names = [f"m{i}" for i in range(WIDE)]
+    panel = t.fx_cents.select("entity", "yr", "qtr", "sales", *map(measure, range(WIDE)))
+    wide = impute.impute_wide(panel, PANEL, names)
+    values = F.array_compact(F.array(*names))
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+    wide = wide.select("entity", "yr", "qtr", "sales", F.size(values).cast("long").alias("n"),
+                       F.when(F.size(values) > 0, total * SCALE).alias("total"), (F.col("m13") * SCALE).alias("m13"))
+    return rounded(wide, "total", "m13", digits=3)
+
+
+@query("impute_bucketed", f"""
+WITH {fill_sql('fx_cents', 'gappy')} SELECT entity, yr, qtr, round(y, 3) AS gappy, sales FROM filled""",
+       "fx_cents")
+def _(t):
+    """The same fills on a table that is written by entity, which needs no exchange any more."""
+    name = f"panel_{uuid.uuid4().hex}"
+    table = write_bucketed(t.fx_cents.select("entity", "yr", "qtr", "gappy", "sales"), name, ["entity"], ["yr", "qtr"], 8,
+                           scratch_path(t.spark, "bucketed"))
+    return rounded(impute.impute_panel(table, PANEL, ["gappy", "sales"]), "gappy", digits=3)
+
+
 @query("impute_events", f"""
 WITH gapped AS (SELECT event_id, user_id, ts, CASE WHEN event_id * 7919 % 11 >= 4 AND event_id % 400 > 30 THEN value END AS x FROM events),
 {fill_sql("gapped", "x", "user_id", "ts, event_id")} SELECT event_id, round(y, 6) AS x FROM filled""")

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +201,22 @@ def test_series_of_any_length_are_filled_as_panels(rows):
     for one, two in zip(sorted(want, key=key), sorted(found.collect(), key=key), strict=True):
         assert one[:2] == two[:2]
         assert all(x is y if x is None else x == pytest.approx(y, rel=1e-9, abs=1e-9) for x, y in zip(one[2:], two[2:], strict=True))
+
+
+def test_wide_panels_are_filled_like_narrow_ones(rows):
+    rnd = random.Random(4)
+    data = [(e, i, f"s{e}", *[rnd.choice([None, None, round(rnd.uniform(-5, 5), 2)]) for _ in range(6)]) for e in (1, 2, None) for i in range(12)]
+    names = [f"m{n}" for n in range(6)]
+    df = rows("e int, i int, note string, " + ", ".join(f"`{n}` double" for n in names), data).select("note", *[f"`{n}`" for n in names], "i", "e")
+    spec = PanelSpec.of("e", "i")
+    wide = impute.impute_wide(df, spec, names)
+    assert wide.columns == df.columns
+    key = lambda r: (r["e"] is None, r["e"] or 0, r["i"])
+    for one, two in zip(sorted(impute.impute_panel(df, spec, names).collect(), key=key), sorted(wide.collect(), key=key), strict=True):
+        assert one["note"] == two["note"]
+        assert all(two[n] is None if one[n] is None else two[n] == pytest.approx(one[n], rel=1e-9, abs=1e-9) for n in names)
+    lines = lambda cols: impute.impute_wide(df, spec, cols)._jdf.queryExecution().executedPlan().toString().count("\n")
+    assert lines(names) == lines(names[:2])
+    with pytest.raises(Exception, match="key twice"):
+        impute.impute_wide(df.unionAll(df), spec, names).collect()
+    assert impute.impute_wide(df.where("false"), spec, names).collect() == []
