@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterdeck.operators.ordered import POSITION, global_position
@@ -15,6 +15,8 @@ STATISTICS = ("mean", "median", "min", "max", "std", "q1", "q3")
 QUARTILES = (0.25, 0.5, 0.75)
 # values of one group that a task may hold for the built-in percentile
 GROUP_LIMIT = 2_000_000
+# size of the quantile sketches of stored states: a few kilobytes a group, a rank error below 1 %
+SKETCH = 800
 
 
 def group_quantiles(df: DataFrame, by: list[str], col: str, probs=QUARTILES,
@@ -127,6 +129,41 @@ def group_statistics(df: DataFrame, cols: list[str], groups: list[str], period:
     return df
 
 
+def statistic_states(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """by, measure, n, mean, m2, low, high, sketch: what ``merge_states`` needs of a part of the rows.
+
+    One row per group and measure, to be stored beside the data; when a quarter arrives only its own states are made.
+    ``m2`` is the sum of squares around the mean, ``sketch`` a quantile sketch of bounded size. Null measures don't count.
+    """
+    long = df.select(*[column(b) for b in by], F.explode(F.array(*[
+        F.struct(F.lit(c).alias("measure"), column(c).cast("double").alias("x")) for c in cols])).alias("_cell")).where("_cell.x IS NOT NULL")
+    x = F.col("_cell.x")
+    return long.groupBy(*[column(b) for b in by], F.col("_cell.measure").alias("measure")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(F.lit(1))).alias("m2"), F.min(x).alias("low"), F.max(x).alias("high"),
+        F.kll_sketch_agg_double(x, F.lit(SKETCH)).alias("sketch"))
+
+
+def merge_states(states: DataFrame, by: list[str]) -> DataFrame:
+    """The states of all rows from those of their parts, which may be any number for a group."""
+    group = [column(b) for b in [*by, "measure"]]
+    parts = Window.partitionBy(*group)
+    mean = F.sum(F.col("n") * F.col("mean")).over(parts) / F.sum("n").over(parts)
+    apart = F.col("n") * F.pow(F.col("mean") - F.col("_mean"), F.lit(2.0))
+    return states.withColumn("_mean", mean).groupBy(*group).agg(
+        F.sum("n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + apart).alias("m2"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def statistics_of(states: DataFrame, by: list[str]) -> DataFrame:
+    """by, measure, n and the statistics of ``group_statistics``; quartiles are those of the sketch, whose rank
+    is off by less than 1 % of a group's rows, all else is exact."""
+    at = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(q) for q in QUARTILES]))
+    out = states.withColumn("_q", at)
+    return out.select(*[column(b) for b in by], "measure", "n", "mean", "low", "high",
+                      F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).alias("std"),
+                      *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(("q1", "median", "q3"))])
+
+
 def period_total(df: DataFrame, cols: list[str], period: list[str],
                  suffix: str = "_industry_sum") -> DataFrame:
     """Sum over all entities of the period, on every row; 0 where all are missing."""

@@ -560,6 +560,25 @@ def _(t):
                                                       group_limit=10))
 
 
+@query("group_statistics_merged", """
+WITH v AS (SELECT CAST(year(l_shipdate) AS INT) AS yr, l_returnflag, 'l_quantity' AS measure, CAST(l_quantity AS DOUBLE) AS x FROM lineitem
+  UNION ALL SELECT CAST(year(l_shipdate) AS INT), l_returnflag, 'l_extendedprice', CAST(l_extendedprice AS DOUBLE) FROM lineitem)
+SELECT yr, l_returnflag, measure, count(x) AS n, round(avg(x), 6) AS mean, round(stddev_samp(x), 5) AS std, min(x) AS low, max(x) AS high, true AS close
+FROM v GROUP BY yr, l_returnflag, measure""")
+def _(t):
+    """States of the lines that came first and of those that came later, merged; ``close`` tells whether the quartiles' ranks are within 1 %."""
+    by, cols = ["yr", "l_returnflag"], ["l_quantity", "l_extendedprice"]
+    lines = t.lineitem.select(F.year("l_shipdate").alias("yr"), "l_returnflag", "l_linenumber", *cols)
+    states = [crosssection.statistic_states(lines.where(part), cols, by) for part in ("l_linenumber <= 3", "l_linenumber > 3")]
+    found = pin(crosssection.statistics_of(crosssection.merge_states(states[0].unionByName(states[1]), by), by), "merged")
+    long = lines.unpivot(by, cols, "measure", "x").join(found, [*by, "measure"])
+    near = [(F.avg((F.col("x") < F.col(c)).cast("double")) <= p + 0.01) & (F.avg((F.col("x") <= F.col(c)).cast("double")) >= p - 0.01)
+            for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+    close = long.groupBy(*by, "measure").agg((near[0] & near[1] & near[2]).alias("close"))
+    out = found.join(close, [*by, "measure"]).select(*by, "measure", "n", F.round("mean", 6).alias("mean"), F.round("std", 5).alias("std"), "low", "high", "close")
+    return out
+
+
 @query("group_quantiles_by_narrowing", """
 SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1,
        round(quantile_cont(l_extendedprice, 0.5), 4) AS median, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3
