@@ -1,14 +1,19 @@
 """Personal data: fixed patterns, and identifiers found through the words before them.
 
-Everything here is a DataFrame plan. The fixed patterns give the base spans. They seed a
-graph of cues (the two words before an occurrence) and instances (the string itself), which
-also holds every other string that looks like an identifier. A cue scores by the weight
-of the instances it precedes, an instance by the cues that precede it, round after round;
-the instances that strong cues vouch for are personal data as well.
+Everything here is a DataFrame plan. The fixed patterns give the base spans. With strings that can only be
+keys (32 or more hexadecimal digits) they seed a graph of cues and instances (the string itself), which
+also holds every other string that looks like an identifier. A cue is a label (a word and the signs behind it, such
+as ``token = "``) or else the two words before an occurrence. A cue scores
+by the weight of the instances it precedes, an instance by the cues that precede it, round after round;
+the instances that strong cues vouch for are personal data as well. Instances that nobody knows yet don't count
+against a label: what does are the strings behind it, anywhere in the corpus, that are known to be no
+identifiers. What else follows two words isn't looked up, so there unknown instances count against them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +34,12 @@ BASE = ["email", "ip", "card", "phone"]
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: Characters before an occurrence that are looked at for its cue.
 REACH = 48
+#: A key: no word, number or date has this form.
+KEY = r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}$"
+#: A label, shorter than what is looked at, and what may follow one.
+SIGNS = ["=", ":", "#"]
+LABEL = r"(?<!\p{L})(\p{L}{1,30}+\s{0,8}+[" + "".join(SIGNS) + r"][^\p{L}\p{N}]{0,8}+)"
+FOLLOWED = LABEL + r"(?=([\p{L}\p{N}]\S{0,63}))"
 
 
 def _digits(value: Column) -> Column:
@@ -66,6 +77,11 @@ def _may_hold(text: Column) -> Column:
     return F.contains(text, F.lit("@")) | text.rlike("[0-9]")
 
 
+def _cue(text: Column) -> Column:
+    """A cue as the graph knows it: in lower case, with single spaces."""
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, body, kind, start, end, value, cue of every valid match, in code points."""
     text = F.col("text")
@@ -91,7 +107,8 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         ["doc_id", "body", "kind_no", "place"])
     before = Window.partitionBy("doc_id", "body", "kind_no").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("value")
-    cue = F.lower(F.regexp_extract("tail", r"((?:\S+\s+)?\S+)\s*$", 1))
+    label, words = F.regexp_extract("tail", LABEL + "$", 1), F.regexp_extract("tail", r"((?:\S+\s+)?\S+)\s*$", 1)
+    cue = _cue(F.when(label != "", label).otherwise(words))
     placed = each.withColumn("end", F.sum(F.col("gap") + size).over(before)).withColumn("start", F.col("end") - size)
     return placed.where(_valid(F.col("kind"), F.col("value"))).select(
         "doc_id", "body", "kind_no", "kind", "start", "end", F.lower("value").alias("value"), F.nullif(cue, F.lit("")).alias("cue"))
@@ -108,22 +125,38 @@ def _apart(occurrences: DataFrame) -> DataFrame:
     return occurrences.withColumn("clear", base | clear).where("clear").drop("clear")
 
 
-def _discovered(occurrences: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
+def _against(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """cue, against: how many different strings follow a label that are known to be no identifiers."""
+    text = F.col("text")
+    possible = reduce(lambda a, b: a | b, [F.contains(text, F.lit(sign)) for sign in SIGNS])
+    each = lambda group: F.regexp_extract_all(text, F.lit(FOLLOWED), F.lit(group))
+    pairs = docs.where(possible).select(F.explode(F.arrays_zip(each(1).alias("cue"), each(2).alias("value"))).alias("pair"))
+    met = pairs.select(_cue(F.col("pair.cue")).alias("cue"), F.lower("pair.value").alias("value")).join(labels, "cue", "left_semi")
+    plain = ~F.contains("value", F.lit("@")) & (_digits(F.col("value")) < 4)
+    return met.where(plain).groupBy("cue").agg(F.count_distinct("value").alias("against"))
+
+
+def _discovered(docs: DataFrame, occurrences: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
     """The values, one row each, that strong cues vouch for."""
-    edges = pin(occurrences.where("cue IS NOT NULL").groupBy("cue", "value").agg(
-        F.max((F.col("kind") != "found").cast("double")).alias("seed")), "cues")
-    weights = edges.where("seed = 1").select("value", F.lit(1.0).alias("weight")).distinct()
-    known = None
+    seed = (F.col("kind") != "found") | F.col("value").rlike(KEY)
+    edges = pin(occurrences.where("cue IS NOT NULL").groupBy("cue", "value").agg(F.max(seed.cast("double")).alias("seed")), "cues")
+    label = F.col("cue").rlike(LABEL + "$")
+    # a label needs support, and every value that could ever back it is an edge
+    labels = pin(edges.where(label).groupBy("cue").agg(F.count("*").alias("n")).where(F.col("n") >= support).select("cue"), "labels")
+    against = pin(_against(docs, labels), "against")
+    seeds = edges.where("seed = 1").select("value", F.lit(1.0).alias("weight")).distinct()
+    weights, known = seeds, None
     for _ in range(rounds):
         weighed = edges.join(weights, "value", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
         cues = weighed.groupBy("cue").agg(F.count("*").alias("n"), F.sum("weight").alias("held"),
                                           F.sum((F.col("weight") >= confidence).cast("int")).alias("backers"))
+        backed = cues.where(F.col("backers") >= support).join(against, "cue", "left")
         # one counterexample is assumed, so that few instances can't make a cue certain
-        strong = cues.withColumn("score", F.col("held") / (F.col("n") + 1)).where(
-            (F.col("score") >= confidence) & (F.col("backers") >= support)).select("cue", "score")
-        known = pin(edges.where("seed = 0").join(strong, "cue").groupBy("value").agg(
-            (1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("weight")), "values")
-        weights = edges.where("seed = 1").select("value", F.lit(1.0).alias("weight")).distinct().unionAll(known)
+        others = F.when(label, F.coalesce("against", F.lit(0))).otherwise(F.col("n") - F.col("held"))
+        strong = backed.withColumn("score", F.col("held") / (F.col("held") + others + 1)).where(F.col("score") >= confidence).select("cue", "score")
+        known = pin(edges.join(strong, "cue").groupBy("value").agg(
+            F.max("seed").alias("seed"), (1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("weight")), "values")
+        weights = seeds.unionAll(known.where("seed = 0").select("value", "weight"))
     return known.where(F.col("weight") >= confidence).select("value")
 
 
@@ -132,11 +165,14 @@ def personal_spans(df: DataFrame, key: str = "doc_id", text: str = "text", round
     """doc_id, body, kind_no, kind, start, end of each span; places are code points, ``end`` is exclusive.
 
     ``body`` is the xxhash64 of the text. A cue is strong if its score reaches ``confidence`` and at least
-    ``support`` different values of that weight follow it. Rows that repeat id and text count
+    ``support`` different values of that weight follow it. A label's score is the weight of what it precedes, over that
+    and the number of different strings behind it that are no identifiers, and one more; that of two words the
+    weight over the number of all their instances and one more. Rows that repeat id and text count
     once. A null text is empty; an empty table gives an empty result.
     """
-    occurrences = pin(_apart(_occurrences(_keyed(df, key, text))), "occurrences")
-    more = _discovered(occurrences, rounds, confidence, support)
+    docs = _keyed(df, key, text)
+    occurrences = pin(_apart(_occurrences(docs)), "occurrences")
+    more = _discovered(docs, occurrences, rounds, confidence, support)
     base = occurrences.where("kind <> 'found'")
     return base.unionAll(occurrences.where("kind = 'found'").join(more, "value", "left_semi").select(base.columns)).drop("value", "cue")
 

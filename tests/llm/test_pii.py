@@ -1,6 +1,7 @@
 """Personal data: base spans by plain regular expressions, discovery on a fixture, redaction."""
 
 import random
+import re
 
 from quarterdeck.llm import pii
 from tests.llm.brute import personal
@@ -50,6 +51,27 @@ def test_a_second_round_learns_from_what_the_first_found(rows):
     assert one[100] == two[100] == 1 and (one[300], two[300]) == (0, 1)
 
 
+def test_a_label_with_as_many_unknown_as_known_values_finds_them(rows):
+    new = [f"QX-{10000 + i}-{i}" for i in range(len(SEEDS))]
+    docs = [(i, f"Filed today. Holder:  {s} as agreed") for i, s in enumerate(SEEDS)] + [(100 + i, f"filed. holder: {x}, as agreed") for i, x in enumerate(new)]
+    # a label that mostly precedes words is none of identifiers, however many seeds follow it
+    docs += [(200 + i, f"note: {s} ok") for i, s in enumerate(SEEDS)] + [(300 + i, f"Note: w{chr(97 + i)} then") for i in range(6)] + [(400, "note: AB-123456-C ok")]
+    docs += [(500, "seen QX-10003-3 there"), (501, "holder: nobody")]
+    found = {r.doc_id: r.n_found for r in pii.find_personal_data(_frame(rows, docs)).collect()}
+    assert [found[100 + i] for i in range(len(new))] == [1] * len(new) and found[500] == 1
+    assert found[400] == found[501] == 0 and not any(found[i] for i in range(len(SEEDS)))
+
+
+def test_planted_secrets_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    planted = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'token = "([0-9a-f]{40})"', t)}
+    found = {(r.doc_id, int(a), int(b)) for r in pii.find_personal_data(docs).collect() for kind, a, b in
+             (s.split(":") for s in r.spans.split(",") if s) if kind == "found"}
+    assert len(planted) > 5 and len(found & planted) >= 0.9 * len(planted)
+    assert found <= planted
+
+
 def test_redaction(rows):
     docs = [(1, "😀 write jo@example.org or 10.0.0.1, é +49 30 1234567."), (2, None), (3, "nothing"), (4, "10.0.0.1"), (4, "10.0.0.1"), (None, "a@b.org x"),
             (6, "12345@10.0.0.1 y")]
