@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Candidates and components of candidates in a block at most, and candidates in one from which on blocks are split among idle tasks.
+MOST, COMPONENTS, LEAST = 1 << 16, 1 << 22, 1 << 13
 #: Stands for a missing id, which comes after all others.
 NO_ID = (1 << 63) - 1
 _BEST = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -33,7 +35,7 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids, and the vectors as rows; shorter ones end in zeros."""
     column = table.column("vector").combine_chunks()
     sizes = np.diff(column.offsets.to_numpy())
-    rows = np.zeros((len(sizes), int(sizes.max(initial=0))), np.int64)
+    rows = np.zeros((len(sizes), int(sizes.max(initial=0))), column.type.value_type.to_pandas_dtype())
     rows[np.arange(rows.shape[1]) < sizes[:, None]] = column.flatten().to_numpy()
     return table.column("id").to_numpy(), rows
 
@@ -41,7 +43,7 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def best_of_block(query_ids, queries, ids, vectors, k: int):
     """(query ids, ids, scores): the k best candidates of the block for each query."""
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
+    ids, vectors, queries = ids[order], vectors[order], queries.astype(np.int64)
     postings = [(at, vectors[at, term]) for term in range(vectors.shape[1]) for at in [np.flatnonzero(vectors[:, term])]]
     out = []
     for query_id, query in zip(query_ids, queries, strict=True):
@@ -71,24 +73,39 @@ def _cell(k: int):
     return best
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, query_block: int = 1024, block: int = 8192) -> DataFrame:
+def _extent(df: DataFrame) -> tuple[int, int, int]:
+    """Rows, a bound of their components' sizes, and the longest vector's length."""
+    largest = F.greatest(F.array_max("vector"), -(F.array_min("vector") + 1))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(largest).alias("largest"), F.max(F.size("vector")).alias("size")).first()
+    return row["n"], 0 if row["largest"] is None else row["largest"] + 1, max(row["size"] or 0, 0)
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, query_block: int = 8192, block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest scores, ties to the smaller vec_id.
 
-    Both frames hold (id long, vector array<long>); missing components count as zero, sums must fit 64
-    bits. A query's own row is the candidate with its id. Repeated query rows count once; repeated
+    Both frames hold (id long, vector array<long>); missing components count as zero. Where sums could exceed 64
+    bits it fails. A query's own row is the candidate with its id. Repeated query rows count once; repeated
     candidates are candidates of their own. A missing candidate id comes after all others. A
     query without candidates has no rows.
+
+    A candidate is sent once for every ``query_block`` queries, a query once for every block of candidates; a block
+    holds as many as 16 MB take where 32 bits are enough for a component.
     """
     queries = queries.where("id IS NOT NULL").dropDuplicates(["id"])
     candidates = candidates.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "vector")
-    rows, blocks = candidates.count(), queries.count()
-    columns, lines = max(1, -(-rows // block)), max(1, -(-blocks // query_block))
+    (rows, most, size), (asked_rows, asked_most, asked_size) = _extent(candidates), _extent(queries)
+    if most * asked_most * min(size, asked_size) >= 1 << 63:
+        raise ValueError(f"sums of {min(size, asked_size)} products of components up to {most} and {asked_most} may exceed 64 bits")
+    block = block or min(MOST, max(1, COMPONENTS // max(1, size)))
+    tasks = candidates.sparkSession.sparkContext.defaultParallelism
+    columns, lines = max(1, -(-rows // block), min(tasks, -(-rows // LEAST))), max(1, -(-asked_rows // query_block))
+    small = F.col("vector").cast("array<int>" if max(most, asked_most) < 1 << 31 else "array<bigint>").alias("vector")
     spread = candidates.select(
         F.pmod(F.xxhash64("id", "vector"), F.lit(columns)).alias("column"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lines - 1).cast("long"))).alias("line"), "id", "vector")
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lines - 1).cast("long"))).alias("line"), "id", small)
     asked = queries.select(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long"))).alias("column"),
-        F.pmod(F.xxhash64("id"), F.lit(lines)).alias("line"), "id", "vector")
+        F.pmod(F.xxhash64("id"), F.lit(lines)).alias("line"), "id", small)
     best = asked.groupBy("column", "line").cogroup(spread.groupBy("column", "line")).applyInArrow(
         _cell(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

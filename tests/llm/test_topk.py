@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarterdeck.llm import topk
@@ -42,3 +43,13 @@ def test_few_candidates_and_empty_tables(rows):
     assert _found(frame) == _all(data)
     assert _found(rows("vec_id long, embedding array<float>", [(0, [1.0])])) == []
     assert _found(rows("vec_id long, embedding array<float>", [])) == []
+
+
+def test_large_components(rows):
+    rnd = random.Random(2)
+    data = [(i, [float(rnd.randint(-2_400_000, 2_400_000))]) for i in range(300)]  # beyond 32 bits once scaled
+    frame = rows("vec_id long, embedding array<float>", data)
+    assert _found(frame, block=50) == _all(data)
+    for huge in (1e30, -1e30, 3e6 * 1024):
+        with pytest.raises(ValueError, match="64 bits"):
+            _found(rows("vec_id long, embedding array<float>", [(0, [huge] * 4), (1, [1.0] * 4), (100, [huge] * 4)]))
