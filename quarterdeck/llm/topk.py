@@ -75,7 +75,7 @@ def _cell(k: int):
 
 def _extent(df: DataFrame) -> tuple[int, int, int]:
     """Rows, a bound of their components' sizes, and the longest vector's length."""
-    largest = F.greatest(F.array_max("vector"), -(F.array_min("vector") + 1))
+    largest = F.greatest(F.array_max("vector"), F.bitwise_not(F.array_min("vector")))
     row = df.agg(F.count(F.lit(1)).alias("n"), F.max(largest).alias("largest"), F.max(F.size("vector")).alias("size")).first()
     return row["n"], 0 if row["largest"] is None else row["largest"] + 1, max(row["size"] or 0, 0)
 
