@@ -14,6 +14,8 @@ from quarterdeck.panel import column
 FILING_STATUS_RANK = {"MR": 1, "OR": 2, "PR": 3, "RS": 4, "ER": 5}
 ACCOUNTING_STANDARD_RANK = {"IAS/IFRS": 1, "US GAAP": 2}
 UNKNOWN = 99
+#: Measures of a row that travel together.
+RUN = 64
 
 
 def latest_revision(df: DataFrame, keys: list[str], revision: str) -> DataFrame:
@@ -46,7 +48,7 @@ def _rank(code: str, ranks: dict[str, int]) -> Column:
 
 
 def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updated: str, consolidated: str,
-                        status: str, standard: str, together: list[str] | None = None) -> DataFrame:
+                        status: str, standard: str, together: bool = False) -> DataFrame:
     """One value per key and column, by priority rules over conflicting rows.
 
     Per column, over the rows where it is not null: if they agree, that value.
@@ -59,8 +61,8 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
     column's smallest and largest value; the map side combines, so a key with
     very many rows arrives as few. The rules are then folded from last to first:
     at every step a group either agrees or passes on the result of its best
-    subgroup. All aggregates are over plain columns, without collected lists. What has equal values in
-    ``together`` (some of the keys, by default all) is in one task at the end, for a grouping by them that follows.
+    subgroup. All aggregates are over plain columns, without collected lists. ``together`` says that the
+    rows of a key are in one task already: then nothing travels.
     """
     rules = ["_updated", "_consolidated", "_status", "_standard"]
     ranked = df.select(
@@ -86,8 +88,10 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
     # from here on every grouping contains the keys: one exchange serves all of them. A key has
     # few rows left, at most one per calendar day and code; update times are not bounded that
     # way, so there only the last grouping, which combines on the map side, is by key alone
-    fine = dict(df.dtypes)[updated].startswith("timestamp")
-    groups = groups.repartition(*(together or keys), *(["_updated"] if fine and not together else []))
+    # tasks are as many as the session's shuffles have and aren't joined: the groups of a task are held by several aggregates
+    if not together:
+        fine = dict(df.dtypes)[updated].startswith("timestamp")
+        groups = groups.repartition(_tasks(df), *keys, *(["_updated"] if fine else []))
 
     for depth in range(len(rules) - 1, -1, -1):
         rule = rules[depth]
@@ -105,15 +109,20 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
     return groups.select(*keys, *[F.col(f"_best{i}").alias(v) for i, v in enumerate(values)])
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def resolve_wide(df: DataFrame, keys: list[str], values: list[str], updated: str, consolidated: str,
                  status: str, standard: str) -> DataFrame:
     """``resolve_by_priority`` for hundreds of columns: the same rules and the same result.
 
     The measures of a type are taken in long form, one row a value, so that the aggregates, and the code that Spark
-    compiles for them, don't grow with the number of measures. A value crosses two exchanges: that of the first
-    aggregate, which combines on the map side, and one by the keys, which serves all further groupings and the
-    return to columns. Types apart, as only values of fixed size are aggregated by hash. Null measures don't travel. A key
-    whose measures are all null keeps its row.
+    compiles for them, don't grow with the number of measures. Values cross two exchanges: before they are taken apart, as
+    runs of ``RUN`` measures of a row, dealt out by key and run, which serves all groupings by the rules; and settled, one for
+    each key and measure, on the return to columns. The rows of a key don't combine before the first exchange, but its runs go to
+    different tasks. Types apart, as only values of fixed size are aggregated by hash. A key whose measures are all null keeps
+    its row.
     """
     types = dict(df.dtypes)
     rules = [updated, consolidated, status, standard]
@@ -121,10 +130,12 @@ def resolve_wide(df: DataFrame, keys: list[str], values: list[str], updated: str
     out = None
     for kind in sorted({types[v] for v in values}):
         own = [i for i, v in enumerate(values) if types[v] == kind]
-        cells = df.select(*carried, F.posexplode(F.array(*[column(values[i]) for i in own])).alias("_at", "_x")).where("_x IS NOT NULL")
-        # the row that keeps a key without values
-        long = cells.unionAll(df.select(*carried, F.lit(-1).alias("_at"), F.lit(None).cast(kind).alias("_x")))
-        settled = resolve_by_priority(long, [*keys, "_at"], ["_x"], *rules, together=keys)
+        runs = F.array(*[F.array(*[column(values[i]) for i in own[at:at + RUN]]) for at in range(0, len(own), RUN)])
+        dealt = df.select(*carried, F.posexplode(runs).alias("_run", "_xs")).repartition(_tasks(df), *map(column, keys), "_run")
+        cells = dealt.select(*carried, "_run", F.posexplode("_xs").alias("_n", "_x"))
+        # nulls go, but for the first measure: it keeps a key without values
+        long = cells.withColumn("_at", F.col("_run") * RUN + F.col("_n")).where("_x IS NOT NULL OR _at = 0")
+        settled = resolve_by_priority(long, [*keys, "_run", "_at"], ["_x"], *rules, together=True)
         # at most one value for each measure
         found = settled.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_at", "_x")))).alias("_m"))
         part = found.select(*keys, *[F.try_element_at("_m", F.lit(n)).alias(f"_v{i}") for n, i in enumerate(own)])

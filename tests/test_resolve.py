@@ -128,3 +128,27 @@ def test_wide_measures_take_two_exchanges(rows):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
     assert list(found.first()[1:]) == list(map(float, range(300)))
+
+
+def test_wide_measures_travel_in_runs_and_not_as_cells(rows):
+    schema = "k string, " + ", ".join(f"m{i} double" for i in range(150)) + ", d int, c string, s string, a string"
+    blank = [None] * 150
+    df = rows(schema, [("a", *blank[:70], 7.0, *blank[71:], 1, "Y", "MR", "US GAAP"), ("a", *blank[:70], 8.0, *blank[71:], 2, "Y", "MR", "US GAAP"),
+                       ("a", *blank[:149], 9.0, 0, "N", "zz", None), ("b", *blank, 1, "Y", "MR", "US GAAP")])
+    found = resolve_wide(df, ["k"], [f"m{i}" for i in range(150)], *ARGS)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 2 and "_run" in dealt[1] and not any("_at" in line for line in dealt)
+    assert plan.index("_xs") < plan.rindex("Exchange hashpartitioning")
+    assert {r["k"]: {i: v for i, v in enumerate(r[1:]) if v is not None} for r in found.collect()} == {"a": {70: 8.0, 149: 9.0}, "b": {}}
+
+
+def test_groups_of_a_resolution_are_dealt_to_as_many_tasks_as_shuffles_have(spark, rows):
+    df = rows("k int, x double, d date, c string, s string, a string", [(i, 1.0, None, "Y", "MR", "US GAAP") for i in range(50)])
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        found = resolve_by_priority(df, ["k"], ["x"], *ARGS)
+        assert found.rdd.getNumPartitions() == 7 and found.count() == 50
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
