@@ -1,4 +1,6 @@
 import itertools
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -178,3 +180,33 @@ def test_feature_counts_are_chosen_on_validation_rows(frame):
     scored = regression_metrics(fit.score(renamed[1]), "y_lag1", "pred_y_lag1").first()["rmse"]
     assert out["y"].scores[out["y"].count] == pytest.approx(scored, rel=1e-9)
     assert fit.test.count() == test.count()
+
+
+def test_rows_of_a_fit_are_dealt_out_evenly_where_they_are_many(spark, monkeypatch):
+    df = spark.range(0, 4000, 1, 3).where("id < 1400").selectExpr("id")
+    assert forecast._spread(df).rdd.getNumPartitions() == 3
+    monkeypatch.setattr(forecast, "TASK_ROWS", 200)
+    held = forecast._spread(df).rdd.glom().map(len).collect()
+    assert sum(held) == 1400 and len(held) == 7 and max(held) - min(held) < 20
+
+
+def test_years_of_a_backtest_are_fitted_side_by_side(rows, monkeypatch):
+    at, lock, most = [0], threading.Lock(), [0]
+    fit = forecast._fit
+
+    def counted(*args, **kwargs):
+        with lock:
+            at[0] += 1
+            most[0] = max(most[0], at[0])
+        time.sleep(0.5)
+        try:
+            return fit(*args, **kwargs)
+        finally:
+            with lock:
+                at[0] -= 1
+
+    monkeypatch.setattr(forecast, "_fit", counted)
+    df = rows("yr int, x double, y double", [(2000 + i % 4, float(i % 5), float(i % 5 * 3)) for i in range(80)])
+    settings = forecast.Booster(rounds=2, learning_rate=0.5, depth=3, bagging_fraction=1.0, feature_fraction=1.0)
+    got = forecast.expanding_backtest(df, "y", ["x"], "yr", 2001, 2003, settings=settings)
+    assert most[0] == 3 and sorted(r["yr"] for r in got.select("yr").collect()) == sorted(2001 + i % 3 for i in range(60))
