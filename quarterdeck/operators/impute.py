@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,23 +113,50 @@ def impute_panel(df: DataFrame, spec: PanelSpec, cols: list[str]) -> DataFrame:
 def impute_wide(df: DataFrame, spec: PanelSpec, cols: list[str]) -> DataFrame:
     """``impute_panel`` for hundreds of measures: the same fills, with a plan that doesn't grow with their number.
 
-    Rows are sent to their entity's partition once. There the measures are taken in long form, one row a cell, and the
-    windows run over (entity, measure); the cells return to columns by key, in the same partitions. Measures come back as
-    doubles. A key that occurs twice fails the job.
+    Rows are sent to their entity's partition and numbered there. The measures of an entity, which is bounded by the
+    calendar, are filled as one matrix of rows and measures. Measures come back as doubles. A key that occurs twice fails the job.
     """
-    keys = [*_panel(spec).entity, *spec.order]
-    others = [c for c in df.columns if c not in {*keys, *cols}]
-    rows = ensure_panel(df.repartition(*[column(e) for e in spec.entity]), spec)
-    cells = F.array(F.lit(None).cast("double"), *[column(c).cast("double") for c in cols])
-    # the cell before the first measure has no value: it carries the other columns
-    long = rows.select(*[column(k) for k in keys], F.struct(F.lit(0).alias("_none"), *[column(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("_rest"),
-                       F.posexplode(cells).alias("_at", "_x")).withColumn("_rest", F.when(F.col("_at") == 0, F.col("_rest")))
-    filled = impute_panel(long, PanelSpec((*spec.entity, "_at"), spec.order), ["_x"])
-    found = filled.groupBy(*[column(k) for k in keys]).agg(
-        F.first("_rest", ignorenulls=True).alias("_rest"), F.sort_array(F.collect_list(F.struct("_at", "_x"))).alias("_cells"))
-    by_name = {c: F.col("_rest")[f"c{i}"] for i, c in enumerate(others)}
-    by_name |= {c: F.get("_cells", F.lit(i + 1))["_x"] for i, c in enumerate(cols)}
-    return found.select(*[by_name.get(c, column(c)).alias(c) for c in df.columns])
+    rows = _with_row(ensure_panel(df.repartition(*[column(e) for e in _panel(spec).entity]), spec), spec)
+    others = [c for c in df.columns if c not in cols]
+    place = {c: f"c{i}" for i, c in enumerate(others)}
+    cells = F.array(*[column(c).cast("double") for c in cols]).cast("array<double>")
+    packed = rows.select(*[column(c).alias(a) for c, a in place.items()], "_row", cells.alias("_xs"))
+    filled = packed.groupBy(*[place[e] for e in spec.entity]).applyInArrow(_fill_matrix, packed.schema)
+    by_name = {c: F.col(a) for c, a in place.items()} | {c: F.get("_xs", F.lit(i)) for i, c in enumerate(cols)}
+    return filled.select(*[by_name[c].alias(c) for c in df.columns])
+
+
+def _fill_matrix(group: pa.Table) -> pa.Table:
+    """Head, tail and interior of all measures of one entity; ``known`` tells nulls from values, NaN among them."""
+    group = group.combine_chunks().sort_by("_row")
+    cells = pa.concat_arrays(group["_xs"].chunks).flatten()
+    n, at = len(group), np.arange(len(group))[:, None]
+    x = cells.to_numpy(zero_copy_only=False).reshape(n, -1)
+    known = cells.is_valid().to_numpy(zero_copy_only=False).reshape(n, -1)
+    some, measure = known.any(0), np.arange(x.shape[1])
+    last_true = lambda found: np.where(found.any(0), n - 1 - found[::-1].argmax(0), -1)
+
+    first = known.argmax(0)
+    x = np.where(at < first, x[first, measure], x)
+    known = known | (at < first)
+
+    end = last_true(known)
+    gap = last_true(~known & (at < end))
+    # the run starts after the last null before the last value
+    z, inside = (at - gap - 1).astype("float64"), (at > gap) & (at <= end)
+    with np.errstate(all="ignore"):
+        m, sx, sy, sxy, sxx = (np.where(inside, v, 0.0).sum(0) for v in (1.0, z, x, z * x, z * z))
+        slope = np.where(m > 1, (m * sxy - sx * sy) / (m * sxx - sx * sx), 0.0)
+        x = np.where(at > end, (sy - slope * sx) / m + slope * z, x)
+        known = known | (at > end)
+
+        back = np.maximum.accumulate(np.where(known, at, 0))
+        ahead = np.minimum.accumulate(np.where(known, at, n - 1)[::-1])[::-1]
+        a, b = x[back, measure], x[ahead, measure]
+        x = np.where(known, x, a + (b - a) / (ahead - back) * (at - back))
+    values = pa.array(x.ravel(), mask=np.broadcast_to(~some, x.shape).ravel())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), values)
+    return group.set_column(group.column_names.index("_xs"), "_xs", lists)
 
 
 def impute_events(df: DataFrame, spec: PanelSpec, cols: list[str]) -> DataFrame:

@@ -220,3 +220,19 @@ def test_wide_panels_are_filled_like_narrow_ones(rows):
     with pytest.raises(Exception, match="key twice"):
         impute.impute_wide(df.unionAll(df), spec, names).collect()
     assert impute.impute_wide(df.where("false"), spec, names).collect() == []
+
+
+def test_wide_measures_are_filled_without_a_row_for_each_cell(rows):
+    nan, inf = float("nan"), float("inf")
+    data = [(1, i, *v) for i, v in enumerate([(None, nan, None, 1.0), (2.0, None, None, None), (None, 3.0, None, inf), (None, None, None, 2.0),
+                                              (5.0, 4.0, None, None), (nan, None, None, -0.5), (None, None, None, None)])]
+    data += [(2, 0, None, 1.0, None, 7.0), (2, 1, None, None, nan, None), (None, 0, 1.0, None, 2.0, None)]
+    names = ["a", "b", "c", "e"]
+    df = rows("k int, i int, " + ", ".join(f"`{n}` double" for n in names), data).repartition(3)
+    spec = PanelSpec.of("k", "i")
+    wide = impute.impute_wide(df, spec, names)
+    key = lambda r: (r["k"] is None, r["k"] or 0, r["i"])
+    for one, two in zip(sorted(impute.impute_panel(df, spec, names).collect(), key=key), sorted(wide.collect(), key=key), strict=True):
+        assert str(one) == str(two)
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Window") <= 4
