@@ -69,6 +69,23 @@ def test_histogram_of_one_value_is_widened(rows):
     assert [(r["lower"], r["upper"], r["n"]) for r in got] == [(2.5, 3.0, 0), (3.0, 3.5, 2)]
 
 
+def test_histograms_of_odd_values_pass_no_row_for_each_cell(rows):
+    nan, inf = float("nan"), float("inf")
+    schema = "plain double, none double, whole int, some_nan double, infinite double"
+    base = rows(schema, [(0.0, None, 1, 1.0, -inf), (10.0, None, 3, nan, 2.0), (None, None, None, 2.0, inf)]).repartition(3)
+    other = rows(schema, [(0.0, 1.0, 1, 1.0, 1.0), (10.0, None, 2, nan, inf), (nan, None, 3, 3.0, nan), (-0.1, None, 4, None, 0.0), (9.999, nan, None, 1.5, -inf),
+                          (2.0, None, 2, nan, 5.0), (1.9999999999999998, inf, 2, inf, None)]).repartition(2)
+    names = schema.replace(" double", "").replace(" int", "").split(", ")
+    out = drift.equal_width_histogram(other, names, 5, base)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["column"], {})[r["bin"]] = r["n"]
+    counts = {c: [n[b] for b in range(5)] for c, n in got.items()}
+    assert counts == {"plain": [2, 1, 0, 0, 2], "whole": [1, 0, 3, 0, 1], "some_nan": [0, 2, 0, 0, 0], "infinite": [0, 0, 0, 0, 0]}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "MapInArrow" in plan
+
+
 def test_psi(spark):
     rnd = np.random.default_rng(42)
     a = spark.createDataFrame([(float(x), float(y)) for x, y in zip(rnd.normal(0, 1, 1000), rnd.uniform(0, 1, 1000))], "x double, y double")
