@@ -16,6 +16,9 @@ ACCOUNTING_STANDARD_RANK = {"IAS/IFRS": 1, "US GAAP": 2}
 UNKNOWN = 99
 #: Measures of a row that travel together.
 RUN = 64
+#: Bytes of the files read for which a resolution has at least one task, however few tasks the session's shuffles have: where rows are
+#: dealt out, of which a task has one aggregate, and where groups are folded, which are held by one aggregate for each rule.
+DEALT, FOLDED = 32 << 20, 4 << 20
 
 
 def latest_revision(df: DataFrame, keys: list[str], revision: str) -> DataFrame:
@@ -59,7 +62,9 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
 
     The rows are reduced once to one per key and rank combination, keeping each
     column's smallest and largest value; the map side combines, so a key with
-    very many rows arrives as few. The rules are then folded from last to first:
+    very many rows arrives as few. Where updates are days or times, hardly two rows are alike in all that and a
+    map side would hold a whole file split as groups: there the rows are dealt out first, and combine in
+    the many tasks they come to, those of one input part together. The rules are then folded from last to first:
     at every step a group either agrees or passes on the result of its best
     subgroup. All aggregates are over plain columns, without collected lists. ``together`` says that the
     rows of a key are in one task already: then nothing travels.
@@ -76,22 +81,31 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
              "_status": F.col("_status") != UNKNOWN, "_standard": F.col("_standard") != UNKNOWN}
     agrees = lambda i: F.col(f"_lo{i}") == F.col(f"_hi{i}")
 
+    kind = dict(df.dtypes)[updated]
+    dealt = not together and kind.startswith(("date", "timestamp"))
+    # the rows of a group go to as many tasks as it has input parts, so a heavy one is spread
+    parts = ["_part"] if dealt else []
+    if dealt:
+        ranked = ranked.withColumn("_part", F.spark_partition_id()).repartition(_tasks(df, DEALT), *keys, *rules, "_part")
+
     # rows without a key are left out here and not by a filter of their own: that one would be
     # pushed below the expressions the keys are made of and work them out a second time
     keyed = reduce(lambda a, b: a & b, [column(k).isNotNull() for k in keys])
-    groups = ranked.groupBy(*keys, *rules).agg(
+    groups = ranked.groupBy(*keys, *rules, *parts).agg(
         F.bool_and(keyed).alias("_keyed"),
         *[f(F.col(f"_v{i}")).alias(f"{p}{i}") for i in n
           for f, p in ((F.min, "_lo"), (F.max, "_hi"))]).where("_keyed").drop("_keyed")
-    groups = groups.withColumns({f"_best{i}": F.when(agrees(i) & known["_standard"], F.col(f"_lo{i}"))
-                                 for i in n})
     # from here on every grouping contains the keys: one exchange serves all of them. A key has
     # few rows left, at most one per calendar day and code; update times are not bounded that
     # way, so there only the last grouping, which combines on the map side, is by key alone
-    # tasks are as many as the session's shuffles have and aren't joined: the groups of a task are held by several aggregates
+    # tasks are not joined: the groups of a task are held by several aggregates
     if not together:
-        fine = dict(df.dtypes)[updated].startswith("timestamp")
-        groups = groups.repartition(_tasks(df), *keys, *(["_updated"] if fine else []))
+        groups = groups.repartition(_tasks(df, FOLDED), *keys, *(["_updated"] if kind.startswith("timestamp") else []))
+    if dealt:
+        groups = groups.groupBy(*keys, *rules).agg(*[F.min(f"_lo{i}").alias(f"_lo{i}") for i in n],
+                                                   *[F.max(f"_hi{i}").alias(f"_hi{i}") for i in n])
+    groups = groups.withColumns({f"_best{i}": F.when(agrees(i) & known["_standard"], F.col(f"_lo{i}"))
+                                 for i in n})
 
     for depth in range(len(rules) - 1, -1, -1):
         rule = rules[depth]
@@ -109,10 +123,19 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
     return groups.select(*keys, *[F.col(f"_best{i}").alias(v) for i, v in enumerate(values)])
 
 
-def _tasks(df: DataFrame) -> int:
+def _session_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _tasks(df: DataFrame, part: int) -> int:
+    """As many as the session's shuffles have, or one for each ``part`` bytes of the files that ``df`` reads, if those are more."""
+    spark = df.sparkSession
+    conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    places = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in places)
+    return max(_session_tasks(df), -(-size // part))
+
+
 def resolve_wide(df: DataFrame, keys: list[str], values: list[str], updated: str, consolidated: str,
                  status: str, standard: str) -> DataFrame:
     """``resolve_by_priority`` for hundreds of columns: the same rules and the same result.
@@ -131,7 +154,7 @@ def resolve_wide(df: DataFrame, keys: list[str], values: list[str], updated: str
     for kind in sorted({types[v] for v in values}):
         own = [i for i, v in enumerate(values) if types[v] == kind]
         runs = F.array(*[F.array(*[column(values[i]) for i in own[at:at + RUN]]) for at in range(0, len(own), RUN)])
-        dealt = df.select(*carried, F.posexplode(runs).alias("_run", "_xs")).repartition(_tasks(df), *map(column, keys), "_run")
+        dealt = df.select(*carried, F.posexplode(runs).alias("_run", "_xs")).repartition(_session_tasks(df), *map(column, keys), "_run")
         cells = dealt.select(*carried, "_run", F.posexplode("_xs").alias("_n", "_x"))
         # nulls go, but for the first measure: it keeps a key without values
         long = cells.withColumn("_at", F.col("_run") * RUN + F.col("_n")).where("_x IS NOT NULL OR _at = 0")

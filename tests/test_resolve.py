@@ -1,7 +1,9 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from quarterdeck.operators import resolve
 from quarterdeck.operators.resolve import (ACCOUNTING_STANDARD_RANK, FILING_STATUS_RANK, latest_revision,
                                            latest_revision_join, resolve_by_priority, resolve_wide)
 
@@ -152,3 +154,31 @@ def test_groups_of_a_resolution_are_dealt_to_as_many_tasks_as_shuffles_have(spar
         assert found.rdd.getNumPartitions() == 7 and found.count() == 50
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def test_days_are_resolved_as_numbers_and_rows_are_dealt_out_before_they_are_held(rows):
+    rnd = random.Random(11)
+    data = [(rnd.choice(["a", "b", "c", "d", None]), rnd.choice([None, 1.0, 2.0]), rnd.choice([None, 1, 2, 3]), rnd.choice(["Y", "N", None]),
+             rnd.choice(["MR", "PR", "??", None]), rnd.choice(["IAS/IFRS", "x"])) for _ in range(60)]
+    data += [("heavy", 5.0, None, "Y", "MR", "x")] * 900 + [("late", 1.0, 1, "Y", "MR", "x")] * 300 + [("late", 7.0, 3, "N", "MR", "x")] * 300
+    plain = rows(SCHEMA, data).repartition(7)
+    days = plain.withColumn("d", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")))
+    assert _resolved(days) == _resolved(plain)
+    plan = resolve_by_priority(days, ["k"], ["x"], *ARGS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    # read upwards: the exchange of the rows lies below every aggregate
+    assert plan.rindex("HashAggregate") < plan.rindex("Exchange hashpartitioning")
+
+
+def test_the_tasks_of_a_resolution_grow_with_the_files_read(spark, rows, tmp_path, monkeypatch):
+    at = str(tmp_path / "some rows")
+    rows("k int, x double, d date, c string, s string, a string",
+         [(i % 50, float(i), None, "Y", "MR", "US GAAP") for i in range(2000)]).coalesce(1).write.parquet(at)
+    (size,) = [f.stat().st_size for f in (tmp_path / "some rows").glob("*.parquet")]
+    monkeypatch.setattr(resolve, "DEALT", size // 10)
+    monkeypatch.setattr(resolve, "FOLDED", size // 40)
+    found = resolve_by_priority(spark.read.parquet(at), ["k"], ["x"], *ARGS)
+    assert found.rdd.getNumPartitions() >= 40 and found.count() == 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt, folded = sorted({int(n) for n in re.findall(r"hashpartitioning\(.*, (\d+)\), REPARTITION_BY_NUM", plan)})
+    assert 10 <= dealt < 40 <= folded
