@@ -18,7 +18,9 @@ UNKNOWN = 99
 RUN = 64
 #: Bytes of the files read for which a resolution has at least one task, however few tasks the session's shuffles have: where rows are
 #: dealt out, of which a task has one aggregate, and where groups are folded, which are held by one aggregate for each rule.
-DEALT, FOLDED = 32 << 20, 4 << 20
+DEALT, FOLDED = 8 << 20, 4 << 20
+#: The same for rows dealt out to more tasks than a map side can write to without holding its rows.
+DEALT_HELD = 32 << 20
 
 
 def latest_revision(df: DataFrame, keys: list[str], revision: str) -> DataFrame:
@@ -63,8 +65,9 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
     The rows are reduced once to one per key and rank combination, keeping each
     column's smallest and largest value; the map side combines, so a key with
     very many rows arrives as few. Where updates are days or times, hardly two rows are alike in all that and a
-    map side would hold a whole file split as groups: there the rows are dealt out first, and combine in
-    the many tasks they come to, those of one input part together. The rules are then folded from last to first:
+    map side would hold a whole file split as groups: there the rows are dealt out first, to no more tasks than
+    a map side can write to without holding its rows, and combine in the tasks they come to, those of one input
+    part together. The rules are then folded from last to first:
     at every step a group either agrees or passes on the result of its best
     subgroup. All aggregates are over plain columns, without collected lists. ``together`` says that the
     rows of a key are in one task already: then nothing travels.
@@ -83,10 +86,11 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
 
     kind = dict(df.dtypes)[updated]
     dealt = not together and kind.startswith(("date", "timestamp"))
+    size = 0 if together else _bytes_read(df)
     # the rows of a group go to as many tasks as it has input parts, so a heavy one is spread
     parts = ["_part"] if dealt else []
     if dealt:
-        ranked = ranked.withColumn("_part", F.spark_partition_id()).repartition(_tasks(df, DEALT), *keys, *rules, "_part")
+        ranked = ranked.withColumn("_part", F.spark_partition_id()).repartition(_dealt_tasks(df, size), *keys, *rules, "_part")
 
     # rows without a key are left out here and not by a filter of their own: that one would be
     # pushed below the expressions the keys are made of and work them out a second time
@@ -100,7 +104,7 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
     # way, so there only the last grouping, which combines on the map side, is by key alone
     # tasks are not joined: the groups of a task are held by several aggregates
     if not together:
-        groups = groups.repartition(_tasks(df, FOLDED), *keys, *(["_updated"] if kind.startswith("timestamp") else []))
+        groups = groups.repartition(_tasks(size, FOLDED, _session_tasks(df)), *keys, *(["_updated"] if kind.startswith("timestamp") else []))
     if dealt:
         groups = groups.groupBy(*keys, *rules).agg(*[F.min(f"_lo{i}").alias(f"_lo{i}") for i in n],
                                                    *[F.max(f"_hi{i}").alias(f"_hi{i}") for i in n])
@@ -127,13 +131,29 @@ def _session_tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _tasks(df: DataFrame, part: int) -> int:
-    """As many as the session's shuffles have, or one for each ``part`` bytes of the files that ``df`` reads, if those are more."""
+def _bytes_read(df: DataFrame) -> int:
+    """Of the files that ``df`` reads."""
     spark = df.sparkSession
     conf, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
     places = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]
-    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in places)
-    return max(_session_tasks(df), -(-size // part))
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in places)
+
+
+def _tasks(size: int, part: int, least: int) -> int:
+    """One for each ``part`` of ``size`` bytes, and ``least`` at least."""
+    return max(least, -(-size // part))
+
+
+def _dealt_tasks(df: DataFrame, size: int) -> int:
+    """Tasks that rows are dealt out to.
+
+    Up to ``spark.shuffle.sort.bypassMergeThreshold`` of them Spark writes a row to its task's file at once; with more, a map side
+    holds all its rows, a whole file split, to put them in order. So there are more only where each would get too much, or
+    for more cores.
+    """
+    spark = df.sparkSession
+    streamed = max(int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200")), spark.sparkContext.defaultParallelism)
+    return _tasks(size, DEALT_HELD, min(streamed, _tasks(size, DEALT, _session_tasks(df))))
 
 
 def resolve_wide(df: DataFrame, keys: list[str], values: list[str], updated: str, consolidated: str,

@@ -182,3 +182,27 @@ def test_the_tasks_of_a_resolution_grow_with_the_files_read(spark, rows, tmp_pat
     plan = found._jdf.queryExecution().executedPlan().toString()
     dealt, folded = sorted({int(n) for n in re.findall(r"hashpartitioning\(.*, (\d+)\), REPARTITION_BY_NUM", plan)})
     assert 10 <= dealt < 40 <= folded
+
+
+def test_rows_are_dealt_out_to_no_more_tasks_than_a_map_side_writes_to_without_holding_them(spark, rows, tmp_path, monkeypatch):
+    at = str(tmp_path / "rows")
+    rows("k int, x double, d date, c string, s string, a string",
+         [(i % 50, float(i), None, "Y", "MR", "US GAAP") for i in range(2000)]).coalesce(1).write.parquet(at)
+    (size,) = [f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")]
+
+    def tasks():
+        """Of the rows and of the groups; read upwards, the exchange of the rows is the last one."""
+        plan = resolve_by_priority(spark.read.parquet(at), ["k"], ["x"], *ARGS)._jdf.queryExecution().executedPlan().toString()
+        return [int(n) for n in re.findall(r"hashpartitioning\(.*, (\d+)\), REPARTITION_BY_NUM", plan)][::-1]
+
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        assert tasks() == [200, 300]
+        # rows of which each task would get too much are held by the map side instead
+        monkeypatch.setattr(resolve, "DEALT_HELD", size // 250)
+        dealt, folded = tasks()
+        assert 250 <= dealt < 300 == folded
+        assert resolve_by_priority(spark.read.parquet(at), ["k"], ["x"], *ARGS).count() == 50
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
