@@ -51,3 +51,10 @@ def test_default_rounds_and_counts(name, spark, monkeypatch):
 def test_rounds_are_searched_with_default_folds_and_patience(spark, monkeypatch):
     given = _arguments("boosted_cv_rounds", forecast, "boosted_cv_rounds", spark, monkeypatch)
     assert not {"n_folds", "patience"} & set(given) and given["settings"].rounds == forecast.SEARCH_ROUNDS
+
+
+def test_the_boosted_grid_is_searched_with_all_rounds(spark, monkeypatch):
+    rounds = inspect.signature(forecast.grid_search_boosted).parameters["rounds"].default
+    given = _arguments("grid_search_boosted", forecast, "grid_search_boosted", spark, monkeypatch)
+    assert given["features"] == FEATURES and not {"rounds", "feature_fractions", "bagging_fractions", "n_splits"} & set(given)
+    assert rounds == 1500
