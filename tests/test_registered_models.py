@@ -58,3 +58,22 @@ def test_the_boosted_grid_is_searched_with_all_rounds(spark, monkeypatch):
     given = _arguments("grid_search_boosted", forecast, "grid_search_boosted", spark, monkeypatch)
     assert given["features"] == FEATURES and not {"rounds", "feature_fractions", "bagging_fractions", "n_splits"} & set(given)
     assert rounds == 1500
+
+
+@pytest.mark.parametrize("name", ["forecast_report", "forecast_targets"])
+def test_targets_are_ranked_and_forecast_with_all_rounds(name, spark, monkeypatch):
+    ranked, searched = [], []
+
+    def rank(train, label, features, categorical=(), settings=None):
+        ranked.append(settings.rounds)
+        return spark.createDataFrame([(f,) for f in features], "feature string")
+
+    def search(train, test, label, current, order, categorical=(), settings=None, *args):
+        searched.append(settings.rounds)
+        raise Called
+
+    monkeypatch.setattr(selection, "rank_features", rank)
+    monkeypatch.setattr(selection, "search_feature_count", search)
+    with pytest.raises(Called):
+        QUERIES[name](spark, DATA)
+    assert set(ranked) == {1000} and set(searched) == {1500}
