@@ -14,8 +14,10 @@ from quarterdeck.panel import column
 FILING_STATUS_RANK = {"MR": 1, "OR": 2, "PR": 3, "RS": 4, "ER": 5}
 ACCOUNTING_STANDARD_RANK = {"IAS/IFRS": 1, "US GAAP": 2}
 UNKNOWN = 99
-#: Measures of a row that travel together.
-RUN = 64
+#: Measures of a row that travel together, and those of them that are aggregated as the columns of one row: a measure has up to three
+#: aggregates, and Spark compiles a stage as a whole only below 100 columns.
+RUN, SIDE = 64, 16
+RULES = ["_updated", "_consolidated", "_status", "_standard"]
 #: Bytes of the files read for which a resolution has at least one task, however few tasks the session's shuffles have: where rows are
 #: dealt out, of which a task has one aggregate, and where groups are folded, which are held by one aggregate for each rule.
 DEALT, FOLDED = 8 << 20, 4 << 20
@@ -52,8 +54,50 @@ def _rank(code: str, ranks: dict[str, int]) -> Column:
     return F.coalesce(*cases, F.lit(UNKNOWN))
 
 
+def _ranks(updated: str, consolidated: str, status: str, standard: str) -> list[Column]:
+    """The columns that ``RULES`` names."""
+    ranks = [column(updated), F.when(column(consolidated) == "Y", 0).otherwise(1),
+             _rank(status, FILING_STATUS_RANK), _rank(standard, ACCOUNTING_STANDARD_RANK)]
+    return [r.alias(name) for r, name in zip(ranks, RULES, strict=True)]
+
+
+def _grouped(ranked: DataFrame, keys: list[str], by: list[str], n: range) -> DataFrame:
+    """The smallest and the largest ``_v<i>`` of each group of rows that have a key."""
+    # rows without a key are left out here and not by a filter of their own: that one would be
+    # pushed below the expressions the keys are made of and work them out a second time
+    keyed = reduce(lambda a, b: a & b, [column(k).isNotNull() for k in keys])
+    return ranked.groupBy(*by).agg(
+        F.bool_and(keyed).alias("_keyed"),
+        *[f(F.col(f"_v{i}")).alias(f"{p}{i}") for i in n
+          for f, p in ((F.min, "_lo"), (F.max, "_hi"))]).where("_keyed").drop("_keyed")
+
+
+def _folded(groups: DataFrame, keys: list[str], n: range) -> DataFrame:
+    """``_best<i>`` of each key out of the groups by key and rules: the rules from last to first."""
+    known = {"_updated": F.col("_updated").isNotNull(), "_consolidated": F.lit(True),
+             "_status": F.col("_status") != UNKNOWN, "_standard": F.col("_standard") != UNKNOWN}
+    agrees = lambda i: F.col(f"_lo{i}") == F.col(f"_hi{i}")
+    groups = groups.withColumns({f"_best{i}": F.when(agrees(i) & known["_standard"], F.col(f"_lo{i}"))
+                                 for i in n})
+
+    for depth in range(len(RULES) - 1, -1, -1):
+        rule = RULES[depth]
+        pick = F.max_by if rule == "_updated" else F.min_by
+        # a subgroup without any value of the column does not compete for it
+        order = lambda i: F.when(F.col(f"_lo{i}").isNotNull(), F.col(rule))
+        groups = groups.groupBy(*keys, *RULES[:depth]).agg(
+            *[F.min(f"_lo{i}").alias(f"_lo{i}") for i in n],
+            *[F.max(f"_hi{i}").alias(f"_hi{i}") for i in n],
+            *[pick(F.col(f"_best{i}"), order(i)).alias(f"_best{i}") for i in n])
+        usable = known[RULES[depth - 1]] if depth else F.lit(True)
+        groups = groups.withColumns({
+            f"_best{i}": F.when(usable, F.when(agrees(i), F.col(f"_lo{i}"))
+                                .otherwise(F.col(f"_best{i}"))) for i in n})
+    return groups
+
+
 def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updated: str, consolidated: str,
-                        status: str, standard: str, together: bool = False) -> DataFrame:
+                        status: str, standard: str) -> DataFrame:
     """One value per key and column, by priority rules over conflicting rows.
 
     Per column, over the rows where it is not null: if they agree, that value.
@@ -69,62 +113,30 @@ def resolve_by_priority(df: DataFrame, keys: list[str], values: list[str], updat
     a map side can write to without holding its rows, and combine in the tasks they come to, those of one input
     part together. The rules are then folded from last to first:
     at every step a group either agrees or passes on the result of its best
-    subgroup. All aggregates are over plain columns, without collected lists. ``together`` says that the
-    rows of a key are in one task already: then nothing travels.
+    subgroup. All aggregates are over plain columns, without collected lists.
     """
-    rules = ["_updated", "_consolidated", "_status", "_standard"]
-    ranked = df.select(
-        *keys, *[column(v).alias(f"_v{i}") for i, v in enumerate(values)],
-        column(updated).alias("_updated"),
-        F.when(column(consolidated) == "Y", 0).otherwise(1).alias("_consolidated"),
-        _rank(status, FILING_STATUS_RANK).alias("_status"),
-        _rank(standard, ACCOUNTING_STANDARD_RANK).alias("_standard"))
     n = range(len(values))
-    known = {"_updated": F.col("_updated").isNotNull(), "_consolidated": F.lit(True),
-             "_status": F.col("_status") != UNKNOWN, "_standard": F.col("_standard") != UNKNOWN}
-    agrees = lambda i: F.col(f"_lo{i}") == F.col(f"_hi{i}")
+    ranked = df.select(*keys, *[column(v).alias(f"_v{i}") for i, v in enumerate(values)],
+                       *_ranks(updated, consolidated, status, standard))
 
     kind = dict(df.dtypes)[updated]
-    dealt = not together and kind.startswith(("date", "timestamp"))
-    size = 0 if together else _bytes_read(df)
+    dealt = kind.startswith(("date", "timestamp"))
+    size = _bytes_read(df)
     # the rows of a group go to as many tasks as it has input parts, so a heavy one is spread
     parts = ["_part"] if dealt else []
     if dealt:
-        ranked = ranked.withColumn("_part", F.spark_partition_id()).repartition(_dealt_tasks(df, size), *keys, *rules, "_part")
+        ranked = ranked.withColumn("_part", F.spark_partition_id()).repartition(_dealt_tasks(df, size), *keys, *RULES, "_part")
 
-    # rows without a key are left out here and not by a filter of their own: that one would be
-    # pushed below the expressions the keys are made of and work them out a second time
-    keyed = reduce(lambda a, b: a & b, [column(k).isNotNull() for k in keys])
-    groups = ranked.groupBy(*keys, *rules, *parts).agg(
-        F.bool_and(keyed).alias("_keyed"),
-        *[f(F.col(f"_v{i}")).alias(f"{p}{i}") for i in n
-          for f, p in ((F.min, "_lo"), (F.max, "_hi"))]).where("_keyed").drop("_keyed")
+    groups = _grouped(ranked, keys, [*keys, *RULES, *parts], n)
     # from here on every grouping contains the keys: one exchange serves all of them. A key has
     # few rows left, at most one per calendar day and code; update times are not bounded that
     # way, so there only the last grouping, which combines on the map side, is by key alone
     # tasks are not joined: the groups of a task are held by several aggregates
-    if not together:
-        groups = groups.repartition(_tasks(size, FOLDED, _session_tasks(df)), *keys, *(["_updated"] if kind.startswith("timestamp") else []))
+    groups = groups.repartition(_tasks(size, FOLDED, _session_tasks(df)), *keys, *(["_updated"] if kind.startswith("timestamp") else []))
     if dealt:
-        groups = groups.groupBy(*keys, *rules).agg(*[F.min(f"_lo{i}").alias(f"_lo{i}") for i in n],
+        groups = groups.groupBy(*keys, *RULES).agg(*[F.min(f"_lo{i}").alias(f"_lo{i}") for i in n],
                                                    *[F.max(f"_hi{i}").alias(f"_hi{i}") for i in n])
-    groups = groups.withColumns({f"_best{i}": F.when(agrees(i) & known["_standard"], F.col(f"_lo{i}"))
-                                 for i in n})
-
-    for depth in range(len(rules) - 1, -1, -1):
-        rule = rules[depth]
-        pick = F.max_by if rule == "_updated" else F.min_by
-        # a subgroup without any value of the column does not compete for it
-        order = lambda i: F.when(F.col(f"_lo{i}").isNotNull(), F.col(rule))
-        groups = groups.groupBy(*keys, *rules[:depth]).agg(
-            *[F.min(f"_lo{i}").alias(f"_lo{i}") for i in n],
-            *[F.max(f"_hi{i}").alias(f"_hi{i}") for i in n],
-            *[pick(F.col(f"_best{i}"), order(i)).alias(f"_best{i}") for i in n])
-        usable = known[rules[depth - 1]] if depth else F.lit(True)
-        groups = groups.withColumns({
-            f"_best{i}": F.when(usable, F.when(agrees(i), F.col(f"_lo{i}"))
-                                .otherwise(F.col(f"_best{i}"))) for i in n})
-    return groups.select(*keys, *[F.col(f"_best{i}").alias(v) for i, v in enumerate(values)])
+    return _folded(groups, keys, n).select(*keys, *[F.col(f"_best{i}").alias(v) for i, v in enumerate(values)])
 
 
 def _session_tasks(df: DataFrame) -> int:
@@ -144,8 +156,8 @@ def _tasks(size: int, part: int, least: int) -> int:
     return max(least, -(-size // part))
 
 
-def _dealt_tasks(df: DataFrame, size: int) -> int:
-    """Tasks that rows are dealt out to.
+def _dealt_tasks(df: DataFrame, size: int, runs: int = 1) -> int:
+    """Tasks that rows are dealt out to, each of them as ``runs`` rows.
 
     Up to ``spark.shuffle.sort.bypassMergeThreshold`` of them Spark writes a row to its task's file at once; with more, a map side
     holds all its rows, a whole file split, to put them in order. So there are more only where each would get too much, or
@@ -153,34 +165,41 @@ def _dealt_tasks(df: DataFrame, size: int) -> int:
     """
     spark = df.sparkSession
     streamed = max(int(spark.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200")), spark.sparkContext.defaultParallelism)
-    return _tasks(size, DEALT_HELD, min(streamed, _tasks(size, DEALT, _session_tasks(df))))
+    return _tasks(size, DEALT_HELD, min(streamed, _tasks(size, DEALT, _session_tasks(df) * runs)))
 
 
 def resolve_wide(df: DataFrame, keys: list[str], values: list[str], updated: str, consolidated: str,
                  status: str, standard: str) -> DataFrame:
     """``resolve_by_priority`` for hundreds of columns: the same rules and the same result.
 
-    The measures of a type are taken in long form, one row a value, so that the aggregates, and the code that Spark
-    compiles for them, don't grow with the number of measures. Values cross two exchanges: before they are taken apart, as
-    runs of ``RUN`` measures of a row, dealt out by key and run, which serves all groupings by the rules; and settled, one for
-    each key and measure, on the return to columns. The rows of a key don't combine before the first exchange, but its runs go to
-    different tasks. Types apart, as only values of fixed size are aggregated by hash. A key whose measures are all null keeps
-    its row.
+    The measures of a type are resolved as those of ``SIDE`` columns, a row for every ``SIDE`` of them, so that the aggregates, and the
+    code that Spark compiles for them, don't grow with the number of measures. Values cross two exchanges: before they are taken
+    apart, as runs of ``RUN`` measures of a row, dealt out by key and run, which serves all groupings by the rules; and settled, on the
+    return to columns. The rows of a key don't combine before the first exchange, but its runs go to different tasks. Columns and runs
+    without a value are left out, but for the first of a row: they keep a key without values. Types apart, as only values of fixed size are
+    aggregated by hash. As a row becomes as many as it has runs, they go to so many times the tasks that the session's shuffles
+    have, if a map side can write to them without holding its rows.
     """
     types = dict(df.dtypes)
-    rules = [updated, consolidated, status, standard]
-    carried = [column(c) for c in dict.fromkeys([*keys, *rules])]
+    ranks, size = _ranks(updated, consolidated, status, standard), _bytes_read(df)
     out = None
     for kind in sorted({types[v] for v in values}):
         own = [i for i, v in enumerate(values) if types[v] == kind]
-        runs = F.array(*[F.array(*[column(values[i]) for i in own[at:at + RUN]]) for at in range(0, len(own), RUN)])
-        dealt = df.select(*carried, F.posexplode(runs).alias("_run", "_xs")).repartition(_session_tasks(df), *map(column, keys), "_run")
-        cells = dealt.select(*carried, "_run", F.posexplode("_xs").alias("_n", "_x"))
-        # nulls go, but for the first measure: it keeps a key without values
-        long = cells.withColumn("_at", F.col("_run") * RUN + F.col("_n")).where("_x IS NOT NULL OR _at = 0")
-        settled = resolve_by_priority(long, [*keys, "_run", "_at"], ["_x"], *rules, together=True)
-        # at most one value for each measure
-        found = settled.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("_x").isNotNull(), F.struct("_at", "_x")))).alias("_m"))
-        part = found.select(*keys, *[F.try_element_at("_m", F.lit(n)).alias(f"_v{i}") for n, i in enumerate(own)])
+        n, sides, runs = range(min(SIDE, len(own))), range(min(RUN // SIDE, -(-len(own) // SIDE))), range(-(-len(own) // RUN))
+        tasks = _dealt_tasks(df, size, len(runs))
+        cell = lambda at: (column(values[own[at]]) if at < len(own) else F.lit(None)).cast(kind)
+        side = lambda at: F.struct(*[cell(at + j).alias(f"_v{j}") for j in n])
+        # runs are structs of their own before they are exploded: compiled code writes them, in parts small enough for the virtual machine
+        packed = df.select(*map(column, keys), *ranks, *[F.struct(*[side(r * RUN + s * SIDE).alias(f"_s{s}") for s in sides]).alias(f"_r{r}") for r in runs])
+        taken = packed.select(*map(column, keys), *RULES, F.posexplode(F.array(*[F.col(f"_r{r}") for r in runs])).alias("_run", "_xs"))
+        some = F.coalesce(*[F.col(f"_xs._s{s}._v{j}") for s in sides for j in n]).isNotNull()
+        dealt = taken.where((F.col("_run") == 0) | some).repartition(tasks, *map(column, keys), "_run")
+        parts = dealt.select(*map(column, keys), "_run", *RULES, F.posexplode(F.array(*[F.col(f"_xs._s{s}") for s in sides])).alias("_side", "_x"))
+        parts = parts.where((F.col("_run") + F.col("_side") == 0) | F.coalesce(*[F.col(f"_x._v{j}") for j in n]).isNotNull())
+        by = [*keys, "_run", "_side"]
+        settled = _folded(_grouped(parts.select(*map(column, by), *RULES, "_x.*"), keys, [*by, *RULES], n), by, n)
+        place = (F.col("_run") * (RUN // SIDE) + F.col("_side")).alias("_at")
+        found = settled.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(place, F.struct(*[F.col(f"_best{j}") for j in n])))).alias("_m"))
+        part = found.select(*keys, *[F.try_element_at("_m", F.lit(at // SIDE))[f"_best{at % SIDE}"].alias(f"_v{i}") for at, i in enumerate(own)])
         out = part if out is None else out.join(part, keys)
     return out.select(*keys, *[F.col(f"_v{i}").alias(v) for i, v in enumerate(values)])

@@ -1,3 +1,4 @@
+import datetime
 import random
 import re
 
@@ -145,6 +146,33 @@ def test_wide_measures_travel_in_runs_and_not_as_cells(rows):
     assert {r["k"]: {i: v for i, v in enumerate(r[1:]) if v is not None} for r in found.collect()} == {"a": {70: 8.0, 149: 9.0}, "b": {}}
 
 
+def test_wide_measures_are_aggregated_as_columns_of_a_row_and_not_as_cells(rows, monkeypatch):
+    schema = "k string, " + ", ".join(f"m{i} double" for i in range(150)) + ", d int, c string, s string, a string"
+    df = rows(schema, [("a", *map(float, range(150)), 1, "Y", "MR", "US GAAP"), ("b", *[None] * 150, 1, "Y", "MR", "US GAAP")])
+    taken, grouped = [], resolve._grouped
+    monkeypatch.setattr(resolve, "_grouped", lambda df, *args: taken.append(df) or grouped(df, *args))
+    found = {r["k"]: list(r[1:]) for r in resolve_wide(df, ["k"], [f"m{i}" for i in range(150)], *ARGS).collect()}
+    assert found == {"a": list(map(float, range(150))), "b": [None] * 150}
+    # 16 measures a row, and one row for that without values
+    assert taken[0].count() == 10 + 1
+
+
+def test_wide_measures_are_resolved_across_the_borders_of_runs(rows, monkeypatch):
+    rnd = random.Random(5)
+    names = [f"m{i}" for i in range(11)]
+    schema = "k string, " + ", ".join(f"{m} {'string' if i % 4 == 3 else 'double'}" for i, m in enumerate(names)) + ", d date, c string, s string, a string"
+    day = lambda n: n and datetime.date(2020, 1, n)
+    data = [(rnd.choice(["a", "b", "c", None]), *[None if rnd.random() < 0.7 else rnd.choice("pq") if i % 4 == 3 else rnd.choice([1.0, 2.0, 0.0]) for i in range(11)],
+             day(rnd.choice([None, 1, 2, 3])), rnd.choice(["Y", "N", None]), rnd.choice(["MR", "PR", "??", None]), rnd.choice(["IAS/IFRS", "x"]))
+            for _ in range(120)]
+    df = rows(schema, data + [("empty", *[None] * 11, None, None, None, None)])
+    narrow = sorted(map(repr, resolve_by_priority(df, ["k"], names, *ARGS).collect()))
+    for run, side in ((4, 2), (2, 2), (64, 16)):
+        monkeypatch.setattr(resolve, "RUN", run)
+        monkeypatch.setattr(resolve, "SIDE", side)
+        assert sorted(map(repr, resolve_wide(df, ["k"], names, *ARGS).collect())) == narrow and len(narrow) == 4
+
+
 def test_groups_of_a_resolution_are_dealt_to_as_many_tasks_as_shuffles_have(spark, rows):
     df = rows("k int, x double, d date, c string, s string, a string", [(i, 1.0, None, "Y", "MR", "US GAAP") for i in range(50)])
     kept = spark.conf.get("spark.sql.shuffle.partitions")
