@@ -175,8 +175,8 @@ def resolve_wide(df: DataFrame, keys: list[str], values: list[str], updated: str
     The measures of a type are resolved as those of ``SIDE`` columns, a row for every ``SIDE`` of them, so that the aggregates, and the
     code that Spark compiles for them, don't grow with the number of measures. Values cross two exchanges: before they are taken
     apart, as runs of ``RUN`` measures of a row, dealt out by key and run, which serves all groupings by the rules; and settled, on the
-    return to columns. The rows of a key don't combine before the first exchange, but its runs go to different tasks. Columns and runs
-    without a value are left out, but for the first of a row: they keep a key without values. Types apart, as only values of fixed size are
+    return to columns. The rows of a key don't combine before the first exchange, but its runs go to different tasks. Runs without a
+    value stay behind, but for the first of a row: it keeps a key without values. Types apart, as only values of fixed size are
     aggregated by hash. As a row becomes as many as it has runs, they go to so many times the tasks that the session's shuffles
     have, if a map side can write to them without holding its rows.
     """
@@ -195,7 +195,7 @@ def resolve_wide(df: DataFrame, keys: list[str], values: list[str], updated: str
         some = F.coalesce(*[F.col(f"_xs._s{s}._v{j}") for s in sides for j in n]).isNotNull()
         dealt = taken.where((F.col("_run") == 0) | some).repartition(tasks, *map(column, keys), "_run")
         parts = dealt.select(*map(column, keys), "_run", *RULES, F.posexplode(F.array(*[F.col(f"_xs._s{s}") for s in sides])).alias("_side", "_x"))
-        parts = parts.where((F.col("_run") + F.col("_side") == 0) | F.coalesce(*[F.col(f"_x._v{j}") for j in n]).isNotNull())
+        # no filter on these columns: the optimizer would note it once for each subset of the names that they get next
         by = [*keys, "_run", "_side"]
         settled = _folded(_grouped(parts.select(*map(column, by), *RULES, "_x.*"), keys, [*by, *RULES], n), by, n)
         place = (F.col("_run") * (RUN // SIDE) + F.col("_side")).alias("_at")

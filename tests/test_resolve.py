@@ -153,8 +153,8 @@ def test_wide_measures_are_aggregated_as_columns_of_a_row_and_not_as_cells(rows,
     monkeypatch.setattr(resolve, "_grouped", lambda df, *args: taken.append(df) or grouped(df, *args))
     found = {r["k"]: list(r[1:]) for r in resolve_wide(df, ["k"], [f"m{i}" for i in range(150)], *ARGS).collect()}
     assert found == {"a": list(map(float, range(150))), "b": [None] * 150}
-    # 16 measures a row, and one row for that without values
-    assert taken[0].count() == 10 + 1
+    # three runs of 64 for the first row, one for the row without values; 16 measures a row
+    assert taken[0].count() == 4 * (resolve.RUN // resolve.SIDE)
 
 
 def test_wide_measures_are_resolved_across_the_borders_of_runs(rows, monkeypatch):
